@@ -9,39 +9,53 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["PAYLOAD_TYPE", "json_object", "string_prop", "null_payload"]
+__all__ = ["PAYLOAD_TYPE", "json_object", "json_parse_parts", "json_object_from_parts", "string_prop", "null_payload"]
 
 PAYLOAD_TYPE = "map<string,variant>"
+# Fixed value: the white space a JSON decoder skips around a value.
+JSON_SPACE = " \t\n\r"
 
 
 def null_payload() -> Column:
     return F.lit(None).cast(PAYLOAD_TYPE)
 
 
-def json_object(s: Column) -> tuple[Column, Column]:
-    """Parse ``s`` as exactly one JSON value that is an object or ``null``.
-
-    Returns ``(ok, payload)``: ``ok`` is true when a strict decoder of a JSON
-    object would succeed (``null`` included, which yields a NULL payload);
-    ``payload`` is the object as a map, NULL otherwise.
+def json_parse_parts(s: Column) -> tuple[Column, Column]:
+    """The two expensive parses behind ``json_object``: ``(elements, closed)``.
 
     Spark's variant parser stops after the first complete value, so trailing
-    text would be accepted.  Wrapping the text as the only element of an array
-    and as the value of an object rejects any tail: after a complete value the
-    array needs ``]`` or ``,`` and the object needs ``}`` or ``,``; a ``,``
-    adds a second array element, and no tail can satisfy both closers.
+    text would be accepted.  Wrapping the text as an array element and as an
+    object value rejects any tail: after a complete value the array needs
+    ``]`` or ``,`` and the object needs ``}`` or ``,``; a ``,`` adds a second
+    array element, and no tail satisfies both closers.  Only text containing
+    ``]`` can close the array early, so only that text pays the second parse.
     """
-    arr = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))).try_cast("array<variant>")
-    single = arr.isNotNull() & (F.size(arr) == 1)
-    # a tail can only survive the array wrapper by closing it with "]"
+    elements = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))).try_cast("array<variant>")
     closed = F.when(F.instr(s, "]") == 0, F.lit(True)).otherwise(
         F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}"))).isNotNull()
     )
-    value = F.get(arr, 0)
-    as_map = value.try_cast(PAYLOAD_TYPE)
-    is_json_null = F.schema_of_variant(value) == "VOID"
-    ok = F.coalesce(single & closed & (as_map.isNotNull() | is_json_null), F.lit(False))
-    return ok, F.when(ok, as_map)
+    return elements, closed
+
+
+def json_object_from_parts(s: Column, elements: Column, closed: Column) -> tuple[Column, Column]:
+    """``(ok, payload)`` from the parts; every input is referenced cheaply."""
+    single = F.coalesce((F.size(elements) == 1) & closed, F.lit(False))
+    value = F.get(elements, 0)
+    is_object = F.ltrim(s, F.lit(JSON_SPACE)).startswith("{")
+    ok = single & (is_object | F.coalesce(F.is_variant_null(value), F.lit(False)))
+    return ok, F.when(single & is_object, value.try_cast(PAYLOAD_TYPE))
+
+
+def json_object(s: Column) -> tuple[Column, Column]:
+    """Parse ``s`` as exactly one JSON value that is an object or ``null``.
+
+    Returns ``(ok, payload)``: ``ok`` is true when a strict decoder of a JSON
+    object would succeed (``null`` included, which yields a NULL payload);
+    ``payload`` is the object as a map, NULL otherwise.  For per-row use on
+    large data prefer the staged form in ``parse_entries``.
+    """
+    elements, closed = json_parse_parts(s)
+    return json_object_from_parts(s, elements, closed)
 
 
 def string_prop(payload: Column, key: str) -> Column:

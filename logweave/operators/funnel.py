@@ -122,63 +122,48 @@ class FunnelResult:
             (F.col("_m") % k).cast("bigint").alias("_rem"),
         )
 
-    def _count_col(self, i: int) -> Column:
-        return F.col("conversions") + F.when(F.lit(i) < F.col("_rem"), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    def _count_at(self, i: Column) -> Column:
+        """Event count of 0-based step ``i`` (a column)."""
+        return F.col("conversions") + F.when(i < F.col("_rem"), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+
+    def _names(self) -> Column:
+        return F.array(*[F.lit(s.name) for s in self.spec.steps])
 
     def steps(self) -> DataFrame:
         """``DataFrame[step_index INT, name STRING, event_count BIGINT, percentage DOUBLE]``.
 
         ``percentage`` is relative to step 1 (0 when step 1 has no events);
         no rows when there are no entries."""
-        counts = self._counts()
-        c0 = self._count_col(0)
-        rows = F.array(
-            *[
-                F.struct(
-                    F.lit(s.name).alias("name"),
-                    self._count_col(i).alias("event_count"),
-                    F.when(c0 > 0, self._count_col(i) / c0 * 100.0).otherwise(F.lit(0.0)).alias("percentage"),
-                )
-                for i, s in enumerate(self.spec.steps)
-            ]
+        rows = self._counts().filter(F.col("total_events_analyzed") > 0).select(
+            "conversions", "_rem", F.posexplode(self._names()).alias("_i", "name")
         )
-        out = counts.filter(F.col("total_events_analyzed") > 0).select(F.posexplode(rows).alias("_i", "_r"))
-        return out.select(
+        n = self._count_at(F.col("_i"))
+        c0 = self._count_at(F.lit(0))
+        return rows.select(
             (F.col("_i") + 1).cast("int").alias("step_index"),
-            F.col("_r.name").alias("name"),
-            F.col("_r.event_count").alias("event_count"),
-            F.col("_r.percentage").alias("percentage"),
+            F.col("name"),
+            n.alias("event_count"),
+            F.when(c0 > 0, n / c0 * 100.0).otherwise(F.lit(0.0)).alias("percentage"),
         )
 
     def drop_offs(self) -> DataFrame:
         """``DataFrame[step_index INT, from STRING, to STRING, events_lost BIGINT, drop_off_rate DOUBLE]``.
 
         One row per adjacent step pair whose first step has events."""
-        counts = self._counts()
-        names = [s.name for s in self.spec.steps]
-        typ = "array<struct<step_index:int,from:string,to:string,events_lost:bigint,drop_off_rate:double,_keep:boolean>>"
-        pairs = [
-            F.struct(
-                F.lit(i + 1).cast("int").alias("step_index"),
-                F.lit(names[i]).alias("from"),
-                F.lit(names[i + 1]).alias("to"),
-                (self._count_col(i) - self._count_col(i + 1)).alias("events_lost"),
-                F.when(
-                    self._count_col(i) > 0,
-                    (self._count_col(i) - self._count_col(i + 1)) / self._count_col(i) * 100.0,
-                ).alias("drop_off_rate"),
-                (self._count_col(i) > 0).alias("_keep"),
-            )
-            for i in range(len(names) - 1)
-        ]
-        rows = F.array(*pairs) if pairs else F.array().cast(typ)
-        out = counts.filter(F.col("total_events_analyzed") > 0).select(F.explode(rows).alias("_r"))
-        return out.filter(F.col("_r._keep")).select(
-            F.col("_r.step_index").alias("step_index"),
-            F.col("_r.from").alias("from"),
-            F.col("_r.to").alias("to"),
-            F.col("_r.events_lost").alias("events_lost"),
-            F.col("_r.drop_off_rate").alias("drop_off_rate"),
+        k = self.spec.k
+        names = self._names()
+        rows = self._counts().filter(F.col("total_events_analyzed") > 0).select(
+            "conversions", "_rem", names.alias("_names"),
+            F.posexplode(F.slice(names, 1, k - 1) if k > 1 else F.array().cast("array<string>")).alias("_i", "from"),
+        )
+        a = self._count_at(F.col("_i"))
+        b = self._count_at(F.col("_i") + 1)
+        return rows.filter(a > 0).select(
+            (F.col("_i") + 1).cast("int").alias("step_index"),
+            F.col("from"),
+            F.element_at(F.col("_names"), F.col("_i") + 2).alias("to"),
+            (a - b).alias("events_lost"),
+            F.when(a > 0, (a - b) / a * 100.0).alias("drop_off_rate"),
         )
 
     def summary(self) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import json_object, null_payload
+from ..functions.payload import json_object_from_parts, json_parse_parts, null_payload
 from ..functions.regex import JavaRegex, first_match_groups_pattern
 from ..functions.text import unicode_trim
 from ..specs import ParserSpec
@@ -31,6 +31,17 @@ _SEP = "\u001f"
 _INT_TEXT = "\\A[+-]?[0-9]+\\z"
 
 
+def barrier(df: DataFrame, carry, **exprs: Column) -> DataFrame:
+    """Evaluate ``exprs`` once per row and expose them as new columns.
+
+    The columns are produced by a one-element ``inline`` generator, which the
+    optimizer neither inlines into consumers nor lets predicates pass, so a
+    filter written on top of the result cannot re-evaluate (and multiply) an
+    expensive expression such as a regex or a JSON decode.
+    """
+    return df.select(*carry, F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
+
+
 def _groups_stage(df: DataFrame, text: str, rx: JavaRegex, prefix: str, carry) -> tuple[DataFrame, list[str]]:
     """Add columns ``{prefix}1..n``: the groups of the leftmost match of ``rx`` in ``text``.
 
@@ -43,10 +54,10 @@ def _groups_stage(df: DataFrame, text: str, rx: JavaRegex, prefix: str, carry) -
     if n == 0:
         return df, names
     if n == 1:
-        return df.select(*carry, F.regexp_extract(F.col(text), rx.pattern, 1).alias(names[0])), names
+        return barrier(df, carry, **{names[0]: F.regexp_extract(F.col(text), rx.pattern, 1)}), names
     repl = "".join(_SEP + f"${i}" for i in range(1, n + 1))
     joined = F.split(F.regexp_replace(F.col(text), first_match_groups_pattern(rx), repl), _SEP)
-    staged = df.select(*carry, F.col(text), joined.alias("_parts"))
+    staged = barrier(df, [*carry, F.col(text)], _parts=joined)
     ok = F.size("_parts") == n + 1
     out = staged.select(
         *carry,
@@ -122,34 +133,45 @@ def parse_entries(lines: DataFrame, spec: ParserSpec = ParserSpec(), *, line_col
         message = F.when(ts_failed, col[1]).otherwise(col[n])
         if n >= 6:
             message = F.when(col[6] != "", col[6]).otherwise(message)
-    fields = groups.select(
+    # message feeds the payload fallback and every match, so it is materialized once
+    with_msg = barrier(groups, [*carry, *[F.col(x) for x in g]], message=message)
+    fields = with_msg.select(
         *carry,
         ts.alias("ts"),
         (col[4] if n >= 4 else empty).alias("level"),
         (col[5] if n >= 5 else empty).alias("tag"),
         (_safe_int(col[2]) if n >= 2 else F.lit(0).cast("bigint")).alias("pid"),
         (_safe_int(col[3]) if n >= 3 else F.lit(0).cast("bigint")).alias("tid"),
-        message.alias("message"),
+        F.col("message"),
     )
     base = [F.col(c) for c in keep] + [F.col(c) for c in ENTRY_COLUMNS[:-1]]
     if not spec.json_extraction:
         return fields.select(*base, null_payload().alias("event_data"))
     # a repeated key keeps its last value, as a streaming JSON decoder does
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return fields.select(*base, payload_column(F.col("_raw"), F.col("message"), spec).alias("event_data"))
+    return with_payload(fields, base, F.col("_raw"), spec)
+
 
+def with_payload(df: DataFrame, base, raw: Column, spec: ParserSpec) -> DataFrame:
+    """Add ``event_data``: the payload regex's group 1 on the raw line when that is
+    a JSON object (or ``null``), else the message when that is one, else NULL.
 
-def payload_column(raw: Column, message: Column, spec: ParserSpec) -> Column:
-    """The entry payload: the payload regex's group 1 on the raw line when that is a
-    JSON object (or ``null``), else the message when that is one, else NULL."""
+    Staged so each JSON text is parsed once per line."""
     ev = spec.payload_regex
-    msg_ok, msg_map = json_object(message)
-    fallback = F.when(msg_ok, msg_map)
-    if ev.groups < 1:
-        return fallback
-    found = F.coalesce(raw.rlike(ev.pattern), F.lit(False))
-    cand_ok, cand_map = json_object(unicode_trim(F.regexp_extract(raw, ev.pattern, 1)))
-    return F.when(found & cand_ok, cand_map).otherwise(fallback)
+    msg = F.col("message")
+    if ev.groups >= 1:
+        found = F.coalesce(raw.rlike(ev.pattern), F.lit(False))
+        cand = F.when(found, unicode_trim(F.regexp_extract(raw, ev.pattern, 1)))
+    else:
+        cand = F.lit(None).cast("string")
+    staged = barrier(df, base, _cand=cand)
+    c_el, c_closed = json_parse_parts(F.col("_cand"))
+    m_el, m_closed = json_parse_parts(msg)
+    parsed = barrier(staged, [*base, F.col("_cand")], _c_el=c_el, _c_closed=c_closed, _m_el=m_el, _m_closed=m_closed)
+    c_ok, c_map = json_object_from_parts(F.col("_cand"), F.col("_c_el"), F.col("_c_closed"))
+    m_ok, m_map = json_object_from_parts(msg, F.col("_m_el"), F.col("_m_closed"))
+    payload = F.when(F.coalesce(c_ok, F.lit(False)), c_map).when(m_ok, m_map)
+    return barrier(parsed, base, event_data=payload)
 
 
 def parse_stats(lines: DataFrame, spec: ParserSpec = ParserSpec(), *, line_col: str = "value") -> DataFrame:
