@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .payload import string_prop
-from .regex import translate
+from .regex import search
 
 __all__ = ["match_subject", "matches_pattern", "has_properties", "matches_step", "EVENT_KEY"]
 
@@ -30,14 +30,14 @@ def match_subject(message: Column, payload: Column) -> Column:
 
 def matches_pattern(subject: Column, pattern: str) -> Column:
     """Unanchored, case-sensitive RE2 search of ``pattern`` in ``subject``."""
-    return F.coalesce(subject.rlike(translate(pattern).pattern), F.lit(False))
+    return F.coalesce(search(subject, pattern), F.lit(False))
 
 
 def has_properties(payload: Column, required: Mapping[str, str]) -> Column:
     """Every required key exists in the payload, is a string, and matches its pattern."""
     cond = F.lit(True)
     for key, pattern in required.items():
-        cond = cond & F.coalesce(string_prop(payload, key).rlike(translate(pattern).pattern), F.lit(False))
+        cond = cond & F.coalesce(search(string_prop(payload, key), pattern), F.lit(False))
     return cond
 
 

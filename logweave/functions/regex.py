@@ -29,6 +29,7 @@ class JavaRegex:
     source: str  # the pattern as written (RE2 syntax)
     pattern: str  # equivalent java.util.regex pattern
     groups: int  # number of capturing groups
+    required: str = ""  # a literal every match contains ("" if none is known)
 
 
 # RE2's ASCII character classes, as inclusive code point ranges.
@@ -112,6 +113,11 @@ class _Translator:
         self.stack: list[tuple[dict, int]] = []  # saved flags, output index of "("
         self.atom_start: int | None = None  # output index where the last atom begins
         self.last_quantified = False
+        # required-literal tracking at the top level of the pattern
+        self.runs: list[str] = []
+        self.cur_run = ""
+        self.last_literal: str | None = None  # the top-level literal atom just emitted
+        self.top_alternation = False
 
     # -- helpers -----------------------------------------------------------
     def err(self, msg: str):
@@ -121,10 +127,21 @@ class _Translator:
         j = self.i + k
         return self.src[j] if j < len(self.src) else ""
 
-    def atom(self, text: str):
+    def atom(self, text: str, literal: str | None = None):
         self.atom_start = len(self.out)
         self.out.append(text)
         self.last_quantified = False
+        if literal is not None and not self.stack and not self.flags["i"]:
+            self.cur_run += literal
+            self.last_literal = literal
+        else:
+            self.end_run()
+
+    def end_run(self):
+        if self.cur_run:
+            self.runs.append(self.cur_run)
+        self.cur_run = ""
+        self.last_literal = None
 
     def assertion(self, text: str):
         # zero-width items can be repeated in RE2; wrap so Java accepts it too
@@ -284,6 +301,13 @@ class _Translator:
             lazy = not lazy
         self.out.append(q + ("?" if lazy else ""))
         self.last_quantified = True
+        if self.last_literal is not None and self.cur_run.endswith(self.last_literal):
+            optional = q in ("*", "?") or q.startswith("{0")
+            if optional:
+                self.cur_run = self.cur_run[: -len(self.last_literal)]
+            self.end_run()  # a repeated literal is required at most once
+        elif not self.stack:
+            self.end_run()
 
     def try_repeat(self) -> str | None:
         """Parse {n}, {n,} or {n,m} at self.i; None if it is a literal brace."""
@@ -308,6 +332,8 @@ class _Translator:
         return on_j + ("-" + off_j if off_j else "")
 
     def open_group(self):
+        if not self.stack:
+            self.end_run()
         rest = self.src[self.i :]
         saved = dict(self.flags)
         if rest.startswith("(?P<") or (rest.startswith("(?<") and not rest.startswith(("(?<=", "(?<!"))):
@@ -387,6 +413,9 @@ class _Translator:
             elif c == ")":
                 self.close_group()
             elif c == "|":
+                if not self.stack:
+                    self.top_alternation = True
+                self.end_run()
                 self.out.append("|")
                 self.i += 1
                 self.atom_start = None
@@ -416,11 +445,13 @@ class _Translator:
                 self.i += 1
                 self.escape()
             else:
-                self.atom(_hex(ord(c)) if not (c.isalnum() or c in " _-,:;'\"/<>=!@#%&~`") else c)
+                self.atom(_hex(ord(c)) if not (c.isalnum() or c in " _-,:;'\"/<>=!@#%&~`") else c, literal=c)
                 self.i += 1
         if self.stack:
             self.err("missing closing )")
-        return JavaRegex(self.src, "".join(self.out), self.groups)
+        self.end_run()
+        required = "" if self.top_alternation or not self.runs else max(self.runs, key=len)
+        return JavaRegex(self.src, "".join(self.out), self.groups, required)
 
     def escape(self):
         e = self.peek()
@@ -456,14 +487,14 @@ class _Translator:
                 # each literal character is its own atom, so a quantifier that
                 # follows applies to the last one only, as in RE2
                 for ch in lit:
-                    self.atom(_hex(ord(ch)))
+                    self.atom(_hex(ord(ch)), literal=ch)
         elif e == "E":
             self.i += 1  # a stray \E is ignored
         else:
             cp = self.read_escape_char()
             if cp is None:
                 self.err(f"invalid escape sequence: \\{e}")
-            self.atom(_hex(cp))
+            self.atom(_hex(cp), literal=chr(cp))
 
 
 @functools.lru_cache(maxsize=4096)
@@ -479,3 +510,14 @@ def first_match_groups_pattern(rx: JavaRegex) -> str:
     leftmost match of ``rx`` (what ``Matcher.find`` and RE2's
     ``FindStringSubmatch`` report), for a single ``regexp_replace`` pass."""
     return "\\A(?s:.*?)(?:" + rx.pattern + ")(?s:.*)\\z"
+
+
+def search(col, rx: JavaRegex | str):
+    """Unanchored RE2 search as a Spark predicate.
+
+    When every match must contain a known literal, a byte-level ``contains``
+    runs first and the regex engine only sees rows that can match."""
+    if isinstance(rx, str):
+        rx = translate(rx)
+    pred = col.rlike(rx.pattern)
+    return col.contains(rx.required) & pred if rx.required else pred

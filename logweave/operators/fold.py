@@ -116,6 +116,13 @@ def _summarizer(k: int, run_cols: list[str], word_cols: list[str]):
     return summarize
 
 
+def _single_partition(df: DataFrame) -> bool:
+    try:
+        return df.rdd.getNumPartitions() == 1
+    except Exception:  # noqa: BLE001 - no RDD access: take the general path
+        return False
+
+
 def run_summaries(
     matching: DataFrame,
     k: int,
@@ -128,6 +135,12 @@ def run_summaries(
     if chunk_by:
         run_cols = list(chunk_by)
         arranged = matching.sortWithinPartitions(*run_cols, *[c for c in order_by if c not in run_cols])
+    elif _single_partition(matching):
+        # the whole input is one task already: one run, sorted in place
+        run_cols = ["_run"]
+        arranged = matching.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order_by]).withColumn(
+            "_run", F.lit(0)
+        )
     else:
         run_cols = ["_run"]
         arranged = (

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.payload import json_object_from_parts, json_parse_parts, null_payload
-from ..functions.regex import JavaRegex, first_match_groups_pattern
+from ..functions.regex import JavaRegex, first_match_groups_pattern, search
 from ..functions.text import unicode_trim
 from ..specs import ParserSpec
 
@@ -100,7 +100,7 @@ def _lines(lines: DataFrame, spec: ParserSpec, line_col: str, keep):
     carry = [F.col(c) for c in keep]
     staged = lines.select(*carry, F.col(line_col).alias("_raw"), unicode_trim(F.col(line_col)).alias("_line"))
     nonblank = F.col("_line") != ""
-    return staged, rx, nonblank & F.col("_line").rlike(rx.pattern)
+    return staged, rx, nonblank & search(F.col("_line"), rx)
 
 
 def parse_entries(lines: DataFrame, spec: ParserSpec = ParserSpec(), *, line_col: str = "value", keep=None) -> DataFrame:
@@ -160,17 +160,26 @@ def with_payload(df: DataFrame, base, raw: Column, spec: ParserSpec) -> DataFram
     ev = spec.payload_regex
     msg = F.col("message")
     if ev.groups >= 1:
-        found = F.coalesce(raw.rlike(ev.pattern), F.lit(False))
+        found = F.coalesce(search(raw, ev), F.lit(False))
         cand = F.when(found, unicode_trim(F.regexp_extract(raw, ev.pattern, 1)))
     else:
         cand = F.lit(None).cast("string")
     staged = barrier(df, base, _cand=cand)
     c_el, c_closed = json_parse_parts(F.col("_cand"))
-    m_el, m_closed = json_parse_parts(msg)
-    parsed = barrier(staged, [*base, F.col("_cand")], _c_el=c_el, _c_closed=c_closed, _m_el=m_el, _m_closed=m_closed)
+    cand_parsed = barrier(staged, [*base, F.col("_cand")], _c_el=c_el, _c_closed=c_closed)
     c_ok, c_map = json_object_from_parts(F.col("_cand"), F.col("_c_el"), F.col("_c_closed"))
+    c_ok = F.coalesce(c_ok, F.lit(False))
+    # the message is decoded only for lines whose candidate is not a JSON object
+    m_el, m_closed = json_parse_parts(msg)
+    parsed = barrier(
+        cand_parsed,
+        [*base, F.col("_cand"), F.col("_c_el"), F.col("_c_closed")],
+        _c_ok=c_ok,
+        _m_el=F.when(~c_ok, m_el),
+        _m_closed=F.when(~c_ok, m_closed),
+    )
     m_ok, m_map = json_object_from_parts(msg, F.col("_m_el"), F.col("_m_closed"))
-    payload = F.when(F.coalesce(c_ok, F.lit(False)), c_map).when(m_ok, m_map)
+    payload = F.when(F.col("_c_ok"), c_map).when(m_ok, m_map)
     return barrier(parsed, base, event_data=payload)
 
 

@@ -19,6 +19,7 @@ from ..operators.count import count_patterns, count_summary
 from ..operators.funnel import analyze_funnel
 from ..operators.parse import parse_entries, parse_stats
 from ..session import shared_dir
+from ..sources.balance import spread
 from ..sources.table import entries_from_table, lines_from_text_column
 from ..sources.text import LINE_ORDER, SPLIT_CHUNK, read_log_lines
 from ..specs import FunnelSpec, ParserSpec, Step
@@ -80,13 +81,18 @@ def event_entries(spark, sf_dir) -> DataFrame:
     return entries_from_table(table(spark, sf_dir, "events"), message="event_type", ts="ts", keep=["event_id"])
 
 
+def event_log_lines(spark, sf_dir) -> DataFrame:
+    """Logcat lines derived from ``events``; parsing them is CPU-heavy, so a
+    coarse scan is spread over all cores first."""
+    return logcat_lines(spread(table(spark, sf_dir, "events"))).withColumnRenamed("ts", "event_ts")
+
+
 def logcat_entries(spark, sf_dir) -> DataFrame:
-    lines = logcat_lines(table(spark, sf_dir, "events")).withColumnRenamed("ts", "event_ts")
-    return parse_entries(lines, LOGCAT_SPEC)
+    return parse_entries(event_log_lines(spark, sf_dir), LOGCAT_SPEC)
 
 
 def document_lines(spark, sf_dir) -> DataFrame:
-    return lines_from_text_column(table(spark, sf_dir, "documents"), "text", keep=["doc_id"])
+    return lines_from_text_column(spread(table(spark, sf_dir, "documents")), "text", keep=["doc_id"])
 
 
 def document_entries(spark, sf_dir) -> DataFrame:
@@ -119,7 +125,7 @@ def q_count_summary(spark, d):
 
 
 def q_count_empty(spark, d):
-    lines = logcat_lines(table(spark, d, "events")).withColumnRenamed("ts", "event_ts")
+    lines = event_log_lines(spark, d)
     never = ParserSpec(log_line_regex=r"^NEVER (\d+)$")
     return count_patterns(parse_entries(lines, never), EVENT_PATTERNS, with_rates=True)
 
@@ -176,8 +182,7 @@ def q_funnel_20_drop_offs(spark, d):
 
 
 def q_funnel_empty(spark, d):
-    lines = logcat_lines(table(spark, d, "events")).withColumnRenamed("ts", "event_ts")
-    entries = parse_entries(lines, ParserSpec(log_line_regex=r"^NEVER (\d+)$"))
+    entries = parse_entries(event_log_lines(spark, d), ParserSpec(log_line_regex=r"^NEVER (\d+)$"))
     return analyze_funnel(entries, funnel_of(MAIN_FUNNEL), order_by=["event_ts", "event_id"]).steps()
 
 
@@ -215,13 +220,13 @@ def q_parse_logcat(spark, d):
 
 
 def q_parse_three_group(spark, d):
-    lines = clock_lines(table(spark, d, "events")).withColumnRenamed("ts", "event_ts")
+    lines = clock_lines(spread(table(spark, d, "events"))).withColumnRenamed("ts", "event_ts")
     e = parse_entries(lines, CLOCK_SPEC)
     return e.select("event_id", _ts_text().alias("ts"), "level", "tag", "pid", "tid", "message")
 
 
 def q_parse_bad_timestamp(spark, d):
-    lines = clock_lines(table(spark, d, "events"), broken_every=7).withColumnRenamed("ts", "event_ts")
+    lines = clock_lines(spread(table(spark, d, "events")), broken_every=7).withColumnRenamed("ts", "event_ts")
     e = parse_entries(lines, LOOSE_CLOCK_SPEC)
     return e.select("event_id", _ts_text().alias("ts"), "pid", "message")
 
