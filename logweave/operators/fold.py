@@ -84,27 +84,43 @@ def _unpack(words: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(cols, axis=1).astype(np.int64)
 
 
-def _summarizer(k: int, run_cols: list[str], word_cols: list[str]):
+def _summarizer(k: int, run_cols: list[str], value_cols: list[str], packed: bool):
+    """Per task: one summary per run (maximal stretch of equal ``run_cols``).
+
+    Input rows are either entries (``packed``: step bit masks) or summaries of
+    finer runs (an ``adv`` array each); either way rows are composed in input
+    order with a vectorised tree reduction per Arrow batch."""
+
+    def matrix(pdf):
+        if packed:
+            return _unpack(pdf[value_cols].to_numpy(dtype=np.int64), k)
+        return np.stack([np.asarray(a, dtype=np.int64) for a in pdf[value_cols[0]]])
+
     def summarize(batches):
         key, acc, rows = None, None, 0
         out_keys, out_adv, out_rows = [], [], []
         for pdf in batches:
             if pdf.empty:
                 continue
-            steps = _unpack(pdf[word_cols].to_numpy(dtype=np.int64), k)
+            steps = matrix(pdf)
+            weights = np.ones(len(pdf), dtype=np.int64) if packed else pdf["rows"].to_numpy(dtype=np.int64)
             keys = pdf[run_cols]
             change = (keys != keys.shift()).any(axis=1).to_numpy()
             change[0] = True
+            if not packed and (not change.all() or (key is not None and tuple(keys.iloc[0]) == key)):
+                # two summaries for one run: a chunk was split across tasks
+                raise RuntimeError(SPLIT_CHUNK_ERROR)
             starts = np.flatnonzero(change).tolist() + [len(pdf)]
             for a, b in zip(starts[:-1], starts[1:]):
                 seg_key = tuple(keys.iloc[a])
                 seg = tree_compose(steps[a:b], k)
+                n = int(weights[a:b].sum())
                 if key is not None and seg_key == key:
-                    acc, rows = compose(acc, seg, k), rows + (b - a)
+                    acc, rows = compose(acc, seg, k), rows + n
                 else:
                     if key is not None:
                         out_keys.append(key), out_adv.append(acc.tolist()), out_rows.append(rows)
-                    key, acc, rows = seg_key, seg, b - a
+                    key, acc, rows = seg_key, seg, n
         if key is not None:
             out_keys.append(key), out_adv.append(acc.tolist()), out_rows.append(rows)
         if out_keys:
@@ -116,6 +132,13 @@ def _summarizer(k: int, run_cols: list[str], word_cols: list[str]):
     return summarize
 
 
+def _summary_schema(arranged: DataFrame, run_cols: list[str]) -> T.StructType:
+    return T.StructType(
+        [T.StructField(c, arranged.schema[c].dataType, True) for c in run_cols]
+        + [T.StructField("adv", T.ArrayType(T.LongType())), T.StructField("rows", T.LongType())]
+    )
+
+
 def _single_partition(df: DataFrame) -> bool:
     try:
         return df.rdd.getNumPartitions() == 1
@@ -148,24 +171,66 @@ def run_summaries(
             .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order_by])
             .withColumn("_run", F.spark_partition_id())
         )
-    fields = [arranged.schema[c] for c in run_cols]
-    schema = T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in fields]
-        + [T.StructField("adv", T.ArrayType(T.LongType())), T.StructField("rows", T.LongType())]
+    summaries = arranged.select(*run_cols, *word_cols).mapInPandas(
+        _summarizer(k, run_cols, word_cols, packed=True), _summary_schema(arranged, run_cols)
     )
-    summaries = arranged.select(*run_cols, *word_cols).mapInPandas(_summarizer(k, run_cols, word_cols), schema)
     return summaries, run_cols
 
 
+SPLIT_CHUNK_ERROR = "funnel chunks were split across tasks; chunk_by columns must not be shuffled"
+FAN_IN = 2048  # most run summaries folded by one task
+GROUP = 256  # runs composed per task in a pre-fold level
+
+
+def _partitions(df: DataFrame) -> int:
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def estimate_runs(matching: DataFrame, chunk_by) -> int:
+    """An estimate of how many runs ``run_summaries`` produces (plan-time only)."""
+    if chunk_by:
+        return _partitions(matching)  # at least one split per scan partition
+    return int(matching.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def pre_fold(summaries: DataFrame, run_cols: list[str], k: int, runs: int) -> tuple[DataFrame, list[str], int]:
+    """Compose run summaries into contiguous groups until at most ``FAN_IN`` remain.
+
+    The summaries are few compared with the data (one row of k numbers per
+    chunk), so a range shuffle of them is cheap; each range partition is one
+    contiguous group of runs, composed by the same streaming summarizer."""
+    while runs > FAN_IN:
+        groups = -(-runs // GROUP)
+        cols = [F.col(c).asc_nulls_first() for c in run_cols]
+        arranged = (
+            summaries.repartitionByRange(groups, *cols)
+            .sortWithinPartitions(*cols)
+            .withColumn("_grp", F.spark_partition_id())
+        )
+        summaries = arranged.select("_grp", "adv", "rows").mapInPandas(
+            _summarizer(k, ["_grp"], ["adv"], packed=False), _summary_schema(arranged, ["_grp"])
+        )
+        run_cols, runs = ["_grp"], groups
+    return summaries, run_cols, runs
+
+
 def fold_runs(summaries: DataFrame, run_cols: list[str], k: int) -> DataFrame:
     """One row ``matches``: fold the run summaries in run order from state 0.
 
-    The run count is bounded by the number of chunks (file splits or range
-    partitions), not by the data, so one small task folds them."""
+    ``pre_fold`` bounds the number of summaries, so one small task folds them.
+    A run key seen twice means a chunk was split across tasks (its rows were
+    shuffled after the scan), which would break the order: that fails loudly."""
     runs = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in run_cols], F.col("adv"))))
     folded = F.aggregate(
         runs,
         F.lit(0).cast("bigint"),
         lambda m, r: m + F.element_at(r["adv"], (m % F.lit(k)).cast("int") + 1),
     )
-    return summaries.agg(folded.alias("matches"))
+    distinct = F.count_distinct(F.struct(*[F.col(c) for c in run_cols]))
+    checked = F.when(F.count(F.lit(1)) == distinct, folded).otherwise(
+        F.raise_error(F.lit(SPLIT_CHUNK_ERROR))
+    )
+    return summaries.agg(checked.cast("bigint").alias("matches"))

@@ -168,3 +168,46 @@ def test_text_log_walks_splits_without_shuffle(spark, tmp_path):
     counts, _ = walk([{0} if m == "view" else {1} if m == "click" else {2} if m == "buy" else set() for m in msgs], 3, 0)
     assert got == counts
     assert "rangepartitioning" not in plan.lower()
+
+
+def test_pre_fold_level_gives_the_same_result(spark, monkeypatch):
+    from logweave.operators import fold
+
+    rng = random.Random(11)
+    msgs = [rng.choice(["a", "b", "c", "ab", ""]) for _ in range(4000)]
+    rows = [(i, m) for i, m in enumerate(msgs)]
+    from logweave.sources.table import entries_from_table
+
+    df = spark.createDataFrame(rows, "seq bigint, message string").repartition(5)
+    entries = entries_from_table(df, message="message", keep=["seq"])
+    spec = funnel("a", "b", "c")
+    expected = [s[2] for s in steps_of(analyze_funnel(entries, spec, order_by=["seq"]))]
+    monkeypatch.setattr(fold, "FAN_IN", 2)
+    monkeypatch.setattr(fold, "GROUP", 2)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = [s[2] for s in steps_of(analyze_funnel(entries, spec, order_by=["seq"]))]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    sets = [{i for i, p in enumerate("abc") if p in m} for m in msgs]
+    assert got == expected == walk(sets, 3, 0)[0]
+
+
+def test_shuffled_text_chunks_fail_loudly(spark, tmp_path):
+    (tmp_path / "x.log").write_text("".join(f"{'ab'[i % 2]}\n" for i in range(3000)))
+    lines = read_log_lines(spark, str(tmp_path)).repartition(3)
+    entries = parse_entries(lines)
+    r = analyze_funnel(entries, funnel("a", "b"), order_by=LINE_ORDER, chunk_by=SPLIT_CHUNK)
+    with pytest.raises(Exception, match="split across tasks"):
+        r.progress.collect()
+
+
+def test_shuffled_text_chunks_fail_loudly_with_pre_fold(spark, tmp_path, monkeypatch):
+    from logweave.operators import fold
+
+    monkeypatch.setattr(fold, "FAN_IN", 1)
+    (tmp_path / "x.log").write_text("".join(f"{'ab'[i % 2]}\n" for i in range(3000)))
+    entries = parse_entries(read_log_lines(spark, str(tmp_path)).repartition(3))
+    r = analyze_funnel(entries, funnel("a", "b"), order_by=LINE_ORDER, chunk_by=SPLIT_CHUNK)
+    with pytest.raises(Exception, match="split across tasks"):
+        r.progress.collect()
