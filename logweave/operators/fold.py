@@ -234,3 +234,22 @@ def fold_runs(summaries: DataFrame, run_cols: list[str], k: int) -> DataFrame:
         F.raise_error(F.lit(SPLIT_CHUNK_ERROR))
     )
     return summaries.agg(checked.cast("bigint").alias("matches"))
+
+
+def compose_runs(summaries: DataFrame, run_cols: list[str], k: int) -> DataFrame:
+    """One row ``(adv ARRAY<BIGINT>, rows BIGINT)``: all runs composed in run order.
+
+    Unlike ``fold_runs`` this keeps the whole summary (every start state), so
+    the result can itself be composed with what comes before or after it,
+    e.g. across the micro-batches of a stream."""
+    runs = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in run_cols], F.col("adv"))))
+    ident = F.array_repeat(F.lit(0).cast("bigint"), k)
+    steps = F.sequence(F.lit(0), F.lit(k - 1))
+
+    def step(acc, r):
+        return F.transform(steps, lambda s: acc[s] + F.element_at(r["adv"], ((s + acc[s]) % k).cast("int") + 1))
+
+    return summaries.agg(
+        F.aggregate(runs, ident, step).alias("adv"),
+        F.coalesce(F.sum("rows"), F.lit(0).cast("bigint")).alias("rows"),
+    )
