@@ -229,8 +229,8 @@ def fold_runs(summaries: DataFrame, run_cols: list[str], k: int) -> DataFrame:
         F.lit(0).cast("bigint"),
         lambda m, r: m + F.element_at(r["adv"], (m % F.lit(k)).cast("int") + 1),
     )
-    distinct = F.count_distinct(F.struct(*[F.col(c) for c in run_cols]))
-    checked = F.when(F.count(F.lit(1)) == distinct, folded).otherwise(
+    keys = F.transform(runs, lambda r: F.struct(*[r[c] for c in run_cols]))
+    checked = F.when(F.size(F.array_distinct(keys)) == F.size(runs), folded).otherwise(
         F.raise_error(F.lit(SPLIT_CHUNK_ERROR))
     )
     return summaries.agg(checked.cast("bigint").alias("matches"))

@@ -22,7 +22,7 @@ from ..functions.regex import JavaRegex, first_match_groups_pattern, search
 from ..functions.text import unicode_trim
 from ..specs import ParserSpec
 
-__all__ = ["parse_entries", "parse_stats", "ENTRY_COLUMNS"]
+__all__ = ["parse_entries", "parse_stats", "row_count_source", "ENTRY_COLUMNS"]
 
 ENTRY_COLUMNS = ("ts", "level", "tag", "pid", "tid", "message", "event_data")
 
@@ -69,6 +69,12 @@ def _groups_stage(df: DataFrame, text: str, rx: JavaRegex, prefix: str, carry) -
     return out, names
 
 
+def row_count_source(df: DataFrame) -> DataFrame:
+    """A DataFrame with as many rows as ``df`` that is cheaper to count, when known."""
+    cheap = getattr(df, "_logweave_rows", None)
+    return df if cheap is None else cheap
+
+
 def _has_year(fmt: str) -> bool:
     quoted = False
     for ch in fmt:
@@ -115,6 +121,7 @@ def parse_entries(lines: DataFrame, spec: ParserSpec = ParserSpec(), *, line_col
     keep = list(keep)
     staged, rx, parsed = _lines(lines, spec, line_col, keep)
     staged = staged.filter(parsed)
+    counted = staged.select()  # one row per entry, without the parse work
     carry = [F.col(c) for c in keep] + [F.col("_raw")]
     groups, g = _groups_stage(staged, "_line", rx, "_g", carry)
     n = len(g)
@@ -146,10 +153,16 @@ def parse_entries(lines: DataFrame, spec: ParserSpec = ParserSpec(), *, line_col
     )
     base = [F.col(c) for c in keep] + [F.col(c) for c in ENTRY_COLUMNS[:-1]]
     if not spec.json_extraction:
-        return fields.select(*base, null_payload().alias("event_data"))
-    # a repeated key keeps its last value, as a streaming JSON decoder does
-    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return with_payload(fields, base, F.col("_raw"), spec)
+        out = fields.select(*base, null_payload().alias("event_data"))
+    else:
+        # a repeated key keeps its last value, as a streaming JSON decoder does
+        lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+        out = with_payload(fields, base, F.col("_raw"), spec)
+    # Every stage after the line filter maps one line to one entry, so the entry
+    # count is the filtered line count.  Only this exact DataFrame object carries
+    # the shortcut; anything derived from it is counted in full.
+    out._logweave_rows = counted
+    return out
 
 
 def with_payload(df: DataFrame, base, raw: Column, spec: ParserSpec) -> DataFrame:

@@ -27,7 +27,7 @@ from ..functions.text import strip_one_cr
 from ..operators.count import count_patterns
 from ..operators.fold import compose_runs, fold_runs, pre_fold, run_summaries, estimate_runs
 from ..operators.funnel import FunnelResult, step_mask_columns
-from ..operators.parse import parse_entries
+from ..operators.parse import parse_entries, row_count_source
 from ..sources.text import LINE_ORDER, SPLIT_CHUNK
 from ..specs import FunnelSpec, ParserSpec
 
@@ -90,7 +90,7 @@ class FunnelStream:
         summaries, run_cols = run_summaries(matching, k, words, LINE_ORDER, SPLIT_CHUNK)
         summaries, run_cols, _ = pre_fold(summaries, run_cols, k, estimate_runs(matching, SPLIT_CHUNK))
         composed = compose_runs(summaries, run_cols, k)
-        total = entries.agg(F.count(F.lit(1)).alias("total"))
+        total = row_count_source(entries).agg(F.count(F.lit(1)).alias("total"))
         both = composed.select("adv", "rows", F.lit(None).cast("bigint").alias("total")).unionByName(
             total.select(F.lit(None).cast("array<bigint>").alias("adv"), F.lit(None).cast("bigint").alias("rows"), "total")
         )
