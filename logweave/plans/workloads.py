@@ -84,7 +84,8 @@ def event_entries(spark, sf_dir) -> DataFrame:
 def event_log_lines(spark, sf_dir) -> DataFrame:
     """Logcat lines derived from ``events``; parsing them is CPU-heavy, so a
     coarse scan is spread over all cores first."""
-    return logcat_lines(spread(table(spark, sf_dir, "events"))).withColumnRenamed("ts", "event_ts")
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id", "event_type", "props")
+    return logcat_lines(spread(events)).withColumnRenamed("ts", "event_ts")
 
 
 def logcat_entries(spark, sf_dir) -> DataFrame:
@@ -92,7 +93,8 @@ def logcat_entries(spark, sf_dir) -> DataFrame:
 
 
 def document_lines(spark, sf_dir) -> DataFrame:
-    return lines_from_text_column(spread(table(spark, sf_dir, "documents")), "text", keep=["doc_id"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines_from_text_column(spread(docs), "text", keep=["doc_id"])
 
 
 def document_entries(spark, sf_dir) -> DataFrame:
@@ -220,13 +222,15 @@ def q_parse_logcat(spark, d):
 
 
 def q_parse_three_group(spark, d):
-    lines = clock_lines(spread(table(spark, d, "events"))).withColumnRenamed("ts", "event_ts")
+    events = table(spark, d, "events").select("ts", "event_id", "user_id", "event_type")
+    lines = clock_lines(spread(events)).withColumnRenamed("ts", "event_ts")
     e = parse_entries(lines, CLOCK_SPEC)
     return e.select("event_id", _ts_text().alias("ts"), "level", "tag", "pid", "tid", "message")
 
 
 def q_parse_bad_timestamp(spark, d):
-    lines = clock_lines(spread(table(spark, d, "events")), broken_every=7).withColumnRenamed("ts", "event_ts")
+    events = table(spark, d, "events").select("ts", "event_id", "user_id", "event_type")
+    lines = clock_lines(spread(events), broken_every=7).withColumnRenamed("ts", "event_ts")
     e = parse_entries(lines, LOOSE_CLOCK_SPEC)
     return e.select("event_id", _ts_text().alias("ts"), "pid", "message")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 __all__ = ["spread"]
 
@@ -15,6 +16,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     that finely (any large table) are returned unchanged, so this costs nothing
     at scale.  Only for row sources whose order lives in columns: a text log's
     line order is physical and must not be shuffled.
+
+    The spread rows pass a one-to-one generator, so predicates written later
+    (a line-format regex, say) run after the shuffle on all cores instead of
+    being pushed back into the coarse scan.  Select the needed columns first:
+    every column of ``df`` crosses the shuffle.
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
@@ -22,4 +28,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
         current = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - sessions without RDD access keep the input as is
         return df
-    return df.repartition(target) if current < target else df
+    if current >= target:
+        return df
+    # round-robin, not a hash of the content: repeated rows (copied lines) would
+    # all hash to one task
+    spread_rows = df.repartition(target)
+    return spread_rows.select(F.inline(F.array(F.struct(*[F.col(c) for c in spread_rows.columns]))))
