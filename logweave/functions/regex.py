@@ -30,6 +30,7 @@ class JavaRegex:
     pattern: str  # equivalent java.util.regex pattern
     groups: int  # number of capturing groups
     required: str = ""  # a literal every match contains ("" if none is known)
+    required_lower: str = ""  # a lower-case literal the lower-cased text of every match contains
 
 
 # RE2's ASCII character classes, as inclusive code point ranges.
@@ -66,6 +67,50 @@ _WORD_BOUNDARY = f"(?:(?<={_ASCII_WORD})(?!{_ASCII_WORD})|(?<!{_ASCII_WORD})(?={
 _NOT_WORD_BOUNDARY = f"(?:(?<={_ASCII_WORD})(?={_ASCII_WORD})|(?<!{_ASCII_WORD})(?!{_ASCII_WORD}))"
 
 
+_WORD_CLASS_TEXT = "[0-9A-Za-z_]"
+
+
+def _is_word(ch: str) -> bool:
+    return ch.isascii() and (ch.isalnum() or ch == "_")
+
+
+def _folds_simply(ch: str) -> bool:
+    """Lower-casing matches case-insensitive RE2 matching for this literal:
+    ASCII only, and not s/S (RE2 also folds the long s, which lower() keeps)."""
+    return ch.isascii() and ch.lower() != "s"
+
+
+def _kind_of(ranges) -> str | None:
+    """"word" if every code point in ``ranges`` is an ASCII word character,
+    "nonword" if none is, else None."""
+    inside = outside = False
+    for lo, hi in ranges:
+        for wlo, whi in _WORD:
+            if lo <= whi and wlo <= hi:
+                inside = True
+        covered = sum(max(0, min(hi, whi) - max(lo, wlo) + 1) for wlo, whi in _WORD)
+        if covered < hi - lo + 1:
+            outside = True
+    if inside and not outside:
+        return "word"
+    if outside and not inside:
+        return "nonword"
+    return None
+
+
+def _boundary(word_boundary: bool, prev: str | None, nxt: str | None) -> str:
+    """ASCII \\b / \\B; one-sided when a neighbouring character is known."""
+    w = _WORD_CLASS_TEXT
+    if prev is not None:
+        after_word = prev == "word"
+        # boundary iff the next character's kind differs from the previous one
+        return f"(?!{w})" if after_word == word_boundary else f"(?={w})"
+    if nxt is not None:
+        before_word = nxt == "word"
+        return f"(?<!{w})" if before_word == word_boundary else f"(?<={w})"
+    return _WORD_BOUNDARY if word_boundary else _NOT_WORD_BOUNDARY
+
+
 def _hex(cp: int) -> str:
     return "\\x{%X}" % cp
 
@@ -86,7 +131,9 @@ def _complement(ranges):
 
 
 def _class_of(ranges, negate: bool) -> str:
-    return "[" + _ranges_text(_complement(ranges) if negate else ranges) + "]"
+    # "[^...]" rather than explicit complement ranges: under (?i) Java then
+    # negates the case-folded class, as RE2 does
+    return "[" + ("^" if negate else "") + _ranges_text(ranges) + "]"
 
 
 def _java_property(name: str, negate: bool, where: str) -> str:
@@ -118,6 +165,11 @@ class _Translator:
         self.cur_run = ""
         self.last_literal: str | None = None  # the top-level literal atom just emitted
         self.top_alternation = False
+        self.ci_runs: list[str] = []
+        self.ci_run = ""
+        # what the character before the current position is known to be:
+        # "word", "nonword" or None (unknown), for the \b rewrite
+        self.prev_kind: str | None = None
 
     # -- helpers -----------------------------------------------------------
     def err(self, msg: str):
@@ -127,20 +179,39 @@ class _Translator:
         j = self.i + k
         return self.src[j] if j < len(self.src) else ""
 
-    def atom(self, text: str, literal: str | None = None):
+    def atom(self, text: str, literal: str | None = None, kind: str | None = None):
         self.atom_start = len(self.out)
         self.out.append(text)
         self.last_quantified = False
+        if literal is not None:
+            kind = "word" if _is_word(literal) else "nonword"
+            if self.flags["i"] and literal.lower() in ("k", "s"):
+                kind = None  # also matches the Kelvin sign / long s, which are not ASCII word characters
+        self.prev_kind = kind
         if literal is not None and not self.stack and not self.flags["i"]:
+            self.end_ci_run()
             self.cur_run += literal
             self.last_literal = literal
+        elif literal is not None and not self.stack and _folds_simply(literal):
+            self.end_cs_run()
+            self.ci_run += literal.lower()
+            self.last_literal = literal
         else:
             self.end_run()
 
-    def end_run(self):
+    def end_cs_run(self):
         if self.cur_run:
             self.runs.append(self.cur_run)
         self.cur_run = ""
+
+    def end_ci_run(self):
+        if self.ci_run:
+            self.ci_runs.append(self.ci_run)
+        self.ci_run = ""
+
+    def end_run(self):
+        self.end_cs_run()
+        self.end_ci_run()
         self.last_literal = None
 
     def assertion(self, text: str):
@@ -223,6 +294,7 @@ class _Translator:
             negate = True
             self.i += 1
         parts: list[str] = []
+        ranges: list[tuple[int, int]] | None = []  # None once a part has unknown extent
         first = True
         while True:
             c = self.peek()
@@ -242,7 +314,10 @@ class _Translator:
                     if name not in _POSIX:
                         self.err(f"invalid character class range: [:{name}:]")
                     rng = _POSIX[name]
-                    parts.append(_ranges_text(_complement(rng) if neg else rng))
+                    rng = _complement(rng) if neg else rng
+                    parts.append(_ranges_text(rng))
+                    if ranges is not None:
+                        ranges.extend(rng)
                     self.i = end + 2
                     continue
             if c == "\\":
@@ -250,12 +325,16 @@ class _Translator:
                 e = self.peek()
                 if e in "dDsSwW" and e:
                     base = {"d": _DIGIT, "s": _SPACE_PERL, "w": _WORD}[e.lower()]
-                    parts.append(_ranges_text(_complement(base) if e.isupper() else base))
+                    base = _complement(base) if e.isupper() else base
+                    parts.append(_ranges_text(base))
+                    if ranges is not None:
+                        ranges.extend(base)
                     self.i += 1
                     continue
                 if e in "pP" and e:
                     name, neg = self.read_property()
                     parts.append(_java_property(name, neg, "class"))
+                    ranges = None
                     continue
                 lo = self.read_escape_char()
                 if lo is None:
@@ -278,14 +357,21 @@ class _Translator:
                 if hi < lo:
                     self.err("invalid character class range")
                 parts.append(f"{_hex(lo)}-{_hex(hi)}")
+                if ranges is not None:
+                    ranges.append((lo, hi))
             else:
                 parts.append(_hex(lo))
+                if ranges is not None:
+                    ranges.append((lo, lo))
         body = "".join(parts)
         if not body:
             # e.g. [^\x00-\x{10FFFF}] or an empty property set: matches nothing
             self.atom("(?!)" if not negate else "(?s:.)")
             return
-        self.atom("[" + ("^" if negate else "") + body + "]")
+        kind = None
+        if ranges is not None and not self.flags["i"]:
+            kind = _kind_of(_complement(ranges) if negate else ranges)
+        self.atom("[" + ("^" if negate else "") + body + "]", kind=kind)
 
     # -- repetition ------------------------------------------------------------
     def quantifier(self, q: str):
@@ -301,11 +387,17 @@ class _Translator:
             lazy = not lazy
         self.out.append(q + ("?" if lazy else ""))
         self.last_quantified = True
+        optional = q in ("*", "?") or q.startswith("{0")
+        if optional:
+            self.prev_kind = None
         if self.last_literal is not None and self.cur_run.endswith(self.last_literal):
-            optional = q in ("*", "?") or q.startswith("{0")
             if optional:
                 self.cur_run = self.cur_run[: -len(self.last_literal)]
             self.end_run()  # a repeated literal is required at most once
+        elif self.last_literal is not None and self.ci_run.endswith(self.last_literal.lower()):
+            if optional:
+                self.ci_run = self.ci_run[: -len(self.last_literal)]
+            self.end_run()
         elif not self.stack:
             self.end_run()
 
@@ -334,6 +426,7 @@ class _Translator:
     def open_group(self):
         if not self.stack:
             self.end_run()
+        self.prev_kind = None
         rest = self.src[self.i :]
         saved = dict(self.flags)
         if rest.startswith("(?P<") or (rest.startswith("(?<") and not rest.startswith(("(?<=", "(?<!"))):
@@ -402,6 +495,7 @@ class _Translator:
         self.i += 1
         self.atom_start = start
         self.last_quantified = False
+        self.prev_kind = None
 
     # -- main loop ---------------------------------------------------------------
     def run(self) -> JavaRegex:
@@ -416,6 +510,7 @@ class _Translator:
                 if not self.stack:
                     self.top_alternation = True
                 self.end_run()
+                self.prev_kind = None
                 self.out.append("|")
                 self.i += 1
                 self.atom_start = None
@@ -451,7 +546,28 @@ class _Translator:
             self.err("missing closing )")
         self.end_run()
         required = "" if self.top_alternation or not self.runs else max(self.runs, key=len)
-        return JavaRegex(self.src, "".join(self.out), self.groups, required)
+        lower = "" if self.top_alternation or required or not self.ci_runs else max(self.ci_runs, key=len)
+        return JavaRegex(self.src, "".join(self.out), self.groups, required, lower)
+
+    def next_kind(self) -> str | None:
+        """What the next character of every match is, if the pattern fixes it."""
+        c = self.peek()
+        if c == "" or c in "()|[.^$*+?{":
+            return None
+        if self.flags["i"] and c.lower() in ("k", "s"):
+            return None  # may match the Kelvin sign / long s
+        if self.peek(1) in ("?", "*") or (self.peek(1) == "{" and self.src.startswith("{0", self.i + 1)):
+            return None
+        if c == "\\":
+            e = self.peek(1)
+            if e == "d" or (e == "w" and not self.flags["i"]):
+                return None if self.peek(2) in ("?", "*", "{") else "word"
+            if e in ("D", "W", "s", "S", "p", "P", "b", "B", "A", "z", "Q", "E", "x", "") or e.isdigit():
+                return None
+            if e.isalpha():
+                return "nonword" if e in "aftnrv" and self.peek(2) not in ("?", "*", "{") else None
+            return "nonword" if self.peek(2) not in ("?", "*", "{") else None
+        return "word" if _is_word(c) else "nonword"
 
     def escape(self):
         e = self.peek()
@@ -463,19 +579,23 @@ class _Translator:
         elif e == "z":
             self.i += 1
             self.assertion("\\z")
-        elif e == "b":
-            self.i += 1
-            self.assertion(_WORD_BOUNDARY)
-        elif e == "B":
+        elif e in "bB":
             self.i += 1
-            self.assertion(_NOT_WORD_BOUNDARY)
+            prev, nxt = self.prev_kind, self.next_kind()
+            text = _boundary(e == "b", prev, nxt)
+            # word boundaries are ASCII even under (?i): no case folding inside
+            self.assertion(f"(?-iu:{text})" if self.flags["i"] else text)
+            self.prev_kind = prev  # zero-width: the previous character is unchanged
         elif e in "dDwW":
             self.i += 1
             base = _DIGIT if e in "dD" else _WORD
-            self.atom(_class_of(base, e.isupper()))
+            kind = _kind_of(_complement(base) if e.isupper() else base)
+            if self.flags["i"] and e in "wW":
+                kind = None  # folded \w also matches the Kelvin sign and long s
+            self.atom(_class_of(base, e.isupper()), kind=kind)
         elif e in "sS":
             self.i += 1
-            self.atom(_class_of(_SPACE_PERL, e == "S"))
+            self.atom(_class_of(_SPACE_PERL, e == "S"), kind="nonword" if e == "s" else None)
         elif e in "pP":
             name, neg = self.read_property()
             self.atom(_java_property(name, neg, "atom"))

@@ -109,3 +109,26 @@ def test_prefilter_does_not_change_results(spark):
     got = [r[0] for r in df.select(F.coalesce(search(F.col("s"), rx), F.lit(False))).collect()]
     plain = [r[0] for r in df.select(F.coalesce(F.col("s").rlike(rx.pattern), F.lit(False))).collect()]
     assert got == plain == [True, False, False, False, False]
+
+
+DIFF_PATTERNS = [
+    r"\ble\b", r"\bé", r"é\b", r"\Bx\B", r"\b\d+\b", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", r"[0-9]\b",
+    r"\s\b", r"\W\b", r"x\b ", r"(?i)\bk\b", r"(?i)s\b", r"(?i)licen[cs]e", r"(?i)ERROR", r"(?i)status",
+    r"(?i)ß", r"(?i)σ", r"ab?c", r"a{0,2}bc", r"(?i)K", r"\bthe\b|\ban\b", r"x*\b", r"[[:punct:]]\b",
+    r"(?m)^\w+$", r"^\s*$", r"\d{2}:\d{2}", r"[^\x00-\x7F]+", r"(?i)ǅ",
+    r"(?i)\W", r"(?i)[^a-z]", r"(?i)\w\b", r"(?i)\bk", r"(?i)[[:alpha:]]", r"(?i)[^k]", r"\W", r"\D\b",
+]
+DIFF_TEXTS = [
+    "le chat", "leé", "éle", "café le", "xx", "a x b", "123 456", "10.0.0.1", "1.2.3.4.5", "x y", "xK",
+    "K", "ok k", "ſ", "bus ", "LICENSE", "Licence", "errOR", "STATUS", "ſtatus", "ß", "SS", "Σ", "ς",
+    "abc", "ac", "bc", "aabc", "the end", "an", "first\nsecond", "  ", "", "ǆ", "Ǆ", "日本 語", "x.",
+    "\u212a", "a\u212a b", "\u212a\u212a", "s\u017f", "\u017fk",
+]
+
+
+@pytest.mark.parametrize("pattern", DIFF_PATTERNS)
+def test_differential_against_re2(spark, pattern):
+    df = spark.createDataFrame([(t,) for t in DIFF_TEXTS], "s string")
+    got = [r[0] for r in df.select(F.coalesce(search(F.col("s"), pattern), F.lit(False))).collect()]
+    want = [duckdb.execute("SELECT regexp_matches(?, ?)", [t, pattern]).fetchone()[0] for t in DIFF_TEXTS]
+    assert got == want
