@@ -291,6 +291,12 @@ def _build() -> dict[str, str]:
     text_mask = _mask("subject", [rx("subject", p) for p in MAIN_FUNNEL])
     o["funnel_text_log"] = funnel_steps_sql(_progress(LOGCAT_ENTRIES, text_mask, "event_ts, event_id", 3), main)
 
+    o["text_log_scan"] = f"SELECT value FROM ({LOGCAT_LINES})"
+    o["text_log_parse_stats"] = f"""WITH t AS (SELECT {utrim('value')} AS line FROM ({LOGCAT_LINES}))
+SELECT count(*) AS total_lines,
+  count(*) FILTER (WHERE line <> '' AND {rx('line', LOGCAT_REGEX)}) AS parsed_entries,
+  count(*) FILTER (WHERE line <> '' AND NOT {rx('line', LOGCAT_REGEX)}) AS skipped_lines
+FROM t"""
     o["parse_logcat"] = f"""WITH x AS ({LOGCAT_ENTRIES})
 SELECT event_id, {_ts_text('ts')} AS ts, g4 AS level, g5 AS tag, {_int('g2')} AS pid, {_int('g3')} AS tid, message,
   payload IS NOT NULL AS has_payload, {_prop('event')} AS event, {_prop('user')} AS "user" FROM x"""

@@ -200,12 +200,24 @@ def q_funnel_documents(spark, d):
 def q_funnel_text_log(spark, d):
     """Funnel over a real text log: derived lines are written as text files in
     event order, read back with the text source and walked per file split."""
-    path = os.path.join(shared_dir(spark), f"logweave-lines-{uuid.uuid4().hex}")
-    write_lines(logcat_lines(table(spark, d, "events")), path)
-    entries = parse_entries(read_log_lines(spark, path), LOGCAT_SPEC)
+    entries = parse_entries(read_log_lines(spark, _written_log(spark, d)), LOGCAT_SPEC)
     return analyze_funnel(entries, funnel_of(MAIN_FUNNEL), order_by=LINE_ORDER, chunk_by=SPLIT_CHUNK).steps()
 
 
+def _written_log(spark, d) -> str:
+    path = os.path.join(shared_dir(spark), f"logweave-lines-{uuid.uuid4().hex}")
+    return write_lines(logcat_lines(table(spark, d, "events")), path)
+
+
+def q_text_log_scan(spark, d):
+    """Text source: every derived line comes back exactly once, CR-free."""
+    return read_log_lines(spark, _written_log(spark, d)).select("value")
+
+
+def q_text_log_parse_stats(spark, d):
+    return parse_stats(read_log_lines(spark, _written_log(spark, d)), LOGCAT_SPEC)
+
+
 def q_funnel_report(spark, d):
     return funnel_report(_event_funnel(spark, d, MAIN_FUNNEL))
 
@@ -315,6 +327,8 @@ QUERIES = {
     "funnel_documents": q_funnel_documents,
     "funnel_text_log": q_funnel_text_log,
     "funnel_report": q_funnel_report,
+    "text_log_scan": q_text_log_scan,
+    "text_log_parse_stats": q_text_log_parse_stats,
     "parse_logcat": q_parse_logcat,
     "parse_three_group": q_parse_three_group,
     "parse_bad_timestamp": q_parse_bad_timestamp,
