@@ -80,6 +80,16 @@ def _folds_simply(ch: str) -> bool:
     return ch.isascii() and ch.lower() != "s"
 
 
+def _flags_only(rest: str) -> bool:
+    """``rest`` starts with ``(?flags)``, which sets flags without opening a group."""
+    if not rest.startswith("(?"):
+        return False
+    j = 2
+    while j < len(rest) and rest[j] in "imsU-":
+        j += 1
+    return j < len(rest) and rest[j] == ")"
+
+
 def _kind_of(ranges) -> str | None:
     """"word" if every code point in ``ranges`` is an ASCII word character,
     "nonword" if none is, else None."""
@@ -170,6 +180,8 @@ class _Translator:
         # what the character before the current position is known to be:
         # "word", "nonword" or None (unknown), for the \b rewrite
         self.prev_kind: str | None = None
+        # \b / \B whose neighbours were unknown when met: resolved by the next atom
+        self.pending: list[dict] = []
 
     # -- helpers -----------------------------------------------------------
     def err(self, msg: str):
@@ -188,6 +200,9 @@ class _Translator:
             if self.flags["i"] and literal.lower() in ("k", "s"):
                 kind = None  # also matches the Kelvin sign / long s, which are not ASCII word characters
         self.prev_kind = kind
+        for p in self.pending:
+            if p["state"] == "await" and len(self.stack) == p["target"]:
+                p.update(state="resolved", kind=kind, atom=self.atom_start)
         if literal is not None and not self.stack and not self.flags["i"]:
             self.end_ci_run()
             self.cur_run += literal
@@ -390,6 +405,9 @@ class _Translator:
         optional = q in ("*", "?") or q.startswith("{0")
         if optional:
             self.prev_kind = None
+            for p in self.pending:
+                if p["state"] == "resolved" and (self.atom_start == p["atom"] or self.atom_start in p["entered"]):
+                    p["state"] = "unknown"
         if self.last_literal is not None and self.cur_run.endswith(self.last_literal):
             if optional:
                 self.cur_run = self.cur_run[: -len(self.last_literal)]
@@ -429,6 +447,10 @@ class _Translator:
         self.prev_kind = None
         rest = self.src[self.i :]
         saved = dict(self.flags)
+        for p in self.pending:
+            if p["state"] == "await" and len(self.stack) == p["target"] and not _flags_only(rest):
+                p["entered"].append(len(self.out))
+                p["target"] += 1
         if rest.startswith("(?P<") or (rest.startswith("(?<") and not rest.startswith(("(?<=", "(?<!"))):
             start = self.i + (4 if rest.startswith("(?P<") else 3)
             end = self.src.find(">", start)
@@ -489,6 +511,9 @@ class _Translator:
     def close_group(self):
         if not self.stack:
             self.err("unexpected )")
+        for p in self.pending:
+            if p["state"] == "await" and p["target"] >= len(self.stack):
+                p["state"] = "unknown"
         saved, start = self.stack.pop()
         self.flags = saved
         self.out.append(")")
@@ -511,6 +536,12 @@ class _Translator:
                     self.top_alternation = True
                 self.end_run()
                 self.prev_kind = None
+                depth = len(self.stack)
+                for p in self.pending:
+                    if (p["state"] == "await" and depth <= p["target"]) or (
+                        p["state"] == "resolved" and p["depth"] < depth <= p["target"]
+                    ):
+                        p["state"] = "unknown"
                 self.out.append("|")
                 self.i += 1
                 self.atom_start = None
@@ -544,6 +575,10 @@ class _Translator:
                 self.i += 1
         if self.stack:
             self.err("missing closing )")
+        for p in self.pending:
+            if p["state"] == "resolved" and p["kind"] is not None:
+                text = _boundary(p["word"], None, p["kind"])
+                self.out[p["idx"]] = "(?:" + (f"(?-iu:{text})" if p["ci"] else text) + ")"
         self.end_run()
         required = "" if self.top_alternation or not self.runs else max(self.runs, key=len)
         lower = "" if self.top_alternation or required or not self.ci_runs else max(self.ci_runs, key=len)
@@ -585,6 +620,11 @@ class _Translator:
             text = _boundary(e == "b", prev, nxt)
             # word boundaries are ASCII even under (?i): no case folding inside
             self.assertion(f"(?-iu:{text})" if self.flags["i"] else text)
+            if prev is None and nxt is None:
+                # decided once the next atom (possibly inside a group) is known
+                self.pending.append(dict(idx=self.atom_start, word=e == "b", ci=self.flags["i"], state="await",
+                                         depth=len(self.stack), target=len(self.stack), entered=[], kind=None,
+                                         atom=None))
             self.prev_kind = prev  # zero-width: the previous character is unchanged
         elif e in "dDwW":
             self.i += 1

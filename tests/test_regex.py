@@ -117,12 +117,15 @@ DIFF_PATTERNS = [
     r"(?i)ß", r"(?i)σ", r"ab?c", r"a{0,2}bc", r"(?i)K", r"\bthe\b|\ban\b", r"x*\b", r"[[:punct:]]\b",
     r"(?m)^\w+$", r"^\s*$", r"\d{2}:\d{2}", r"[^\x00-\x7F]+", r"(?i)ǅ",
     r"(?i)\W", r"(?i)[^a-z]", r"(?i)\w\b", r"(?i)\bk", r"(?i)[[:alpha:]]", r"(?i)[^k]", r"\W", r"\D\b",
+    r"\b(ab|c)", r"\b(?:x)?y", r"\b((a)b)", r"(?:a|\b)x", r"\b(?i)x", r"\b(?:\.\d)", r"\B(?:[0-9]+)",
+    r"x(?:\b)y", r"\b(?:t)he\b",
 ]
 DIFF_TEXTS = [
     "le chat", "leé", "éle", "café le", "xx", "a x b", "123 456", "10.0.0.1", "1.2.3.4.5", "x y", "xK",
     "K", "ok k", "ſ", "bus ", "LICENSE", "Licence", "errOR", "STATUS", "ſtatus", "ß", "SS", "Σ", "ς",
     "abc", "ac", "bc", "aabc", "the end", "an", "first\nsecond", "  ", "", "ǆ", "Ǆ", "日本 語", "x.",
-    "\u212a", "a\u212a b", "\u212a\u212a", "s\u017f", "\u017fk",
+    "\u212a", "a\u212a b", "\u212a\u212a", "s\u017f", "\u017fk", "ab", "c", "xy", "y", ".5", "a.5", "a5",
+    "the", "other", "x y",
 ]
 
 
