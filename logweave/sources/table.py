@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import json_object, null_payload
+from ..functions.payload import json_object_from_parts, json_parse_parts, null_payload
 from ..functions.text import strip_one_cr
 
 __all__ = ["entries_from_table", "lines_from_text_column", "ENTRY_COLUMNS"]
@@ -40,13 +40,7 @@ def entries_from_table(
     clash = [c for c in keep if c in ENTRY_COLUMNS]
     if clash:
         raise ValueError(f"keep columns {clash} clash with entry columns; pass ts= to use a table column as ts")
-    if payload is not None:
-        ev = _col(payload)
-    elif payload_json is not None:
-        ev = json_object(_col(payload_json))[1]
-    else:
-        ev = null_payload()
-    return df.select(
+    fields = [
         *[F.col(c) for c in keep],
         (_col(ts).cast("timestamp_ntz") if ts is not None else F.lit(None).cast("timestamp_ntz")).alias("ts"),
         F.lit("").alias("level"),
@@ -54,8 +48,21 @@ def entries_from_table(
         F.lit(0).cast("bigint").alias("pid"),
         F.lit(0).cast("bigint").alias("tid"),
         F.coalesce(_col(message).cast("string"), F.lit("")).alias("message"),
-        ev.alias("event_data"),
-    )
+    ]
+    if payload_json is None:
+        ev = _col(payload) if payload is not None else null_payload()
+        return df.select(*fields, ev.alias("event_data"))
+    # decode each JSON text once, behind a generator that filters cannot see through
+    from ..operators.parse import barrier
+
+    names = [c for c in keep] + ["ts", "level", "tag", "pid", "tid", "message"]
+    text = df.select(*fields, _col(payload_json).cast("string").alias("_json"))
+    elements, closed = json_parse_parts(F.col("_json"))
+    parsed = barrier(text, [*[F.col(c) for c in names], F.col("_json")], _el=elements, _closed=closed)
+    _, ev = json_object_from_parts(F.col("_json"), F.col("_el"), F.col("_closed"))
+    out = barrier(parsed, [F.col(c) for c in names], event_data=ev)
+    out._logweave_rows = df.select()  # one entry per input row
+    return out
 
 
 def lines_from_text_column(df: DataFrame, text, keep: Sequence[str] = ()) -> DataFrame:
