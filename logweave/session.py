@@ -38,8 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     the checkpoint directory and returned."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = path.get() if path.isDefined() else None
+        path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="logweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
