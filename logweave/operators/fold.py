@@ -189,19 +189,43 @@ def _partitions(df: DataFrame) -> int:
         return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def estimate_runs(matching: DataFrame, chunk_by) -> int:
-    """An estimate of how many runs ``run_summaries`` produces (plan-time only)."""
-    if chunk_by:
-        return _partitions(matching)  # at least one split per scan partition
-    return int(matching.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _bytes(text: str) -> int:
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    t = text.strip().lower().removesuffix("b") or "0"
+    return int(float(t[:-1]) * units[t[-1]]) if t[-1] in units else int(t)
+
+
+def max_runs(matching: DataFrame, chunk_by) -> int:
+    """An upper bound on how many runs ``run_summaries`` produces (plan-time only).
+
+    Range partitions: at most ``spark.sql.shuffle.partitions``.  File splits:
+    a scan partition packs at most maxPartitionBytes / openCostInBytes files,
+    each contributing one split to it."""
+    conf = matching.sparkSession.conf
+    if not chunk_by:
+        return int(conf.get("spark.sql.shuffle.partitions"))
+    per_partition = _bytes(conf.get("spark.sql.files.maxPartitionBytes")) // max(
+        1, _bytes(conf.get("spark.sql.files.openCostInBytes"))
+    )
+    return _partitions(matching) * (per_partition + 1)
 
 
-def pre_fold(summaries: DataFrame, run_cols: list[str], k: int, runs: int) -> tuple[DataFrame, list[str], int]:
+def pre_fold(summaries: DataFrame, run_cols: list[str], k: int, bound: int) -> tuple[DataFrame, list[str]]:
     """Compose run summaries into contiguous groups until at most ``FAN_IN`` remain.
 
-    The summaries are few compared with the data (one row of k numbers per
-    chunk), so a range shuffle of them is cheap; each range partition is one
-    contiguous group of runs, composed by the same streaming summarizer."""
+    Only when ``bound`` allows more than ``FAN_IN`` runs: the summaries (one
+    row of k numbers per chunk) are then checkpointed to the shared checkpoint
+    folder and counted, so that ranging them samples that small table rather
+    than re-running the scan; each range partition is one contiguous group of
+    runs, composed by the same streaming summarizer."""
+    if bound <= FAN_IN:
+        return summaries, run_cols
+    spark = summaries.sparkSession
+    from ..session import shared_dir
+
+    shared_dir(spark)  # make sure the session has a checkpoint folder
+    summaries = summaries.checkpoint(eager=True)
+    runs = summaries.count()
     while runs > FAN_IN:
         groups = -(-runs // GROUP)
         cols = [F.col(c).asc_nulls_first() for c in run_cols]
@@ -214,7 +238,7 @@ def pre_fold(summaries: DataFrame, run_cols: list[str], k: int, runs: int) -> tu
             _summarizer(k, ["_grp"], ["adv"], packed=False), _summary_schema(arranged, ["_grp"])
         )
         run_cols, runs = ["_grp"], groups
-    return summaries, run_cols, runs
+    return summaries, run_cols
 
 
 def fold_runs(summaries: DataFrame, run_cols: list[str], k: int) -> DataFrame:

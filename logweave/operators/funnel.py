@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.match import match_subject, matches_step
 from ..specs import FunnelSpec
 from .parse import row_count_source
-from .fold import estimate_runs, fold_runs, mask_words, pre_fold, run_summaries
+from .fold import max_runs, fold_runs, mask_words, pre_fold, run_summaries
 
 __all__ = [
     "funnel_progress",
@@ -81,7 +81,7 @@ def funnel_progress(
         F.inline(F.when(any_match, F.array(F.struct(*[F.col(w) for w in words])))),
     )
     summaries, run_cols = run_summaries(matching, spec.k, words, order_by, chunk_by)
-    summaries, run_cols, _ = pre_fold(summaries, run_cols, spec.k, estimate_runs(matching, chunk_by))
+    summaries, run_cols = pre_fold(summaries, run_cols, spec.k, max_runs(matching, chunk_by))
     matches = fold_runs(summaries, run_cols, spec.k)
     total = row_count_source(entries).agg(F.count(F.lit(1)).alias("total_events_analyzed"))
     both = total.select("total_events_analyzed", F.lit(None).cast("bigint").alias("matches")).unionByName(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_one_cr
 from ..operators.count import count_patterns
-from ..operators.fold import compose_runs, fold_runs, pre_fold, run_summaries, estimate_runs
+from ..operators.fold import compose_runs, fold_runs, pre_fold, run_summaries, max_runs
 from ..operators.funnel import FunnelResult, step_mask_columns
 from ..operators.parse import parse_entries, row_count_source
 from ..sources.text import LINE_ORDER, SPLIT_CHUNK
@@ -88,7 +88,7 @@ class FunnelStream:
             *[F.col(c) for c in LINE_ORDER], F.inline(F.when(any_match, F.array(F.struct(*[F.col(w) for w in words]))))
         )
         summaries, run_cols = run_summaries(matching, k, words, LINE_ORDER, SPLIT_CHUNK)
-        summaries, run_cols, _ = pre_fold(summaries, run_cols, k, estimate_runs(matching, SPLIT_CHUNK))
+        summaries, run_cols = pre_fold(summaries, run_cols, k, max_runs(matching, SPLIT_CHUNK))
         composed = compose_runs(summaries, run_cols, k)
         total = row_count_source(entries).agg(F.count(F.lit(1)).alias("total"))
         both = composed.select("adv", "rows", F.lit(None).cast("bigint").alias("total")).unionByName(
