@@ -29,7 +29,9 @@ array, which is why this one step runs in Python.
 
 from __future__ import annotations
 
+import os
 import sys
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -146,6 +148,23 @@ def _single_partition(df: DataFrame) -> bool:
         return False
 
 
+MATERIALIZE_ABOVE = 64  # scan partitions above which the matching rows are written once
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage with one job: later passes (a range partitioner's
+    sampling pass, then its shuffle) read the written rows instead of
+    recomputing the scan, parse and regex work that produced them."""
+    from ..session import shared_dir
+
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), f"logweave-{label}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def run_summaries(
     matching: DataFrame,
     k: int,
@@ -166,6 +185,9 @@ def run_summaries(
         )
     else:
         run_cols = ["_run"]
+        if _partitions(matching) > MATERIALIZE_ABOVE:
+            # large input: sample and shuffle the narrow written rows, not the scan
+            matching = materialize(matching, "matching")
         arranged = (
             matching.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order_by])
             .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order_by])
@@ -214,17 +236,13 @@ def pre_fold(summaries: DataFrame, run_cols: list[str], k: int, bound: int) -> t
     """Compose run summaries into contiguous groups until at most ``FAN_IN`` remain.
 
     Only when ``bound`` allows more than ``FAN_IN`` runs: the summaries (one
-    row of k numbers per chunk) are then checkpointed to the shared checkpoint
+    row of k numbers per chunk) are then written to the shared checkpoint
     folder and counted, so that ranging them samples that small table rather
     than re-running the scan; each range partition is one contiguous group of
     runs, composed by the same streaming summarizer."""
     if bound <= FAN_IN:
         return summaries, run_cols
-    spark = summaries.sparkSession
-    from ..session import shared_dir
-
-    shared_dir(spark)  # make sure the session has a checkpoint folder
-    summaries = summaries.checkpoint(eager=True)
+    summaries = materialize(summaries, "runs")
     runs = summaries.count()
     while runs > FAN_IN:
         groups = -(-runs // GROUP)

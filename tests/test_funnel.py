@@ -211,3 +211,20 @@ def test_shuffled_text_chunks_fail_loudly_with_pre_fold(spark, tmp_path, monkeyp
     r = analyze_funnel(entries, funnel("a", "b"), order_by=LINE_ORDER, chunk_by=SPLIT_CHUNK)
     with pytest.raises(Exception, match="split across tasks"):
         r.progress.collect()
+
+
+def test_materialized_matching_rows_give_the_same_result(spark, monkeypatch):
+    from logweave.operators import fold
+    from logweave.sources.table import entries_from_table
+
+    rng = random.Random(13)
+    msgs = [rng.choice(["a", "b", "c", "ab", "x"]) for _ in range(3000)]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(msgs)], "seq bigint, message string").repartition(6)
+    entries = entries_from_table(df, message="message", keep=["seq"])
+    spec = funnel("a", "b", "c")
+    monkeypatch.setattr(fold, "MATERIALIZE_ABOVE", 0)
+    r = analyze_funnel(entries, spec, order_by=["seq"])
+    inputs = r.progress.inputFiles()
+    sets = [{i for i, p in enumerate("abc") if p in m} for m in msgs]
+    assert [s[2] for s in steps_of(r)] == walk(sets, 3, 0)[0]
+    assert any("logweave-matching-" in f for f in inputs)
