@@ -10,6 +10,10 @@ from ..functions.text import WHITE_SPACE
 from .derived import LOGCAT_REGEX, PAYLOAD_REGEX
 from .workloads import (
     CLOCK_REGEX,
+    CONVERSATION_FUNNEL,
+    CONVERSATION_PATTERNS,
+    PAGE_PATTERNS,
+    PAGE_TITLE_REGEX,
     DOC_LINE_REGEX,
     DOCUMENT_FUNNEL,
     DOCUMENT_PATTERNS,
@@ -102,20 +106,32 @@ def _prop(key: str) -> str:
     return f"CASE WHEN json_type(payload, {path}) = 'VARCHAR' THEN json_extract_string(payload, {path}) END"
 
 
-DOCUMENT_LINES = f"""
-SELECT doc_id, line_no, value FROM (
-  SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS line_no, unnest(parts) AS value, len(parts) AS n
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
+def lines_sql(table: str, keys: str, text: str) -> str:
+    """Lines of a text column: split on \\n, no piece after a final newline, one \\r dropped."""
+    return f"""
+SELECT {keys}, line_no, regexp_replace(value, '\\r$', '') AS value FROM (
+  SELECT {keys}, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS line_no, unnest(parts) AS value, len(parts) AS n
+  FROM (SELECT {keys}, string_split({text}, chr(10)) AS parts FROM {table} WHERE {text} IS NOT NULL)
 ) WHERE NOT (line_no = n - 1 AND value = '')
 """
-DOCUMENT_LINES_CR = f"SELECT doc_id, line_no, regexp_replace(value, '\\r$', '') AS value FROM ({DOCUMENT_LINES})"
-DOCUMENT_ENTRIES = f"""
-SELECT doc_id, line_no, line AS message FROM (
-  SELECT doc_id, line_no, {utrim('value')} AS line FROM ({DOCUMENT_LINES_CR})
+
+
+def entries_sql(lines: str, keys: str) -> str:
+    """Default parser: the Unicode-trimmed line is the message; blank lines dropped."""
+    return f"""
+SELECT {keys}, line_no, line AS message FROM (
+  SELECT {keys}, line_no, {utrim('value')} AS line FROM ({lines})
 ) WHERE line <> ''
 """
 
 
+DOCUMENT_LINES_CR = lines_sql("documents", "doc_id", "text")
+DOCUMENT_ENTRIES = entries_sql(DOCUMENT_LINES_CR, "doc_id")
+CONVERSATION_ENTRIES = entries_sql(lines_sql("conversations", "conv_id, turn", "text"), "conv_id, turn")
+PAGE_LINES = lines_sql("pages", "page_id", "html")
+PAGE_ENTRIES = entries_sql(PAGE_LINES, "page_id")
+
+
 # -- counts ------------------------------------------------------------------------------
 def count_sql(source: str, subject: str, patterns, rates=False) -> str:
     aggs = ", ".join(
@@ -291,6 +307,16 @@ def _build() -> dict[str, str]:
     text_mask = _mask("subject", [rx("subject", p) for p in MAIN_FUNNEL])
     o["funnel_text_log"] = funnel_steps_sql(_progress(LOGCAT_ENTRIES, text_mask, "event_ts, event_id", 3), main)
 
+    conv_mask = _mask("message", [rx("message", p) for p in CONVERSATION_FUNNEL])
+    o["funnel_conversations"] = funnel_steps_sql(
+        _progress("SELECT conv_id, turn, coalesce(role, '') AS message FROM conversations", conv_mask,
+                  "conv_id, turn", len(CONVERSATION_FUNNEL)),
+        _names(CONVERSATION_FUNNEL),
+    )
+    o["count_conversation_lines"] = count_sql(CONVERSATION_ENTRIES, "message", CONVERSATION_PATTERNS, rates=True)
+    o["count_page_html"] = count_sql(PAGE_ENTRIES, "message", PAGE_PATTERNS)
+    o["parse_page_titles"] = f"""WITH g AS ({_groups(PAGE_LINES, PAGE_TITLE_REGEX, 1)})
+SELECT page_id, line_no, g1 AS message FROM g"""
     o["text_log_scan"] = f"SELECT value FROM ({LOGCAT_LINES})"
     o["text_log_parse_stats"] = f"""WITH t AS (SELECT {utrim('value')} AS line FROM ({LOGCAT_LINES}))
 SELECT count(*) AS total_lines,

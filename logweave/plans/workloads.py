@@ -49,6 +49,10 @@ OVERLAP_FUNNEL = ["i", "c", "e"]
 TWENTY_FUNNEL = ["view", "click", "purchase", "signup", "error"] * 4
 DOCUMENT_FUNNEL = [r"(?i)licen[cs]e", r"@", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"]
 PROPS_FUNNEL = [("view", {"user": "^u1"}), ("click", {}), ("purchase", {"user": "[02468]$"})]
+CONVERSATION_FUNNEL = ["^user$", "^assistant$", "^user$", "^assistant$"]
+CONVERSATION_PATTERNS = [r"\?$", r"(?i)\bdie\b", r"[ÀÉÈ]", r"^\p{Lu}", r"\.$", r"[^\x00-\x7F]{3}"]
+PAGE_PATTERNS = [r"<a href=", r"<script", r"(?i)</?p>", r"&amp;", r"https?://[^\"]+", r"\btrack\(\d+\)"]
+PAGE_TITLE_REGEX = r"<title>([^<]*)</title>"
 LIMITS = {"funnel_limit_1": 1, "funnel_limit_200": 200, "funnel_limit_large": 10**9, "funnel_limit_negative": -1}
 
 LOGCAT_SPEC = ParserSpec(
@@ -101,6 +105,16 @@ def document_entries(spark, sf_dir) -> DataFrame:
     return parse_entries(document_lines(spark, sf_dir))
 
 
+def conversation_lines(spark, sf_dir) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return lines_from_text_column(spread(convs), "text", keep=["conv_id", "turn"])
+
+
+def page_lines(spark, sf_dir) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return lines_from_text_column(spread(pages), "html", keep=["page_id"])
+
+
 def _ts_text(c="ts"):
     return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss.SSS")
 
@@ -140,6 +154,19 @@ def q_count_documents(spark, d):
     return count_patterns(document_entries(spark, d), DOCUMENT_PATTERNS, with_rates=True)
 
 
+def q_count_conversation_lines(spark, d):
+    return count_patterns(parse_entries(conversation_lines(spark, d)), CONVERSATION_PATTERNS, with_rates=True)
+
+
+def q_count_page_html(spark, d):
+    return count_patterns(parse_entries(page_lines(spark, d)), PAGE_PATTERNS)
+
+
+def q_parse_page_titles(spark, d):
+    e = parse_entries(page_lines(spark, d), ParserSpec(log_line_regex=PAGE_TITLE_REGEX))
+    return e.select("page_id", "line_no", "message")
+
+
 def q_count_report(spark, d):
     entries = event_entries(spark, d)
     return count_report(count_patterns(entries, EVENT_PATTERNS), count_summary(entries, EVENT_PATTERNS))
@@ -197,6 +224,13 @@ def q_funnel_documents(spark, d):
     return analyze_funnel(document_entries(spark, d), funnel_of(DOCUMENT_FUNNEL), order_by=DOC_ORDER).steps()
 
 
+def q_funnel_conversations(spark, d):
+    """Role sequence user -> assistant -> user -> assistant over all turns in (conv_id, turn) order."""
+    convs = table(spark, d, "conversations")
+    entries = entries_from_table(convs, message="role", keep=["conv_id", "turn"])
+    return analyze_funnel(entries, funnel_of(CONVERSATION_FUNNEL), order_by=["conv_id", "turn"]).steps()
+
+
 def q_funnel_text_log(spark, d):
     """Funnel over a real text log: derived lines are written as text files in
     event order, read back with the text source and walked per file split."""
@@ -326,6 +360,10 @@ QUERIES = {
     "funnel_required_props": q_funnel_required_props,
     "funnel_documents": q_funnel_documents,
     "funnel_text_log": q_funnel_text_log,
+    "funnel_conversations": q_funnel_conversations,
+    "count_conversation_lines": q_count_conversation_lines,
+    "count_page_html": q_count_page_html,
+    "parse_page_titles": q_parse_page_titles,
     "funnel_report": q_funnel_report,
     "text_log_scan": q_text_log_scan,
     "text_log_parse_stats": q_text_log_parse_stats,
