@@ -55,6 +55,8 @@ def entries_from_table(
     # decode each JSON text once, behind a generator that filters cannot see through
     from ..operators.parse import barrier
 
+    # a repeated key keeps its last value, as a streaming JSON decoder does
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     names = [c for c in keep] + ["ts", "level", "tag", "pid", "tid", "message"]
     text = df.select(*fields, _col(payload_json).cast("string").alias("_json"))
     elements, closed = json_parse_parts(F.col("_json"))
