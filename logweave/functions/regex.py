@@ -182,6 +182,8 @@ class _Translator:
         self.prev_kind: str | None = None
         # \b / \B whose neighbours were unknown when met: resolved by the next atom
         self.pending: list[dict] = []
+        self.assertion_at: int | None = None  # output index of the last bare zero-width item
+        self.wrapped: set[int] = set()  # output indexes of zero-width items grouped for a quantifier
 
     # -- helpers -----------------------------------------------------------
     def err(self, msg: str):
@@ -230,8 +232,8 @@ class _Translator:
         self.last_literal = None
 
     def assertion(self, text: str):
-        # zero-width items can be repeated in RE2; wrap so Java accepts it too
-        self.atom("(?:" + text + ")")
+        self.atom(text)
+        self.assertion_at = self.atom_start
 
     # -- escapes -------------------------------------------------------------
     def read_escape_char(self) -> int | None:
@@ -400,6 +402,10 @@ class _Translator:
             self.i += 1
         if self.flags["U"]:
             lazy = not lazy
+        if self.assertion_at is not None and self.assertion_at == self.atom_start:
+            # RE2 lets zero-width items repeat; Java needs them grouped first
+            self.out[self.atom_start] = "(?:" + self.out[self.atom_start] + ")"
+            self.wrapped.add(self.atom_start)
         self.out.append(q + ("?" if lazy else ""))
         self.last_quantified = True
         optional = q in ("*", "?") or q.startswith("{0")
@@ -559,7 +565,7 @@ class _Translator:
                 else:
                     self.quantifier(rep)
             elif c == ".":
-                self.atom("(?s:.)" if self.flags["s"] else "[^\\n]")
+                self.atom("(?s:.)" if self.flags["s"] else ".")  # (?d): . excludes only \n
                 self.i += 1
             elif c == "^":
                 self.assertion("(?<![^\\n])" if self.flags["m"] else "\\A")
@@ -578,11 +584,14 @@ class _Translator:
         for p in self.pending:
             if p["state"] == "resolved" and p["kind"] is not None:
                 text = _boundary(p["word"], None, p["kind"])
-                self.out[p["idx"]] = "(?:" + (f"(?-iu:{text})" if p["ci"] else text) + ")"
+                text = f"(?-iu:{text})" if p["ci"] else text
+                self.out[p["idx"]] = "(?:" + text + ")" if p["idx"] in self.wrapped else text
         self.end_run()
         required = "" if self.top_alternation or not self.runs else max(self.runs, key=len)
         lower = "" if self.top_alternation or required or not self.ci_runs else max(self.ci_runs, key=len)
-        return JavaRegex(self.src, "".join(self.out), self.groups, required, lower)
+        # (?d): Java's . then excludes only \n, like RE2's (the pattern emits no Java ^ $ in
+        # multi-line mode, the only other thing the flag changes)
+        return JavaRegex(self.src, "(?d)" + "".join(self.out), self.groups, required, lower)
 
     def next_kind(self) -> str | None:
         """What the next character of every match is, if the pattern fixes it."""
@@ -632,7 +641,10 @@ class _Translator:
             kind = _kind_of(_complement(base) if e.isupper() else base)
             if self.flags["i"] and e in "wW":
                 kind = None  # folded \w also matches the Kelvin sign and long s
-            self.atom(_class_of(base, e.isupper()), kind=kind)
+                text = _class_of(base, e.isupper())
+            else:
+                text = "\\" + e  # Java's own \d \w are ASCII too, and faster than a range class
+            self.atom(text, kind=kind)
         elif e in "sS":
             self.i += 1
             self.atom(_class_of(_SPACE_PERL, e == "S"), kind="nonword" if e == "s" else None)
