@@ -39,8 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        path = _LOCAL_DIRS.get(spark.sparkContext.applicationId)
     if not path:
         path = tempfile.mkdtemp(prefix="logweave-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
+        _LOCAL_DIRS[spark.sparkContext.applicationId] = path
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # noqa: BLE001 - some runtimes refuse to set core keys; the map above remembers it
+            pass
     return path
+
+
+_LOCAL_DIRS: dict[str, str] = {}
