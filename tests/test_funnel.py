@@ -228,3 +228,19 @@ def test_materialized_matching_rows_give_the_same_result(spark, monkeypatch):
     sets = [{i for i, p in enumerate("abc") if p in m} for m in msgs]
     assert [s[2] for s in steps_of(r)] == walk(sets, 3, 0)[0]
     assert any("logweave-matching-" in f for f in inputs)
+
+
+def test_more_than_63_steps_use_two_mask_words(spark):
+    from logweave.sources.table import entries_from_table
+
+    rng = random.Random(21)
+    k = 70
+    msgs = [f"e{rng.randrange(k)}x" for _ in range(6000)]  # "x" ends the number, so e1 does not match e10
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(msgs)], "seq bigint, message string").repartition(3)
+    entries = entries_from_table(df, message="message", keep=["seq"])
+    spec = FunnelSpec("long", tuple(Step(f"s{i}", f"^e{i}x$") for i in range(k)))
+    r = analyze_funnel(entries, spec, order_by=["seq"])
+    sets = [{int(m[1:-1])} for m in msgs]
+    counts, conv = walk(sets, k, 0)
+    assert [s[2] for s in steps_of(r)] == counts
+    assert summary_of(r)[3] == conv
