@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clock import wall_clock_text
+
 __all__ = ["LOGCAT_REGEX", "LOGCAT_TS_FORMAT", "PAYLOAD_REGEX", "logcat_lines", "clock_lines", "write_lines"]
 
 # The logcat line layout (RE2), its timestamp format and payload locator.
@@ -41,7 +43,7 @@ def logcat_lines(events: DataFrame) -> DataFrame:
     )
     level = F.when(F.col("event_type") == "error", F.lit("E")).otherwise(F.lit("I"))
     line = F.concat(
-        F.date_format("ts", "MM-dd HH:mm:ss.SSS"), F.lit("  "), _s("user_id"), F.lit("  "), _s("event_id"),
+        wall_clock_text("ts", "MM-dd HH:mm:ss.SSS"), F.lit("  "), _s("user_id"), F.lit("  "), _s("event_id"),
         F.lit(" "), level, F.lit(" Analytics: "), payload,
     )
     return events.select("ts", "event_id", line.alias("value"))
@@ -51,7 +53,7 @@ def clock_lines(events: DataFrame, *, broken_every: int = 0) -> DataFrame:
     """``DataFrame[ts, event_id, value]``: ``HH:mm:ss LEVEL text`` lines (three fields).
 
     With ``broken_every = n``, every n-th event id carries an unparsable clock text."""
-    clock = F.date_format("ts", "HH:mm:ss")
+    clock = wall_clock_text("ts", "HH:mm:ss")
     if broken_every:
         clock = F.when(F.col("event_id") % broken_every == 0, F.lit("99:99:99")).otherwise(clock)
     line = F.concat(clock, F.lit(" "), F.upper(_s("event_type")), F.lit(" "), _s("event_type"),

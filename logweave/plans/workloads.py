@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.clock import wall_clock_text
 from ..functions.match import has_properties, match_subject, matches_step
 from ..functions.payload import string_prop
 from ..operators.count import count_patterns, count_summary
@@ -116,7 +117,7 @@ def page_lines(spark, sf_dir) -> DataFrame:
 
 
 def _ts_text(c="ts"):
-    return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss.SSS")
+    return wall_clock_text(c, "yyyy-MM-dd HH:mm:ss.SSS")
 
 
 # -- counts -----------------------------------------------------------------------------

@@ -134,3 +134,15 @@ def test_text_source_order_crlf_and_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got[:4] == ["first", "second\rstill second", "", "third"]
     assert got[4:] == [f"line {i}" for i in range(2000)]
+
+
+def test_wall_clock_text_ignores_the_session_zone(spark):
+    from logweave.functions.clock import wall_clock_text
+
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:07.123456' AS ts, CAST(NULL AS timestamp_ntz) AS n")
+        row = df.select(wall_clock_text("ts", "yyyy-MM-dd HH:mm:ss.SSS"), wall_clock_text("n", "HH:mm")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert tuple(row) == ("2024-03-10 02:30:07.123", None)
