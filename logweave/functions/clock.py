@@ -2,8 +2,8 @@
 
 ``date_format`` on a TIMESTAMP_NTZ value goes through the session zone (an
 implicit cast to TIMESTAMP), which moves wall-clock times that fall into a
-daylight-saving gap.  Field extraction on TIMESTAMP_NTZ does not, so the text
-is assembled from the fields.
+daylight-saving gap.  The plain string cast of a TIMESTAMP_NTZ value does not
+(``yyyy-MM-dd HH:mm:ss[.ffffff]``), so the text is cut from it.
 """
 
 from __future__ import annotations
@@ -15,28 +15,27 @@ from pyspark.sql import functions as F
 
 __all__ = ["wall_clock_text"]
 
-_FIELDS = {
-    "yyyy": ("%04d", lambda c: F.year(c)),
-    "MM": ("%02d", lambda c: F.month(c)),
-    "dd": ("%02d", lambda c: F.dayofmonth(c)),
-    "HH": ("%02d", lambda c: F.hour(c)),
-    "mm": ("%02d", lambda c: F.minute(c)),
-    "ss": ("%02d", lambda c: F.second(c)),
-    "SSS": ("%03d", lambda c: (F.floor(F.date_part(F.lit("SECOND"), c) * 1000) % 1000).cast("int")),
-}
+# field -> (start, length) in the cast text "yyyy-MM-dd HH:mm:ss.ffffff" (years 1..9999)
+_FIELDS = {"yyyy": (1, 4), "MM": (6, 2), "dd": (9, 2), "HH": (12, 2), "mm": (15, 2), "ss": (18, 2)}
 _TOKEN = re.compile("yyyy|MM|dd|HH|mm|ss|SSS")
 
 
 def wall_clock_text(col: Column | str, pattern: str) -> Column:
-    """Format a TIMESTAMP_NTZ column with the letters yyyy MM dd HH mm ss SSS; other
-    characters are literal."""
+    """Format a TIMESTAMP_NTZ column with the letters yyyy MM dd HH mm ss SSS (the
+    fraction is truncated, as ``SSS`` does); other characters are literal."""
     c = F.col(col) if isinstance(col, str) else col
-    fmt, args, pos = [], [], 0
+    text = c.cast("timestamp_ntz").cast("string")
+    parts, pos = [], 0
     for m in _TOKEN.finditer(pattern):
-        fmt.append(pattern[pos : m.start()].replace("%", "%%"))
-        spec, field = _FIELDS[m.group()]
-        fmt.append(spec)
-        args.append(field(c))
+        if m.start() > pos:
+            parts.append(F.lit(pattern[pos : m.start()]))
+        if m.group() == "SSS":
+            # the cast drops a zero fraction and trailing zeros: pad back to 3 digits
+            parts.append(F.rpad(F.substring(text, 21, 3), 3, "0"))
+        else:
+            start, length = _FIELDS[m.group()]
+            parts.append(F.substring(text, start, length))
         pos = m.end()
-    fmt.append(pattern[pos:].replace("%", "%%"))
-    return F.when(c.isNotNull(), F.format_string("".join(fmt), *args))
+    if pos < len(pattern):
+        parts.append(F.lit(pattern[pos:]))
+    return F.concat(*parts)
