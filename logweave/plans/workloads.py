@@ -18,7 +18,7 @@ from ..functions.match import has_properties, match_subject, matches_step
 from ..functions.payload import string_prop
 from ..operators.count import count_patterns, count_summary
 from ..operators.funnel import analyze_funnel
-from ..operators.parse import parse_entries, parse_stats
+from ..operators.parse import barrier, parse_entries, parse_stats
 from ..session import shared_dir
 from ..sources.balance import spread
 from ..sources.table import entries_from_table, lines_from_text_column
@@ -90,7 +90,9 @@ def event_log_lines(spark, sf_dir) -> DataFrame:
     """Logcat lines derived from ``events``; parsing them is CPU-heavy, so a
     coarse scan is spread over all cores first."""
     events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id", "event_type", "props")
-    return logcat_lines(spread(events)).withColumnRenamed("ts", "event_ts")
+    lines = logcat_lines(spread(events))
+    # the line text is built once; the parser's filters then test the built text
+    return barrier(lines, [F.col("ts").alias("event_ts"), F.col("event_id")], value=F.col("value"))
 
 
 def logcat_entries(spark, sf_dir) -> DataFrame:
