@@ -118,7 +118,9 @@ class FunnelStream:
         batches = spark.read.parquet(self.state_path).filter(F.col("adv").isNotNull() | (F.col("total") > 0))
         total = batches.agg(F.coalesce(F.sum("total"), F.lit(0).cast("bigint")).alias("total_events_analyzed"))
         walked = batches.filter(F.col("adv").isNotNull()).select("batch_id", "adv", "rows")
-        matches = fold_runs(walked, ["batch_id"], k)
+        # one row per micro-batch: a long-running stream is pre-folded like any other run list
+        walked, run_cols = pre_fold(walked, ["batch_id"], k, walked.count())
+        matches = fold_runs(walked, run_cols, k)
         both = total.select("total_events_analyzed", F.lit(None).cast("bigint").alias("matches")).unionByName(
             matches.select(F.lit(None).cast("bigint").alias("total_events_analyzed"), "matches")
         )

@@ -46,3 +46,18 @@ def test_count_stream(spark, tmp_path):
     from logweave.operators.count import count_patterns
 
     assert got == [tuple(r) for r in count_patterns(static, ["view", "click"]).orderBy("pattern_index").collect()]
+
+
+def test_funnel_stream_pre_folds_many_batches(spark, tmp_path, monkeypatch):
+    from logweave.operators import fold
+
+    src = tmp_path / "in"
+    src.mkdir()
+    write_files(src, random.Random(8), 5, 300)
+    spec = FunnelSpec("f", (Step("a", "view"), Step("b", "click")))
+    fs = FunnelStream(spec, ParserSpec(), str(tmp_path / "state"))
+    fs.start(read_log_stream(spark, str(src), max_files_per_trigger=1), str(tmp_path / "ckpt"), availableNow=True).awaitTermination()
+    expected = [tuple(r) for r in fs.result(spark).steps().orderBy("step_index").collect()]
+    monkeypatch.setattr(fold, "FAN_IN", 2)
+    monkeypatch.setattr(fold, "GROUP", 2)
+    assert [tuple(r) for r in fs.result(spark).steps().orderBy("step_index").collect()] == expected
