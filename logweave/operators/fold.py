@@ -86,12 +86,14 @@ def _unpack(words: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(cols, axis=1).astype(np.int64)
 
 
-def _summarizer(k: int, run_cols: list[str], value_cols: list[str], packed: bool):
+def _summarizer(k: int, run_cols: list[str], value_cols: list[str], packed: bool, unique_cols=None):
     """Per task: one summary per run (maximal stretch of equal ``run_cols``).
 
     Input rows are either entries (``packed``: step bit masks) or summaries of
-    finer runs (an ``adv`` array each); either way rows are composed in input
-    order with a vectorised tree reduction per Arrow batch."""
+    finer runs (an ``adv`` array each, identified by ``unique_cols``); either
+    way rows are composed in input order with a vectorised tree reduction per
+    Arrow batch.  Two adjacent summaries of the same finer run mean a chunk was
+    split across tasks, which would break the order: that raises."""
 
     def matrix(pdf):
         if packed:
@@ -99,19 +101,23 @@ def _summarizer(k: int, run_cols: list[str], value_cols: list[str], packed: bool
         return np.stack([np.asarray(a, dtype=np.int64) for a in pdf[value_cols[0]]])
 
     def summarize(batches):
-        key, acc, rows = None, None, 0
+        key, acc, rows, last_unique = None, None, 0, None
         out_keys, out_adv, out_rows = [], [], []
         for pdf in batches:
             if pdf.empty:
                 continue
             steps = matrix(pdf)
             weights = np.ones(len(pdf), dtype=np.int64) if packed else pdf["rows"].to_numpy(dtype=np.int64)
+            if unique_cols:
+                finer = pdf[unique_cols]
+                repeated = ~(finer != finer.shift()).any(axis=1).to_numpy()
+                repeated[0] = last_unique is not None and tuple(finer.iloc[0]) == last_unique
+                if repeated.any():
+                    raise RuntimeError(SPLIT_CHUNK_ERROR)
+                last_unique = tuple(finer.iloc[-1])
             keys = pdf[run_cols]
             change = (keys != keys.shift()).any(axis=1).to_numpy()
             change[0] = True
-            if not packed and (not change.all() or (key is not None and tuple(keys.iloc[0]) == key)):
-                # two summaries for one run: a chunk was split across tasks
-                raise RuntimeError(SPLIT_CHUNK_ERROR)
             starts = np.flatnonzero(change).tolist() + [len(pdf)]
             for a, b in zip(starts[:-1], starts[1:]):
                 seg_key = tuple(keys.iloc[a])
@@ -244,18 +250,22 @@ def pre_fold(summaries: DataFrame, run_cols: list[str], k: int, bound: int) -> t
         return summaries, run_cols
     summaries = materialize(summaries, "runs")
     runs = summaries.count()
+    level = 0
     while runs > FAN_IN:
+        level += 1
+        group_col = f"_grp{level}"
         groups = -(-runs // GROUP)
         cols = [F.col(c).asc_nulls_first() for c in run_cols]
         arranged = (
             summaries.repartitionByRange(groups, *cols)
             .sortWithinPartitions(*cols)
-            .withColumn("_grp", F.spark_partition_id())
+            .select(*run_cols, F.spark_partition_id().alias(group_col), "adv", "rows")
         )
-        summaries = arranged.select("_grp", "adv", "rows").mapInPandas(
-            _summarizer(k, ["_grp"], ["adv"], packed=False), _summary_schema(arranged, ["_grp"])
+        summaries = arranged.mapInPandas(
+            _summarizer(k, [group_col], ["adv"], packed=False, unique_cols=list(run_cols)),
+            _summary_schema(arranged, [group_col]),
         )
-        run_cols, runs = ["_grp"], groups
+        run_cols, runs = [group_col], groups
     return summaries, run_cols
 
 
