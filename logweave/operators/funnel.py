@@ -168,6 +168,12 @@ class FunnelResult:
             F.when(a > 0, (a - b) / a * 100.0).alias("drop_off_rate"),
         )
 
+    def report(self) -> DataFrame:
+        """One row ``report STRING``: the result as one JSON document."""
+        from ..plans.report import funnel_report  # the report sink builds on this class
+
+        return funnel_report(self)
+
     def summary(self) -> DataFrame:
         """One row: ``funnel_name, total_events_analyzed, funnel_completed, conversions, matched_events``."""
         return self._counts().select(

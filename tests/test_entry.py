@@ -34,3 +34,14 @@ def test_reports_are_json(spark):
     assert [s["name"] for s in doc["steps"]] == ["s1_view", "s2_click", "s3_purchase"]
     doc = json.loads(entry.queries()["count_report"](spark, SF).first()[0])
     assert [p["pattern"] for p in doc["pattern_counts"]] == ["view", "click", "purchase", "sign", "error|fail"]
+
+
+def test_funnel_result_report_method(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("test data not present")
+    import json
+
+    from logweave.plans import workloads as W
+
+    doc = json.loads(W._event_funnel(spark, SF, W.MAIN_FUNNEL).report().first()[0])
+    assert doc["funnel_name"] == "funnel" and len(doc["steps"]) == 3
