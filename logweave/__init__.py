@@ -23,7 +23,10 @@ from .operators import (
     parse_entries,
     parse_stats,
 )
-from .sources import LINE_ORDER, SPLIT_CHUNK, entries_from_table, lines_from_text_column, read_log_lines
+from .functions.clock import wall_clock_text
+from .plans.report import count_report, funnel_report
+from .sources import LINE_ORDER, SPLIT_CHUNK, entries_from_table, lines_from_text_column, read_log_lines, spread
+from .streaming import FunnelStream, count_patterns_stream, read_log_stream
 from .specs import FunnelSpec, ParserSpec, Step, go_layout
 
 __all__ = [
@@ -55,4 +58,11 @@ __all__ = [
     "matches_pattern",
     "matches_step",
     "has_properties",
+    "wall_clock_text",
+    "spread",
+    "count_report",
+    "funnel_report",
+    "read_log_stream",
+    "count_patterns_stream",
+    "FunnelStream",
 ]
