@@ -146,3 +146,19 @@ def test_wall_clock_text_ignores_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert tuple(row) == ("2024-03-10 02:30:07.123", None)
+
+
+def test_filters_on_parsed_entries_keep_their_meaning(lines_df):
+    lines = [
+        '03-04 08:01:02.500  77  78 D Metrics: {"event": "open", "account": "a7"}',
+        "03-04 08:01:03.250  77  79 I Metrics: Event open for account_7",
+        '03-04 08:01:04.000  12  13 W Metrics: {"event": "close", "account": "b1"}',
+        "bad line",
+    ]
+    e = parse_entries(lines_df(lines), LOGCAT_SPEC)
+    everything = {r.line_no: r for r in e.collect()}
+    expected = sorted(n for n, r in everything.items() if r.event_data is not None and r.pid == 77)
+    got = sorted(r.line_no for r in e.filter(F.col("event_data").isNotNull() & (F.col("pid") == 77)).collect())
+    assert got == expected == [0]
+    msg = sorted(r.line_no for r in e.filter(F.col("message").contains("open")).collect())
+    assert msg == [0, 1]
