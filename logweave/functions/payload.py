@@ -53,9 +53,8 @@ def json_object(s: Column) -> tuple[Column, Column]:
     object would succeed (``null`` included, which yields a NULL payload);
     ``payload`` is the object as a map, NULL otherwise.  For per-row use on
     large data prefer the staged form in ``parse_entries``.  A repeated key
-    keeps its last value only with ``spark.sql.variant.allowDuplicateKeys``
-    on (``parse_entries`` and ``entries_from_table`` set it); otherwise such
-    text is rejected.
+    keeps its last value when the caller's session has
+    ``spark.sql.variant.allowDuplicateKeys`` on; otherwise such text is rejected.
     """
     elements, closed = json_parse_parts(s)
     return json_object_from_parts(s, elements, closed)

@@ -16,9 +16,12 @@ Arrangement:
 
 * ``chunk_by`` given (text sources): a chunk is a file split, which always lies
   inside one task, so a local ``sortWithinPartitions`` is enough - no shuffle.
-* otherwise (tables): ``repartitionByRange`` on the order columns (sampled
-  bounds, so chunks are balanced whatever the key distribution; a unique order
-  key cannot be skewed) and a local sort; each range partition is one run.
+* otherwise (tables): the matching rows' order columns and step bits are written once, then
+  ``repartitionByRange`` on the order columns (sampled bounds, so chunks are
+  balanced whatever the key distribution; a unique order key cannot be skewed) and
+  a local sort; each range partition is one run.
+
+The plan has the same form at every size, and reads its input once.
 
 Per run the composition is a vectorised tree reduction in NumPy over Arrow
 batches (``mapInPandas``): O(rows x k) work, memory bounded by one batch,
@@ -29,23 +32,23 @@ array, which is why this one step runs in Python.
 
 from __future__ import annotations
 
-import os
 import sys
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import Scratch
+
 # The per-task code below only needs NumPy and pandas; shipping it by value means
 # executors do not need this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["BITS_PER_WORD", "mask_words", "compose", "tree_compose", "run_summaries", "fold_runs"]
+__all__ = ["BITS_PER_WORD", "mask_words", "compose", "tree_compose", "walk", "fold_levels", "fold_runs", "compose_runs"]
 
 BITS_PER_WORD = 63  # the sign bit stays clear, so words are plain non-negative longs
 
@@ -147,117 +150,82 @@ def _summary_schema(arranged: DataFrame, run_cols: list[str]) -> T.StructType:
     )
 
 
-def _single_partition(df: DataFrame) -> bool:
-    try:
-        return df.rdd.getNumPartitions() == 1
-    except Exception:  # noqa: BLE001 - no RDD access: take the general path
-        return False
-
-
-MATERIALIZE_ABOVE = 64  # scan partitions above which the matching rows are written once
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it back.
-
-    Cuts the lineage with one job: later passes (a range partitioner's
-    sampling pass, then its shuffle) read the written rows instead of
-    recomputing the scan, parse and regex work that produced them."""
-    from ..session import shared_dir
-
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"logweave-{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def run_summaries(
-    matching: DataFrame,
+def walk(
+    masked: DataFrame,
     k: int,
-    word_cols: list[str],
+    word_cols: Sequence[str],
     order_by: Sequence[str],
     chunk_by: Sequence[str] | None,
-) -> tuple[DataFrame, list[str]]:
-    """``DataFrame[*run_cols, adv ARRAY<BIGINT>, rows BIGINT]``, one row per run."""
-    order_by = list(order_by)
+    scratch: Scratch,
+) -> tuple[DataFrame, list[str], int]:
+    """(run summaries, their key columns, number of entries) of ``masked[*order, *words]``.
+
+    The one pass over the input writes what the fold needs to shared storage and counts the
+    entries on the way.  From a text source that is one summary per file split; from a
+    table it is the order columns and step bits of the matching entries, which are then
+    ranged into an explicit number of runs (``RUN_ROWS`` entries each, and
+    ``spark.sql.shuffle.partitions`` of them at least).  Summaries are folded in levels until
+    ``FAN_IN`` are left, by their real number.
+    """
+    order_by, words = list(order_by), list(word_cols)
+    total = Observation()
+    any_match = F.lit(False)
+    for w in words:
+        any_match = any_match | (F.col(w) != 0)
+    keep = list(dict.fromkeys([*order_by, *(chunk_by or [])]))
+    # keep matching rows with a generator rather than a filter: a filter would be
+    # pushed below the projection and evaluate every step regex a second time
+    matching = masked.observe(total, F.count(F.lit(1)).alias("n")).select(
+        *[F.col(c) for c in keep], F.inline(F.when(any_match, F.array(F.struct(*[F.col(w) for w in words]))))
+    )
     if chunk_by:
         run_cols = list(chunk_by)
         arranged = matching.sortWithinPartitions(*run_cols, *[c for c in order_by if c not in run_cols])
-    elif _single_partition(matching):
-        # the whole input is one task already: one run, sorted in place
-        run_cols = ["_run"]
-        arranged = matching.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order_by]).withColumn(
-            "_run", F.lit(0)
-        )
+        summaries = scratch.save(_summaries(arranged, k, run_cols, words), "runs")
+        runs = summaries.count()
     else:
         run_cols = ["_run"]
-        if _partitions(matching) > MATERIALIZE_ABOVE:
-            # large input: sample and shuffle the narrow written rows, not the scan
-            matching = materialize(matching, "matching")
-        arranged = (
-            matching.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order_by])
-            .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order_by])
-            .withColumn("_run", F.spark_partition_id())
-        )
-    summaries = arranged.select(*run_cols, *word_cols).mapInPandas(
-        _summarizer(k, run_cols, word_cols, packed=True), _summary_schema(arranged, run_cols)
-    )
-    return summaries, run_cols
-
-
-SPLIT_CHUNK_ERROR = "funnel chunks were split across tasks; chunk_by columns must not be shuffled"
-FAN_IN = 2048  # most run summaries folded by one task
-GROUP = 256  # runs composed per task in a pre-fold level
-
+        matching = scratch.save(matching, "matching")
+        runs = range_count(matching)
+        cols = [F.col(c).asc_nulls_first() for c in order_by]
+        arranged = matching.repartitionByRange(runs, *cols).sortWithinPartitions(*cols)
+        summaries = _summaries(arranged.withColumn("_run", F.spark_partition_id()), k, run_cols, words)
+    summaries, run_cols = fold_levels(summaries, run_cols, k, runs)
+    return summaries, run_cols, total.get.get("n", 0)
 
-def _partitions(df: DataFrame) -> int:
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001
-        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+def _summaries(arranged: DataFrame, k: int, run_cols: list[str], words: list[str]) -> DataFrame:
+    """``DataFrame[*run_cols, adv ARRAY<BIGINT>, rows BIGINT]``, one row per run."""
+    return arranged.select(*run_cols, *words).mapInPandas(
+        _summarizer(k, run_cols, words, packed=True), _summary_schema(arranged, run_cols)
+    )
 
-def _bytes(text: str) -> int:
-    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    t = text.strip().lower().removesuffix("b") or "0"
-    return int(float(t[:-1]) * units[t[-1]]) if t[-1] in units else int(t)
 
+def range_count(matching: DataFrame) -> int:
+    """How many runs a table's matching entries are ranged into."""
+    floor = int(matching.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, floor, -(-matching.count() // RUN_ROWS))
 
-def max_runs(matching: DataFrame, chunk_by) -> int:
-    """An upper bound on how many runs ``run_summaries`` produces (plan-time only).
 
-    Range partitions: at most ``spark.sql.shuffle.partitions``.  File splits:
-    a scan partition packs at most maxPartitionBytes / openCostInBytes files,
-    each contributing one split to it."""
-    conf = matching.sparkSession.conf
-    if not chunk_by:
-        return int(conf.get("spark.sql.shuffle.partitions"))
-    per_partition = _bytes(conf.get("spark.sql.files.maxPartitionBytes")) // max(
-        1, _bytes(conf.get("spark.sql.files.openCostInBytes"))
-    )
-    return _partitions(matching) * (per_partition + 1)
+SPLIT_CHUNK_ERROR = "funnel chunks were split across tasks; chunk_by columns must not be shuffled"
+RUN_ROWS = 1 << 20  # matching entries of one range
+FAN_IN = 2048  # most run summaries folded by one task
+GROUP = 256  # runs composed per task in a level
 
 
-def pre_fold(summaries: DataFrame, run_cols: list[str], k: int, bound: int) -> tuple[DataFrame, list[str]]:
-    """Compose run summaries into contiguous groups until at most ``FAN_IN`` remain.
+def fold_levels(summaries: DataFrame, run_cols: list[str], k: int, runs: int) -> tuple[DataFrame, list[str]]:
+    """Compose ``runs`` run summaries into contiguous groups until at most ``FAN_IN`` remain.
 
-    Only when ``bound`` allows more than ``FAN_IN`` runs: the summaries (one
-    row of k numbers per chunk) are then written to the shared checkpoint
-    folder and counted, so that ranging them samples that small table rather
-    than re-running the scan; each range partition is one contiguous group of
-    runs, composed by the same streaming summarizer."""
-    if bound <= FAN_IN:
-        return summaries, run_cols
-    summaries = materialize(summaries, "runs")
-    runs = summaries.count()
+    Each level ranges the summaries (k numbers each) into groups of about ``GROUP``
+    neighbouring runs, composed by the same summarizer."""
     level = 0
     while runs > FAN_IN:
         level += 1
         group_col = f"_grp{level}"
-        groups = -(-runs // GROUP)
+        runs = -(-runs // GROUP)
         cols = [F.col(c).asc_nulls_first() for c in run_cols]
         arranged = (
-            summaries.repartitionByRange(groups, *cols)
+            summaries.repartitionByRange(runs, *cols)
             .sortWithinPartitions(*cols)
             .select(*run_cols, F.spark_partition_id().alias(group_col), "adv", "rows")
         )
@@ -265,14 +233,14 @@ def pre_fold(summaries: DataFrame, run_cols: list[str], k: int, bound: int) -> t
             _summarizer(k, [group_col], ["adv"], packed=False, unique_cols=list(run_cols)),
             _summary_schema(arranged, [group_col]),
         )
-        run_cols, runs = [group_col], groups
+        run_cols = [group_col]
     return summaries, run_cols
 
 
 def fold_runs(summaries: DataFrame, run_cols: list[str], k: int) -> DataFrame:
     """One row ``matches``: fold the run summaries in run order from state 0.
 
-    ``pre_fold`` bounds the number of summaries, so one small task folds them.
+    ``fold_levels`` bounds the number of summaries, so one small task folds them.
     A run key seen twice means a chunk was split across tasks (its rows were
     shuffled after the scan), which would break the order: that fails loudly."""
     runs = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in run_cols], F.col("adv"))))

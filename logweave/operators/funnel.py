@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ..functions.match import match_subject, matches_step
 from ..specs import FunnelSpec
-from .parse import row_count_source
-from .fold import max_runs, fold_runs, mask_words, pre_fold, run_summaries
+from ..session import Scratch
+from .fold import fold_runs, mask_words, walk
 
 __all__ = [
     "funnel_progress",
@@ -65,31 +65,21 @@ def funnel_progress(
     name columns that are monotone in that order and whose groups never span
     two input partitions (``SPLIT_CHUNK`` for text sources); then no shuffle
     is needed.
+
+    The pass over ``entries`` runs now (it writes narrow rows to shared storage and counts);
+    the result is a lazy DataFrame over what it wrote.
     """
     order_by = list(order_by)
     if not order_by:
         raise ValueError("order_by is required: a DataFrame has no order of its own")
+    scratch = Scratch(entries.sparkSession, "funnel")
     keep = list(dict.fromkeys(order_by + list(chunk_by or [])))
     masked, words = step_mask_columns(entries, spec, keep)
-    any_match = F.lit(False)
-    for w in words:
-        any_match = any_match | (F.col(w) != 0)
-    # Keep matching rows with a generator rather than a filter: a filter would be
-    # pushed below the projection and evaluate every step regex a second time.
-    matching = masked.select(
-        *[F.col(c) for c in keep],
-        F.inline(F.when(any_match, F.array(F.struct(*[F.col(w) for w in words])))),
-    )
-    summaries, run_cols = run_summaries(matching, spec.k, words, order_by, chunk_by)
-    summaries, run_cols = pre_fold(summaries, run_cols, spec.k, max_runs(matching, chunk_by))
+    summaries, run_cols, total = walk(masked, spec.k, words, order_by, chunk_by, scratch)
     matches = fold_runs(summaries, run_cols, spec.k)
-    total = row_count_source(entries).agg(F.count(F.lit(1)).alias("total_events_analyzed"))
-    both = total.select("total_events_analyzed", F.lit(None).cast("bigint").alias("matches")).unionByName(
-        matches.select(F.lit(None).cast("bigint").alias("total_events_analyzed"), "matches")
-    )
-    return both.agg(
-        F.max("total_events_analyzed").alias("total_events_analyzed"),
-        F.coalesce(F.max("matches"), F.lit(0).cast("bigint")).alias("matches"),
+    return matches.select(
+        F.lit(total).cast("bigint").alias("total_events_analyzed"),
+        F.coalesce("matches", F.lit(0).cast("bigint")).alias("matches"),
     )
 
 

@@ -5,11 +5,15 @@ Library functions never create sessions; they work on the caller's.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["local_session", "shared_dir"]
+__all__ = ["local_session", "shared_dir", "Scratch"]
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "logweave") -> SparkSession:
@@ -32,24 +36,62 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder (``spark.checkpoint.dir``).
-
-    When the session names none (local tests), a fresh local folder is set as
-    the checkpoint directory and returned."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = _LOCAL_DIRS.get(spark.sparkContext.applicationId)
-    if not path:
-        path = tempfile.mkdtemp(prefix="logweave-ckpt-")
-        spark.sparkContext.setCheckpointDir(path)
-        _LOCAL_DIRS[spark.sparkContext.applicationId] = path
+    """The cluster's shared scratch folder.
+
+    ``spark.checkpoint.dir`` of the session or its context, else the context's
+    checkpoint folder.  A local session that names neither gets a temporary folder of its
+    own, removed when the process ends; on a cluster that is an error, because
+    executors could not see one another's files."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    path = path or sc.getCheckpointDir()
+    if path:
+        return path
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = own = tempfile.mkdtemp(prefix="logweave-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return _LOCAL_DIRS[sc.applicationId]
+
+
+class Scratch:
+    """Intermediate tables of one call, in a folder of its own under ``shared_dir``.
+
+    ``save`` writes a DataFrame there and reads it back, which cuts the lineage: a
+    lost executor costs the tasks that ran on it, not the plan behind the table.
+    ``drop`` deletes a table that no later plan reads, ``close`` all of them; what a
+    returned (lazy) DataFrame still reads goes when the process ends.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.root = f"{shared_dir(spark).rstrip('/')}/logweave-{label}-{uuid.uuid4().hex}"
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark._jsc.hadoopConfiguration()
+        atexit.register(self.close)
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(self.path(name))
+
+    def close(self) -> None:
+        atexit.unregister(self.close)
         try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # noqa: BLE001 - some runtimes refuse to set core keys; the map above remembers it
+            self._delete(self.root)
+        except Exception:  # noqa: BLE001 - the JVM has gone before the process; nothing left to ask
             pass
-    return path
+
+    def _delete(self, path: str) -> None:
+        target = self._path(path)
+        target.getFileSystem(self._conf).delete(target, True)
 
 
 _LOCAL_DIRS: dict[str, str] = {}

@@ -55,16 +55,12 @@ def entries_from_table(
     # decode each JSON text once, behind a generator that filters cannot see through
     from ..operators.parse import barrier
 
-    # a repeated key keeps its last value, as a streaming JSON decoder does
-    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     names = [c for c in keep] + ["ts", "level", "tag", "pid", "tid", "message"]
     text = df.select(*fields, _col(payload_json).cast("string").alias("_json"))
     elements, closed = json_parse_parts(F.col("_json"))
     parsed = barrier(text, [*[F.col(c) for c in names], F.col("_json")], _el=elements, _closed=closed)
     _, ev = json_object_from_parts(F.col("_json"), F.col("_el"), F.col("_closed"))
-    out = barrier(parsed, [F.col(c) for c in names], event_data=ev)
-    out._logweave_rows = df.select()  # one entry per input row
-    return out
+    return barrier(parsed, [F.col(c) for c in names], event_data=ev)
 
 
 def lines_from_text_column(df: DataFrame, text, keep: Sequence[str] = ()) -> DataFrame:

@@ -6,10 +6,9 @@
   runs unchanged as a streaming aggregation (output mode ``complete``).
 * ``FunnelStream``: the walk continues across micro-batches.  Each batch is
   reduced with the parallel fold to its full summary (``adv`` for every start
-  state, plus its entry count) and stored as one row keyed by batch id; the
-  funnel so far is the same ordered fold over those rows.  Writing a batch's
-  row is idempotent (overwrite of its own folder), so a replayed batch after a
-  failure does not count twice, and no state lives only in memory.
+  state, plus its entry count), composed with the state before it, and stored as one row.
+  Writing a batch's state is idempotent (overwrite of its own folder), so a
+  replayed batch after a failure does not count twice, and no state lives only in memory.
 
 Files are walked in path order within a batch and batches in arrival order,
 so new files must sort after the ones already processed (rotated names with
@@ -18,16 +17,15 @@ timestamps do).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_one_cr
 from ..operators.count import count_patterns
-from ..operators.fold import compose_runs, fold_runs, pre_fold, run_summaries, max_runs
+from ..operators.fold import compose_runs, walk
 from ..operators.funnel import FunnelResult, step_mask_columns
-from ..operators.parse import parse_entries, row_count_source
+from ..operators.parse import parse_entries
+from ..session import Scratch
 from ..sources.text import LINE_ORDER, SPLIT_CHUNK
 from ..specs import FunnelSpec, ParserSpec
 
@@ -66,7 +64,9 @@ class FunnelStream:
     """A funnel that keeps walking as log files arrive.
 
     ``state_path`` is a folder in shared storage (e.g. under
-    ``spark.checkpoint.dir``) that holds one summary row per micro-batch.
+    ``spark.checkpoint.dir``).  The state after a micro-batch is one row: ``adv`` for every
+    start state, composed over all batches so far, and the entry counts.  The two
+    latest states are kept, so the last batch can be replayed.
     Use ``process_batch`` with ``foreachBatch`` (or ``start``), and
     ``result()`` for the step / drop-off / summary tables so far.
     """
@@ -76,35 +76,31 @@ class FunnelStream:
         self.parser = parser
         self.state_path = state_path
 
-    def batch_summary(self, lines: DataFrame, batch_id: int) -> DataFrame:
-        """One row ``(batch_id, adv, rows, total)`` for a static batch of log lines."""
+    def batch_summary(self, lines: DataFrame, scratch: Scratch) -> tuple[list[int], int, int]:
+        """(adv, matching entries, entries) of a static batch of log lines."""
         entries = parse_entries(with_line_pos(lines), self.parser)
-        k = self.spec.k
         masked, words = step_mask_columns(entries, self.spec, list(LINE_ORDER))
-        any_match = F.lit(False)
-        for w in words:
-            any_match = any_match | (F.col(w) != 0)
-        matching = masked.select(
-            *[F.col(c) for c in LINE_ORDER], F.inline(F.when(any_match, F.array(F.struct(*[F.col(w) for w in words]))))
-        )
-        summaries, run_cols = run_summaries(matching, k, words, LINE_ORDER, SPLIT_CHUNK)
-        summaries, run_cols = pre_fold(summaries, run_cols, k, max_runs(matching, SPLIT_CHUNK))
-        composed = compose_runs(summaries, run_cols, k)
-        total = row_count_source(entries).agg(F.count(F.lit(1)).alias("total"))
-        both = composed.select("adv", "rows", F.lit(None).cast("bigint").alias("total")).unionByName(
-            total.select(F.lit(None).cast("array<bigint>").alias("adv"), F.lit(None).cast("bigint").alias("rows"), "total")
-        )
-        return both.agg(
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
-            F.first("adv", ignorenulls=True).alias("adv"),
-            F.coalesce(F.first("rows", ignorenulls=True), F.lit(0).cast("bigint")).alias("rows"),
-            F.coalesce(F.first("total", ignorenulls=True), F.lit(0).cast("bigint")).alias("total"),
-        )
+        summaries, run_cols, total = walk(masked, self.spec.k, words, LINE_ORDER, SPLIT_CHUNK, scratch)
+        row = compose_runs(summaries, run_cols, self.spec.k).first()  # k numbers
+        return row["adv"], row["rows"], total
 
     def process_batch(self, lines: DataFrame, batch_id: int) -> None:
-        """``foreachBatch`` callback: store this batch's summary (idempotent per batch id)."""
-        out = os.path.join(self.state_path, f"batch_id={batch_id}")
-        self.batch_summary(lines, batch_id).drop("batch_id").write.mode("overwrite").parquet(out)
+        """``foreachBatch`` callback: store the state after this batch (a replayed batch writes the same)."""
+        spark = lines.sparkSession
+        scratch = Scratch(spark, "stream")
+        adv, rows, total = self.batch_summary(lines, scratch)
+        scratch.close()
+        k, ids = self.spec.k, self._stored(spark)
+        earlier = [i for i in ids if i < batch_id]
+        before = self._read(spark, max(earlier)) if earlier else {"adv": [0] * k, "rows": 0, "total": 0}
+        adv = [m + adv[(s + m) % k] for s, m in enumerate(before["adv"])]
+        state = spark.createDataFrame(
+            [(adv, before["rows"] + rows, before["total"] + total)], "adv array<bigint>, rows bigint, total bigint"
+        )
+        state.coalesce(1).write.mode("overwrite").parquet(self._folder(batch_id))
+        for old in earlier:
+            if old != max(earlier):
+                self._files(spark).delete(self._path(spark, self._folder(old)), True)
 
     def start(self, lines_stream: DataFrame, checkpoint: str, **trigger):
         writer = lines_stream.writeStream.foreachBatch(self.process_batch).option("checkpointLocation", checkpoint)
@@ -113,21 +109,35 @@ class FunnelStream:
         return writer.start()
 
     def progress(self, spark: SparkSession) -> DataFrame:
-        """One row ``(total_events_analyzed, matches)`` over all stored batches."""
-        k = self.spec.k
-        batches = spark.read.parquet(self.state_path).filter(F.col("adv").isNotNull() | (F.col("total") > 0))
-        total = batches.agg(F.coalesce(F.sum("total"), F.lit(0).cast("bigint")).alias("total_events_analyzed"))
-        walked = batches.filter(F.col("adv").isNotNull()).select("batch_id", "adv", "rows")
-        # one row per micro-batch: a long-running stream is pre-folded like any other run list
-        walked, run_cols = pre_fold(walked, ["batch_id"], k, walked.count())
-        matches = fold_runs(walked, run_cols, k)
-        both = total.select("total_events_analyzed", F.lit(None).cast("bigint").alias("matches")).unionByName(
-            matches.select(F.lit(None).cast("bigint").alias("total_events_analyzed"), "matches")
-        )
-        return both.agg(
-            F.max("total_events_analyzed").alias("total_events_analyzed"),
-            F.coalesce(F.max("matches"), F.lit(0).cast("bigint")).alias("matches"),
-        )
+        """One row ``(total_events_analyzed, matches)`` over all batches so far."""
+        ids = self._stored(spark)
+        if not ids:
+            return spark.range(1).select(F.lit(0).cast("bigint").alias("total_events_analyzed"), F.lit(0).cast("bigint").alias("matches"))
+        state = spark.read.parquet(self._folder(max(ids)))
+        return state.select(F.col("total").alias("total_events_analyzed"), F.col("adv")[0].alias("matches"))
 
     def result(self, spark: SparkSession, limit: int = 0) -> FunnelResult:
         return FunnelResult(self.progress(spark), self.spec, limit)
+
+    # -- the state folder ------------------------------------------------------------
+    def _folder(self, batch_id: int) -> str:
+        return f"{self.state_path.rstrip('/')}/batch_id={batch_id}"
+
+    @staticmethod
+    def _path(spark, path: str):
+        return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _files(self, spark):
+        return self._path(spark, self.state_path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _stored(self, spark) -> list[int]:
+        """Ids of the batches whose state was written completely."""
+        files, root = self._files(spark), self._path(spark, self.state_path)
+        if not files.exists(root):
+            return []
+        names = [s.getPath() for s in files.listStatus(root)]
+        done = [p.getName() for p in names if files.exists(self._path(spark, f"{p.toString()}/_SUCCESS"))]
+        return sorted(int(n.partition("=")[2]) for n in done if n.startswith("batch_id="))
+
+    def _read(self, spark, batch_id: int):
+        return spark.read.parquet(self._folder(batch_id)).first()

@@ -170,7 +170,7 @@ def test_text_log_walks_splits_without_shuffle(spark, tmp_path):
     assert "rangepartitioning" not in plan.lower()
 
 
-def test_pre_fold_level_gives_the_same_result(spark, monkeypatch):
+def test_fold_levels_give_the_same_result(spark, monkeypatch):
     from logweave.operators import fold
 
     rng = random.Random(11)
@@ -202,7 +202,7 @@ def test_shuffled_text_chunks_fail_loudly(spark, tmp_path):
         r.progress.collect()
 
 
-def test_shuffled_text_chunks_fail_loudly_with_pre_fold(spark, tmp_path, monkeypatch):
+def test_shuffled_text_chunks_fail_loudly_in_levels(spark, tmp_path, monkeypatch):
     from logweave.operators import fold
 
     monkeypatch.setattr(fold, "FAN_IN", 1)
@@ -213,21 +213,33 @@ def test_shuffled_text_chunks_fail_loudly_with_pre_fold(spark, tmp_path, monkeyp
         r.progress.collect()
 
 
-def test_materialized_matching_rows_give_the_same_result(spark, monkeypatch):
-    from logweave.operators import fold
+def test_table_funnel_reads_its_input_once_and_ranges_what_it_wrote(spark):
     from logweave.sources.table import entries_from_table
 
     rng = random.Random(13)
     msgs = [rng.choice(["a", "b", "c", "ab", "x"]) for _ in range(3000)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
     df = spark.createDataFrame([(i, m) for i, m in enumerate(msgs)], "seq bigint, message string").repartition(6)
-    entries = entries_from_table(df, message="message", keep=["seq"])
-    spec = funnel("a", "b", "c")
-    monkeypatch.setattr(fold, "MATERIALIZE_ABOVE", 0)
-    r = analyze_funnel(entries, spec, order_by=["seq"])
-    inputs = r.progress.inputFiles()
+    entries = entries_from_table(df.mapInPandas(count, "seq bigint, message string"), message="message", keep=["seq"])
+    # more post-shuffle partitions than spark.sql.shuffle.partitions must not change the number of runs
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "64")
+    try:
+        r = analyze_funnel(entries, funnel("a", "b", "c"), order_by=["seq"])
+        plan = r.progress._jdf.queryExecution().executedPlan().toString()
+        got = [s[2] for s in steps_of(r)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
     sets = [{i for i, p in enumerate("abc") if p in m} for m in msgs]
-    assert [s[2] for s in steps_of(r)] == walk(sets, 3, 0)[0]
-    assert any("logweave-matching-" in f for f in inputs)
+    assert got == walk(sets, 3, 0)[0]
+    assert seen.value == len(msgs)
+    assert "rangepartitioning(seq" in plan and ", 4)" in plan
+    assert any("logweave-funnel-" in f for f in r.progress.inputFiles())
 
 
 def test_more_than_63_steps_use_two_mask_words(spark):
