@@ -10,6 +10,13 @@ Unicode-aware ``\\b``).  ``translate`` rewrites a pattern once on the driver int
 an equivalent Java pattern, counts its capture groups and rejects what RE2
 rejects, so the Spark expressions built from it behave like RE2 and the
 pattern is compiled once per task as a literal.
+
+``java.util.regex`` matches by recursion and backtracking where RE2 is linear: a
+repeated group with alternatives or repeats inside it overflows the stack on a
+long line, or takes exponential time.  ``translate`` marks a pattern ``flat`` when every unbounded (or
+long) repeat in it runs in Java as a loop.  Patterns that are not flat are
+evaluated, over Arrow batches, by the RE2 engine that ships with ``pyarrow``, so they
+give the same matches on lines of any length.
 """
 
 from __future__ import annotations
@@ -17,7 +24,9 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-__all__ = ["JavaRegex", "RegexSyntaxError", "translate", "first_match_groups_pattern"]
+from pyspark.sql import functions as F
+
+__all__ = ["JavaRegex", "RegexSyntaxError", "translate", "first_match_groups_pattern", "search", "extract_groups", "extract_group"]
 
 
 class RegexSyntaxError(ValueError):
@@ -30,7 +39,19 @@ class JavaRegex:
     pattern: str  # equivalent java.util.regex pattern
     groups: int  # number of capturing groups
     required: str = ""  # a literal every match contains ("" if none is known)
-    required_lower: str = ""  # a lower-case literal the lower-cased text of every match contains
+    flat: bool = True  # Java runs it without recursion per character
+    named: str = ""  # the source with its groups named g1, g2, ...
+
+
+@dataclass
+class _Body:
+    """What is known of a group's inside (or of the whole pattern)."""
+
+    choice: bool = False  # has alternatives
+    varies: bool = False  # has a repeat of no fixed count
+    bmp: bool = True  # matches code points below 0x10000 only, so each character is one Java char
+    loops: int = 1  # rounds that Java recurses through at most
+    repeats: int = 1  # product of nested repeat counts
 
 
 # RE2's ASCII character classes, as inclusive code point ranges.
@@ -59,8 +80,25 @@ _CATEGORIES = {
     "Mn", "N", "Nd", "Nl", "No", "P", "Pc", "Pd", "Pe", "Pf", "Pi", "Po", "Ps", "S",
     "Sc", "Sk", "Sm", "So", "Z", "Zl", "Zp", "Zs",
 }
+# The Unicode scripts RE2 accepts after \p, and those that JDK 17 does not know.
+_SCRIPTS = set(
+    "Adlam Ahom Anatolian_Hieroglyphs Arabic Armenian Avestan Balinese Bamum Bassa_Vah Batak Bengali Bhaiksuki Bopomofo Brahmi Braille "
+    "Buginese Buhid Canadian_Aboriginal Carian Caucasian_Albanian Chakma Cham Cherokee Chorasmian Common Coptic Cuneiform Cypriot Cyrillic "
+    "Deseret Devanagari Dives_Akuru Dogra Duployan Egyptian_Hieroglyphs Elbasan Elymaic Ethiopic Georgian Glagolitic Gothic Grantha Greek "
+    "Gujarati Gunjala_Gondi Gurmukhi Han Hangul Hanifi_Rohingya Hanunoo Hatran Hebrew Hiragana Imperial_Aramaic Inherited "
+    "Inscriptional_Pahlavi Inscriptional_Parthian Javanese Kaithi Kannada Katakana Kayah_Li Kharoshthi Khitan_Small_Script Khmer Khojki "
+    "Khudawadi Lao Latin Lepcha Limbu Linear_A Linear_B Lisu Lycian Lydian Mahajani Makasar Malayalam Mandaic Manichaean Marchen "
+    "Masaram_Gondi Medefaidrin Meetei_Mayek Mende_Kikakui Meroitic_Cursive Meroitic_Hieroglyphs Miao Modi Mongolian Mro Multani Myanmar "
+    "Nabataean Nandinagari New_Tai_Lue Newa Nko Nushu Nyiakeng_Puachue_Hmong Ogham Ol_Chiki Old_Hungarian Old_Italic Old_North_Arabian "
+    "Old_Permic Old_Persian Old_Sogdian Old_South_Arabian Old_Turkic Oriya Osage Osmanya Pahawh_Hmong Palmyrene Pau_Cin_Hau Phags_Pa "
+    "Phoenician Psalter_Pahlavi Rejang Runic Samaritan Saurashtra Sharada Shavian Siddham SignWriting Sinhala Sogdian Sora_Sompeng Soyombo "
+    "Sundanese Syloti_Nagri Syriac Tagalog Tagbanwa Tai_Le Tai_Tham Tai_Viet Takri Tamil Tangut Telugu Thaana Thai Tibetan Tifinagh Tirhuta "
+    "Ugaritic Vai Wancho Warang_Citi Yezidi Yi Zanabazar_Square".split()
+)
+_NEWER_SCRIPTS = set("Cypro_Minoan Kawi Nag_Mundari Old_Uyghur Tangsa Toto Vithkuqi".split())
 _MAX_CODE_POINT = 0x10FFFF
 _MAX_REPEAT = 1000
+_LONG_LOOP = 250  # rounds of a group that Java may recurse through
 _ASCII_WORD = "[0-9A-Za-z_]"
 # RE2's \b and \B are ASCII word boundaries; Java's are Unicode-aware.
 _WORD_BOUNDARY = f"(?:(?<={_ASCII_WORD})(?!{_ASCII_WORD})|(?<!{_ASCII_WORD})(?={_ASCII_WORD}))"
@@ -74,12 +112,6 @@ def _is_word(ch: str) -> bool:
     return ch.isascii() and (ch.isalnum() or ch == "_")
 
 
-def _folds_simply(ch: str) -> bool:
-    """Lower-casing matches case-insensitive RE2 matching for this literal:
-    ASCII only, and not s/S (RE2 also folds the long s, which lower() keeps)."""
-    return ch.isascii() and ch.lower() != "s"
-
-
 def _flags_only(rest: str) -> bool:
     """``rest`` starts with ``(?flags)``, which sets flags without opening a group."""
     if not rest.startswith("(?"):
@@ -157,6 +189,8 @@ def _java_property(name: str, negate: bool, where: str) -> str:
     letter = "P" if negate else "p"
     if name in _CATEGORIES:
         return f"\\{letter}{{{name}}}"
+    if name not in _SCRIPTS and name not in _NEWER_SCRIPTS:
+        raise RegexSyntaxError(f"invalid character class range: \\p{{{name}}}")
     return f"\\{letter}{{Is{name}}}"  # a script name such as Greek or Han
 
 
@@ -175,8 +209,13 @@ class _Translator:
         self.cur_run = ""
         self.last_literal: str | None = None  # the top-level literal atom just emitted
         self.top_alternation = False
-        self.ci_runs: list[str] = []
-        self.ci_run = ""
+        # shape of the bodies being read (innermost last) and of the last atom, for ``flat``
+        self.bodies = [_Body()]
+        self.last_body: _Body | None = None  # of a group; None for a single character
+        self.last_bmp = True
+        self.flat = True
+        self.openers: list[tuple[int, int]] = []  # source spans that open a capturing group
+        self.names: set[str] = set()
         # what the character before the current position is known to be:
         # "word", "nonword" or None (unknown), for the \b rewrite
         self.prev_kind: str | None = None
@@ -193,10 +232,12 @@ class _Translator:
         j = self.i + k
         return self.src[j] if j < len(self.src) else ""
 
-    def atom(self, text: str, literal: str | None = None, kind: str | None = None):
+    def atom(self, text: str, literal: str | None = None, kind: str | None = None, bmp: bool = False):
         self.atom_start = len(self.out)
         self.out.append(text)
         self.last_quantified = False
+        self.last_body, self.last_bmp = None, ord(literal) < 0x10000 if literal is not None else bmp
+        self.bodies[-1].bmp &= self.last_bmp
         if literal is not None:
             kind = "word" if _is_word(literal) else "nonword"
             if self.flags["i"] and literal.lower() in ("k", "s"):
@@ -206,33 +247,19 @@ class _Translator:
             if p["state"] == "await" and len(self.stack) == p["target"]:
                 p.update(state="resolved", kind=kind, atom=self.atom_start)
         if literal is not None and not self.stack and not self.flags["i"]:
-            self.end_ci_run()
             self.cur_run += literal
             self.last_literal = literal
-        elif literal is not None and not self.stack and _folds_simply(literal):
-            self.end_cs_run()
-            self.ci_run += literal.lower()
-            self.last_literal = literal
         else:
             self.end_run()
 
-    def end_cs_run(self):
+    def end_run(self):
         if self.cur_run:
             self.runs.append(self.cur_run)
         self.cur_run = ""
-
-    def end_ci_run(self):
-        if self.ci_run:
-            self.ci_runs.append(self.ci_run)
-        self.ci_run = ""
-
-    def end_run(self):
-        self.end_cs_run()
-        self.end_ci_run()
         self.last_literal = None
 
     def assertion(self, text: str):
-        self.atom(text)
+        self.atom(text, bmp=True)
         self.assertion_at = self.atom_start
 
     # -- escapes -------------------------------------------------------------
@@ -301,6 +328,8 @@ class _Translator:
             self.i += 1
         if name.startswith("^"):
             negate, name = not negate, name[1:]
+        if name in _NEWER_SCRIPTS:
+            self.flat = False  # left to RE2
         return name, negate
 
     # -- classes ---------------------------------------------------------------
@@ -388,7 +417,8 @@ class _Translator:
         kind = None
         if ranges is not None and not self.flags["i"]:
             kind = _kind_of(_complement(ranges) if negate else ranges)
-        self.atom("[" + ("^" if negate else "") + body + "]", kind=kind)
+        bmp = ranges is not None and not negate and all(hi < 0x10000 for _, hi in ranges)
+        self.atom("[" + ("^" if negate else "") + body + "]", kind=kind, bmp=bmp)
 
     # -- repetition ------------------------------------------------------------
     def quantifier(self, q: str):
@@ -408,6 +438,7 @@ class _Translator:
             self.wrapped.add(self.atom_start)
         self.out.append(q + ("?" if lazy else ""))
         self.last_quantified = True
+        self.note_repeat(q)
         optional = q in ("*", "?") or q.startswith("{0")
         if optional:
             self.prev_kind = None
@@ -418,13 +449,34 @@ class _Translator:
             if optional:
                 self.cur_run = self.cur_run[: -len(self.last_literal)]
             self.end_run()  # a repeated literal is required at most once
-        elif self.last_literal is not None and self.ci_run.endswith(self.last_literal.lower()):
-            if optional:
-                self.ci_run = self.ci_run[: -len(self.last_literal)]
-            self.end_run()
         elif not self.stack:
             self.end_run()
 
+    def note_repeat(self, q: str):
+        """Track what a repeat of the last atom means for ``flat``, and check nested counts."""
+        if q in "*+?":
+            lo, hi = (1 if q == "+" else 0), (1 if q == "?" else None)
+        else:
+            low, comma, high = q[1:-1].partition(",")
+            lo, hi = int(low), int(high) if high else None if comma else int(low)
+        outer, inner = self.bodies[-1], self.last_body
+        long = hi is None or hi > _LONG_LOOP
+        if inner is None:
+            # Java loops over * and + of a character; a counted repeat recurses when char widths change
+            if long and q not in "*+" and not self.last_bmp:
+                self.flat = False
+        elif long and (inner.choice or inner.varies or not inner.bmp):
+            self.flat = False
+        elif inner.choice or inner.varies:
+            outer.loops = max(outer.loops, inner.loops * max(hi, 1))
+            self.flat &= outer.loops <= _LONG_LOOP
+        outer.varies |= lo != hi
+        if q not in "*+?":
+            nested = 1 if hi == 0 else max(1, lo if hi is None else hi) * (inner.repeats if inner else 1)
+            if nested > _MAX_REPEAT and (lo > 1 or (hi or 0) > 1):
+                self.err(f"invalid repeat count: {q}")
+            outer.repeats = max(outer.repeats, nested)
+
     def try_repeat(self) -> str | None:
         """Parse {n}, {n,} or {n,m} at self.i; None if it is a literal brace."""
         end = self.src.find("}", self.i)
@@ -463,8 +515,13 @@ class _Translator:
             name = self.src[start:end] if end >= 0 else ""
             if end < 0 or not name or not all(ch.isalnum() or ch == "_" for ch in name):
                 self.err("invalid named capture")
+            if name in self.names:
+                self.err("duplicate capture group name")
+            self.names.add(name)
+            self.openers.append((self.i, end + 1))
             self.i = end + 1
             self.groups += 1
+            self.bodies.append(_Body())
             self.stack.append((saved, len(self.out)))
             self.out.append("(")  # Java names are stricter; the name is not needed
             self.atom_start = None
@@ -499,6 +556,7 @@ class _Translator:
                 self.i = j + 1
                 self.atom_start = None
                 return
+            self.bodies.append(_Body())
             self.stack.append((saved, len(self.out)))
             for f in on:
                 self.flags[f] = True
@@ -509,6 +567,8 @@ class _Translator:
             self.atom_start = None
             return
         self.groups += 1
+        self.openers.append((self.i, self.i + 1))
+        self.bodies.append(_Body())
         self.stack.append((saved, len(self.out)))
         self.out.append("(")
         self.i += 1
@@ -521,6 +581,12 @@ class _Translator:
             if p["state"] == "await" and p["target"] >= len(self.stack):
                 p["state"] = "unknown"
         saved, start = self.stack.pop()
+        self.last_body, outer = self.bodies.pop(), self.bodies[-1]
+        outer.choice |= self.last_body.choice
+        outer.varies |= self.last_body.varies
+        outer.bmp &= self.last_body.bmp
+        outer.loops = max(outer.loops, self.last_body.loops)
+        outer.repeats = max(outer.repeats, self.last_body.repeats)
         self.flags = saved
         self.out.append(")")
         self.i += 1
@@ -548,6 +614,7 @@ class _Translator:
                         p["state"] == "resolved" and p["depth"] < depth <= p["target"]
                     ):
                         p["state"] = "unknown"
+                self.bodies[-1].choice = True
                 self.out.append("|")
                 self.i += 1
                 self.atom_start = None
@@ -588,10 +655,13 @@ class _Translator:
                 self.out[p["idx"]] = "(?:" + text + ")" if p["idx"] in self.wrapped else text
         self.end_run()
         required = "" if self.top_alternation or not self.runs else max(self.runs, key=len)
-        lower = "" if self.top_alternation or required or not self.ci_runs else max(self.ci_runs, key=len)
         # (?d): Java's . then excludes only \n, like RE2's (the pattern emits no Java ^ $ in
         # multi-line mode, the only other thing the flag changes)
-        return JavaRegex(self.src, "(?d)" + "".join(self.out), self.groups, required, lower)
+        named, at = [], 0
+        for g, (start, end) in enumerate(self.openers, 1):
+            named += [src[at:start], f"(?P<g{g}>"]
+            at = end
+        return JavaRegex(self.src, "(?d)" + "".join(self.out), self.groups, required, self.flat, "".join(named) + src[at:])
 
     def next_kind(self) -> str | None:
         """What the next character of every match is, if the pattern fixes it."""
@@ -644,10 +714,10 @@ class _Translator:
                 text = _class_of(base, e.isupper())
             else:
                 text = "\\" + e  # Java's own \d \w are ASCII too, and faster than a range class
-            self.atom(text, kind=kind)
+            self.atom(text, kind=kind, bmp=e.islower())
         elif e in "sS":
             self.i += 1
-            self.atom(_class_of(_SPACE_PERL, e == "S"), kind="nonword" if e == "s" else None)
+            self.atom(_class_of(_SPACE_PERL, e == "S"), kind="nonword" if e == "s" else None, bmp=e == "s")
         elif e in "pP":
             name, neg = self.read_property()
             self.atom(_java_property(name, neg, "atom"))
@@ -684,6 +754,39 @@ def first_match_groups_pattern(rx: JavaRegex) -> str:
     return "\\A(?s:.*?)(?:" + rx.pattern + ")(?s:.*)\\z"
 
 
+@functools.lru_cache(maxsize=1024)
+def _linear_search(pattern: str):
+    """Whether RE2 finds ``pattern``, batch by batch (null stays null)."""
+
+    @F.arrow_udf("boolean")
+    def found(texts):
+        import pyarrow.compute as pc
+
+        return pc.match_substring_regex(texts, pattern)
+
+    return found
+
+
+@functools.lru_cache(maxsize=1024)
+def _linear_groups(pattern: str, groups: int):
+    """The groups of RE2's leftmost match of ``pattern``, empty texts where there is none."""
+
+    @F.arrow_udf("array<string>")
+    def extract(texts):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = pc.extract_regex(texts, pattern)
+        columns = [pc.fill_null(found.field(i), "") for i in range(groups)]
+        interleaved = pa.chunked_array(columns).combine_chunks() if columns else pa.array([], pa.string())
+        n = len(texts)
+        order = pa.array([i * n + row for row in range(n) for i in range(groups)], pa.int64())
+        offsets = pa.array(range(0, (n + 1) * groups, groups), pa.int32())
+        return pa.ListArray.from_arrays(offsets, interleaved.take(order))
+
+    return extract
+
+
 def search(col, rx: JavaRegex | str):
     """Unanchored RE2 search as a Spark predicate.
 
@@ -691,5 +794,15 @@ def search(col, rx: JavaRegex | str):
     runs first and the regex engine only sees rows that can match."""
     if isinstance(rx, str):
         rx = translate(rx)
-    pred = col.rlike(rx.pattern)
+    pred = col.rlike(rx.pattern) if rx.flat else _linear_search(rx.named)(col)
     return col.contains(rx.required) & pred if rx.required else pred
+
+
+def extract_groups(col, rx: JavaRegex):
+    """All groups of the leftmost match as an array, for patterns that are not flat."""
+    return _linear_groups(rx.named, rx.groups)(col)
+
+
+def extract_group(col, rx: JavaRegex, i: int):
+    """Group ``i`` of the leftmost match, ``''`` where there is none."""
+    return F.regexp_extract(col, rx.pattern, i) if rx.flat else F.get(extract_groups(col, rx), i - 1)

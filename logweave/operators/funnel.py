@@ -118,45 +118,48 @@ class FunnelResult:
         """Event count of 0-based step ``i`` (a column)."""
         return F.col("conversions") + F.when(i < F.col("_rem"), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
 
-    def _names(self) -> Column:
-        return F.array(*[F.lit(s.name) for s in self.spec.steps])
+    def step_array(self) -> Column:
+        """The step rows as one array over ``_counts()`` (empty when there are no entries)."""
+        c0 = self._count_at(F.lit(0))
+
+        def row(name, i):
+            n = self._count_at(i)
+            return F.struct(
+                (i + 1).cast("int").alias("step_index"), name.alias("name"), n.alias("event_count"),
+                F.when(c0 > 0, n / c0 * 100.0).otherwise(F.lit(0.0)).alias("percentage"),
+            )
+
+        rows = F.transform(F.array(*[F.lit(s.name) for s in self.spec.steps]), row)
+        return F.filter(rows, lambda r: F.col("total_events_analyzed") > 0)
+
+    def drop_array(self) -> Column:
+        """The drop-off rows as one array: adjacent steps whose first has events."""
+        names = [s.name for s in self.spec.steps]
+        pairs = [F.struct(F.lit(a).alias("from"), F.lit(b).alias("to")) for a, b in zip(names, names[1:])]
+
+        def row(pair, i):
+            a, b = self._count_at(i), self._count_at(i + 1)
+            return F.struct(
+                (i + 1).cast("int").alias("step_index"), pair["from"].alias("from"), pair["to"].alias("to"),
+                (a - b).alias("events_lost"), F.when(a > 0, (a - b) / a * 100.0).alias("drop_off_rate"), a.alias("_a"),
+            )
+
+        empty = F.array().cast("array<struct<`from`:string,`to`:string>>")
+        rows = F.transform(F.array(*pairs) if pairs else empty, row)
+        return F.filter(rows, lambda r: (F.col("total_events_analyzed") > 0) & (r["_a"] > 0))
 
     def steps(self) -> DataFrame:
         """``DataFrame[step_index INT, name STRING, event_count BIGINT, percentage DOUBLE]``.
 
         ``percentage`` is relative to step 1 (0 when step 1 has no events);
         no rows when there are no entries."""
-        rows = self._counts().filter(F.col("total_events_analyzed") > 0).select(
-            "conversions", "_rem", F.posexplode(self._names()).alias("_i", "name")
-        )
-        n = self._count_at(F.col("_i"))
-        c0 = self._count_at(F.lit(0))
-        return rows.select(
-            (F.col("_i") + 1).cast("int").alias("step_index"),
-            F.col("name"),
-            n.alias("event_count"),
-            F.when(c0 > 0, n / c0 * 100.0).otherwise(F.lit(0.0)).alias("percentage"),
-        )
+        return self._counts().select(F.inline(self.step_array()))
 
     def drop_offs(self) -> DataFrame:
         """``DataFrame[step_index INT, from STRING, to STRING, events_lost BIGINT, drop_off_rate DOUBLE]``.
 
         One row per adjacent step pair whose first step has events."""
-        k = self.spec.k
-        names = self._names()
-        rows = self._counts().filter(F.col("total_events_analyzed") > 0).select(
-            "conversions", "_rem", names.alias("_names"),
-            F.posexplode(F.slice(names, 1, k - 1) if k > 1 else F.array().cast("array<string>")).alias("_i", "from"),
-        )
-        a = self._count_at(F.col("_i"))
-        b = self._count_at(F.col("_i") + 1)
-        return rows.filter(a > 0).select(
-            (F.col("_i") + 1).cast("int").alias("step_index"),
-            F.col("from"),
-            F.element_at(F.col("_names"), F.col("_i") + 2).alias("to"),
-            (a - b).alias("events_lost"),
-            F.when(a > 0, (a - b) / a * 100.0).alias("drop_off_rate"),
-        )
+        return self._counts().select(F.inline(self.drop_array())).drop("_a")
 
     def report(self) -> DataFrame:
         """One row ``report STRING``: the result as one JSON document."""

@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.payload import json_object_from_parts, json_parse_parts, null_payload
-from ..functions.regex import JavaRegex, first_match_groups_pattern, search
+from ..functions.regex import JavaRegex, extract_group, extract_groups, first_match_groups_pattern, search
 from ..functions.text import unicode_trim
-from ..specs import ParserSpec
+from ..specs import ParserSpec, TimeLayout
 
 __all__ = ["parse_entries", "parse_stats", "ENTRY_COLUMNS"]
 
@@ -53,6 +53,9 @@ def _groups_stage(df: DataFrame, text: str, rx: JavaRegex, prefix: str, carry) -
     names = [f"{prefix}{i}" for i in range(1, n + 1)]
     if n == 0:
         return df, names
+    if not rx.flat:
+        staged = df.select(*carry, extract_groups(F.col(text), rx).alias("_parts"))
+        return staged.select(*carry, *[F.get(F.col("_parts"), i).alias(name) for i, name in enumerate(names)]), names
     if n == 1:
         return barrier(df, carry, **{names[0]: F.regexp_extract(F.col(text), rx.pattern, 1)}), names
     repl = "".join(_SEP + f"${i}" for i in range(1, n + 1))
@@ -81,13 +84,14 @@ def _has_year(fmt: str) -> bool:
 
 def _timestamp_parts(g1: Column, spec: ParserSpec) -> tuple[Column, Column]:
     """(parsed_ok, ts) for the timestamp text ``g1`` under ``spec``."""
-    fmt = spec.timestamp_format
-    value = g1
+    fmt, value, shaped = str(spec.timestamp_format), g1, F.lit(True)
+    if isinstance(spec.timestamp_format, TimeLayout):
+        shaped, value = spec.timestamp_format.text(g1)
     if not _has_year(fmt):
         # year-less formats: parse inside a leap year so Feb 29 is valid
-        value = F.concat(F.lit(f"{spec.default_year:04d} "), g1)
+        value = F.concat(F.lit(f"{spec.default_year:04d} "), value)
         fmt = "yyyy " + fmt
-    ok = F.coalesce(F.try_to_timestamp(value, F.lit(fmt)).isNotNull(), F.lit(False))
+    ok = shaped & F.coalesce(F.try_to_timestamp(value, F.lit(fmt)).isNotNull(), F.lit(False))
     return ok, F.when(ok, F.to_timestamp_ntz(value, F.lit(fmt)))
 
 
@@ -161,7 +165,8 @@ def with_payload(df: DataFrame, base, raw: Column, spec: ParserSpec) -> DataFram
     msg = F.col("message")
     if ev.groups >= 1:
         found = F.coalesce(search(raw, ev), F.lit(False))
-        cand = F.when(found, unicode_trim(F.regexp_extract(raw, ev.pattern, 1)))
+        df = df.select("*", F.when(found, unicode_trim(extract_group(raw, ev, 1))).alias("_found"))
+        cand = F.col("_found")
     else:
         cand = F.lit(None).cast("string")
     staged = barrier(df, base, _cand=cand)

@@ -1,9 +1,9 @@
 """Log lines derived from the ``events`` table, so that parsing, payload
 extraction and text-log funnels run over data that grows with the tables.
 
-Each event becomes one logcat-shaped line::
+Each event becomes one line of a layout of our own::
 
-    MM-dd HH:mm:ss.SSS  <user_id>  <event_id> <I|E> Analytics: <payload>
+    MM/dd HH:mm:ss.SSS [<user_id>:<event_id>] <I|E> metrics - <payload>
 
 with the payload shape chosen by ``event_id % 6``: a JSON object with a string
 ``event``, one with a numeric ``event``, one with a JSON-null ``event``, the
@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import wall_clock_text
 
-__all__ = ["LOGCAT_REGEX", "LOGCAT_TS_FORMAT", "PAYLOAD_REGEX", "logcat_lines", "clock_lines", "write_lines"]
+__all__ = [
+    "EVENT_LINE_REGEX", "EVENT_LINE_FORMAT", "PAYLOAD_REGEX", "logcat_lines", "clock_lines", "syslog_lines", "write_lines",
+]
 
-# The logcat line layout (RE2), its timestamp format and payload locator.
-LOGCAT_REGEX = r"^(\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\s+(\d+)\s+(\d+)\s+([VDIWEFS])\s+([^:]+):\s*(.*)$"
-LOGCAT_TS_FORMAT = "MM-dd HH:mm:ss.SSS"
-PAYLOAD_REGEX = r"Analytics: (.*)$"
+# The line layout above (RE2), its timestamp format and payload locator.
+EVENT_LINE_REGEX = r"^(\d\d/\d\d \d\d:\d\d:\d\d\.\d{3}) \[(\d+):(\d+)\] ([A-Z]) (\w+) - (.*)$"
+EVENT_LINE_FORMAT = "MM/dd HH:mm:ss.SSS"
+PAYLOAD_REGEX = r"metrics - (.*)$"
 
 
 def _s(c) -> F.Column:
@@ -31,7 +33,7 @@ def _s(c) -> F.Column:
 
 
 def logcat_lines(events: DataFrame) -> DataFrame:
-    """``DataFrame[ts, event_id, value]``: one logcat line per event."""
+    """``DataFrame[ts, event_id, value]``: one line per event."""
     shape = F.col("event_id") % 6
     payload = (
         F.when(shape == 0, F.concat(F.lit('{"event": "'), _s("event_type"), F.lit('", "user": "u'), _s("user_id"), F.lit('"}')))
@@ -43,24 +45,34 @@ def logcat_lines(events: DataFrame) -> DataFrame:
     )
     level = F.when(F.col("event_type") == "error", F.lit("E")).otherwise(F.lit("I"))
     line = F.concat(
-        wall_clock_text("ts", "MM-dd HH:mm:ss.SSS"), F.lit("  "), _s("user_id"), F.lit("  "), _s("event_id"),
-        F.lit(" "), level, F.lit(" Analytics: "), payload,
+        wall_clock_text("ts", EVENT_LINE_FORMAT), F.lit(" ["), _s("user_id"), F.lit(":"), _s("event_id"),
+        F.lit("] "), level, F.lit(" metrics - "), payload,
     )
     return events.select("ts", "event_id", line.alias("value"))
 
 
 def clock_lines(events: DataFrame, *, broken_every: int = 0) -> DataFrame:
-    """``DataFrame[ts, event_id, value]``: ``HH:mm:ss LEVEL text`` lines (three fields).
+    """``DataFrame[ts, event_id, value]``: ``[HHhMMmSS] LEVEL text`` lines (three fields).
 
     With ``broken_every = n``, every n-th event id carries an unparsable clock text."""
-    clock = wall_clock_text("ts", "HH:mm:ss")
+    clock = F.concat_ws("", wall_clock_text("ts", "HH"), F.lit("h"), wall_clock_text("ts", "mm"), F.lit("m"), wall_clock_text("ts", "ss"))
     if broken_every:
-        clock = F.when(F.col("event_id") % broken_every == 0, F.lit("99:99:99")).otherwise(clock)
-    line = F.concat(clock, F.lit(" "), F.upper(_s("event_type")), F.lit(" "), _s("event_type"),
+        clock = F.when(F.col("event_id") % broken_every == 0, F.lit("99h99m99")).otherwise(clock)
+    line = F.concat(F.lit("["), clock, F.lit("] "), F.upper(_s("event_type")), F.lit(" "), _s("event_type"),
                     F.lit(" user_"), _s("user_id"))
     return events.select("ts", "event_id", line.alias("value"))
 
 
+def syslog_lines(events: DataFrame) -> DataFrame:
+    """``DataFrame[ts, event_id, value]``: ``Mon _d H:mm:ss text`` lines, days 1-9 padded with a space, hours not padded."""
+    months = F.array(*[F.lit(m) for m in "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()])
+    line = F.concat(
+        F.element_at(months, F.month("ts")), F.lit(" "), F.lpad(F.dayofmonth("ts").cast("string"), 2, " "), F.lit(" "),
+        F.hour("ts").cast("string"), F.lit(":"), wall_clock_text("ts", "mm"), F.lit(":"), wall_clock_text("ts", "ss"), F.lit(" "), _s("event_type"), F.lit(" user_"), _s("user_id"),
+    )
+    return events.select("ts", "event_id", line.alias("value"))
+
+
 def write_lines(lines: DataFrame, path: str, order_by=("ts", "event_id")) -> str:
     """Write ``value`` as text files whose path order is ``order_by`` order.
 

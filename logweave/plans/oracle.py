@@ -7,11 +7,12 @@ mask per entry, a sequential formulation unrelated to the Spark fold.
 from __future__ import annotations
 
 from ..functions.text import WHITE_SPACE
-from .derived import LOGCAT_REGEX, PAYLOAD_REGEX
+from .derived import EVENT_LINE_REGEX, PAYLOAD_REGEX
 from .workloads import (
     CLOCK_REGEX,
     CONVERSATION_FUNNEL,
     CONVERSATION_PATTERNS,
+    DEEP_PATTERNS,
     PAGE_PATTERNS,
     PAGE_TITLE_REGEX,
     DOC_LINE_REGEX,
@@ -51,9 +52,9 @@ def rx(expr: str, pattern: str) -> str:
 EVENT_ENTRIES = "SELECT event_id, ts, coalesce(event_type, '') AS message FROM events"
 
 LOGCAT_LINES = """SELECT ts AS event_ts, event_id,
-  strftime(ts, '%m-%d %H:%M:%S') || '.' || lpad(CAST((microsecond(ts) // 1000) % 1000 AS VARCHAR), 3, '0')
-  || '  ' || CAST(user_id AS VARCHAR) || '  ' || CAST(event_id AS VARCHAR) || ' '
-  || CASE WHEN event_type = 'error' THEN 'E' ELSE 'I' END || ' Analytics: '
+  strftime(ts, '%m/%d %H:%M:%S') || '.' || lpad(CAST((microsecond(ts) // 1000) % 1000 AS VARCHAR), 3, '0')
+  || ' [' || CAST(user_id AS VARCHAR) || ':' || CAST(event_id AS VARCHAR) || '] '
+  || CASE WHEN event_type = 'error' THEN 'E' ELSE 'I' END || ' metrics - '
   || CASE event_id % 6
        WHEN 0 THEN '{"event": "' || event_type || '", "user": "u' || CAST(user_id AS VARCHAR) || '"}'
        WHEN 1 THEN '{"event": ' || CAST(user_id AS VARCHAR) || ', "type": "' || event_type || '"}'
@@ -74,14 +75,14 @@ WITH l AS ({LOGCAT_LINES}),
 t AS (SELECT event_ts, event_id, value, {utrim('value')} AS line FROM l),
 g AS (
   SELECT event_ts, event_id, value,
-    {', '.join(f"regexp_extract(line, {lit(LOGCAT_REGEX)}, {i}) AS g{i}" for i in range(1, 7))}
-  FROM t WHERE line <> '' AND {rx('line', LOGCAT_REGEX)}
+    {', '.join(f"regexp_extract(line, {lit(EVENT_LINE_REGEX)}, {i}) AS g{i}" for i in range(1, 7))}
+  FROM t WHERE line <> '' AND {rx('line', EVENT_LINE_REGEX)}
 ),
 e AS (
   SELECT *,
-    try_strptime('2000 ' || g1, '%Y %m-%d %H:%M:%S.%g') AS ts,
+    try_strptime('2000 ' || g1, '%Y %m/%d %H:%M:%S.%g') AS ts,
     CASE WHEN g6 <> '' THEN g6
-         WHEN g1 <> '' AND try_strptime('2000 ' || g1, '%Y %m-%d %H:%M:%S.%g') IS NULL THEN g1
+         WHEN g1 <> '' AND try_strptime('2000 ' || g1, '%Y %m/%d %H:%M:%S.%g') IS NULL THEN g1
          ELSE g6 END AS message,
     CASE WHEN {rx('value', PAYLOAD_REGEX)}
          THEN {utrim(f"regexp_extract(value, {lit(PAYLOAD_REGEX)}, 1)")} END AS cand
@@ -149,6 +150,13 @@ def count_summary_sql(source: str, subject: str, patterns) -> str:
     return f"WITH src AS ({source}) SELECT count(*) AS total_events_analyzed, ({aggs}) AS total_matches FROM src"
 
 
+def count_report_sql(source: str, subject: str, patterns) -> str:
+    """The rows of the count document: one per pattern, or one without a pattern for an empty list."""
+    return f"""WITH r AS ({count_sql(source, subject, patterns)}), n AS (SELECT count(*) AS total FROM ({source}))
+SELECT total AS total_events_analyzed, CAST((SELECT count(*) FROM r) AS INTEGER) AS n_patterns, r.pattern_index, r.pattern, r.count
+FROM n LEFT JOIN r ON true"""
+
+
 # -- funnels ---------------------------------------------------------------------------
 def _mask(subject: str, conds) -> str:
     return " | ".join(f"(CASE WHEN {c} THEN {1 << i} ELSE 0 END)" for i, c in enumerate(conds))
@@ -198,6 +206,20 @@ SELECT {lit(name)} AS funnel_name, total AS total_events_analyzed, conv > 0 AS f
        conv AS conversions, m AS matched_events FROM c"""
 
 
+def funnel_report_sql(progress: str, name: str, names) -> str:
+    """The rows of the funnel document: one per step and drop-off, or one for empty lists."""
+    return f"""WITH s AS ({funnel_steps_sql(progress, names)}), d AS ({funnel_drops_sql(progress, names)}),
+h AS ({funnel_summary_sql(progress, name)}),
+x AS (
+  SELECT 'step' AS section, step_index AS idx, name, NULL AS "to", event_count AS n, percentage AS rate FROM s
+  UNION ALL
+  SELECT 'drop_off', CAST(row_number() OVER (ORDER BY step_index) AS INTEGER), "from", "to", events_lost, drop_off_rate FROM d
+)
+SELECT funnel_name, total_events_analyzed, funnel_completed, CAST((SELECT count(*) FROM s) AS INTEGER) AS n_steps,
+       CAST((SELECT count(*) FROM d) AS INTEGER) AS n_drop_offs, x.*
+FROM h LEFT JOIN x ON true"""
+
+
 def _event_progress(patterns, limit=0):
     mask = _mask("message", [rx("message", p) for p in patterns])
     return _progress(EVENT_ENTRIES, mask, "ts, event_id", len(patterns), limit)
@@ -223,11 +245,11 @@ def _ts_text(c: str) -> str:
 
 
 def clock_lines_sql(broken_every: int = 0) -> str:
-    clock = "strftime(ts, '%H:%M:%S')"
+    clock = "strftime(ts, '%Hh%Mm%S')"
     if broken_every:
-        clock = f"CASE WHEN event_id % {broken_every} = 0 THEN '99:99:99' ELSE {clock} END"
+        clock = f"CASE WHEN event_id % {broken_every} = 0 THEN '99h99m99' ELSE {clock} END"
     return f"""SELECT ts AS event_ts, event_id,
-  {clock} || ' ' || upper(event_type) || ' ' || event_type || ' user_' || CAST(user_id AS VARCHAR) AS value FROM events"""
+  '[' || {clock} || '] ' || upper(event_type) || ' ' || event_type || ' user_' || CAST(user_id AS VARCHAR) AS value FROM events"""
 
 
 def _groups(source: str, regex: str, n: int) -> str:
@@ -238,16 +260,21 @@ def _groups(source: str, regex: str, n: int) -> str:
 
 PARSE_THREE = f"""
 WITH g AS ({_groups(clock_lines_sql(), CLOCK_REGEX, 3)}),
-e AS (SELECT *, try_strptime('2000 ' || g1, '%Y %H:%M:%S') AS ts FROM g)
+e AS (SELECT *, try_strptime('2000 ' || g1, '%Y %Hh%Mm%S') AS ts FROM g)
 SELECT event_id, {_ts_text('ts')} AS ts, '' AS level, '' AS tag, {_int('g2')} AS pid, {_int('g3')} AS tid,
   CASE WHEN g1 <> '' AND ts IS NULL THEN g1 ELSE g3 END AS message FROM e"""
 
 PARSE_BAD_TS = f"""
 WITH g AS ({_groups(clock_lines_sql(7), LOOSE_CLOCK_REGEX, 2)}),
-e AS (SELECT *, try_strptime('2000 ' || g1, '%Y %H:%M:%S') AS ts FROM g)
+e AS (SELECT *, try_strptime('2000 ' || g1, '%Y %Hh%Mm%S') AS ts FROM g)
 SELECT event_id, {_ts_text('ts')} AS ts, {_int('g2')} AS pid,
   CASE WHEN g1 <> '' AND ts IS NULL THEN g1 ELSE g2 END AS message FROM e"""
 
+# the parsed clock is the event's, in the default year; the message is what follows it
+PARSE_SYSLOG = """
+SELECT event_id, strftime(ts, '2000-%m-%d %H:%M:%S') || '.000' AS ts, event_type || ' user_' || CAST(user_id AS VARCHAR) AS message
+FROM events"""
+
 DOC_FIELDS = f"""
 WITH g AS ({_groups(DOCUMENT_LINES_CR, DOC_LINE_REGEX, 3)})
 SELECT doc_id, line_no, {_int('g2')} AS pid, {_int('g3')} AS tid, g3 AS message FROM g"""
@@ -280,6 +307,11 @@ def _build() -> dict[str, str]:
     )
     o["count_payload"] = count_sql(LOGCAT_ENTRIES, "subject", PAYLOAD_PATTERNS)
     o["count_documents"] = count_sql(DOCUMENT_ENTRIES, "message", DOCUMENT_PATTERNS, rates=True)
+    o["count_deep_patterns"] = count_sql(DOCUMENT_ENTRIES, "message", DEEP_PATTERNS)
+    never = f"SELECT * FROM ({LOGCAT_LINES}) WHERE {rx(utrim('value'), '^NEVER (\\d+)$')}"
+    o["count_report"] = count_report_sql(EVENT_ENTRIES, "message", EVENT_PATTERNS)
+    o["count_report_empty"] = count_report_sql(never, "value", EVENT_PATTERNS)
+    o["parse_syslog_days"] = PARSE_SYSLOG
     o["table_payload_count"] = count_sql(TABLE_PAYLOAD_ENTRIES, TABLE_PAYLOAD_SUBJECT, EVENT_PATTERNS)
 
     main = _names(MAIN_FUNNEL)
@@ -299,6 +331,10 @@ def _build() -> dict[str, str]:
     o["funnel_empty"] = funnel_steps_sql(
         _progress(never, _mask("value", [rx("value", p) for p in MAIN_FUNNEL]), "event_ts, event_id", 3), main
     )
+    o["funnel_report"] = funnel_report_sql(_event_progress(MAIN_FUNNEL), "funnel", main)
+    o["funnel_report_empty"] = funnel_report_sql(
+        _progress(never, _mask("value", [rx("value", p) for p in MAIN_FUNNEL]), "event_ts, event_id", 3), "funnel", main
+    )
     o["funnel_required_props"] = funnel_steps_sql(_props_progress(), [f"s{i + 1}_{p}" for i, (p, _) in enumerate(PROPS_FUNNEL)])
     doc_mask = _mask("message", [rx("message", p) for p in DOCUMENT_FUNNEL])
     o["funnel_documents"] = funnel_steps_sql(
@@ -320,8 +356,8 @@ SELECT page_id, line_no, g1 AS message FROM g"""
     o["text_log_scan"] = f"SELECT value FROM ({LOGCAT_LINES})"
     o["text_log_parse_stats"] = f"""WITH t AS (SELECT {utrim('value')} AS line FROM ({LOGCAT_LINES}))
 SELECT count(*) AS total_lines,
-  count(*) FILTER (WHERE line <> '' AND {rx('line', LOGCAT_REGEX)}) AS parsed_entries,
-  count(*) FILTER (WHERE line <> '' AND NOT {rx('line', LOGCAT_REGEX)}) AS skipped_lines
+  count(*) FILTER (WHERE line <> '' AND {rx('line', EVENT_LINE_REGEX)}) AS parsed_entries,
+  count(*) FILTER (WHERE line <> '' AND NOT {rx('line', EVENT_LINE_REGEX)}) AS skipped_lines
 FROM t"""
     o["parse_logcat"] = f"""WITH x AS ({LOGCAT_ENTRIES})
 SELECT event_id, {_ts_text('ts')} AS ts, g4 AS level, g5 AS tag, {_int('g2')} AS pid, {_int('g3')} AS tid, message,
@@ -340,7 +376,8 @@ SELECT event_id, payload IS NOT NULL AS has_payload, {_prop('event')} AS event,
     o["required_properties"] = f"""WITH x AS ({LOGCAT_ENTRIES})
 SELECT event_id FROM x WHERE {rx(_prop('user'), '^u1')} AND {rx(_prop('event'), 'v')}"""
     o["numeric_property"] = f"""WITH x AS ({TABLE_PAYLOAD_ENTRIES})
-SELECT event_id FROM x WHERE {rx(_prop('k'), '.')}"""
+SELECT event_id, coalesce(json_type(payload, '$.k') IS NOT NULL AND payload IS NOT NULL, false) AS has_k,
+  {rx(_prop('k'), '.')} AS k_matches FROM x"""
     return o
 
 

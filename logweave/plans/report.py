@@ -1,65 +1,40 @@
-"""JSON result documents (one row, one string), like the tool's JSON output."""
+"""JSON result documents (one row, one string), like the tool's JSON output.
+
+Each document is a projection of the one-row result, so nothing is computed twice.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.count import pattern_totals
 from ..operators.funnel import FunnelResult
 
 __all__ = ["count_report", "funnel_report"]
 
 
-def _rows(df: DataFrame, cols, order_col: str) -> F.Column:
-    """Sorted array of structs from a small result DataFrame, as an aggregate."""
-    return F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("_o"), *[F.col(c) for c in cols]))),
-        lambda r: F.struct(*[r[c].alias(c) for c in cols]),
-    )
+def count_report(entries: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """One row ``report STRING``: ``{"total_events_analyzed": n, "pattern_counts": [{"pattern", "count"}...]}``.
 
-
-def count_report(counts: DataFrame, summary: DataFrame) -> DataFrame:
-    """One row ``report STRING``: ``{"total_events_analyzed": n, "pattern_counts": [{"pattern", "count"}...]}``."""
-    rows = counts.agg(_rows(counts, ["pattern", "count"], "pattern_index").alias("pattern_counts"))
-    both = summary.select("total_events_analyzed", F.lit(None).alias("pattern_counts").cast(rows.schema[0].dataType))
-    merged = both.unionByName(rows.select(F.lit(None).cast("bigint").alias("total_events_analyzed"), "pattern_counts"))
-    doc = merged.agg(
-        F.max("total_events_analyzed").alias("total_events_analyzed"),
-        F.coalesce(F.first("pattern_counts", ignorenulls=True), F.array().cast(rows.schema[0].dataType)).alias("pattern_counts"),
-    )
-    return doc.select(F.to_json(F.struct("total_events_analyzed", "pattern_counts")).alias("report"))
+    No entries give an empty list."""
+    patterns = list(patterns)
+    totals = pattern_totals(entries, patterns)
+    kind = "array<struct<pattern:string,count:bigint>>"
+    rows = F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"c{i}").alias("count")) for i, p in enumerate(patterns)])
+    listed = F.when(F.col("total_events_analyzed") > 0, rows.cast(kind)).otherwise(F.array().cast(kind))
+    return totals.select(F.to_json(F.struct("total_events_analyzed", listed.alias("pattern_counts"))).alias("report"))
 
 
 def funnel_report(result: FunnelResult) -> DataFrame:
     """One row ``report STRING``: the funnel summary with its ``steps`` and ``drop_offs`` lists."""
-    counts = result._counts()
-    steps = result.steps()
-    drops = result.drop_offs()
-    step_t = "array<struct<name:string,event_count:bigint,percentage:double>>"
-    drop_t = "array<struct<from:string,to:string,events_lost:bigint,drop_off_rate:double>>"
-    s = steps.agg(_rows(steps, ["name", "event_count", "percentage"], "step_index").alias("steps"))
-    d = drops.agg(_rows(drops, ["from", "to", "events_lost", "drop_off_rate"], "step_index").alias("drop_offs"))
-    head = counts.select(
-        F.lit(result.spec.name).alias("funnel_name"),
-        "total_events_analyzed",
-        (F.col("conversions") > 0).alias("funnel_completed"),
-        F.lit(None).cast(step_t).alias("steps"),
-        F.lit(None).cast(drop_t).alias("drop_offs"),
-    )
-    parts = head.unionByName(
-        s.select(F.lit(None).cast("string").alias("funnel_name"), F.lit(None).cast("bigint").alias("total_events_analyzed"),
-                 F.lit(None).cast("boolean").alias("funnel_completed"), F.col("steps").cast(step_t),
-                 F.lit(None).cast(drop_t).alias("drop_offs"))
-    ).unionByName(
-        d.select(F.lit(None).cast("string").alias("funnel_name"), F.lit(None).cast("bigint").alias("total_events_analyzed"),
-                 F.lit(None).cast("boolean").alias("funnel_completed"), F.lit(None).cast(step_t).alias("steps"),
-                 F.col("drop_offs").cast(drop_t))
-    )
-    doc = parts.agg(
-        F.first("funnel_name", ignorenulls=True).alias("funnel_name"),
-        F.first("total_events_analyzed", ignorenulls=True).alias("total_events_analyzed"),
-        F.first("funnel_completed", ignorenulls=True).alias("funnel_completed"),
-        F.coalesce(F.first("steps", ignorenulls=True), F.array().cast(step_t)).alias("steps"),
-        F.coalesce(F.first("drop_offs", ignorenulls=True), F.array().cast(drop_t)).alias("drop_offs"),
+    steps = F.transform(result.step_array(), lambda s: F.struct(s["name"], s["event_count"], s["percentage"]))
+    drops = F.transform(result.drop_array(), lambda s: F.struct(s["from"], s["to"], s["events_lost"], s["drop_off_rate"]))
+    doc = F.struct(
+        F.lit(result.spec.name).alias("funnel_name"), "total_events_analyzed", (F.col("conversions") > 0).alias("funnel_completed"),
+        steps.cast("array<struct<name:string,event_count:bigint,percentage:double>>").alias("steps"),
+        drops.cast("array<struct<`from`:string,`to`:string,events_lost:bigint,drop_off_rate:double>>").alias("drop_offs"),
     )
-    return doc.select(F.to_json(F.struct("funnel_name", "total_events_analyzed", "funnel_completed", "steps", "drop_offs")).alias("report"))
+    return result._counts().select(F.to_json(doc).alias("report"))

@@ -8,7 +8,6 @@ matching DuckDB SQL for each name.
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +18,12 @@ from ..functions.payload import string_prop
 from ..operators.count import count_patterns, count_summary
 from ..operators.funnel import analyze_funnel
 from ..operators.parse import barrier, parse_entries, parse_stats
-from ..session import shared_dir
-from ..sources.balance import spread
+from ..session import Scratch
 from ..sources.table import entries_from_table, lines_from_text_column
 from ..sources.text import LINE_ORDER, SPLIT_CHUNK, read_log_lines
-from ..specs import FunnelSpec, ParserSpec, Step
-from .derived import LOGCAT_REGEX, LOGCAT_TS_FORMAT, PAYLOAD_REGEX, clock_lines, logcat_lines, write_lines
-from .report import count_report, funnel_report
+from ..specs import FunnelSpec, ParserSpec, Step, go_layout
+from .derived import EVENT_LINE_FORMAT, EVENT_LINE_REGEX, PAYLOAD_REGEX, clock_lines, logcat_lines, syslog_lines, write_lines
+from .report import count_report
 
 # The pattern sets, funnels and parser specs of the workloads
 # (shared with the oracle SQL).
@@ -57,12 +55,17 @@ PAGE_TITLE_REGEX = r"<title>([^<]*)</title>"
 LIMITS = {"funnel_limit_1": 1, "funnel_limit_200": 200, "funnel_limit_large": 10**9, "funnel_limit_negative": -1}
 
 LOGCAT_SPEC = ParserSpec(
-    timestamp_format=LOGCAT_TS_FORMAT, event_regex=PAYLOAD_REGEX, json_extraction=True, log_line_regex=LOGCAT_REGEX
+    timestamp_format=EVENT_LINE_FORMAT, event_regex=PAYLOAD_REGEX, json_extraction=True, log_line_regex=EVENT_LINE_REGEX
 )
-CLOCK_REGEX = r"^(\d{2}:\d{2}:\d{2})\s+([A-Z]+)\s+(.*)$"
-CLOCK_SPEC = ParserSpec(timestamp_format="HH:mm:ss", log_line_regex=CLOCK_REGEX)
-LOOSE_CLOCK_REGEX = r"^(\S+) (.*)$"
-LOOSE_CLOCK_SPEC = ParserSpec(timestamp_format="HH:mm:ss", log_line_regex=LOOSE_CLOCK_REGEX)
+CLOCK_REGEX = r"^\[(\d\dh\d\dm\d\d)\] ([A-Z]+) (.*)$"
+CLOCK_FORMAT = "HH'h'mm'm'ss"
+CLOCK_SPEC = ParserSpec(timestamp_format=CLOCK_FORMAT, log_line_regex=CLOCK_REGEX)
+LOOSE_CLOCK_REGEX = r"^\[(\S+)\] (.*)$"
+LOOSE_CLOCK_SPEC = ParserSpec(timestamp_format=CLOCK_FORMAT, log_line_regex=LOOSE_CLOCK_REGEX)
+SYSLOG_REGEX = r"^([A-Z][a-z]+ +\d+ \d+:\d+:\d+) (.*)$"
+SYSLOG_SPEC = ParserSpec(timestamp_format=go_layout("Jan _2 15:04:05"), log_line_regex=SYSLOG_REGEX)
+# repeats and alternatives inside repeated groups: beyond what java.util.regex can run on long lines
+DEEP_PATTERNS = [r"^(?:\w|-)*$", r"^(?:[^.]|\.[^.])*$", r"(?:\w+\s?)+[.]$", r"(?:[A-Z]+!!\s?){3,}", r"^(?:(?:\p{L}|\p{M})+[\s,.]*)*$"]
 DOC_LINE_REGEX = r"^(\p{Lu})(\S*)\s(.*)$"
 EVENT_ORDER = ["ts", "event_id"]
 DOC_ORDER = ["doc_id", "line_no"]
@@ -87,10 +90,9 @@ def event_entries(spark, sf_dir) -> DataFrame:
 
 
 def event_log_lines(spark, sf_dir) -> DataFrame:
-    """Logcat lines derived from ``events``; parsing them is CPU-heavy, so a
-    coarse scan is spread over all cores first."""
+    """Lines derived from ``events``."""
     events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id", "event_type", "props")
-    lines = logcat_lines(spread(events))
+    lines = logcat_lines(events)
     # the line text is built once; the parser's filters then test the built text
     return barrier(lines, [F.col("ts").alias("event_ts"), F.col("event_id")], value=F.col("value"))
 
@@ -101,7 +103,7 @@ def logcat_entries(spark, sf_dir) -> DataFrame:
 
 def document_lines(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines_from_text_column(spread(docs), "text", keep=["doc_id"])
+    return lines_from_text_column(docs, "text", keep=["doc_id"])
 
 
 def document_entries(spark, sf_dir) -> DataFrame:
@@ -110,12 +112,12 @@ def document_entries(spark, sf_dir) -> DataFrame:
 
 def conversation_lines(spark, sf_dir) -> DataFrame:
     convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return lines_from_text_column(spread(convs), "text", keep=["conv_id", "turn"])
+    return lines_from_text_column(convs, "text", keep=["conv_id", "turn"])
 
 
 def page_lines(spark, sf_dir) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    return lines_from_text_column(spread(pages), "html", keep=["page_id"])
+    return lines_from_text_column(pages, "html", keep=["page_id"])
 
 
 def _ts_text(c="ts"):
@@ -157,6 +159,10 @@ def q_count_documents(spark, d):
     return count_patterns(document_entries(spark, d), DOCUMENT_PATTERNS, with_rates=True)
 
 
+def q_count_deep_patterns(spark, d):
+    return count_patterns(document_entries(spark, d), DEEP_PATTERNS)
+
+
 def q_count_conversation_lines(spark, d):
     return count_patterns(parse_entries(conversation_lines(spark, d)), CONVERSATION_PATTERNS, with_rates=True)
 
@@ -170,9 +176,25 @@ def q_parse_page_titles(spark, d):
     return e.select("page_id", "line_no", "message")
 
 
+REPORT_SCHEMA = "total_events_analyzed bigint, pattern_counts array<struct<pattern:string,count:bigint>>"
+
+
+def _count_report_rows(report):
+    """The emitted JSON document, read back: one row per pattern (one row in all for an empty list)."""
+    doc = report.select(F.from_json("report", REPORT_SCHEMA).alias("d")).select("d.*")
+    rows = doc.select("total_events_analyzed", F.size("pattern_counts").alias("n_patterns"), F.posexplode_outer("pattern_counts").alias("_i", "_p"))
+    return rows.select(
+        "total_events_analyzed", "n_patterns", (F.col("_i") + 1).cast("int").alias("pattern_index"), "_p.pattern", "_p.count"
+    )
+
+
 def q_count_report(spark, d):
-    entries = event_entries(spark, d)
-    return count_report(count_patterns(entries, EVENT_PATTERNS), count_summary(entries, EVENT_PATTERNS))
+    return _count_report_rows(count_report(event_entries(spark, d), EVENT_PATTERNS))
+
+
+def q_count_report_empty(spark, d):
+    never = parse_entries(event_log_lines(spark, d), ParserSpec(log_line_regex=r"^NEVER (\d+)$"))
+    return _count_report_rows(count_report(never, EVENT_PATTERNS))
 
 
 # -- funnels --------------------------------------------------------------------------------
@@ -242,8 +264,7 @@ def q_funnel_text_log(spark, d):
 
 
 def _written_log(spark, d) -> str:
-    path = os.path.join(shared_dir(spark), f"logweave-lines-{uuid.uuid4().hex}")
-    return write_lines(logcat_lines(table(spark, d, "events")), path)
+    return write_lines(logcat_lines(table(spark, d, "events")), Scratch(spark, "lines").path("log"))
 
 
 def q_text_log_scan(spark, d):
@@ -255,8 +276,35 @@ def q_text_log_parse_stats(spark, d):
     return parse_stats(read_log_lines(spark, _written_log(spark, d)), LOGCAT_SPEC)
 
 
+FUNNEL_REPORT_SCHEMA = (
+    "funnel_name string, total_events_analyzed bigint, funnel_completed boolean, "
+    "steps array<struct<name:string,event_count:bigint,percentage:double>>, "
+    "drop_offs array<struct<`from`:string,`to`:string,events_lost:bigint,drop_off_rate:double>>"
+)
+
+
+def _funnel_report_rows(report):
+    """The emitted JSON document, read back: one row per step and drop-off (one row in all for empty lists)."""
+    doc = report.select(F.from_json("report", FUNNEL_REPORT_SCHEMA).alias("d")).select("d.*")
+
+    def row(section, i, name, to, n, rate):
+        return F.struct(F.lit(section).alias("section"), (i + 1).alias("idx"), name.alias("name"), to.alias("to"), n.alias("n"), rate.alias("rate"))
+
+    steps = F.transform("steps", lambda s, i: row("step", i, s["name"], F.lit(None).cast("string"), s["event_count"], s["percentage"]))
+    drops = F.transform("drop_offs", lambda s, i: row("drop_off", i, s["from"], s["to"], s["events_lost"], s["drop_off_rate"]))
+    return doc.select(
+        "funnel_name", "total_events_analyzed", "funnel_completed", F.size("steps").alias("n_steps"),
+        F.size("drop_offs").alias("n_drop_offs"), F.explode_outer(F.concat(steps, drops)).alias("_r"),
+    ).select("funnel_name", "total_events_analyzed", "funnel_completed", "n_steps", "n_drop_offs", "_r.*")
+
+
 def q_funnel_report(spark, d):
-    return funnel_report(_event_funnel(spark, d, MAIN_FUNNEL))
+    return _funnel_report_rows(_event_funnel(spark, d, MAIN_FUNNEL).report())
+
+
+def q_funnel_report_empty(spark, d):
+    never = parse_entries(event_log_lines(spark, d), ParserSpec(log_line_regex=r"^NEVER (\d+)$"))
+    return _funnel_report_rows(analyze_funnel(never, funnel_of(MAIN_FUNNEL), order_by=["event_ts", "event_id"]).report())
 
 
 # -- parsing ------------------------------------------------------------------------------
@@ -272,18 +320,24 @@ def q_parse_logcat(spark, d):
 
 def q_parse_three_group(spark, d):
     events = table(spark, d, "events").select("ts", "event_id", "user_id", "event_type")
-    lines = clock_lines(spread(events)).withColumnRenamed("ts", "event_ts")
+    lines = clock_lines(events).withColumnRenamed("ts", "event_ts")
     e = parse_entries(lines, CLOCK_SPEC)
     return e.select("event_id", _ts_text().alias("ts"), "level", "tag", "pid", "tid", "message")
 
 
 def q_parse_bad_timestamp(spark, d):
     events = table(spark, d, "events").select("ts", "event_id", "user_id", "event_type")
-    lines = clock_lines(spread(events), broken_every=7).withColumnRenamed("ts", "event_ts")
+    lines = clock_lines(events, broken_every=7).withColumnRenamed("ts", "event_ts")
     e = parse_entries(lines, LOOSE_CLOCK_SPEC)
     return e.select("event_id", _ts_text().alias("ts"), "pid", "message")
 
 
+def q_parse_syslog_days(spark, d):
+    events = table(spark, d, "events").select("ts", "event_id", "user_id", "event_type")
+    e = parse_entries(syslog_lines(events).withColumnRenamed("ts", "event_ts"), SYSLOG_SPEC)
+    return e.select("event_id", _ts_text().alias("ts"), "message")
+
+
 def q_parse_whole_line(spark, d):
     return document_entries(spark, d).select("doc_id", "line_no", "message", "level", "pid")
 
@@ -331,9 +385,13 @@ def q_required_properties(spark, d):
 
 
 def q_numeric_property(spark, d):
-    """``props.k`` is a JSON number, so a property test on it never holds."""
+    """``props.k`` is a JSON number: the key is there, and a property test on it never holds."""
     e = entries_from_table(table(spark, d, "events"), message="event_type", payload_json="props", keep=["event_id"])
-    return e.filter(has_properties(F.col("event_data"), {"k": "."})).select("event_id")
+    return e.select(
+        "event_id",
+        F.coalesce(F.map_contains_key("event_data", F.lit("k")), F.lit(False)).alias("has_k"),
+        has_properties(F.col("event_data"), {"k": "."}).alias("k_matches"),
+    )
 
 
 def q_table_payload_count(spark, d):
@@ -350,7 +408,9 @@ QUERIES = {
     "count_empty": q_count_empty,
     "count_payload": q_count_payload,
     "count_documents": q_count_documents,
+    "count_deep_patterns": q_count_deep_patterns,
     "count_report": q_count_report,
+    "count_report_empty": q_count_report_empty,
     "table_payload_count": q_table_payload_count,
     "funnel_steps": q_funnel_steps,
     "funnel_drop_offs": q_funnel_drop_offs,
@@ -368,11 +428,13 @@ QUERIES = {
     "count_page_html": q_count_page_html,
     "parse_page_titles": q_parse_page_titles,
     "funnel_report": q_funnel_report,
+    "funnel_report_empty": q_funnel_report_empty,
     "text_log_scan": q_text_log_scan,
     "text_log_parse_stats": q_text_log_parse_stats,
     "parse_logcat": q_parse_logcat,
     "parse_three_group": q_parse_three_group,
     "parse_bad_timestamp": q_parse_bad_timestamp,
+    "parse_syslog_days": q_parse_syslog_days,
     "parse_whole_line": q_parse_whole_line,
     "parse_document_fields": q_parse_document_fields,
     "parse_stats": q_parse_stats,

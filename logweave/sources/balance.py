@@ -8,29 +8,21 @@ from pyspark.sql import functions as F
 __all__ = ["spread"]
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` tasks when its scan is coarser.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over ``partitions`` tasks; without a number, ``df`` as it is.
 
-    A table stored as a few large row groups scans as a few tasks, leaving the
-    per-row regex and JSON work on a few cores.  Inputs already split at least
-    that finely (any large table) are returned unchanged, so this costs nothing
-    at scale.  Only for row sources whose order lives in columns: a text log's
-    line order is physical and must not be shuffled.
+    For the caller who knows that a table is stored in too few row groups for the CPU-heavy
+    per-row work that follows.  Every column of ``df`` crosses the shuffle, so
+    select the needed ones first.  Only for row sources whose order lives in
+    columns: a text log's line order is physical and must not be shuffled.
 
     The spread rows pass a one-to-one generator, so predicates written later
     (a line-format regex, say) run after the shuffle on all cores instead of
-    being pushed back into the coarse scan.  Select the needed columns first:
-    every column of ``df`` crosses the shuffle.
+    being pushed back into the coarse scan.
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    try:
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access keep the input as is
-        return df
-    if current >= target:
+    if partitions is None:
         return df
     # round-robin, not a hash of the content: repeated rows (copied lines) would
     # all hash to one task
-    spread_rows = df.repartition(target)
+    spread_rows = df.repartition(partitions)
     return spread_rows.select(F.inline(F.array(F.struct(*[F.col(c) for c in spread_rows.columns]))))

@@ -7,9 +7,9 @@ from logweave.operators.parse import parse_entries, parse_stats
 from logweave.sources.text import LINE_ORDER, read_log_lines
 from logweave.specs import ParserSpec
 
-LOGCAT = r"^(\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\s+(\d+)\s+(\d+)\s+([VDIWEFS])\s+([^:]+):\s*(.*)$"
-LOGCAT_SPEC = ParserSpec(timestamp_format="MM-dd HH:mm:ss.SSS", event_regex=r".*Metrics: (.*)", json_extraction=True,
-                         log_line_regex=LOGCAT)
+SIX_FIELDS = r"^(\d\d/\d\d \d\d:\d\d:\d\d\.\d{3}) \[(\d+):(\d+)\] ([A-Z]) ([\w ]+) - (.*)$"
+SIX_SPEC = ParserSpec(timestamp_format="MM/dd HH:mm:ss.SSS", event_regex=r"metrics - (.*)", json_extraction=True,
+                      log_line_regex=SIX_FIELDS)
 
 
 def rows(df, *cols):
@@ -24,30 +24,30 @@ def test_default_parser_is_whole_trimmed_line(lines_df):
     assert df.select(F.col("event_data").isNull()).distinct().collect()[0][0] is True
 
 
-def test_logcat_fields_and_json_payload(lines_df):
+def test_six_fields_and_json_payload(lines_df):
     lines = [
-        '03-04 08:01:02.500  77  78 D Metrics: {"event": "open", "account": "a7", "n": 5}',
-        "03-04 08:01:03.250  77  79 I Metrics: Event open for account_7",
-        "not a logcat line",
-        '02-29 23:59:59.999  1  2 W Tag with space: {"event": 5}',
+        '03/04 08:01:02.500 [77:78] D metrics - {"event": "open", "account": "a7", "n": 5}',
+        "03/04 08:01:03.250 [77:79] I metrics - Event open for account_7",
+        "not a line of that layout",
+        '02/29 23:59:59.999 [1:2] W Tag with space - {"event": 5}',
     ]
-    df = parse_entries(lines_df(lines), LOGCAT_SPEC)
+    df = parse_entries(lines_df(lines), SIX_SPEC)
     got = rows(
         df, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), "pid", "tid", "level", "tag", "message",
         string_prop(F.col("event_data"), "event"), string_prop(F.col("event_data"), "account"),
         F.col("event_data").isNull(),
     )
     assert got == [
-        ("2000-03-04 08:01:02.500", 77, 78, "D", "Metrics", '{"event": "open", "account": "a7", "n": 5}', "open", "a7", False),
-        ("2000-03-04 08:01:03.250", 77, 79, "I", "Metrics", "Event open for account_7", None, None, True),
+        ("2000-03-04 08:01:02.500", 77, 78, "D", "metrics", '{"event": "open", "account": "a7", "n": 5}', "open", "a7", False),
+        ("2000-03-04 08:01:03.250", 77, 79, "I", "metrics", "Event open for account_7", None, None, True),
         ("2000-02-29 23:59:59.999", 1, 2, "W", "Tag with space", '{"event": 5}', None, None, False),
     ]
 
 
 def test_three_groups_are_positional(lines_df):
     # groups: 1 timestamp, 2 -> pid (not a number: 0), 3 -> tid (0); message is the last group
-    spec = ParserSpec(timestamp_format="HH:mm:ss", log_line_regex=r"^(\d{2}:\d{2}:\d{2})\s+([A-Z]+)\s+(.*)$")
-    df = parse_entries(lines_df(["08:01:02 WARN Basket [add] item_9 by account_7", "08:01:03 INFO 42"]), spec)
+    spec = ParserSpec(timestamp_format="HH:mm:ss", log_line_regex=r"^<(\S+)> (\w+) = (.*)$")
+    df = parse_entries(lines_df(["<08:01:02> WARN = Basket [add] item_9 by account_7", "<08:01:03> INFO = 42"]), spec)
     assert rows(df, "level", "tag", "pid", "tid", "message", F.date_format("ts", "HH:mm:ss")) == [
         ("", "", 0, 0, "Basket [add] item_9 by account_7", "08:01:02"), ("", "", 0, 42, "42", "08:01:03")]
 
@@ -150,15 +150,40 @@ def test_wall_clock_text_ignores_the_session_zone(spark):
 
 def test_filters_on_parsed_entries_keep_their_meaning(lines_df):
     lines = [
-        '03-04 08:01:02.500  77  78 D Metrics: {"event": "open", "account": "a7"}',
-        "03-04 08:01:03.250  77  79 I Metrics: Event open for account_7",
-        '03-04 08:01:04.000  12  13 W Metrics: {"event": "close", "account": "b1"}',
+        '03/04 08:01:02.500 [77:78] D metrics - {"event": "open", "account": "a7"}',
+        "03/04 08:01:03.250 [77:79] I metrics - Event open for account_7",
+        '03/04 08:01:04.000 [12:13] W metrics - {"event": "close", "account": "b1"}',
         "bad line",
     ]
-    e = parse_entries(lines_df(lines), LOGCAT_SPEC)
+    e = parse_entries(lines_df(lines), SIX_SPEC)
     everything = {r.line_no: r for r in e.collect()}
     expected = sorted(n for n, r in everything.items() if r.event_data is not None and r.pid == 77)
     got = sorted(r.line_no for r in e.filter(F.col("event_data").isNotNull() & (F.col("pid") == 77)).collect())
     assert got == expected == [0]
     msg = sorted(r.line_no for r in e.filter(F.col("message").contains("open")).collect())
     assert msg == [0, 1]
+
+
+# Line formats and layouts published for Android logs and for plain structured logs.
+PUBLISHED = [
+    (r"^(\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\s+(\d+)\s+(\d+)\s+([VDIWEFS])\s+([^:]+):\s*(.*)$", "01-02 15:04:05.000",
+     "03-04 08:01:02.500  77  78 D Tag: text", ("2000-03-04 08:01:02.5", 77, 78, "D", "Tag", "text")),
+    (r"^(\d{2}:\d{2}:\d{2})\s+([A-Z]+)\s+(.*)$", "15:04:05", "08:01:02 WARN text", ("2000-01-01 08:01:02", 0, 0, "", "", "text")),
+]
+
+
+def test_published_configurations_parse(lines_df):
+    for regex, layout, line, expected in PUBLISHED:
+        spec = ParserSpec.from_config({"timestamp_format": layout, "log_line_regex": regex})
+        df = parse_entries(lines_df([line]), spec)
+        assert rows(df, F.col("ts").cast("string"), "pid", "tid", "level", "tag", "message") == [expected]
+
+
+def test_deep_regexes_parse_like_any_other(lines_df):
+    # alternatives inside a repeated group: evaluated by RE2, groups, payload and filter alike
+    spec = ParserSpec(json_extraction=True, event_regex=r"(?:x|y)*=(\{.*\})", log_line_regex=r"^((?:a|bc)+) (\d+)(?: (\w+))? ?(.*)$")
+    long = "abc" * 100_000
+    df = parse_entries(lines_df([f"{long} 7 word rest", 'abca 8 xyx={"event": "e"}', "c 9", "a 5"]), spec)
+    assert rows(df, F.length("message"), "pid", "tid", string_prop(F.col("event_data"), "event")) == [
+        (4, 7, 0, None), (15, 8, 0, "e"), (0, 5, 0, None)]
+    assert tuple(parse_stats(lines_df([long + " 1", "zzz", ""]), spec).first()) == (3, 1, 1)

@@ -135,3 +135,37 @@ def test_differential_against_re2(spark, pattern):
     got = [r[0] for r in df.select(F.coalesce(search(F.col("s"), pattern), F.lit(False))).collect()]
     want = [duckdb.execute("SELECT regexp_matches(?, ?)", [t, pattern]).fetchone()[0] for t in DIFF_TEXTS]
     assert got == want
+
+
+@pytest.mark.parametrize(
+    "pattern,text,expected",
+    [
+        (r"^(?:\w|-)*$", "a-" * 500_000, True),
+        (r"^(?:\w|-)*$", "a-" * 500_000 + " ", False),
+        (r"^(?:a|b)*$", "ab" * 500_000, True),
+        (r"(\w+\s?)+$", "word " * 200_000, True),
+        (r"^(a+)+$", "a" * 1_000_000 + "b", False),
+        (r"(?:ab)+$", "ab" * 500_000, True),  # flat: Java loops
+        (r"(?:.x)+$", "é😀x" * 100_000, True),
+        (r"^\w+$", "w" * 1_000_000, True),
+    ],
+)
+def test_long_lines_neither_overflow_nor_stall(spark, pattern, text, expected):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(F.coalesce(search(F.col("t"), pattern), F.lit(False))).first()[0] is expected
+
+
+@pytest.mark.parametrize("pattern", [r"^(\d+)\s+([^:]+):\s*(.*)$", r"(?:\d{1,3}\.){3}\d", r"(?i)licen[cs]e", r"(?:a|b)?c", r"(ab)+"])
+def test_common_patterns_stay_in_java(pattern):
+    assert translate(pattern).flat
+
+
+@pytest.mark.parametrize("pattern", [r"\p{Foo}", r"[\p{greek}]", "(a{500}){500}", "(?:(?:a{10}){10}){11}", "(?P<n>a)(?P<n>b)"])
+def test_what_re2_refuses_is_refused_up_front(pattern):
+    with pytest.raises(RegexSyntaxError):
+        translate(pattern)
+
+
+def test_scripts_newer_than_the_jdk_are_left_to_re2(spark):
+    assert not translate(r"\p{Kawi}").flat
+    assert matches(spark, "x", r"\p{Kawi}") is False

@@ -21,37 +21,37 @@ WHOLE_LINE = """09:00:01 alice login
 09:00:30 bob logout
 """
 
-STRUCTURED = """10:00:00 INFO user_1 view_product product_7
-10:00:02 INFO user_1 add_cart product_7
-10:00:03 DEBUG cache warm
-10:00:05 INFO user_2 view_product product_9
-10:00:07 INFO user_1 purchase product_7
-10:00:09 INFO user_2 add_cart product_9
-10:00:11 WARN user_2 payment retry
-10:00:12 INFO user_3 view_product product_2
-10:00:15 INFO user_2 logout
+STRUCTURED = """<10:00:00> INFO | user_1 view_product product_7
+<10:00:02> INFO | user_1 add_cart product_7
+<10:00:03> DEBUG | cache warm
+<10:00:05> INFO | user_2 view_product product_9
+<10:00:07> INFO | user_1 purchase product_7
+<10:00:09> INFO | user_2 add_cart product_9
+<10:00:11> WARN | user_2 payment retry
+<10:00:12> INFO | user_3 view_product product_2
+<10:00:15> INFO | user_2 logout
 not a structured line
 """
 STRUCTURED_SPEC = ParserSpec(timestamp_format=go_layout("15:04:05"),
-                             log_line_regex=r"^(\d{2}:\d{2}:\d{2})\s+([A-Z]+)\s+(.*)$")
-
-LOGCAT = """03-04 08:00:00.100  100  101 I ActivityManager: Start proc com.shop
-03-04 08:00:01.200  100  102 D Analytics: {"event": "page_view", "page": "home", "user": "a1"}
-03-04 08:00:01.900  100  102 D Analytics: {"event": "page_view", "page": "item", "user": "a1"}
-03-04 08:00:02.500  100  102 D Analytics: {"event": "add_to_cart", "item": "i9", "user": "a1"}
-03-04 08:00:03.000  100  103 W System: low memory
-03-04 08:00:04.250  100  102 D Analytics: {"event": "purchase", "total": 19.5, "user": "a1"}
-03-04 08:00:05.000  100  102 D Analytics: {"event": "page_view", "page": "home", "user": "b2"}
-03-04 08:00:06.000  100  102 D Analytics: page_view fallback text
-03-04 08:00:07.000  100  102 D Analytics: {"event": "add_to_cart", "item": "i3", "user": "b2"}
-03-04 08:00:08.000  100  102 D Analytics: {"event": 7}
+                             log_line_regex=r"^<(\S+)> ([A-Z]+) \| (.*)$")
+
+MIXED = """03/04 08:00:00.100 [100:101] I ActivityManager - Start proc com.shop
+03/04 08:00:01.200 [100:102] D metrics - {"event": "page_view", "page": "home", "user": "a1"}
+03/04 08:00:01.900 [100:102] D metrics - {"event": "page_view", "page": "item", "user": "a1"}
+03/04 08:00:02.500 [100:102] D metrics - {"event": "add_to_cart", "item": "i9", "user": "a1"}
+03/04 08:00:03.000 [100:103] W System - low memory
+03/04 08:00:04.250 [100:102] D metrics - {"event": "purchase", "total": 19.5, "user": "a1"}
+03/04 08:00:05.000 [100:102] D metrics - {"event": "page_view", "page": "home", "user": "b2"}
+03/04 08:00:06.000 [100:102] D metrics - page_view fallback text
+03/04 08:00:07.000 [100:102] D metrics - {"event": "add_to_cart", "item": "i3", "user": "b2"}
+03/04 08:00:08.000 [100:102] D metrics - {"event": 7}
 garbage line without format
 """
-LOGCAT_SPEC = ParserSpec(
-    timestamp_format=go_layout("01-02 15:04:05.000"),
-    event_regex=r".*Analytics: (.*)",
+MIXED_SPEC = ParserSpec(
+    timestamp_format=go_layout("01/02 15:04:05.000"),
+    event_regex=r"metrics - (.*)",
     json_extraction=True,
-    log_line_regex=r"^(\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3})\s+(\d+)\s+(\d+)\s+([VDIWEFS])\s+([^:]+):\s*(.*)$",
+    log_line_regex=r"^(\S+ \S+) \[(\d+):(\d+)\] ([A-Z]) (\w+) - (.*)$",
 )
 
 
@@ -104,8 +104,8 @@ def test_structured_sample(spark, tmp_path):
     assert [c for _, c, _ in steps] == [1, 1, 1]
 
 
-def test_logcat_json_sample(spark, tmp_path):
-    e = entries(spark, tmp_path, LOGCAT, LOGCAT_SPEC)
+def test_mixed_json_sample(spark, tmp_path):
+    e = entries(spark, tmp_path, MIXED, MIXED_SPEC)
     assert e.count() == 10
     # tags are not messages; a numeric event never matches; the plain-text payload falls back to the message
     assert counts(count_patterns(e, ["ActivityManager", "System", "page_view", "add_to_cart", "purchase"])) == {

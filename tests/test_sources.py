@@ -16,11 +16,9 @@ def test_lines_from_text_column_edges(spark):
     ]
 
 
-def test_spread_only_touches_coarse_inputs(spark):
-    target = spark.sparkContext.defaultParallelism
+def test_spread_only_on_request(spark):
     coarse = spark.range(100).coalesce(1)
-    spread_df = spread(coarse)
-    assert spread_df.rdd.getNumPartitions() == target
+    assert spread(coarse) is coarse
+    spread_df = spread(coarse, 3)
+    assert spread_df.rdd.getNumPartitions() == 3
     assert sorted(r.id for r in spread_df.collect()) == list(range(100))
-    fine = spark.range(100).repartition(target)
-    assert spread(fine) is fine
