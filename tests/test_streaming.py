@@ -1,5 +1,6 @@
 """Streaming count and funnel agree with the batch operators."""
 
+import os
 import random
 
 from logweave.operators.funnel import analyze_funnel
@@ -12,7 +13,9 @@ from logweave.streaming import FunnelStream, count_patterns_stream, read_log_str
 def write_files(folder, rng, n_files, per_file):
     words = ["view", "click", "buy", "noise"]
     for f in range(n_files):
-        (folder / f"log-{f:03d}.txt").write_text("".join(f"{rng.choice(words)} {i}\n" for i in range(per_file)))
+        file = folder / f"log-{f:03d}.txt"
+        file.write_text("".join(f"{rng.choice(words)} {i}\n" for i in range(per_file)))
+        os.utime(file, (1_700_000_000 + f, 1_700_000_000 + f))  # files arrive in the order of their names
 
 
 def test_funnel_stream_matches_batch(spark, tmp_path):

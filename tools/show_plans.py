@@ -14,7 +14,7 @@ from logweave.operators.funnel import analyze_funnel  # noqa: E402
 from logweave.operators.parse import parse_entries  # noqa: E402
 from logweave.plans import workloads as W  # noqa: E402
 from logweave.plans.derived import logcat_lines, write_lines  # noqa: E402
-from logweave.session import local_session, shared_dir  # noqa: E402
+from logweave.session import Scratch, local_session  # noqa: E402
 from logweave.sources.text import LINE_ORDER, SPLIT_CHUNK, read_log_lines  # noqa: E402
 
 KEEP = ("Scan", "Exchange", "Generate", "MapInPandas", "Aggregate", "Sort", "Union", "Project", "Filter",
@@ -24,7 +24,7 @@ KEEP = ("Scan", "Exchange", "Generate", "MapInPandas", "Aggregate", "Sort", "Uni
 def main():
     d = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = local_session(8)
-    log = write_lines(logcat_lines(W.table(spark, d, "events")), os.path.join(shared_dir(spark), "plans-log"))
+    log = write_lines(logcat_lines(W.table(spark, d, "events")), Scratch(spark, "plans").path("log"))
     cases = {
         "count_patterns": W.q_count_patterns(spark, d),
         "funnel_steps (table source)": W.q_funnel_steps(spark, d),
