@@ -1,8 +1,8 @@
 """Quality classifier: hashed word n-gram logistic regression, trained by FTRL.
 
 A text's features are its words, word pairs, and the words' shapes (letter case,
-digits and signs, runs collapsed) and shape pairs, hashed into ``2^18`` slots with
-counts, scaled to unit length.  Weights are learnt by follow-the-regularised-leader
+digits and signs, runs collapsed) and shape pairs, hashed into ``2^18`` slots; a slot's value is
+its share of the text's n-grams.  Weights are learnt by follow-the-regularised-leader
 (proximal) updates; a score is the logistic of a sparse dot product.
 
 Training uses at most ``max_train_rows`` labelled rows, the first in hash order of
@@ -19,58 +19,55 @@ clash with a result column, which then replaces them.
 
 from __future__ import annotations
 
-import re
 import sys
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import MULTIPLY, groups, mix, words_of
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["held_out", "features", "ftrl", "train", "score_documents", "SLOTS"]
+__all__ = ["held_out", "features", "ftrl", "train", "score_texts", "score_documents", "SLOTS"]
 
 SLOTS = 1 << 18
 RESULTS = ("held_out", "score", "predicted")
-_UPPER, _LOWER, _DIGIT, _RUN = re.compile(rb"[A-Z]"), re.compile(rb"[a-z\x80-\xff]"), re.compile(rb"[0-9]"), re.compile(rb"(.)\1+")
-
+SCALE = 10.0  # of the shares, so that common n-grams have values about 1
 
-class _Words(dict):
-    """word -> (hash of the word, hash of its shape); starts anew when it has a million words."""
 
-    def __missing__(self, word):
-        if len(self) > 1_000_000:
-            self.clear()
-        shape = _RUN.sub(rb"\1", _DIGIT.sub(b"9", _LOWER.sub(b"a", _UPPER.sub(b"A", word))))
-        pair = self[word] = (xxhash.xxh3_64_intdigest(word), xxhash.xxh3_64_intdigest(b"shape " + shape))
-        return pair
+def grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, owner): the slots of all n-grams of ``texts``, and the text each belongs to."""
+    w, owner, _, s = words_of(texts, shapes=True)
+    both = owner[1:] == owner[:-1]
+    again = (w[1:] == w[:-1]).astype(np.uint64)
+    pairs, forms = w[:-1] * MULTIPLY + w[1:], (s[:-1] * MULTIPLY + s[1:]) * MULTIPLY + again
+    hashes = np.concatenate([w, s, pairs[both], forms[both]])
+    owners = np.concatenate([owner, owner, owner[1:][both], owner[1:][both]])
+    return (mix(hashes) % np.uint64(SLOTS)).astype(np.int64), owners
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+def features(texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(slots, counts) of each text."""
+    slots, owner = grams(texts)
+    order = np.argsort(owner, kind="stable")
+    bounds = np.searchsorted(owner[order], np.arange(len(texts) + 1))
+    slots = slots[order]
+    return [np.unique(slots[a:b], return_counts=True) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def features(text: bytes | None, words: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, counts) of a text's hashed word and shape n-grams."""
-    tokens = (text or b"").split()
-    if not tokens:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    pairs = np.array(list(map(words.__getitem__, tokens)), np.uint64)
-    w, s = pairs[:, 0], pairs[:, 1]
-    step = np.uint64(0x9E3779B97F4A7C15)
-    again = (w[1:] == w[:-1]).astype(np.uint64)
-    grams = np.concatenate([w, s, w[:-1] * step + w[1:], (s[:-1] * step + s[1:]) * step + again])
-    return np.unique((_mix(grams) % np.uint64(SLOTS)).astype(np.int64), return_counts=True)
+def _value(counts: np.ndarray) -> np.ndarray:
+    return counts * (SCALE / max(1, counts.sum()))
 
 
-def _value(counts: np.ndarray) -> np.ndarray:
-    c = counts.astype(np.float64)
-    return c / np.sqrt((c * c).sum()) if len(c) else c
+def score_texts(texts: list, weights: np.ndarray) -> np.ndarray:
+    slots, owner = grams(texts)
+    sums = np.bincount(owner, weights=weights[slots], minlength=len(texts))
+    n = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+    return 1.0 / (1.0 + np.exp(-np.clip(sums * (SCALE / n) + float(weights[SLOTS]), -35.0, 35.0)))
 
 
 def ftrl(rows, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> np.ndarray:
@@ -97,13 +94,12 @@ def held_out(doc_id) -> F.Column:
 
 
 def _feature_task(batches):
-    words = _Words()
-    for batch in batches:
-        slots, counts = zip(*(features(t, words) for t in batch.column("text").cast(pa.binary()).to_pylist())) if batch.num_rows else ((), ())
+    for batch, first, texts in groups(batches):
+        made, part = features(texts), batch.slice(first, len(texts))
         yield pa.RecordBatch.from_pydict({
-            "label": batch.column("label").cast(pa.int32()), "turn": batch.column("turn"),
-            "slots": pa.array([x.astype(np.int32) for x in slots], pa.list_(pa.int32())),
-            "counts": pa.array([x.astype(np.int32) for x in counts], pa.list_(pa.int32())),
+            "label": part.column("label").cast(pa.int32()), "turn": part.column("turn"),
+            "slots": pa.array([s.astype(np.int32) for s, _ in made], pa.list_(pa.int32())),
+            "counts": pa.array([c.astype(np.int32) for _, c in made], pa.list_(pa.int32())),
         })
 
 
@@ -111,8 +107,9 @@ def _train_task(epochs):
     def run(batches):
         rows = []
         for pdf in batches:
-            rows += [(np.asarray(s, np.int64), np.asarray(c), y) for s, c, y in zip(pdf["slots"], pdf["counts"], pdf["label"])]
-        yield pd.DataFrame({"weights": [ftrl(rows, epochs).astype(np.float32).tobytes()] if rows else []})
+            rows += [(np.array(s, np.int32), np.array(c, np.int32), y) for s, c, y in zip(pdf["slots"], pdf["counts"], pdf["label"])]
+        if rows:
+            yield pd.DataFrame({"weights": [ftrl(rows, epochs).astype(np.float32).tobytes()]})
 
     return run
 
@@ -132,15 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train_rows: int = 10_000, e
 
 def _score_task(weights, names):
     def run(batches):
-        words, w = _Words(), weights.value
-        for batch in batches:
-            scores = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                slots, counts = features(text, words)
-                logit = float(w[slots] @ _value(counts)) + float(w[SLOTS])
-                scores.append(1.0 / (1.0 + np.exp(-min(max(logit, -35.0), 35.0))))
-            kept = {c: batch.column(c) for c in names}
-            yield pa.RecordBatch.from_pydict({**kept, "score": pa.array(scores, pa.float64())})
+        for batch, first, texts in groups(batches):
+            part = batch.slice(first, len(texts))
+            yield pa.RecordBatch.from_pydict({
+                **{c: part.column(c) for c in names}, "score": pa.array(score_texts(texts, weights.value), pa.float64())
+            })
 
     return run
 
