@@ -97,17 +97,19 @@ def best_paths(tree: DataFrame, scratch: Scratch, max_paths: int = 1) -> DataFra
         .select("conv_id", "node_id", F.col("_p").alias("parent_id"), "role", "text", "score"),
         "nodes",
     )
-    # jump k: the ancestor 2^k turns up, the score and the number of turns passed (the turn itself included)
+    # jump k: the ancestor 2^k turns up, the score and the number of turns passed (the turn itself included);
+    # a turn whose jump has left the tree is done, and only the others are joined again
     jump = nodes.select("conv_id", "node_id", F.col("parent_id").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("bigint").alias("turns"))
     total = nodes.count()
     jumps = [scratch.save(jump, "jump-0")]
     while (1 << (len(jumps) - 1)) <= total and jumps[-1].filter(F.col("up").isNotNull()).limit(1).count():
-        far = jumps[-1].select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), F.col("up").alias("_up"), F.col("sum").alias("_s"), F.col("turns").alias("_t"))
-        met = jumps[-1].join(far, _same("conv_id", "_c") & (F.col("up") == F.col("_n")), "left")
-        jumps.append(scratch.save(met.select(
-            "conv_id", "node_id", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_s", F.lit(0.0))).alias("sum"),
-            (F.col("turns") + F.coalesce("_t", F.lit(0))).alias("turns"),
-        ), f"jump-{len(jumps)}"))
+        last = jumps[-1]
+        far = last.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), F.col("up").alias("_up"), F.col("sum").alias("_s"), F.col("turns").alias("_t"))
+        met = last.filter(F.col("up").isNotNull()).join(far, _same("conv_id", "_c") & (F.col("up") == F.col("_n")))
+        further = met.select(
+            "conv_id", "node_id", F.col("_up").alias("up"), (F.col("sum") + F.col("_s")).alias("sum"), (F.col("turns") + F.col("_t")).alias("turns")
+        )
+        jumps.append(scratch.save(further.unionByName(last.filter(F.col("up").isNull())), f"jump-{len(jumps)}"))
     rooted = jumps[-1].filter(F.col("up").isNull())  # whoever still has an ancestor is caught in a cycle
     inner = nodes.filter(F.col("parent_id").isNotNull()).select(F.col("conv_id").alias("_c"), F.col("parent_id").alias("_p")).distinct()
     leaves = rooted.join(inner, _same("conv_id", "_c") & (F.col("node_id") == F.col("_p")), "left_anti")
