@@ -25,11 +25,12 @@ import sys
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import MULTIPLY, groups, words_of
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 __all__ = ["base_counts", "line_features", "fit_crf", "viterbi", "train", "judge_documents", "FEATURES"]
@@ -47,23 +48,14 @@ _CLASS[0x80:0xC0] = 2
 _CLASS[list(SYMBOLS)] = 3
 
 
-class _Hashes(dict):
-    def __missing__(self, word):
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _repeated_words(tokens: list[bytes], hashes: dict, width: int = 8) -> int:
-    """Words inside ``width``-word windows that occur twice or more, the first occurrence included."""
-    n = len(tokens)
+def _repeated_words(w: np.ndarray, width: int = 8) -> int:
+    """Words inside ``width``-word windows that occur twice or more, the first occurrence included; ``w`` are word hashes."""
+    n = len(w)
     if n <= width:
         return 0
-    w = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, n)
     h = np.zeros(n - width + 1, np.uint64)
     for i in range(width):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : n - width + 1 + i]
+        h = h * MULTIPLY + w[i : n - width + 1 + i]
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     if not same.any():
@@ -78,17 +70,21 @@ def _repeated_words(tokens: list[bytes], hashes: dict, width: int = 8) -> int:
     return int((np.cumsum(edge[:n]) > 0).sum())
 
 
-def base_counts(text: bytes | None, hashes: dict) -> tuple[int, int, int, int, int]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a whole text (UTF-8)."""
-    text = text or b""
-    tokens = text.split()
-    kinds = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=4)
-    seen, dup = set(), 0
-    for line in text.split(b"\n"):
-        if line.strip():
-            dup += line in seen
-            seen.add(line)
-    return len(tokens), int(kinds[0] + kinds[3]), int(kinds[3]), dup, _repeated_words(tokens, hashes)
+def base_counts(texts: list) -> list[tuple[int, int, int, int, int]]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of whole texts (UTF-8)."""
+    w, _, n_words, _ = words_of(texts)
+    bounds, out = np.concatenate([[0], np.cumsum(n_words)]), []
+    for i, text in enumerate(texts):
+        text = text or b""
+        kinds = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=4)
+        seen, dup = set(), 0
+        for line in text.split(b"\n"):
+            if line.strip():
+                dup += line in seen
+                seen.add(line)
+        repeated = _repeated_words(w[bounds[i] : bounds[i + 1]])
+        out.append((int(n_words[i]), int(kinds[0] + kinds[3]), int(kinds[3]), dup, repeated))
+    return out
 
 
 def line_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -225,11 +221,10 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = 4000, see
 
 def _judge_task(model, min_words, max_repeat, min_share):
     def run(batches):
-        hashes, (weights, move) = _Hashes(), model.value
-        for batch in batches:
+        weights, move = model.value
+        for batch, first, texts in groups(batches):
             out = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept", "marks")}
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                counts = base_counts(text, hashes)
+            for text, counts in zip(texts, base_counts(texts)):
                 rows, words = line_features(text)
                 share, marks = 0.0, ""
                 if len(rows):
@@ -241,7 +236,7 @@ def _judge_task(model, min_words, max_repeat, min_share):
                 for k, v in zip(out, (*counts, failed, share, not failed and share >= min_share, marks)):
                     out[k].append(v)
             types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **{k: pa.array(v, t) for (k, v), t in zip(out.items(), types)}})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, len(texts)), **{k: pa.array(v, t) for (k, v), t in zip(out.items(), types)}})
 
     return run
 
