@@ -36,7 +36,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 __all__ = ["base_counts", "line_features", "fit_crf", "viterbi", "train", "judge_documents", "FEATURES"]
 
 FEATURES = (
-    "words", "short", "upper", "digits", "symbols", "bang", "other_signs", "closed", "distinct", "adjacent", "word_length", "seen", "signed_words",
+    "words", "short", "upper", "digits", "symbols", "bang", "other_signs", "closed", "distinct", "adjacent", "word_length", "seen", "signed_words", "bars",
 )
 # The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -106,6 +106,7 @@ def line_features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
             float(tokens[-1][-1:] in b".!?:;\"'"), len(set(tokens)) / n,
             sum(a == b for a, b in zip(tokens, tokens[1:])) / n, min(1.0, chars / n / 16), float(line in seen),
             sum(t[-1] in _SIGNS and t[-2:-1] in (b"!", b"#", b"*", b"$", b"%", b"&") for t in tokens) / n,
+            min(1.0, 3 * tokens.count(b"|") / n),
         ))
         counts.append(n)
         seen.add(line)
@@ -155,10 +156,11 @@ def _gradient(x, y, mask, weights, move):
     return grad_w, grad_m
 
 
-def fit_crf(sequences, steps: int = 80, rate: float = 0.3, l2: float = 1e-3, chunk: int = 64):
+def fit_crf(sequences, steps: int = 120, rate: float = 0.3, l2: float = 1e-4, move_l2: float = 1e-2, chunk: int = 64):
     """(weights, move) from (features, label) per document; the last weight is the bias.
 
-    Long documents are cut into chunks of ``chunk`` lines; chunks of similar length share a padded batch."""
+    Long documents are cut into chunks of ``chunk`` lines; chunks of similar length share a padded batch.
+    Moves are held small (``move_l2``): the labels are whole documents', which would tie a line to its neighbours."""
     groups: dict[int, list] = {}
     for rows, label in sequences:
         for a in range(0, len(rows), chunk):
@@ -172,13 +174,14 @@ def fit_crf(sequences, steps: int = 80, rate: float = 0.3, l2: float = 1e-3, chu
             lines += len(part)
         batches.append((x, y, mask))
     theta = np.zeros(len(FEATURES) + 1 + 4)
+    hold = np.append(np.full(len(FEATURES) + 1, l2), np.full(4, move_l2))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         grad = np.zeros_like(theta)
         for x, y, mask in batches:
             w, m = _gradient(x, y, mask, theta[:-4], theta[-4:].reshape(2, 2))
             grad += np.concatenate([w, m.ravel()])
-        grad = grad / max(1, lines) - l2 * theta
+        grad = grad / max(1, lines) - hold * theta
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad
         theta += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return theta[:-4], theta[-4:].reshape(2, 2)
