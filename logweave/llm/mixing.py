@@ -171,23 +171,24 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     table has it.  Rows that share doc_id, source and size share one plan: the
     repeated row's plans are dealt out by rank.
     """
-    plan = mix_plan(docs, **settings)
-    rank = Window.partitionBy("doc_id", "source", "size")
-    plan = plan.filter("taken > 0").withColumn("_rank", F.row_number().over(rank.orderBy("passes", F.col("spans").cast("string"))))
-    plan = plan.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "_rank",
-        F.col("passes").alias("_passes"), F.col("spans").alias("_spans"),
-    )
+    keys = ["_id", "_no_id", "_src", "_no_src", "_size"]  # without nulls, so that windows and join share one exchange
+
+    def keyed(df: DataFrame, doc_id: Column, source: Column, size: Column) -> DataFrame:
+        return df.withColumns({
+            "_id": F.coalesce(doc_id.cast("string"), F.lit("")), "_no_id": doc_id.isNull(),
+            "_src": F.coalesce(source, F.lit("")), "_no_src": source.isNull(), "_size": size,
+        })
+
+    rank = Window.partitionBy(*keys)
+    plan = mix_plan(docs, **settings).filter("taken > 0")
+    plan = keyed(plan, F.col("doc_id"), F.col("source"), F.col("size"))
+    plan = plan.withColumn("_rank", F.row_number().over(rank.orderBy("passes", F.col("spans").cast("string"))))
+    plan = plan.select(*keys, "_rank", F.col("passes").alias("_passes"), F.col("spans").alias("_spans"))
     names = docs.columns
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
-    sized = sized.withColumn("doc_id", F.col("_doc.doc_id")).withColumn("source", F.col("_doc.source"))
-    sized = sized.withColumn("size", word_count(F.col("_doc.text")))
-    sized = sized.withColumn("_rank", F.row_number().over(rank.orderBy(F.xxhash64("_doc.text"))))
-    rows = sized.join(
-        plan.hint("merge"),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src"))
-        & (F.col("size") == F.col("_size")) & (sized["_rank"] == plan["_rank"]),
-    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
+    rows = keyed(rows, F.col("_doc.doc_id"), F.col("_doc.source"), word_count(F.col("_doc.text")))
+    rows = rows.withColumn("_rank", F.row_number().over(rank.orderBy(F.xxhash64("_doc.text"))))
+    rows = rows.join(plan.hint("merge"), [*keys, "_rank"])
     words = F.regexp_extract_all(F.col("_doc.text"), F.lit(f"({WORD}(?:{WHITE})?)"), F.lit(1))
     cut = F.array_join(
         F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), ""
