@@ -135,7 +135,7 @@ def mix_plan(
     weights: Sequence[float] = (5, 2, 1),
     max_repeat: int = 3,
     block_words: int = 64,
-    shard_words: int = 1 << 22,
+    shard_words: int = 1 << 19,
     seed: int = 20,
 ) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, taken, passes, spans``.
