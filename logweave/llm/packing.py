@@ -33,7 +33,6 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
@@ -189,8 +188,11 @@ def pack_pieces(
     rule: str = "norm",
     rank_buckets: int = 64,
 ) -> DataFrame:
-    """``pieces[doc_id, piece, start, length, ...]`` plus ``sequence_id BIGINT, offset BIGINT``."""
+    """``pieces[doc_id, piece, start, length, ...]`` plus ``sequence_id BIGINT, offset BIGINT``.
+
+    Columns of these names, or of the helper columns', are replaced."""
     scratch = Scratch(pieces.sparkSession, "pack")
+    pieces = pieces.drop("sequence_id", "offset", "rank", "_bucket", "_row", "_len", "_b", "_base")
     bucket = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(rank_buckets))
     held = scratch.save(pieces.withColumn("_bucket", bucket), "pieces")
     sizes = scratch.save(held.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "sizes")

@@ -51,17 +51,20 @@ def _integer_task(scale):
         for batch in batches:
             ids, vectors = batch.column("id"), batch.column("vector")
             keep = pc.and_(pc.is_valid(ids), pc.is_valid(vectors))
+            ids, vectors = ids.filter(keep), vectors.filter(keep)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(vectors).to_numpy(zero_copy_only=False))])
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # nulls turn into nan
+            whole, bad = np.floor(scale * flat), np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
             out_ids, out, norms, sizes = [], [], [], []
-            for i, v in zip(ids.filter(keep).to_pylist(), vectors.filter(keep)):
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls turn into nan
-                if not np.isfinite(x).all():
+            for row, i in enumerate(ids.to_pylist()):
+                a, b = int(ends[row]), int(ends[row + 1])
+                if bad[a] != bad[b]:
                     continue
-                x = np.floor(scale * x)
+                x = np.trim_zeros(whole[a:b], "b")
                 if len(x) and np.abs(x).max() >= LIMIT:
                     raise ValueError(f"vector {i}: a component is beyond {LIMIT} after scaling")
-                x = np.trim_zeros(x, "b").astype("<i4")
-                out_ids.append(i), out.append(x.tobytes()), sizes.append(len(x))
-                norms.append(float(np.sqrt((x.astype(np.float64) ** 2).sum())))
+                out_ids.append(i), out.append(x.astype("<i4").tobytes()), sizes.append(len(x))
+                norms.append(float(np.sqrt(x @ x)))
             yield pa.RecordBatch.from_pydict({
                 "vec_id": pa.array(out_ids, pa.int64()), "v": pa.array(out, pa.binary()),
                 "norm": pa.array(norms, pa.float64()), "size": pa.array(sizes, pa.int32()),
