@@ -37,17 +37,17 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_hash
 from .components import components
+from .hashing import MULTIPLY, groups, mix, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["near_duplicates", "keep_one", "shingle_set", "Order"]
+__all__ = ["near_duplicates", "keep_one", "shingle_hashes", "shingle_sets", "Order"]
 
 BUCKET_BITS = 18
 FRAGMENTS = 8
@@ -55,35 +55,27 @@ _REST = np.uint64(64 - BUCKET_BITS)
 _CHUNK = 4096  # counters per row of a task's partial count
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash; a cache that starts anew when it has a million words."""
-
-    def __missing__(self, word):
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def shingle_hashes(text: bytes, k: int, words: dict) -> np.ndarray:
-    """64-bit hashes of the k-word shingles of ``text`` in order, repeats included.
-
-    ``bytes.lower`` folds A-Z alone and ``bytes.split`` cuts at exactly space and 09-0D."""
-    tokens = text.lower().split()
-    n = len(tokens)
-    if not n:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(words.__getitem__, tokens), np.uint64, n)
-    width = min(n, k)
-    h = np.full(n - width + 1, width, np.uint64)
-    for i in range(width):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : n - width + 1 + i]
-    return _mix(h)
+def shingle_hashes(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): text i's k-word shingles, in order with repeats, are ``hashes[bounds[i]:bounds[i + 1]]``.
+
+    A-Z are folded.  Fewer than k words make one shingle, the whole sequence."""
+    w, owner, n_words, _ = words_of(texts, lower=True)
+    counts = np.where(n_words >= k, n_words - k + 1, np.minimum(n_words, 1))
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    out = np.empty(bounds[-1], np.uint64)
+    long = np.repeat(n_words >= k, counts)
+    if len(w) >= k:
+        h = np.full(len(w) - k + 1, k, np.uint64)
+        for i in range(k):
+            h = h * MULTIPLY + w[i : len(w) - k + 1 + i]
+        out[long] = h[owner[: len(owner) - k + 1] == owner[k - 1 :]]
+    firsts = np.concatenate([[0], np.cumsum(n_words)])
+    for i in np.flatnonzero((n_words > 0) & (n_words < k)):
+        h = n_words[i : i + 1].astype(np.uint64)
+        for j in range(firsts[i], firsts[i + 1]):
+            h = h * MULTIPLY + w[j : j + 1]
+        out[bounds[i]] = h[0]
+    return mix(out), bounds
 
 
 class Order(NamedTuple):
@@ -103,35 +95,32 @@ def order_of(counts: np.ndarray, fragments: int = FRAGMENTS) -> Order:
     return Order(rank, np.unique(cuts).astype(np.uint64) << _REST)
 
 
-def places_of(hashes: np.ndarray, order: Order) -> np.ndarray:
-    """The sorted distinct places of shingle hashes; the map is one to one."""
-    bucket = hashes & np.uint64((1 << BUCKET_BITS) - 1)
-    return np.unique((order.rank[bucket] << _REST) | (hashes >> np.uint64(BUCKET_BITS)))
+def shingle_sets(texts: list, k: int, order: Order) -> list[np.ndarray]:
+    """The set of each text, as sorted places."""
+    hashes, bounds = shingle_hashes(texts, k)
+    bucket = (hashes & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
+    places = (order.rank[bucket] << _REST) | (hashes >> np.uint64(BUCKET_BITS))
+    return [_distinct(places[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def shingle_set(text: bytes | None, k: int, words: dict, order: Order) -> np.ndarray:
-    return places_of(shingle_hashes(text or b"", k, words), order)
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    new = x[1:] != x[:-1]
+    return x if new.all() else np.concatenate([x[:1], x[1:][new]])
 
 
 def digest(places: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums over the set, as signed numbers."""
-    one = _mix(places + np.uint64(0x8CB92BA72F3D8DD7)).sum(dtype=np.uint64)
-    two = _mix(_mix(places ^ np.uint64(0xA24BAED4963EE407))).sum(dtype=np.uint64)
+    one = mix(places + np.uint64(0x8CB92BA72F3D8DD7)).sum(dtype=np.uint64)
+    two = mix(mix(places ^ np.uint64(0xA24BAED4963EE407))).sum(dtype=np.uint64)
     return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
-def _texts(batch: pa.RecordBatch) -> list:
-    return batch.column("text").cast(pa.binary()).to_pylist()
-
-
 def _count_task(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = WordHashes(), np.zeros(1 << BUCKET_BITS, np.int64)
-        mask = np.uint64((1 << BUCKET_BITS) - 1)
-        for batch in batches:
-            for text in _texts(batch):
-                if text:
-                    np.add.at(counts, (shingle_hashes(text, k, words) & mask).astype(np.int64), 1)
+        counts, mask = np.zeros(1 << BUCKET_BITS, np.int64), np.uint64((1 << BUCKET_BITS) - 1)
+        for _, _, texts in groups(batches):
+            counts += np.bincount((shingle_hashes(texts, k)[0] & mask).astype(np.int64), minlength=len(counts))
         chunks = range(0, len(counts), _CHUNK)
         yield pa.RecordBatch.from_pydict({
             "chunk": pa.array([c // _CHUNK for c in chunks], pa.int32()),
@@ -158,24 +147,24 @@ def global_order(docs: DataFrame, k: int) -> Order:
     return order_of(counts)
 
 
+def _long_lists(parts: list) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    values = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+
+
 def _prefix_task(k: int, top: int, whole: int, order):
     def run(batches):
-        words, ranks = WordHashes(), Order(*order.value)
-        for batch in batches:
-            n, node, node2, ends, flat = [], [], [], [0], []
-            for text in _texts(batch):
-                places = shingle_set(text, k, words, ranks)
-                size = len(places)
-                a, b = digest(places) if size else (None, None)
-                n.append(size), node.append(a), node2.append(b)
-                prefix = places[: size - (-(-top * size // whole)) + 1] if size else places
-                flat.append(prefix.view(np.int64))
-                ends.append(ends[-1] + len(prefix))
-            values = np.concatenate(flat) if flat else np.empty(0, np.int64)
+        ranks = Order(*order.value)
+        for batch, first, texts in groups(batches):
+            sets = shingle_sets(texts, k, ranks)
+            sizes = [len(x) for x in sets]
+            marks = [digest(x) if n else (None, None) for x, n in zip(sets, sizes)]
+            part = batch.slice(first, len(texts))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"),
-                "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "node2": pa.array(node2, pa.int64()),
-                "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64())),
+                "doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "n": pa.array(sizes, pa.int64()),
+                "node": pa.array([m[0] for m in marks], pa.int64()), "node2": pa.array([m[1] for m in marks], pa.int64()),
+                "prefix": _long_lists([x[: n - (-(-top * n // whole)) + 1] if n else x for x, n in zip(sets, sizes)]),
             })
 
     return run
@@ -203,7 +192,7 @@ def _bloom_task(bits: int):
 
 def _bloom_slots(bits: int, nodes: np.ndarray):
     for s in _BLOOM_SEEDS:
-        yield _mix(nodes + np.uint64(s * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(bits)
+        yield mix(nodes + np.uint64(s * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(bits)
 
 
 def _bloom_add(seen: np.ndarray, nodes: np.ndarray) -> None:
@@ -211,9 +200,11 @@ def _bloom_add(seen: np.ndarray, nodes: np.ndarray) -> None:
         np.bitwise_or.at(seen, (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
 
 
-def _bloom_has(seen: np.ndarray, node: int) -> bool:
-    one = np.array([node], np.int64).view(np.uint64)
-    return all(seen[int(s[0]) >> 3] >> (int(s[0]) & 7) & 1 for s in _bloom_slots(len(seen) * 8, one))
+def _bloom_has(seen: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    out = np.ones(len(nodes), bool)
+    for slot in _bloom_slots(len(seen) * 8, nodes):
+        out &= (seen[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
 def _or_bits(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -223,11 +214,12 @@ def _or_bits(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [total.tobytes()]})
 
 
-def _node_filter(nodes: DataFrame, bits: int = 1 << 24):
-    """A Bloom filter of fixed size (2 MB) over candidate classes, broadcast.
+def _node_filter(nodes: DataFrame):
+    """A Bloom filter over the keys in ``node``, broadcast: 16 bits a key, 2^20 at least and 2^30 (128 MB) at most.
 
-    It only spares the segments of documents in no pair from being shuffled;
+    It only spares the segments of documents in no pair from being written;
     where it lets others through, the joins drop them."""
+    bits = 1 << min(30, max(20, (16 * nodes.count()).bit_length()))
     parts = nodes.mapInArrow(_bloom_task(bits), "chunk int, bits binary")
     seen = np.zeros(bits // 8, np.uint8)
     for row in parts.groupBy("chunk").applyInPandas(_or_bits, "chunk int, bits binary").collect():
@@ -235,53 +227,81 @@ def _node_filter(nodes: DataFrame, bits: int = 1 << 24):
     return nodes.sparkSession.sparkContext.broadcast(seen)
 
 
-def _segment_task(k: int, order, wanted):
+def _select_task(wanted):
     def run(batches):
-        words, ranks, seen = WordHashes(), Order(*order.value), wanted.value
         for batch in batches:
-            node, n, frag, ends, flat, done = [], [], [], [0], [], set()
-            for text in _texts(batch):
-                places = shingle_set(text, k, words, ranks)
-                if not len(places):
-                    continue
-                own = digest(places)[0]
-                if own in done or not _bloom_has(seen, own):
+            nodes = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(_bloom_has(wanted.value, nodes)))
+
+    return run
+
+
+def _segment_task(k: int, order, wanted):
+    def run(batches):
+        ranks, seen, done = Order(*order.value), wanted.value, set()
+        for batch, first, texts in groups(batches):
+            keys = batch.column("node").slice(first, len(texts)).to_numpy(zero_copy_only=False).view(np.uint64)
+            node, n, frag, seg = [], [], [], []
+            for places in shingle_sets([texts[i] for i in np.flatnonzero(_bloom_has(seen, keys))], k, ranks):
+                if not len(places) or (own := digest(places)[0]) in done:
                     continue
-                done.add(own)
+                if len(done) < 1_000_000:
+                    done.add(own)
                 cuts = [0, *np.searchsorted(places, ranks.pivots).tolist(), len(places)]
                 for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                     if a < b:
-                        node.append(own), n.append(len(places)), frag.append(f)
-                        flat.append(places[a:b].view(np.int64))
-                        ends.append(ends[-1] + b - a)
-            values = np.concatenate(flat) if flat else np.empty(0, np.int64)
+                        node.append(own), n.append(len(places)), frag.append(f), seg.append(places[a:b])
             yield pa.RecordBatch.from_pydict({
-                "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "frag": pa.array(frag, pa.int32()),
-                "seg": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64())),
+                "node": pa.array(node, pa.int64()), "n": pa.array(n, pa.int64()), "frag": pa.array(frag, pa.int32()), "seg": _long_lists(seg),
             })
 
     return run
 
 
-def _segments(docs: DataFrame, k: int, order, nodes: DataFrame) -> DataFrame:
-    """``node, n, frag, seg``: one row per class and fragment, for the classes in ``nodes``."""
-    rows = docs.select("text").mapInArrow(_segment_task(k, order, _node_filter(nodes)), "node bigint, n bigint, frag int, seg array<bigint>")
-    return rows.groupBy("node", "frag").agg(F.first("n").alias("n"), F.first("seg").alias("seg"))
+def _segments(docs: DataFrame, k: int, order, representatives: DataFrame) -> DataFrame:
+    """``node, n, frag, seg``: rows per class and fragment, from the row of ``docs`` that represents the class.
+
+    ``representatives[node]`` holds row keys; rows that repeat a key, or slip through the filter, give a
+    class's segment more than once."""
+    rows = docs.select("text", _row_key().alias("node"))
+    return rows.mapInArrow(_segment_task(k, order, _node_filter(representatives)), "node bigint, n bigint, frag int, seg array<bigint>")
+
+
+def _row_key():
+    return F.xxhash64("doc_id", "text_hash")
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, top: int, whole: int) -> DataFrame:
     """The pairs ``a, b`` that reach the threshold: partial overlaps per fragment, summed per pair."""
     left = segments.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "frag", F.col("seg").alias("seg_a"))
     right = segments.select(F.col("node").alias("_b"), F.col("n").alias("n_b"), F.col("frag").alias("_f"), F.col("seg").alias("seg_b"))
-    met = pairs.join(left, "a").join(right, (F.col("b") == F.col("_b")) & (F.col("frag") == F.col("_f")))
+    # the same joins at every size: a few pairs more would turn a broadcast into a shuffle anyway
+    met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), (F.col("b") == F.col("_b")) & (F.col("frag") == F.col("_f")))
     met = met.filter(whole * F.least("n_a", "n_b") >= top * F.greatest("n_a", "n_b"))
-    parts = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("seg_a", "seg_b")).cast("bigint").alias("part"))
+    parts = met.select("a", "b", "n_a", "n_b", "frag", F.size(F.array_intersect("seg_a", "seg_b")).cast("bigint").alias("part"))
+    parts = parts.groupBy("a", "b", "n_a", "n_b", "frag").agg(F.max("part").alias("part"))  # a segment may be there twice
     sums = parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("shared"))
     return sums.filter(whole * F.col("shared") >= top * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
-def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+def _verified(docs, k, order, classes, pairs, top, whole, scratch, label) -> DataFrame:
+    """The linked ones of ``pairs``.
+
+    First their prefixes are counted against each other: besides the places that both hold, only those behind
+    the prefix that ends first can be shared.  The documents that represent the classes of what is left are
+    cut into segments."""
+    nodes = pairs.select(F.col("a").alias("_n")).unionByName(pairs.select(F.col("b").alias("_n"))).distinct()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields)
+    likely = classes.mapInArrow(_select_task(_node_filter(nodes.withColumnRenamed("_n", "node"))), schema)
+    known = scratch.save(likely.join(nodes.hint("merge"), F.col("node") == F.col("_n")).drop("_n"), f"known-{label}")
+    sides = [known.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"p_{c}")) for c in ("a", "b")]
+    met = pairs.join(sides[0].hint("merge"), "a").join(sides[1].hint("merge"), "b")
+    most = F.size(F.array_intersect("p_a", "p_b")) + F.greatest(F.col("n_a") - F.size("p_a"), F.col("n_b") - F.size("p_b"))
+    close = scratch.save(met.filter((whole + top) * most >= top * (F.col("n_a") + F.col("n_b"))).select("a", "b"), f"close-{label}")
+    nodes = close.select(F.col("a").alias("_n")).unionByName(close.select(F.col("b").alias("_n"))).distinct()
+    keys = known.select("node", "key").join(nodes, F.col("node") == F.col("_n")).select(F.col("key").alias("node"))
+    segments = scratch.save(_segments(docs, k, order, keys), f"segments-{label}")
+    return _linked(close, segments, top, whole)
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 4, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -300,41 +320,49 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, threshold: tuple[int, int] =
         docs.mapInArrow(_prefix_task(k, top, whole, order), f"doc_id {id_type}, text_hash bigint, n bigint, node bigint, node2 bigint, prefix array<bigint>"),
         "prefixes",
     )
-    # one row per class, one row per class and prefix place
-    classes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    placed = classes.select("node", "n", F.posexplode("prefix").alias("pos", "place"))
-    # the document with the fewest rarer places of its own is the likeliest centre of the group; two more by hash
-    first = F.col("pos") * F.lit(1 << 40) + F.pmod(F.xxhash64("place", "node"), F.lit(1 << 40))
-    leaders = [F.min_by("node", key).alias(f"l{i}") for i, key in enumerate(
-        [first, F.xxhash64("place", "node", F.lit(1)), F.xxhash64("place", "node", F.lit(2))]
-    )]
-    shared = placed.groupBy("place").agg(F.count(F.lit(1)).alias("_c"), *leaders).filter("_c > 1").drop("_c")
-    meeting = scratch.save(placed.join(shared.withColumnRenamed("place", "_p"), F.col("place") == F.col("_p")).drop("_p"), "meeting")
-    led = meeting.select("node", F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("leader"))
-    pairs = scratch.save(_ordered(led, "node", "leader"), "pairs")
-    segments = scratch.save(
-        _segments(docs, k, order, meeting.select("node").distinct()), "segments"
+    # one row per class; then the prefix places that two classes or more share
+    classes = rows.filter("n > 0").groupBy("node").agg(
+        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(_row_key()).alias("key")
     )
-    links = scratch.save(_linked(pairs, segments, top, whole), "links")
+    classes = scratch.save(classes, "classes")
+    shared = classes.select(F.explode("prefix").alias("_p")).groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_p")
+    placed = classes.select("node", "n", F.posexplode("prefix").alias("pos", "place"))
+    meeting = scratch.save(placed.join(shared, F.col("place") == F.col("_p")).drop("_p"), "meeting")
+
+    def may_link(x: DataFrame, y: DataFrame, also=F.lit(True)) -> DataFrame:
+        """Pairs ``a, b`` of documents that share a prefix place and leave room for the threshold.
+
+        At the first place that a linked pair shares, at most n - pos places can still agree."""
+        room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+        met = x.join(
+            y,
+            (F.col("place") == F.col("_p")) & also & (F.col("node_x") != F.col("node_y"))
+            & (whole * F.least("n_x", "n_y") >= top * F.greatest("n_x", "n_y"))
+            & ((whole + top) * room >= top * (F.col("n_x") + F.col("n_y"))),
+        )
+        return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+    def renamed(df: DataFrame, side: str, names=("node", "n", "pos"), key: str = "place") -> DataFrame:
+        return df.select(F.col("place").alias(key), *[F.col(c).alias(f"{c}_{side}") for c in names])
+
+    # leaders: the document with the fewest rarer places of its own is the likeliest centre of a group; two more by
+    # a hash of the document alone, so that the many places which a group shares name the same few
+    keys = [F.struct("pos", F.xxhash64("node")), F.struct(F.xxhash64("node", F.lit(1))), F.struct(F.xxhash64("node", F.lit(2)))]
+    chosen = meeting.groupBy("place").agg(*[F.min_by(F.struct("node", "n", "pos"), key).alias(f"l{i}") for i, key in enumerate(keys)])
+    chosen = chosen.select("place", F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("l")).select("place", "l.*")
+    pairs = scratch.save(may_link(renamed(meeting, "x"), renamed(chosen, "y", key="_p")), "pairs")
+    links = scratch.save(_verified(docs, k, order, classes, pairs, top, whole, scratch, "first"), "links")
     roots = components(links, scratch, "first")
 
     # what leaders left apart: documents that share a place in different components
-    marked = meeting.select("place", "node", "n", "pos").join(roots, "node", "left")
-    marked = scratch.save(marked.select("place", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "marked")
-    split = marked.groupBy("place").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi")
-    apart = marked.join(split.select("place"), "place")
-    x = apart.select("place", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "root")])
-    y = apart.select(F.col("place").alias("_p"), *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "root")])
-    # at the first place that a linked pair shares, at most n - pos places can still agree
-    room = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    across = x.join(
-        y,
-        (F.col("place") == F.col("_p")) & (F.col("root_x") < F.col("root_y"))
-        & (whole * F.least("n_x", "n_y") >= top * F.greatest("n_x", "n_y"))
-        & ((whole + top) * room >= top * (F.col("n_x") + F.col("n_y"))),
-    )
-    rest = scratch.save(_ordered(across, "node_x", "node_y").join(pairs, ["a", "b"], "left_anti"), "rest")
-    late = scratch.save(_linked(rest, segments, top, whole), "late")
+    marked = meeting.join(roots, "node", "left").select("place", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    marked = scratch.save(marked, "marked")
+    split = marked.groupBy("place").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("place")
+    apart, names = marked.join(split, "place"), ("node", "n", "pos", "root")
+    across = may_link(renamed(apart, "x", names), renamed(apart, "y", names, "_p"), F.col("root_x") < F.col("root_y"))
+    rest = scratch.save(across.join(pairs, ["a", "b"], "left_anti"), "rest")
+    late = scratch.save(_verified(docs, k, order, classes, rest, top, whole, scratch, "second"), "late")
+    scratch.drop("classes", "meeting", "marked")
     final = components(links.unionByName(late), scratch, "final")
 
     # the smallest doc_id per class, then per component
