@@ -28,6 +28,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 __all__ = ["host_of", "path_of", "best_rule", "url_features", "judge_urls", "SUFFIX_BUCKETS"]
 
 SUFFIX_BUCKETS = 1024
@@ -67,6 +69,12 @@ def best_rule(host: Column, path: Column, rules: Mapping[str, str]) -> Column:
     return out
 
 
+def _once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``df`` plus ``columns``, from a one-element generator: each is computed once per row, not
+    copied into every expression that reads it."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def _entropy(text: Column) -> Column:
     """Bits per character: -sum p log2 p over the distinct characters."""
     chars = F.split(text, "")
@@ -99,8 +107,7 @@ def url_features(df: DataFrame) -> DataFrame:
         "f_hyphens": count(F.col("host"), "-"), "f_fragment": F.contains(url, F.lit("#")).cast("int"),
         "f_secure": F.startswith(F.lower(url), F.lit("https:")).cast("int"),
     }
-    out = df.withColumns({k: v.cast("double") for k, v in columns.items()})
-    return out.withColumns({
+    return _once(df, {k: v.cast("double") for k, v in columns.items()} | {
         "_b1": F.pmod(F.xxhash64(F.element_at(labels, -1)), F.lit(SUFFIX_BUCKETS)),
         "_b2": F.pmod(F.xxhash64(last2, F.lit(2)), F.lit(SUFFIX_BUCKETS)),
     })
@@ -128,9 +135,10 @@ def judge_urls(
     ``block`` where ``score >= cut``.
     """
     keep = [c for c in pages.columns if c not in RESULTS]
-    base = pages.select(*[F.col(f"`{c}`") for c in keep])
-    located = base.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    located = located.withColumn("rule", best_rule(F.col("host"), F.col("path"), rules))
+    # the row travels as one column, so its own names cannot clash with the features'
+    located = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_page"), F.col("url").alias("url"))
+    located = _once(located, {"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    located = _once(located, {"rule": best_rule(F.col("host"), F.col("path"), rules)})
     said = F.lit(None).cast("string")
     for rule, verdict in rules.items():
         said = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(said)
@@ -141,7 +149,8 @@ def judge_urls(
     n, blocked = known["n"], known["s"] or 0.0
     if n == 0 or blocked in (0.0, float(n)):
         score = F.lit(1.0 if n and blocked else 0.0)
-        return located.withColumn("score", score).withColumn("verdict", F.coalesce(said, F.when(score >= cut, "block").otherwise("allow")))
+        verdict = F.coalesce(said, F.when(score >= cut, "block").otherwise("allow"))
+        return located.withColumn("score", score).withColumn("verdict", verdict).select("_page.*", *RESULTS)
 
     featured = url_features(labelled)
     rates = {"1": _suffix_rates(featured, "_b1"), "2": _suffix_rates(featured, "_b2")}
@@ -159,9 +168,12 @@ def judge_urls(
     picked = featured.filter(F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(1 << 30)) < int(share * (1 << 30)))
     assembler = VectorAssembler(inputCols=_FEATURES, outputCol="_vector")
     train = assembler.transform(with_suffixes(picked)).select("label", F.col("_vector").alias("features"))
+    scratch = Scratch(pages.sparkSession, "urls")
+    train = scratch.save(train, "train")  # the fit reads it many times
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0).fit(train)
+    scratch.close()
     model.setFeaturesCol("_vector").setProbabilityCol("_probability").setPredictionCol("_prediction").setRawPredictionCol("_raw")
     scored = model.transform(assembler.transform(with_suffixes(url_features(located))))
     scored = scored.withColumn("score", vector_to_array("_probability")[1])
     verdict = F.coalesce(said, F.when(F.col("score") >= cut, "block").otherwise("allow"))
-    return scored.withColumn("verdict", verdict).select(*[F.col(f"`{c}`") for c in keep], *RESULTS)
+    return scored.withColumn("verdict", verdict).select("_page.*", *RESULTS)
