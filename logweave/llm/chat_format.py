@@ -119,6 +119,7 @@ def best_paths(tree: DataFrame, scratch: Scratch, max_paths: int = 1) -> DataFra
         step = jump.filter(F.col("up").isNotNull()).select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), "up")
         further = marked.join(step, _same("conv_id", "_c") & (F.col("node_id") == F.col("_n"))).select("conv_id", "path", F.col("up").alias("node_id"))
         marked = scratch.save(marked.unionByName(further), f"marked-{k}")
+        scratch.drop(f"marked-{k - 1}", *([f"jump-{k}"] if k < len(jumps) - 1 else []))
     depths = rooted.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), F.col("turns").alias("depth"))
     placed = marked.join(depths, _same("conv_id", "_c") & (F.col("node_id") == F.col("_n"))).drop("_c", "_n")
     words = nodes.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), "role", "text")

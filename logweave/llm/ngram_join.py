@@ -352,6 +352,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, threshold: tuple[int, int] =
     chosen = chosen.select("place", F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("l")).select("place", "l.*")
     pairs = scratch.save(may_link(renamed(meeting, "x"), renamed(chosen, "y", key="_p")), "pairs")
     links = scratch.save(_verified(docs, k, order, classes, pairs, top, whole, scratch, "first"), "links")
+    scratch.drop("known-first", "close-first", "segments-first")
     roots = components(links, scratch, "first")
 
     # what leaders left apart: documents that share a place in different components
@@ -362,7 +363,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, threshold: tuple[int, int] =
     across = may_link(renamed(apart, "x", names), renamed(apart, "y", names, "_p"), F.col("root_x") < F.col("root_y"))
     rest = scratch.save(across.join(pairs, ["a", "b"], "left_anti"), "rest")
     late = scratch.save(_verified(docs, k, order, classes, rest, top, whole, scratch, "second"), "late")
-    scratch.drop("classes", "meeting", "marked")
+    scratch.drop("classes", "meeting", "marked", "pairs", "rest", "known-second", "close-second", "segments-second")
     final = components(links.unionByName(late), scratch, "final")
 
     # the smallest doc_id per class, then per component

@@ -274,6 +274,7 @@ def top_k(
     floors = floors.join(owner, "query_id").select((F.col("_q") + 0).alias("q"), "query_id", F.col("floor").cast("double").alias("floor"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
     armed = scratch.save(queries.groupBy("q").cogroup(floors.groupBy("q")).applyInPandas(_floors(k), fields), "armed")
+    scratch.drop("vectors", "asked", "queries")
     # round two: every stripe, with the thresholds; the first block is done
     copies = armed.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
     rest = striped.filter(F.col("place") > 0).withColumn("q", each)
