@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 
@@ -21,8 +22,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 __all__ = ["MULTIPLY", "mix", "words_of", "groups"]
 
-_GROUP = 1 << 20  # bytes of text hashed at once
-_PIECE = 1 << 19
+_GROUP = 1 << 19  # bytes of text hashed at once
+_PIECE = 1 << 18
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _WHITE_RUN = re.compile(rb"[\x20\x09-\x0d]")
 # Each byte has a 64-bit number; a word's hash is the sum of its bytes' numbers times powers of an odd base.
@@ -108,12 +109,14 @@ def words_of(texts: list, lower: bool = False, shapes: bool = False):
 
 
 def groups(batches: Iterator[pa.RecordBatch]):
-    """(batch, first row, texts) runs of about ``_GROUP`` bytes of text."""
+    """(batch, first row, texts) runs of about ``_GROUP`` bytes of text; only a run's texts are Python objects."""
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        column = batch.column("text").cast(pa.binary())
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         first, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= _GROUP or i == len(texts) - 1:
-                yield batch, first, texts[first : i + 1]
+        for i, n in enumerate(sizes):
+            size += n
+            if size >= _GROUP or i == len(sizes) - 1:
+                yield batch, first, column.slice(first, i + 1 - first).to_pylist()
                 first, size = i + 1, 0
+        pa.default_memory_pool().release_unused()
