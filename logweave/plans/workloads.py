@@ -19,6 +19,7 @@ from ..operators.count import count_patterns, count_summary
 from ..operators.funnel import analyze_funnel
 from ..operators.parse import barrier, parse_entries, parse_stats
 from ..session import Scratch
+from ..sources.balance import spread
 from ..sources.table import entries_from_table, lines_from_text_column
 from ..sources.text import LINE_ORDER, SPLIT_CHUNK, read_log_lines
 from ..specs import FunnelSpec, ParserSpec, Step, go_layout
@@ -89,25 +90,25 @@ def event_entries(spark, sf_dir) -> DataFrame:
     return entries_from_table(table(spark, sf_dir, "events"), message="event_type", ts="ts", keep=["event_id"])
 
 
-def event_log_lines(spark, sf_dir) -> DataFrame:
-    """Lines derived from ``events``."""
+def event_log_lines(spark, sf_dir, partitions: int | None = None) -> DataFrame:
+    """Lines derived from ``events``, scanned as stored or spread over ``partitions`` tasks."""
     events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id", "event_type", "props")
-    lines = logcat_lines(events)
+    lines = logcat_lines(spread(events, partitions))
     # the line text is built once; the parser's filters then test the built text
     return barrier(lines, [F.col("ts").alias("event_ts"), F.col("event_id")], value=F.col("value"))
 
 
-def logcat_entries(spark, sf_dir) -> DataFrame:
-    return parse_entries(event_log_lines(spark, sf_dir), LOGCAT_SPEC)
+def logcat_entries(spark, sf_dir, partitions: int | None = None) -> DataFrame:
+    return parse_entries(event_log_lines(spark, sf_dir, partitions), LOGCAT_SPEC)
 
 
-def document_lines(spark, sf_dir) -> DataFrame:
+def document_lines(spark, sf_dir, partitions: int | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines_from_text_column(docs, "text", keep=["doc_id"])
+    return lines_from_text_column(spread(docs, partitions), "text", keep=["doc_id"])
 
 
-def document_entries(spark, sf_dir) -> DataFrame:
-    return parse_entries(document_lines(spark, sf_dir))
+def document_entries(spark, sf_dir, partitions: int | None = None) -> DataFrame:
+    return parse_entries(document_lines(spark, sf_dir, partitions))
 
 
 def conversation_lines(spark, sf_dir) -> DataFrame:
@@ -151,16 +152,16 @@ def q_count_empty(spark, d):
     return count_patterns(parse_entries(lines, never), EVENT_PATTERNS, with_rates=True)
 
 
-def q_count_payload(spark, d):
-    return count_patterns(logcat_entries(spark, d), PAYLOAD_PATTERNS)
+def q_count_payload(spark, d, partitions=None):
+    return count_patterns(logcat_entries(spark, d, partitions), PAYLOAD_PATTERNS)
 
 
-def q_count_documents(spark, d):
-    return count_patterns(document_entries(spark, d), DOCUMENT_PATTERNS, with_rates=True)
+def q_count_documents(spark, d, partitions=None):
+    return count_patterns(document_entries(spark, d, partitions), DOCUMENT_PATTERNS, with_rates=True)
 
 
-def q_count_deep_patterns(spark, d):
-    return count_patterns(document_entries(spark, d), DEEP_PATTERNS)
+def q_count_deep_patterns(spark, d, partitions=None):
+    return count_patterns(document_entries(spark, d, partitions), DEEP_PATTERNS)
 
 
 def q_count_conversation_lines(spark, d):
@@ -308,8 +309,8 @@ def q_funnel_report_empty(spark, d):
 
 
 # -- parsing ------------------------------------------------------------------------------
-def q_parse_logcat(spark, d):
-    e = logcat_entries(spark, d)
+def q_parse_logcat(spark, d, partitions=None):
+    e = logcat_entries(spark, d, partitions)
     return e.select(
         "event_id", _ts_text().alias("ts"), "level", "tag", "pid", "tid", "message",
         F.col("event_data").isNotNull().alias("has_payload"),
@@ -351,8 +352,8 @@ def q_parse_stats(spark, d):
     return parse_stats(document_lines(spark, d), ParserSpec(log_line_regex=DOC_LINE_REGEX))
 
 
-def q_nonblank_lines(spark, d):
-    return document_entries(spark, d).select("doc_id", "line_no", F.col("message").alias("line"))
+def q_nonblank_lines(spark, d, partitions=None):
+    return document_entries(spark, d, partitions).select("doc_id", "line_no", F.col("message").alias("line"))
 
 
 # -- payloads and predicates -----------------------------------------------------------------
