@@ -24,7 +24,8 @@ Only rows of numbers are shuffled; the token ids stay where they were made, and
 
 Defined results: a null text is empty and yields the end id alone; an empty table
 gives no rows; rows repeated with equal doc_id are packed each for itself; extra
-columns are left out; texts of any length are tokenised whole.
+columns are left out; texts of any length are tokenised whole, those ``tiktoken``
+refuses by ``tokenizers`` and the JSON file beside the rank file.
 """
 
 from __future__ import annotations
@@ -64,6 +65,28 @@ def _encoder(vocabulary: str, pattern: str):
     return _ENCODERS[vocabulary, pattern]
 
 
+def _whole_encoder(vocabulary: str):
+    """The same vocabulary by ``tokenizers``, from the JSON file beside the rank file; it splits texts of any length."""
+    if vocabulary not in _ENCODERS:
+        import os
+
+        from tokenizers import Tokenizer
+
+        _ENCODERS[vocabulary] = Tokenizer.from_file(os.path.splitext(vocabulary)[0] + ".json")
+    return _ENCODERS[vocabulary]
+
+
+def encode_text(text: str, vocabulary: str, pattern: str) -> list[int]:
+    """Ids of a whole text.
+
+    The split pattern backtracks over a run of white space, and ``tiktoken`` refuses runs of about
+    a million characters; such a text goes to ``tokenizers``, which gives the same ids."""
+    try:
+        return _encoder(vocabulary, pattern).encode(text, allowed_special="all")
+    except ValueError:
+        return _whole_encoder(vocabulary).encode(text, add_special_tokens=False).ids
+
+
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids: full pieces at the end, the rest first."""
     first = n % capacity or capacity
@@ -73,11 +96,10 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _piece_task(vocabulary: str, pattern: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary, pattern).encode
         for batch in batches:
             at, piece, start, length, ids = [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                own = np.array([*encode(text, allowed_special="all"), end_id] if text else [end_id], "<u4")
+                own = np.array([*encode_text(text, vocabulary, pattern), end_id] if text else [end_id], "<u4")
                 for k, (s, m) in enumerate(piece_bounds(len(own), capacity)):
                     at.append(row), piece.append(k), start.append(s), length.append(m)
                     ids.append(own[s : s + m].tobytes())

@@ -191,6 +191,15 @@ def test_pieces_and_sequences_round_trip(spark):
     assert Counter(len(s.ids) // 4 for s in sequences) == Counter(sum(m for _, m in v) for v in by_seq.values())
 
 
+def test_long_runs_of_white_space_are_tokenised_whole(spark):
+    long = {1: " " * 2_000_000, 2: "a <|endoftext|>" + "\n" * 1_500_000 + "b's", 3: "short"}
+    got = packing.token_pieces(table(spark, [(d, t, "a") for d, t in long.items()]), *vocabulary()).collect()
+    for d, t in long.items():
+        made = b"".join(bytes(r.ids) for r in sorted((r for r in got if r.doc_id == d), key=lambda r: r.piece))
+        own = reference_ids(t)
+        assert made == struct.pack(f"<{len(own)}I", *own)
+
+
 def test_packing_an_empty_table(spark):
     pieces = packing.token_pieces(table(spark, []), *vocabulary())
     assert packing.pack_pieces(pieces).count() == 0
