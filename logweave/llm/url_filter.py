@@ -5,11 +5,12 @@ The pages that a rule judged are the labelled URLs.  Trees are boosted on lexica
 features of those URLs - lengths, depth, digit ratio, character entropy, parameter
 counts, and block rates of the host's suffixes - and judge every other page.
 
-Suffix statistics are counted over all labelled pages, hashed into
-``SUFFIX_BUCKETS`` buckets, so the table joined to the pages has that many rows at
-most and may be broadcast.  The trees are fitted on about ``max_train_rows``
-labelled rows, taken by a hash of the URL (a bounded, documented sample); Spark ML
-fits and applies them in the JVM.
+Suffix statistics are counted over all labelled pages, one row per suffix string
+however many there are, and joined back to the pages by the string; a counted table
+of at most ``BROADCAST_BYTES`` is broadcast, a larger one meets the pages in a
+sort-merge join, whose hot suffixes adaptive execution splits.  The trees are fitted
+on about ``max_train_rows`` labelled rows, taken by a hash of the URL (a bounded,
+documented sample); Spark ML fits and applies them in the JVM.
 
 Defined results: a null url, or one without ``://``, has empty host and path and is
 judged by the method on its empty features; with labels of one class only, the
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-__all__ = ["host_of", "path_of", "best_rule", "url_features", "judge_urls", "SUFFIX_BUCKETS"]
+__all__ = ["host_of", "path_of", "best_rule", "url_features", "judge_urls", "BROADCAST_BYTES"]
 
-SUFFIX_BUCKETS = 1024
+BROADCAST_BYTES = 8 << 20  # of suffix strings and counts, as counted
 _FEATURES = [
     "f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_entropy",
     "f_host_entropy", "f_params", "f_equals", "f_hyphens", "f_fragment", "f_secure", "f_suffix1", "f_suffix2", "f_suffix2_n",
@@ -86,7 +87,7 @@ def _entropy(text: Column) -> Column:
 
 
 def url_features(df: DataFrame) -> DataFrame:
-    """``df[url, host, path]`` plus the plain lexical features and the two suffix bucket keys."""
+    """``df[url, host, path]`` plus the plain lexical features and the host's last label ``_s1`` and last two ``_s2``."""
     url = F.coalesce("url", F.lit(""))
     labels = F.split("host", r"\.")
 
@@ -97,7 +98,6 @@ def url_features(df: DataFrame) -> DataFrame:
         return F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
 
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    last2 = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
     digits = "0123456789"
     columns = {
         "f_length": F.length(url), "f_host_length": F.length("host"), "f_path_length": F.length("path"),
@@ -107,16 +107,37 @@ def url_features(df: DataFrame) -> DataFrame:
         "f_hyphens": count(F.col("host"), "-"), "f_fragment": F.contains(url, F.lit("#")).cast("int"),
         "f_secure": F.startswith(F.lower(url), F.lit("https:")).cast("int"),
     }
-    return _once(df, {k: v.cast("double") for k, v in columns.items()} | {
-        "_b1": F.pmod(F.xxhash64(F.element_at(labels, -1)), F.lit(SUFFIX_BUCKETS)),
-        "_b2": F.pmod(F.xxhash64(last2, F.lit(2)), F.lit(SUFFIX_BUCKETS)),
-    })
+    return _once(df, {k: v.cast("double") for k, v in columns.items()} | {"_s1": _suffix(F.col("host"), 1), "_s2": _suffix(F.col("host"), 2)})
+
+
+def _suffix(host: Column, n: int) -> Column:
+    """The last ``n`` labels of a host, all of them if it has fewer."""
+    return F.substring_index(host, ".", -n)
+
+
+def suffix_tables(labelled: DataFrame, scratch: Scratch) -> dict[str, tuple[DataFrame, bool]]:
+    """``_k, _rate, _log`` (smoothed block rate, log count) per suffix of one and two labels, each
+    with whether it is small enough to broadcast.  ``labelled`` has ``host`` and ``label``."""
+    # the last label is a function of the last two, so the pages are counted once
+    counts = labelled.groupBy(_suffix(F.col("host"), 2).alias("_k")).agg(F.sum("label").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    two = scratch.save(counts, "suffix2")
+    one = scratch.save(two.groupBy(_suffix(F.col("_k"), 1).alias("_k")).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n")), "suffix1")
+    out = {}
+    for name, table in (("1", one), ("2", two)):
+        size = table.agg(F.sum(F.octet_length("_k") + 16)).first()[0]
+        rates = table.select("_k", ((F.col("_s") + 1.0) / (F.col("_n") + 2.0)).alias("_rate"), F.log1p("_n").alias("_log"))
+        out[name] = rates, (size or 0) <= BROADCAST_BYTES
+    return out
 
 
-def _suffix_rates(labelled: DataFrame, key: str) -> DataFrame:
-    """Smoothed block rate and log count per suffix bucket: at most SUFFIX_BUCKETS rows."""
-    counts = labelled.groupBy(F.col(key).alias("_k")).agg(F.sum("label").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    return counts.select("_k", ((F.col("_s") + 1.0) / (F.col("_n") + 2.0)).alias("_rate"), F.log1p("_n").alias("_log"))
+def with_suffixes(df: DataFrame, tables: Mapping[str, tuple[DataFrame, bool]]) -> DataFrame:
+    """``df[_s1, _s2, ...]`` plus the suffix features; a suffix without labelled pages has rate 0.5 and count 0."""
+    for k, (table, small) in tables.items():
+        side = table.select(F.col("_k").alias(f"_k{k}"), F.col("_rate").alias(f"_r{k}"), F.col("_log").alias(f"_n{k}"))
+        df = df.join(F.broadcast(side) if small else side.hint("merge"), F.col(f"_s{k}") == F.col(f"_k{k}"), "left")
+    return df.withColumns({
+        "f_suffix1": F.coalesce("_r1", F.lit(0.5)), "f_suffix2": F.coalesce("_r2", F.lit(0.5)), "f_suffix2_n": F.coalesce("_n2", F.lit(0.0)),
+    })
 
 
 def judge_urls(
@@ -153,27 +174,19 @@ def judge_urls(
         return located.withColumn("score", score).withColumn("verdict", verdict).select("_page.*", *RESULTS)
 
     featured = url_features(labelled)
-    rates = {"1": _suffix_rates(featured, "_b1"), "2": _suffix_rates(featured, "_b2")}
-
-    def with_suffixes(df):
-        for k, table in rates.items():
-            small = F.broadcast(table.select(F.col("_k").alias(f"_k{k}"), F.col("_rate").alias(f"_r{k}"), F.col("_log").alias(f"_n{k}")))
-            df = df.join(small, F.col(f"_b{k}") == F.col(f"_k{k}"), "left")
-        return df.withColumns({
-            "f_suffix1": F.coalesce("_r1", F.lit(0.5)), "f_suffix2": F.coalesce("_r2", F.lit(0.5)), "f_suffix2_n": F.coalesce("_n2", F.lit(0.0)),
-        })
+    scratch = Scratch(pages.sparkSession, "urls")
+    tables = suffix_tables(labelled, scratch)
 
     # about max_train_rows rows: those whose hash falls in the matching share of the hash range
     share = min(1.0, max_train_rows / n)
     picked = featured.filter(F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(1 << 30)) < int(share * (1 << 30)))
     assembler = VectorAssembler(inputCols=_FEATURES, outputCol="_vector")
-    train = assembler.transform(with_suffixes(picked)).select("label", F.col("_vector").alias("features"))
-    scratch = Scratch(pages.sparkSession, "urls")
+    train = assembler.transform(with_suffixes(picked, tables)).select("label", F.col("_vector").alias("features"))
     train = scratch.save(train, "train")  # the fit reads it many times
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0).fit(train)
-    scratch.close()
+    scratch.drop("train")
     model.setFeaturesCol("_vector").setProbabilityCol("_probability").setPredictionCol("_prediction").setRawPredictionCol("_raw")
-    scored = model.transform(assembler.transform(with_suffixes(url_features(located))))
+    scored = model.transform(assembler.transform(with_suffixes(url_features(located), tables)))
     scored = scored.withColumn("score", vector_to_array("_probability")[1])
     verdict = F.coalesce(said, F.when(F.col("score") >= cut, "block").otherwise("allow"))
     return scored.withColumn("verdict", verdict).select("_page.*", *RESULTS)

@@ -73,6 +73,20 @@ def test_urls_without_labels_or_rows(spark):
     assert judge_urls(pages(spark, []), URL_RULES).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 8 << 20])  # a shuffled and a broadcast table
+def test_each_suffix_has_its_own_statistics(spark, monkeypatch, limit):
+    from logweave.llm import url_filter
+
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", limit)
+    rng = random.Random(5)
+    bad = [rng.random() < 0.5 for _ in range(4000)]  # many more suffixes than the 1024 slots they once shared
+    rows = [(i, f"http://{i + 10_000}.zz/{'vvvv' if b else 'wwww'}/{k}") for i, b in enumerate(bad) for k in range(3)]
+    rows += [(-1 - i, f"http://{i + 10_000}.zz/xxxx/1") for i in range(len(bad))]
+    judged = judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), {"zz/vvvv": "block", "zz/wwww": "allow"}, trees=4)
+    got = {r.page_id: r.verdict for r in judged.filter("rule is null").collect()}
+    assert got == {-1 - i: "block" if b else "allow" for i, b in enumerate(bad)}
+
+
 # -- quality rules -----------------------------------------------------------------------
 def clean(rng, n=12):
     return "\n".join(
