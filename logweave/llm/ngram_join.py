@@ -310,6 +310,12 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, threshold: tuple[int, int] =
     ``threshold`` (p, q): two documents link when ``q * |A & B| >= p * |A | B|``.
     ``component_id`` is the smallest doc_id that links lead to.
     """
+    return _near(docs, k, threshold).drop("root")
+
+
+def _near(docs: DataFrame, k: int = 4, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
+    """The columns of ``near_duplicates`` and ``root BIGINT``, which tells components under one id apart
+    (null for documents without shingles, each a component of its own)."""
     top, whole = threshold
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
@@ -371,11 +377,12 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, threshold: tuple[int, int] =
     named = firsts.join(final.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     named = named.select("node", "_least", F.coalesce("root", "node").alias("_root"))
     least = named.groupBy("_root").agg(F.min("_least").alias("component")).withColumnRenamed("_root", "_r")
-    named = named.join(least, F.col("_root") == F.col("_r")).select(F.col("node").alias("_node"), "component")
+    named = named.join(least, F.col("_root") == F.col("_r")).select(F.col("node").alias("_node"), "component", "_root")
     out = rows.select("doc_id", "text_hash", "n", "node").join(named, F.col("node") == F.col("_node"), "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash",
+        F.when(F.col("n") > 0, F.col("_root")).alias("root"),
     )
 
 
@@ -383,9 +390,12 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """``docs``, all columns, with one document of each component: the one whose doc_id names it.
 
     Of rows that repeat its id and text one stays, of different texts under that
-    id in one component the one with the smallest hash.  Rows with a null doc_id stay."""
-    near = near_duplicates(docs, **settings).filter(F.col("doc_id") == F.col("component_id"))
-    chosen = near.groupBy(F.col("doc_id").alias("_id")).agg(F.min("text_hash").alias("_hash"))
+    id in one component the one with the smallest hash; texts of different components
+    stay each, also under one id.  Rows with a null doc_id stay."""
+    near = _near(docs, **settings).filter(F.col("doc_id") == F.col("component_id"))
+    alone = F.when(F.col("root").isNull(), F.col("text_hash"))  # no shingles: a text is its own component
+    chosen = near.groupBy(F.col("doc_id").alias("_id"), "root", alone.alias("_alone")).agg(F.min("text_hash").alias("_hash"))
+    chosen = chosen.select("_id", "_hash")
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
     rows = rows.withColumn("_key", F.col("_doc.doc_id")).withColumn("_th", text_hash(F.col("_doc.text")))

@@ -67,6 +67,14 @@ def test_keep_one_document_of_each_component(spark):
     assert all(r.node == "x" and r.text_hash == "h" for r in kept.limit(5).collect())
 
 
+def test_unlike_texts_under_one_id_both_stay(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = one + " more"
+    rows = [(1, one), (1, two), (1, two), (1, near), (2, near), (3, two), (4, "few words"), (4, "other words"), (4, "few words"), (4, None)]
+    got = sorted((r.doc_id, r.text or "") for r in keep_one(table(spark, rows), k=4, threshold=(85, 100)).collect())
+    assert got in ([(1, x), (1, two), (4, ""), (4, "few words"), (4, "other words")] for x in (one, near))
+
+
 def test_empty_table(spark):
     empty = table(spark, [])
     assert near_duplicates(empty).count() == 0 and keep_one(empty).count() == 0
