@@ -9,7 +9,8 @@ Suffix statistics are counted over all labelled pages, one row per suffix string
 however many there are, and joined back to the pages by the string; a counted table
 of at most ``BROADCAST_BYTES`` is broadcast, a larger one meets the pages in a
 sort-merge join, whose hot suffixes adaptive execution splits.  The trees are fitted
-on about ``max_train_rows`` labelled rows, taken by a hash of the URL (a bounded,
+on at most ``max_train_rows`` distinct labelled URLs, weighted by their pages: of each
+label those whose hash comes first, in proportion and at least one (a bounded,
 documented sample); Spark ML fits and applies them in the JVM.
 
 Defined results: a null url, or one without ``://``, has empty host and path and is
@@ -140,6 +141,24 @@ def with_suffixes(df: DataFrame, tables: Mapping[str, tuple[DataFrame, bool]]) -
     })
 
 
+def training_urls(labelled: DataFrame, distinct: Mapping[float, int], max_rows: int, seed: int) -> DataFrame:
+    """``url, label, weight DOUBLE``: at most ``max_rows`` (two at least) distinct URLs of ``labelled[url, label]``
+    with their row counts.
+
+    ``distinct`` is the (approximate) number of URLs per label; both labels occur.  Rows that a hash of
+    the URL puts far behind the places to be had are left out before the URLs are ranked by it."""
+    max_rows, total = max(2, max_rows), sum(distinct.values())
+    first = min(max(1, round(max_rows * distinct[1.0] / total)), max_rows - 1)
+    key, out = F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(1 << 30)), None
+    for label, places in ((1.0, first), (0.0, max_rows - first)):
+        share = min(1.0, (2 * places + 100) / max(1, distinct[label]))
+        near = labelled.filter((F.col("label") == label) & (key < int(share * (1 << 30))))
+        counted = near.groupBy("url", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        taken = counted.orderBy(key, "url").limit(places)
+        out = taken if out is None else out.unionByName(taken)
+    return out
+
+
 def judge_urls(
     pages: DataFrame,
     rules: Mapping[str, str],
@@ -166,24 +185,23 @@ def judge_urls(
 
     urls = located.select("url", "host", "path", "rule").filter(F.col("rule").isNotNull())
     labelled = urls.withColumn("label", (said == "block").cast("double"))
-    known = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s")).first()
+    kinds = [F.approx_count_distinct(F.when(F.col("label") == v, F.col("url"))).alias(f"d{v}") for v in (0, 1)]
+    known = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("s"), *kinds).first()
     n, blocked = known["n"], known["s"] or 0.0
     if n == 0 or blocked in (0.0, float(n)):
         score = F.lit(1.0 if n and blocked else 0.0)
         verdict = F.coalesce(said, F.when(score >= cut, "block").otherwise("allow"))
         return located.withColumn("score", score).withColumn("verdict", verdict).select("_page.*", *RESULTS)
 
-    featured = url_features(labelled)
     scratch = Scratch(pages.sparkSession, "urls")
     tables = suffix_tables(labelled, scratch)
 
-    # about max_train_rows rows: those whose hash falls in the matching share of the hash range
-    share = min(1.0, max_train_rows / n)
-    picked = featured.filter(F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    picked = training_urls(labelled, {0.0: known["d0"], 1.0: known["d1"]}, max_train_rows, seed)
+    picked = url_features(_once(picked, {"host": host_of(F.col("url")), "path": path_of(F.col("url"))}))
     assembler = VectorAssembler(inputCols=_FEATURES, outputCol="_vector")
-    train = assembler.transform(with_suffixes(picked, tables)).select("label", F.col("_vector").alias("features"))
+    train = assembler.transform(with_suffixes(picked, tables)).select("label", "weight", F.col("_vector").alias("features"))
     train = scratch.save(train, "train")  # the fit reads it many times
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0).fit(train)
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0, weightCol="weight").fit(train)
     scratch.drop("train")
     model.setFeaturesCol("_vector").setProbabilityCol("_probability").setPredictionCol("_prediction").setRawPredictionCol("_raw")
     scored = model.transform(assembler.transform(with_suffixes(url_features(located), tables)))

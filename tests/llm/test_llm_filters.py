@@ -87,6 +87,22 @@ def test_each_suffix_has_its_own_statistics(spark, monkeypatch, limit):
     assert got == {-1 - i: "block" if b else "allow" for i, b in enumerate(bad)}
 
 
+def test_the_training_sample_is_bounded_and_has_both_labels(spark):
+    from logweave.llm import url_filter
+
+    # two URLs with half the rows each: a hash share of the rows would take neither or 200 of them
+    urls = ["http://a.net/vv/1"] * 200 + ["http://a.org/ww/1"] * 200 + ["http://b.io/vv/2"]
+    judged = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), {"net/": "block", "org/": "allow"}, max_train_rows=2, trees=2)
+    got = {r.url: r.score for r in judged.select("url", "score").distinct().collect()}
+    assert got[urls[0]] > 0.5 > got[urls[200]] and 0 <= got[urls[-1]] <= 1
+
+    rows = [(f"u{i}", float(i % 5 == 0)) for i in range(900)] + [("u1", 0.0)] * 450
+    for seed in range(4):
+        taken = url_filter.training_urls(spark.createDataFrame(rows, "url string, label double"), {0.0: 720, 1.0: 180}, 100, seed).collect()
+        assert len(taken) == 100 == len({r.url for r in taken}) and sum(r.label for r in taken) == 20
+        assert all(r.weight == (451 if r.url == "u1" else 1) for r in taken)
+
+
 # -- quality rules -----------------------------------------------------------------------
 def clean(rng, n=12):
     return "\n".join(
