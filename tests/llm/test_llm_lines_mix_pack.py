@@ -150,6 +150,30 @@ def test_the_plan_on_lengths_is_best_fit_piece_by_piece(seed, rule):
         assert left == best_fit(counts.elements(), capacity, max_docs, max_cost)
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_a_cost_limit_below_the_square_of_the_capacity_binds(seed):
+    rng = random.Random(seed)
+    capacity, max_docs, max_cost = 100, 100, 2500
+    counts = Counter(rng.randint(1, 50) for _ in range(200))
+    bins = {}
+    for m, a, b, per, seq, _ in packing.plan_bins(counts, capacity, max_docs, max_cost).tolist():
+        for i in range(b - a):
+            bins.setdefault(seq + i // per, []).append(m)
+    assert Counter(m for v in bins.values() for m in v) == counts
+    left = Counter((capacity - sum(v), max_docs - len(v), max_cost - sum(m * m for m in v)) for v in bins.values())
+    assert left == best_fit(counts.elements(), capacity, max_docs, max_cost)
+    assert all(min(b) >= 0 for b in left)
+    # the limit binds
+    assert len(bins) > sum(best_fit(counts.elements(), capacity, max_docs, capacity**2).values())
+
+
+def test_packing_holds_a_cost_limit(spark):
+    rows = [(i, 0, 0, 5 + i % 40) for i in range(300)]
+    placed = packing.pack_pieces(spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint"), capacity=100, max_docs=8, max_cost=2500)
+    costs = [r.cost for r in placed.groupBy("sequence_id").agg(F.sum(F.col("length") ** 2).alias("cost")).collect()]
+    assert sum(costs) == sum(m * m for *_, m in rows) and max(costs) <= 2500
+
+
 def vocabulary():
     P = pytest.importorskip("public_tokenizers")
     return P.path("byte_bpe_50k.tiktoken"), P.PATTERN
