@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import chain, digests, format_conversations
 from .common import table
 from .line_dedup import dedup_lines
+from .merkle import folded, leaf_hash, manifest
 from .mixing import mix_plan
 from .ngram_join import near_duplicates
 from .packing import pack_pieces, token_pieces
@@ -96,11 +99,26 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+
+    def leaf(text):
+        return leaf_hash([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+
+    leaves = docs.select("lang", "doc_id", leaf(F.col("text")).alias("leaf"), F.when(tampered, leaf(lower)).alias("changed"))
+    made = manifest(leaves, group="lang", order="doc_id", carry=["changed"])
+    made = folded(made.withColumn("start", F.coalesce("changed", "leaf")), "start")
+    proof = F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256")
+    return made.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_url_filter, op3_quality_rules, op4_secret_scan, op5_line_dedup, op6_packing, op7_mixing,
-        op8_quality_classifier, op9_chat_format, op10_topk_search,
+        op8_quality_classifier, op9_chat_format, op10_topk_search, op11_merkle_manifest,
     )
 }
 
@@ -164,4 +182,65 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 20
 """
 
-ORACLES = {"op5_line_dedup": _OP5, "op9_chat_format": _OP9, "op10_topk_search": _OP10}
+# Fixed values of CRC-32: the reversed polynomial and the initial and final mask.
+_CRC32 = """xor(4294967295, list_reduce(
+  list_concat([4294967295], list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]),
+                             lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))))"""
+
+#: A tree's levels one after another; a run's others follow by the node's own place in it.
+_OP11 = f"""
+WITH RECURSIVE raw AS (
+  SELECT *, doc_id IS NOT NULL AND {_CRC32.format("doc_id")} % 3 = 0 AS hit,
+         concat(coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-'),
+                coalesce(octet_length(encode(source)) || ':' || source, '-'), coalesce(octet_length(encode(lang)) || ':' || lang, '-'),
+                coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-')) AS head
+  FROM documents
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         CASE WHEN hit THEN sha256(head || coalesce(octet_length(encode(text)) || ':' ||
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS changed
+  FROM raw
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+), up AS (
+  SELECT 0 AS level, lang, pos AS k, leaf AS digest, count(*) OVER (PARTITION BY lang) AS n FROM placed
+  UNION ALL
+  SELECT level + 1, lang, k >> 3, sha256(string_agg(digest, '' ORDER BY k)), (any_value(n) + 7) >> 3
+  FROM up WHERE n > 1 GROUP BY level, lang, k >> 3
+), subroots AS (
+  SELECT lang, digest AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM up WHERE n = 1
+), over_groups AS (
+  SELECT 0 AS level, pos AS k, subroot AS digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, k >> 3, sha256(string_agg(digest, '' ORDER BY k)), (any_value(n) + 7) >> 3
+  FROM over_groups WHERE n > 1 GROUP BY level, k >> 3
+), nodes AS (
+  SELECT lang, false AS upper, level, k, digest FROM up
+  UNION ALL SELECT NULL, true, level, k, digest FROM over_groups
+), runs AS (
+  SELECT lang, upper, level, k >> 3 AS run, list(digest ORDER BY k) AS held FROM nodes GROUP BY lang, upper, level, k >> 3
+), walk AS (
+  SELECT p.lang, p.pos, p.leaf, coalesce(p.changed, p.leaf) AS digest, '' AS proof, false AS upper, 0 AS level, p.pos AS k
+  FROM placed p
+  UNION ALL
+  SELECT w.lang, w.pos, w.leaf,
+         CASE WHEN not w.upper AND w.level = s.height THEN w.digest
+              ELSE sha256(array_to_string(list_concat(r.held[1 : w.k % 8], [w.digest], r.held[w.k % 8 + 2 :]), '')) END,
+         CASE WHEN not w.upper AND w.level = s.height THEN w.proof
+              ELSE w.proof || array_to_string(list_concat(r.held[1 : w.k % 8], r.held[w.k % 8 + 2 :]), '') END,
+         w.upper OR w.level = s.height,
+         CASE WHEN not w.upper AND w.level = s.height THEN 0 ELSE w.level + 1 END,
+         CASE WHEN not w.upper AND w.level = s.height THEN s.pos ELSE w.k >> 3 END
+  FROM walk w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang
+  JOIN runs r ON r.upper = w.upper AND r.level = w.level AND r.run = (w.k >> 3) AND (w.upper OR r.lang IS NOT DISTINCT FROM w.lang)
+  WHERE NOT (w.upper AND w.level = (SELECT max(level) FROM over_groups))
+)
+SELECT p.doc_id, p.leaf, s.subroot, o.digest AS root, sha256(w.proof) AS proof_sha256, w.digest AS folded_root,
+       w.digest = o.digest AS verified
+FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+JOIN walk w ON w.lang IS NOT DISTINCT FROM p.lang AND w.pos = p.pos AND w.upper AND w.level = (SELECT max(level) FROM over_groups)
+CROSS JOIN (SELECT digest FROM over_groups WHERE n = 1) o
+"""
+
+ORACLES = {"op5_line_dedup": _OP5, "op9_chat_format": _OP9, "op10_topk_search": _OP10, "op11_merkle_manifest": _OP11}
