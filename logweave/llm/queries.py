@@ -8,17 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import chain, digests, format_conversations
-from .common import table
+from .common import Scratch, table
 from .line_dedup import dedup_lines
 from .merkle import folded, leaf_hash, manifest
 from .mixing import mix_plan
 from .ngram_join import near_duplicates
+from .ordered import in_order
 from .packing import pack_pieces, token_pieces
+from .prefix_trie import prefix_trie, share_openings, turn_rows
 from .quality_classifier import score_documents
 from .quality_rules import judge_documents
 from .secret_scan import KINDS, scan_documents
 from .topk_search import top_k
 from .url_filter import judge_urls
+from .warc_zip import locate, page_of, read_records, write_archives
 
 __all__ = ["QUERIES", "ORACLES", "URL_RULES"]
 
@@ -114,11 +117,31 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    archives = write_archives(table(spark, sf_dir, "pages"), scratch, scratch.path("packed"))
+    records = read_records(locate(archives), payload=False)
+    return records.select(
+        page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page_of(F.col("refers_to")).alias("refers_to"), "target_uri", "intact",
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "trie")
+    rows = scratch.save(turn_rows(table(spark, sf_dir, "conversations")), "said")
+    placed = in_order(rows, "conv_id", ["turn", "role", "digest"], scratch, "placed")
+    turns, ids = share_openings(placed)
+    nodes = prefix_trie(turns, ids, ["part", "place"], scratch)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_url_filter, op3_quality_rules, op4_secret_scan, op5_line_dedup, op6_packing, op7_mixing,
-        op8_quality_classifier, op9_chat_format, op10_topk_search, op11_merkle_manifest,
+        op8_quality_classifier, op9_chat_format, op10_topk_search, op11_merkle_manifest, op12_warc_zip,
+        op13_prefix_trie,
     )
 }
 
@@ -243,4 +266,57 @@ JOIN walk w ON w.lang IS NOT DISTINCT FROM p.lang AND w.pos = p.pos AND w.upper
 CROSS JOIN (SELECT digest FROM over_groups WHERE n = 1) o
 """
 
-ORACLES = {"op5_line_dedup": _OP5, "op9_chat_format": _OP9, "op10_topk_search": _OP10, "op11_merkle_manifest": _OP11}
+_OP12 = r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+         (CAST('0x' || substr(sha1(html), 1 + 5 * (i >> 2), 5) AS BIGINT) >> (15 - 5 * (i & 3))) & 31 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to,
+       replace(url, ' ', '%20') AS target_uri, true AS intact
+FROM p
+"""
+
+#: Every prefix of every conversation, without peeling: a subtree's sums go to the prefixes of each node's smallest member.
+_OP13 = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                            sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32.format("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), mixed AS (
+  SELECT i.conv_id, 0 AS part, t.p, t.role, t.text FROM ids i JOIN t ON t.conv_id = i.base AND t.p <= i.h
+  UNION ALL SELECT i.conv_id, 1, t.p, t.role, t.text FROM ids i JOIN t ON t.conv_id = i.conv_id AND t.p > i.h
+), built AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS size,
+         sha256(string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY part, p ROWS UNBOUNDED PRECEDING)) AS key
+  FROM mixed WINDOW w AS (PARTITION BY conv_id ORDER BY part, p)
+), paths AS (
+  SELECT conv_id, depth, size, key FROM built UNION ALL SELECT conv_id, 0, 0, '' FROM ids
+), ends AS (
+  SELECT conv_id, max(depth) AS len FROM paths GROUP BY conv_id
+), nodes AS (
+  SELECT p.depth, p.key, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(p.size) AS size, count(*) FILTER (e.len > p.depth) AS further,
+         sha256(coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (e.len = p.depth), '')) AS ends_sha256
+  FROM paths p JOIN ends e USING (conv_id) GROUP BY p.depth, p.key
+), under AS (
+  SELECT p.depth, p.key, CAST(count(*) FILTER (n.further = 0) AS BIGINT) AS n_leaves, CAST(sum((n.n_convs - 1) * n.size) AS BIGINT) AS saved_tokens
+  FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.depth, p.key
+), linked AS (
+  SELECT n.depth, n.key, u.key AS up FROM nodes n JOIN paths u ON u.conv_id = n.conv_id AND u.depth = n.depth - 1
+), children AS (
+  SELECT depth - 1 AS depth, up AS key, count(*) AS n_children FROM linked GROUP BY depth, up
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, r.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+       u.n_leaves, u.saved_tokens, n.ends_sha256
+FROM nodes n JOIN under u ON u.depth = n.depth AND u.key = n.key
+LEFT JOIN children c ON c.depth = n.depth AND c.key = n.key
+LEFT JOIN linked l ON l.depth = n.depth AND l.key = n.key
+LEFT JOIN nodes r ON r.depth = n.depth - 1 AND r.key = l.up
+"""
+
+ORACLES = {"op5_line_dedup": _OP5, "op9_chat_format": _OP9, "op10_topk_search": _OP10, "op11_merkle_manifest": _OP11, "op12_warc_zip": _OP12, "op13_prefix_trie": _OP13}
