@@ -41,6 +41,7 @@ __all__ = ["ARITY", "Appender", "leaf_hash", "manifest", "folded", "fold"]
 
 ARITY = 8
 DIGEST = 64  # characters of a digest
+SLICE = 512  # rows whose witnesses are held at once
 
 
 def _sha(text: str) -> str:
@@ -148,14 +149,15 @@ def _attached(depth: int, names: list[str]):
             digests = nodes.field("digest").to_pylist()
             above = {c: row[c].as_py() for c in ("alone", "slots", "widths", "siblings", "subroot", "root")}
             tree, _ = _grown(digests, None if above["alone"] else depth)
-            own = [tree.witness(i) for i in range(len(digests))]
-            n, lists = len(digests), pa.list_(pa.int32())
-            only = above["alone"] and n == 1
-            columns = [nodes.field(c) for c in names]
-            columns += [pa.array([s + above["slots"] for s, _, _ in own], lists), pa.array([w + above["widths"] for _, w, _ in own], lists)]
-            columns += [pa.array([o + above["siblings"] for _, _, o in own], pa.string()), pa.array([only] * n, pa.bool_())]
-            columns += [pa.array([row["grp"].as_py()] * n, row["grp"].type), pa.array([above["subroot"]] * n, pa.string()), pa.array([above["root"]] * n, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "slots", "widths", "siblings", "alone", "grp", "subroot", "root"])
+            only, lists = above["alone"] and len(digests) == 1, pa.list_(pa.int32())
+            for first in range(0, len(digests), SLICE):
+                own = [tree.witness(i) for i in range(first, min(first + SLICE, len(digests)))]
+                n = len(own)
+                columns = [nodes.field(c).slice(first, n) for c in names]
+                columns += [pa.array([s + above["slots"] for s, _, _ in own], lists), pa.array([w + above["widths"] for _, w, _ in own], lists)]
+                columns += [pa.array([o + above["siblings"] for _, _, o in own], pa.string()), pa.array([only] * n, pa.bool_())]
+                columns += [pa.array([row["grp"].as_py()] * n, row["grp"].type), pa.array([above["subroot"]] * n, pa.string()), pa.array([above["root"]] * n, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "slots", "widths", "siblings", "alone", "grp", "subroot", "root"])
 
     return run
 
