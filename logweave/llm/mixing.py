@@ -189,10 +189,10 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     rows = keyed(rows, F.col("_doc.doc_id"), F.col("_doc.source"), word_count(F.col("_doc.text")))
     rows = rows.withColumn("_rank", F.row_number().over(rank.orderBy(F.xxhash64("_doc.text"))))
     rows = rows.join(plan.hint("merge"), [*keys, "_rank"])
-    words = F.regexp_extract_all(F.col("_doc.text"), F.lit(f"({WORD}(?:{WHITE})?)"), F.lit(1))
-    cut = F.array_join(
-        F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), ""
-    )
+    # the words are bound to a lambda variable, so a text that is cut is taken apart once, not once per span; they are fetched by index
+    words = F.array(F.regexp_extract_all(F.col("_doc.text"), F.lit(f"({WORD}(?:{WHITE})?)"), F.lit(1)))
+    taken = F.flatten(F.transform("_spans", lambda s: F.sequence(s["from"].cast("int"), s["to"].cast("int") - 1)))
+    cut = F.get(F.transform(words, lambda w: F.array_join(F.transform(taken, lambda i: F.get(w, i)), "")), F.lit(0))
     copies = F.concat(
         F.array_repeat(F.col("_doc.text"), F.col("_passes").cast("int")),
         F.when(F.size("_spans") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")),
