@@ -2,26 +2,45 @@
 
 A payload is ``MAP<STRING, VARIANT>``: only top-level keys are ever looked up,
 and only string values ever match, so the map keeps each value's JSON type.
+
+Spark's variant parser refuses an object that repeats a key unless the session says otherwise; log
+writers do repeat keys, and the last value stands.  A text that the parser refuses is therefore
+read once more with every key numbered, which makes all keys differ; the numbers are taken off the map
+afterwards.  No session setting is read, and a text that parses at once never pays for this.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["PAYLOAD_TYPE", "json_object", "json_parse_parts", "json_object_from_parts", "string_prop", "null_payload"]
+__all__ = ["PAYLOAD_TYPE", "json_object", "decode_json", "string_prop", "null_payload"]
 
 PAYLOAD_TYPE = "map<string,variant>"
 # Fixed value: the white space a JSON decoder skips around a value.
 JSON_SPACE = " \t\n\r"
+# A JSON string, a key with its colon, or a stretch of anything else; possessive, so no text is too long for it.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_TOKEN = rf'(?s){_STRING}(?:[ \t\n\r]*+:)?|[^"]++'
+_DIGITS = 9  # of a key's number
+# Only texts that show this can hold a number beyond the range of a double.
+_LONG_NUMBER = r"[0-9][eE]\+?[0-9]{3}|[0-9]{309}"
+_NUMBER = r"[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 
 
 def null_payload() -> Column:
     return F.lit(None).cast(PAYLOAD_TYPE)
 
 
-def json_parse_parts(s: Column) -> tuple[Column, Column]:
-    """The two expensive parses behind ``json_object``: ``(elements, closed)``.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _one_value(s: Column) -> Column:
+    """The variant of ``s`` if it is exactly one JSON value, else null.
 
     Spark's variant parser stops after the first complete value, so trailing
     text would be accepted.  Wrapping the text as an array element and as an
@@ -31,33 +50,86 @@ def json_parse_parts(s: Column) -> tuple[Column, Column]:
     ``]`` can close the array early, so only that text pays the second parse.
     """
     elements = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))).try_cast("array<variant>")
-    closed = F.when(F.instr(s, "]") == 0, F.lit(True)).otherwise(
-        F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}"))).isNotNull()
-    )
-    return elements, closed
+    closed = (F.instr(s, "]") == 0) | F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}"))).isNotNull()
+    return _let(elements, lambda e: F.when((F.size(e) == 1) & closed, F.get(e, F.lit(0))))
+
+
+def _keyed(token: Column) -> Column:
+    return token.startswith('"') & token.endswith(":")
+
+
+def _numbered(s: Column) -> Column:
+    """``s`` with each key's place in front of the key; null if the text does not fall into tokens."""
+
+    def told(t, i):
+        return F.when(_keyed(t), F.concat(F.lit('"'), F.lpad(i.cast("string"), _DIGITS, "0"), F.substring(t, 2, 2**31 - 1))).otherwise(t)
+
+    tokens = F.regexp_extract_all(s, F.lit(_TOKEN), F.lit(0))
+    return _let(tokens, lambda t: F.when(F.array_join(t, "") == s, F.array_join(F.transform(t, told), "")))
+
+
+def _restored(v: Column) -> Column:
+    """A value without the numbers in its own keys; if these repeat, an empty container of its kind."""
+
+    def told(t):
+        return F.when(_keyed(t), F.concat(F.lit('"'), F.substring(t, 2 + _DIGITS, 2**31 - 1))).otherwise(t)
+
+    kind = F.schema_of_variant(v)
+    text = F.array_join(F.transform(F.regexp_extract_all(F.to_json(v), F.lit(_TOKEN), F.lit(0)), told), "")
+    empty = F.when(kind.startswith("OBJECT"), F.parse_json(F.lit("{}"))).otherwise(F.parse_json(F.lit("[]")))
+    return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.coalesce(F.try_parse_json(text), empty)).otherwise(v)
+
 
+def _last_of_each(m: Column) -> Column:
+    """The map of a numbered object: keys without numbers, the last value of each.  A variant's keys are sorted, here by place."""
+    pairs = F.array_sort(F.transform(F.map_keys(m), lambda k, i: F.struct(F.substring(k, 1 + _DIGITS, 2**31 - 1).alias("name"), i.alias("at"))))
 
-def json_object_from_parts(s: Column, elements: Column, closed: Column) -> tuple[Column, Column]:
-    """``(ok, payload)`` from the parts; every input is referenced cheaply."""
-    single = F.coalesce((F.size(elements) == 1) & closed, F.lit(False))
-    value = F.get(elements, 0)
+    def lasts(p):
+        def is_last(x, j):
+            return (j == F.size(p) - 1) | (F.get(p, j + 1)["name"] != x["name"])
+
+        return F.filter(p, is_last)
+
+    def built(last, values):
+        return F.map_from_arrays(F.transform(last, lambda x: x["name"]), F.transform(last, lambda x: _restored(F.get(values, x["at"]))))
+
+    return _let(F.map_values(m), lambda values: _let(_let(pairs, lasts), lambda last: built(last, values)))
+
+
+def _in_range(s: Column) -> Column:
+    """No number of ``s`` lies beyond the range of a double."""
+    numbers = F.regexp_extract_all(F.regexp_replace(s, F.lit(f"(?s){_STRING}"), F.lit("")), F.lit(_NUMBER), F.lit(0))
+    return ~s.rlike(_LONG_NUMBER) | ~F.exists(numbers, lambda n: n.try_cast("double") == float("inf"))
+
+
+def decode_json(s: Column) -> Column:
+    """``STRUCT<ok BOOLEAN, payload MAP<STRING, VARIANT>>`` of ``s`` as exactly one JSON object or ``null``.
+
+    ``ok`` is true where a strict decoder of a JSON object would succeed (``null`` included, which
+    yields a null payload).  Of a repeated key the last value stands.  A number beyond the range of a double fails the
+    text.  The struct itself is null where ``s`` is.  Each text is parsed once, twice if it repeats a key."""
     is_object = F.ltrim(s, F.lit(JSON_SPACE)).startswith("{")
-    ok = single & (is_object | F.coalesce(F.is_variant_null(value), F.lit(False)))
-    return ok, F.when(single & is_object, value.try_cast(PAYLOAD_TYPE))
+
+    def result(ok, payload):
+        return F.struct(ok.alias("ok"), payload.alias("payload"))
+
+    nothing = F.lit(None).cast(PAYLOAD_TYPE)
+
+    def again(v):
+        return result(v.isNotNull() & _in_range(s), F.when(v.isNotNull() & _in_range(s), _let(v.try_cast(PAYLOAD_TYPE), _last_of_each)))
+
+    def first(v):
+        fine = (is_object | F.is_variant_null(v)) & _in_range(s)
+        read = result(fine, F.when(fine & is_object, v.try_cast(PAYLOAD_TYPE)))
+        return F.when(v.isNotNull(), read).when(is_object, _let(_one_value(_numbered(s)), again)).otherwise(result(F.lit(False), nothing))
+
+    return F.when(s.isNotNull(), _let(_one_value(s), first))
 
 
 def json_object(s: Column) -> tuple[Column, Column]:
-    """Parse ``s`` as exactly one JSON value that is an object or ``null``.
-
-    Returns ``(ok, payload)``: ``ok`` is true when a strict decoder of a JSON
-    object would succeed (``null`` included, which yields a NULL payload);
-    ``payload`` is the object as a map, NULL otherwise.  For per-row use on
-    large data prefer the staged form in ``parse_entries``.  A repeated key
-    keeps its last value when the caller's session has
-    ``spark.sql.variant.allowDuplicateKeys`` on; otherwise such text is rejected.
-    """
-    elements, closed = json_parse_parts(s)
-    return json_object_from_parts(s, elements, closed)
+    """``(ok, payload)`` of ``decode_json``, for one use of either; ``parse_entries`` stages the struct instead."""
+    decoded = decode_json(s)
+    return F.coalesce(decoded["ok"], F.lit(False)), decoded["payload"]
 
 
 def string_prop(payload: Column, key: str) -> Column:

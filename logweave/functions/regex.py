@@ -13,10 +13,12 @@ pattern is compiled once per task as a literal.
 
 ``java.util.regex`` matches by recursion and backtracking where RE2 is linear: a
 repeated group with alternatives or repeats inside it overflows the stack on a
-long line, or takes exponential time.  ``translate`` marks a pattern ``flat`` when every unbounded (or
-long) repeat in it runs in Java as a loop.  Patterns that are not flat are
-evaluated, over Arrow batches, by the RE2 engine that ships with ``pyarrow``, so they
-give the same matches on lines of any length.
+long line, or takes exponential time; several repeats that can trade characters take polynomial
+time.  ``translate`` marks a pattern ``flat`` when every unbounded (or
+long) repeat in it runs in Java as a loop, and bounds the power of the line's length that its search can take
+(``growth``).  Java runs the flat patterns of power 1, and those of power 2 on texts of up to ``LONG_TEXT`` bytes.  The
+rest is evaluated, over Arrow batches, by the RE2 engine that ships with ``pyarrow``, so
+every pattern is searched in time linear in the line, with the same matches.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
+from .growth import MOST, growth
+
 __all__ = ["JavaRegex", "RegexSyntaxError", "translate", "first_match_groups_pattern", "search", "extract_groups", "extract_group"]
 
 
@@ -41,6 +45,12 @@ class JavaRegex:
     required: str = ""  # a literal every match contains ("" if none is known)
     flat: bool = True  # Java runs it without recursion per character
     named: str = ""  # the source with its groups named g1, g2, ...
+    power: int = 1  # bound of Java's time, as a power of the text's length
+
+    @property
+    def java(self) -> bool:
+        """Java alone evaluates it, in linear time."""
+        return self.flat and self.power == 1
 
 
 @dataclass
@@ -99,6 +109,7 @@ _NEWER_SCRIPTS = set("Cypro_Minoan Kawi Nag_Mundari Old_Uyghur Tangsa Toto Vithk
 _MAX_CODE_POINT = 0x10FFFF
 _MAX_REPEAT = 1000
 _LONG_LOOP = 250  # rounds of a group that Java may recurse through
+LONG_TEXT = 1024  # bytes of text on which Java may take quadratic time
 _ASCII_WORD = "[0-9A-Za-z_]"
 # RE2's \b and \B are ASCII word boundaries; Java's are Unicode-aware.
 _WORD_BOUNDARY = f"(?:(?<={_ASCII_WORD})(?!{_ASCII_WORD})|(?<!{_ASCII_WORD})(?={_ASCII_WORD}))"
@@ -194,6 +205,15 @@ def _java_property(name: str, negate: bool, where: str) -> str:
     return f"\\{letter}{{Is{name}}}"  # a script name such as Greek or Han
 
 
+def _power(src: str) -> int:
+    if "\\B" in src:  # the RE2 of pyarrow tests it inside characters too; Java stays right
+        return 1
+    try:
+        return growth(src)
+    except (ValueError, IndexError):  # something the analysis cannot read: left to RE2
+        return MOST
+
+
 class _Translator:
     def __init__(self, src: str):
         self.src = src
@@ -661,7 +681,7 @@ class _Translator:
         for g, (start, end) in enumerate(self.openers, 1):
             named += [src[at:start], f"(?P<g{g}>"]
             at = end
-        return JavaRegex(self.src, "(?d)" + "".join(self.out), self.groups, required, self.flat, "".join(named) + src[at:])
+        return JavaRegex(self.src, "(?d)" + "".join(self.out), self.groups, required, self.flat, "".join(named) + src[at:], _power(self.src))
 
     def next_kind(self) -> str | None:
         """What the next character of every match is, if the pattern fixes it."""
@@ -773,6 +793,7 @@ def _linear_groups(pattern: str, groups: int):
 
     @F.arrow_udf("array<string>")
     def extract(texts):
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -780,8 +801,8 @@ def _linear_groups(pattern: str, groups: int):
         columns = [pc.fill_null(found.field(i), "") for i in range(groups)]
         interleaved = pa.chunked_array(columns).combine_chunks() if columns else pa.array([], pa.string())
         n = len(texts)
-        order = pa.array([i * n + row for row in range(n) for i in range(groups)], pa.int64())
-        offsets = pa.array(range(0, (n + 1) * groups, groups), pa.int32())
+        order = pa.array((np.arange(groups)[None, :] * n + np.arange(n)[:, None]).ravel())
+        offsets = pa.array(np.arange(0, (n + 1) * groups, groups, dtype=np.int32))
         return pa.ListArray.from_arrays(offsets, interleaved.take(order))
 
     return extract
@@ -794,15 +815,22 @@ def search(col, rx: JavaRegex | str):
     runs first and the regex engine only sees rows that can match."""
     if isinstance(rx, str):
         rx = translate(rx)
-    pred = col.rlike(rx.pattern) if rx.flat else _linear_search(rx.named)(col)
-    return col.contains(rx.required) & pred if rx.required else pred
+    can = col.contains(rx.required) if rx.required else None
+    if rx.java:
+        pred = col.rlike(rx.pattern)
+    elif rx.flat and rx.power == 2:
+        long = F.octet_length(col) > LONG_TEXT
+        pred = F.when(long, _linear_search(rx.named)(F.when(long if can is None else long & can, col))).otherwise(col.rlike(rx.pattern))
+    else:
+        pred = _linear_search(rx.named)(col if can is None else F.when(can, col))
+    return pred if can is None else can & pred
 
 
 def extract_groups(col, rx: JavaRegex):
-    """All groups of the leftmost match as an array, for patterns that are not flat."""
+    """All groups of the leftmost match as an array, for patterns that are not Java's."""
     return _linear_groups(rx.named, rx.groups)(col)
 
 
 def extract_group(col, rx: JavaRegex, i: int):
     """Group ``i`` of the leftmost match, ``''`` where there is none."""
-    return F.regexp_extract(col, rx.pattern, i) if rx.flat else F.get(extract_groups(col, rx), i - 1)
+    return F.regexp_extract(col, rx.pattern, i) if rx.java else F.get(extract_groups(col, rx), i - 1)

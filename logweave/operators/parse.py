@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import json_object_from_parts, json_parse_parts, null_payload
+from ..functions.payload import decode_json, null_payload
 from ..functions.regex import JavaRegex, extract_group, extract_groups, first_match_groups_pattern, search
 from ..functions.text import unicode_trim
 from ..specs import ParserSpec, TimeLayout
@@ -53,7 +53,7 @@ def _groups_stage(df: DataFrame, text: str, rx: JavaRegex, prefix: str, carry) -
     names = [f"{prefix}{i}" for i in range(1, n + 1)]
     if n == 0:
         return df, names
-    if not rx.flat:
+    if not rx.java:
         staged = df.select(*carry, extract_groups(F.col(text), rx).alias("_parts"))
         return staged.select(*carry, *[F.get(F.col("_parts"), i).alias(name) for i, name in enumerate(names)]), names
     if n == 1:
@@ -170,22 +170,11 @@ def with_payload(df: DataFrame, base, raw: Column, spec: ParserSpec) -> DataFram
     else:
         cand = F.lit(None).cast("string")
     staged = barrier(df, base, _cand=cand)
-    c_el, c_closed = json_parse_parts(F.col("_cand"))
-    cand_parsed = barrier(staged, [*base, F.col("_cand")], _c_el=c_el, _c_closed=c_closed)
-    c_ok, c_map = json_object_from_parts(F.col("_cand"), F.col("_c_el"), F.col("_c_closed"))
-    c_ok = F.coalesce(c_ok, F.lit(False))
+    found = barrier(staged, base, _c=decode_json(F.col("_cand")))
     # the message is decoded only for lines whose candidate is not a JSON object
-    m_el, m_closed = json_parse_parts(msg)
-    parsed = barrier(
-        cand_parsed,
-        [*base, F.col("_cand"), F.col("_c_el"), F.col("_c_closed")],
-        _c_ok=c_ok,
-        _m_el=F.when(~c_ok, m_el),
-        _m_closed=F.when(~c_ok, m_closed),
-    )
-    m_ok, m_map = json_object_from_parts(msg, F.col("_m_el"), F.col("_m_closed"))
-    payload = F.when(F.col("_c_ok"), c_map).when(m_ok, m_map)
-    return barrier(parsed, base, event_data=payload)
+    taken = F.coalesce(F.col("_c.ok"), F.lit(False))
+    payload = F.when(taken, F.col("_c.payload")).otherwise(decode_json(msg)["payload"])
+    return barrier(found, base, event_data=payload)
 
 
 def parse_stats(lines: DataFrame, spec: ParserSpec = ParserSpec(), *, line_col: str = "value") -> DataFrame:

@@ -27,7 +27,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import json_object_from_parts, json_parse_parts, null_payload
+from ..functions.payload import decode_json, null_payload
 from ..functions.text import strip_one_cr
 
 __all__ = ["entries_from_table", "lines_from_text_column", "ENTRY_COLUMNS"]
@@ -57,10 +57,7 @@ def entries_from_table(
 
     names = [c for c in keep] + ["ts", "level", "tag", "pid", "tid", "message"]
     text = df.select(*fields, _col(payload_json).cast("string").alias("_json"))
-    elements, closed = json_parse_parts(F.col("_json"))
-    parsed = barrier(text, [*[F.col(c) for c in names], F.col("_json")], _el=elements, _closed=closed)
-    _, ev = json_object_from_parts(F.col("_json"), F.col("_el"), F.col("_closed"))
-    return barrier(parsed, [F.col(c) for c in names], event_data=ev)
+    return barrier(text, [F.col(c) for c in names], event_data=decode_json(F.col("_json"))["payload"])
 
 
 def lines_from_text_column(df: DataFrame, text, keep: Sequence[str] = ()) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from logweave.functions.growth import growth
 from logweave.functions.regex import RegexSyntaxError, search, translate
 
 
@@ -148,6 +149,12 @@ def test_differential_against_re2(spark, pattern):
         (r"(?:ab)+$", "ab" * 500_000, True),  # flat: Java loops
         (r"(?:.x)+$", "é😀x" * 100_000, True),
         (r"^\w+$", "w" * 1_000_000, True),
+        (r".*a.*b.*c$", "ab" * 500_000, False),  # several repeats that can trade characters
+        (r".*a.*b.*c$", "ab" * 500_000 + "c", True),
+        (r"(\w*)(\d*)z", "7" * 1_000_000, False),
+        (r"\d+x", "7" * 1_000_000, False),  # one repeat, tried from every start
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "a." * 300_000 + "@" + "b." * 300_000, False),
+        (r"^(.*) (.*)x$", "a " * 500_000, False),
     ],
 )
 def test_long_lines_neither_overflow_nor_stall(spark, pattern, text, expected):
@@ -160,6 +167,28 @@ def test_common_patterns_stay_in_java(pattern):
     assert translate(pattern).flat
 
 
+@pytest.mark.parametrize(
+    "pattern,power",
+    [
+        ("abc", 1), ("a.*", 1), ("^(.*)$", 1), (r"^\d+x", 1), (r"\d+x", 2), ("^(.*) (.*)$", 1), ("^(.*) (.*)x$", 2), (".*a.*b.*c$", 4), ("a*a*a*b", 4), ("(a|b)+c", 2),
+        (r"^(\S+) (\S+) \[(\d+)\] (.*)$", 1), (r"key\s*=\s*[0-9]{16,}", 1), ("x(?s:.{0,500})y", 2), ("x.{0,20}y", 1), (r"^a|b+c", 2), ("(?i)K+\u212a", 2),
+        ("[^]a]+]", 2), (r"(?m)^a+$", 2), (r"\Qa.b\E+c", 2), ("(?:a+,){3}x", 2), ("^(?:a+,){3}x", 1), (r"\x{41}+\x41", 2), ("[[:alpha:]]+[[:digit:]]x", 2), ("^[[:alpha:]]+[[:digit:]]x", 1),
+    ],
+)
+def test_growth_of_a_backtracking_search(pattern, power):
+    assert growth(pattern) == power
+
+
+def test_groups_of_long_lines(spark):
+    from logweave.operators.parse import parse_entries
+    from logweave.specs import ParserSpec
+
+    line = "a b " * 250_000 + "end"
+    df = spark.createDataFrame([(line,), ("x y",), ("none",)], "value string")
+    got = [r.message for r in parse_entries(df, ParserSpec(log_line_regex=r"^(.*) (.*) ?(\w+)$")).collect()]
+    assert got == ["d", "y"]
+
+
 @pytest.mark.parametrize("pattern", [r"\p{Foo}", r"[\p{greek}]", "(a{500}){500}", "(?:(?:a{10}){10}){11}", "(?P<n>a)(?P<n>b)"])
 def test_what_re2_refuses_is_refused_up_front(pattern):
     with pytest.raises(RegexSyntaxError):
