@@ -23,11 +23,18 @@ Arrangement:
 
 The plan has the same form at every size, and reads its input once.
 
-Per run the composition is a vectorised tree reduction in NumPy over Arrow
-batches (``mapInPandas``): O(rows x k) work, memory bounded by one batch,
-behind Spark's spill-capable sort.  Spark SQL has no ordered, stateful
+Within a run the walk is followed from all start states at once (``Trajectories``): two starts
+that wait for the same step are one from there on, so a state has one trajectory at most, an entry
+moves only those that wait for what it matches, and soon few are left.  The work follows the matches of the
+trajectories that are left, not the number of steps.  Steps with equal predicates share one bit, so
+a predicate is evaluated once however often the funnel asks for it.  This is a streaming pass over
+Arrow batches behind Spark's spill-capable sort, with k numbers of memory.  Spark SQL has no ordered, stateful
 aggregate that could express this without collecting a whole chunk into one
 array, which is why this one step runs in Python.
+
+With keys (one automaton per key) the order is (key, order): a key's first entry in a range that does not begin
+with it enters in state 0, which leaves a single trajectory; only the key a range begins with is followed from
+every state, since it may go on from the range before.  A key of any size may span ranges; its runs are composed like others.
 """
 
 from __future__ import annotations
@@ -37,6 +44,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -48,13 +56,13 @@ from ..session import Scratch
 # executors do not need this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["BITS_PER_WORD", "mask_words", "compose", "tree_compose", "walk", "fold_levels", "fold_runs", "compose_runs"]
+__all__ = ["BITS_PER_WORD", "mask_words", "compose", "Trajectories", "walk", "walk_by", "fold_levels", "fold_runs", "compose_runs"]
 
 BITS_PER_WORD = 63  # the sign bit stays clear, so words are plain non-negative longs
 
 
 def mask_words(preds: Sequence[Column]) -> list[Column]:
-    """Pack k boolean step predicates into ceil(k/63) BIGINT bit masks."""
+    """Pack boolean predicates into BIGINT bit masks, 63 to a mask."""
     words = []
     for start in range(0, len(preds), BITS_PER_WORD):
         word = F.lit(0).cast("bigint")
@@ -69,39 +77,131 @@ def compose(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     return a + b[(np.arange(k) + a) % k]
 
 
-def tree_compose(adv: np.ndarray, k: int) -> np.ndarray:
-    """Fold rows of per-entry summaries (n x k, in order) into one, pairwise."""
-    ar = np.arange(k)
-    while adv.shape[0] > 1:
-        if adv.shape[0] % 2:
-            adv = np.vstack([adv, np.zeros((1, k), dtype=adv.dtype)])
-        left, right = adv[0::2], adv[1::2]
-        adv = left + np.take_along_axis(right, (ar[None, :] + left) % k, axis=1)
-    return adv[0] if adv.shape[0] else np.zeros(k, dtype=np.int64)
-
-
-def _unpack(words: np.ndarray, k: int) -> np.ndarray:
-    """(n x W) mask words -> (n x k) 0/1 int64 matrix."""
-    cols = []
-    for w in range(words.shape[1]):
-        nb = min(BITS_PER_WORD, k - w * BITS_PER_WORD)
-        cols.append((words[:, w : w + 1] >> np.arange(nb, dtype=np.int64)[None, :]) & 1)
-    return np.concatenate(cols, axis=1).astype(np.int64)
-
-
-def _summarizer(k: int, run_cols: list[str], value_cols: list[str], packed: bool, unique_cols=None):
-    """Per task: one summary per run (maximal stretch of equal ``run_cols``).
-
-    Input rows are either entries (``packed``: step bit masks) or summaries of
-    finer runs (an ``adv`` array each, identified by ``unique_cols``); either
-    way rows are composed in input order with a vectorised tree reduction per
-    Arrow batch.  Two adjacent summaries of the same finer run mean a chunk was
-    split across tasks, which would break the order: that raises."""
-
-    def matrix(pdf):
-        if packed:
-            return _unpack(pdf[value_cols].to_numpy(dtype=np.int64), k)
-        return np.stack([np.asarray(a, dtype=np.int64) for a in pdf[value_cols[0]]])
+class Trajectories:
+    """The walk of one run from several start states at once.
+
+    ``bits[s]`` is the bit that an entry's mask has set if it matches step s."""
+
+    def __init__(self, bits: Sequence[int], starts: Sequence[int] | None = None):
+        self.bits, k = list(bits), len(bits)
+        self.starts = list(range(k)) if starts is None else list(starts)
+        self.at: dict[int, int] = {s: s for s in self.starts}  # the trajectory that waits in a state
+        self.made = {s: 0 for s in self.starts}  # matches of a trajectory while it was on its own
+        self.joined: dict[int, tuple[int, int]] = {}  # trajectory -> (the one it joined, its matches beyond that one's)
+        self.waiting: dict[int, set[int]] = {}
+        for s in self.starts:
+            self.waiting.setdefault(self.bits[s], set()).add(s)
+        self.awaited = sum(1 << b for b in self.waiting)
+
+    def feed(self, masks: Sequence[int]) -> None:
+        """Goes on over the entries' masks, in order."""
+        k, bits, at, made, waiting = len(self.bits), self.bits, self.at, self.made, self.waiting
+        for i, mask in enumerate(masks):
+            if len(at) == 1:
+                return self._alone(masks, i)
+            hit = mask & self.awaited
+            if not hit:
+                continue
+            moved = []
+            while hit:
+                low = hit & -hit
+                moved += waiting.pop(low.bit_length() - 1)
+                hit ^= low
+            self.awaited &= ~mask
+            going = [(s, at.pop(s)) for s in moved]
+            for s, t in going:
+                made[t] += 1
+                n = s + 1 if s + 1 < k else 0
+                other = at.get(n)
+                if other is None:
+                    at[n] = t
+                    waiting.setdefault(bits[n], set()).add(n)
+                    self.awaited |= 1 << bits[n]
+                else:
+                    self.joined[t] = (other, made[t] - made[other])
+
+    def _alone(self, masks: Sequence[int], first: int) -> None:
+        ((state, t),) = self.at.items()
+        n, k, bits = 0, len(self.bits), self.bits
+        for mask in masks[first:] if first else masks:
+            if mask >> bits[state] & 1:
+                n += 1
+                state = state + 1 if state + 1 < k else 0
+        self.made[t] += n
+        self.at, self.waiting, self.awaited = {state: t}, {bits[state]: {state}}, 1 << bits[state]
+
+    def advances(self) -> list[int]:
+        """Matches made from each start state."""
+        total = {}
+        for start in self.starts:
+            path, t = [], start
+            while t not in total and t in self.joined:
+                path.append(t)
+                t = self.joined[t][0]
+            total.setdefault(t, self.made[t])
+            for t in reversed(path):
+                total[t] = total[self.joined[t][0]] + self.joined[t][1]
+        return [total[s] for s in self.starts]
+
+
+def _masks(batch: pa.RecordBatch, words: Sequence[str]) -> list[int]:
+    """The mask of each row as one integer."""
+    first, *more = [batch.column(batch.schema.get_field_index(w)).to_pylist() for w in words]
+    return first if not more else [sum(x << (BITS_PER_WORD * i) for i, x in enumerate(row)) for row in zip(first, *more)]
+
+
+def _new_runs(batch: pa.RecordBatch, names: Sequence[str], last: tuple | None) -> tuple[list[int], tuple]:
+    """(rows at which ``names`` differ from the row before, the values of the last row); null equals null."""
+    columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
+    fresh = np.zeros(batch.num_rows, bool)
+    for column in columns:
+        codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        fresh[1:] |= codes[1:] != codes[:-1]
+    fresh[0] = last is None or tuple(c[0].as_py() for c in columns) != last
+    return np.flatnonzero(fresh).tolist(), tuple(c[batch.num_rows - 1].as_py() for c in columns)
+
+
+def _follower(bits: Sequence[int], run_cols: list[str], words: list[str], keyed: bool):
+    """Per task: one summary per run (maximal stretch of equal ``run_cols``) of entries given in order.
+
+    ``keyed``: a run that is not its task's first begins its key, so it is followed from state 0 alone."""
+
+    def summaries(made, kinds):
+        columns = [pa.array(c, t) for c, t in zip(zip(*[key for key, _, _ in made]), kinds)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([a for _, a, _ in made], pa.list_(pa.int64())), pa.array([n for _, _, n in made], pa.int64())], names=[*run_cols, "adv", "rows"])
+
+    def follow(batches):
+        last, walker, rows, first, kinds = None, None, 0, True, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = kinds or [batch.schema.field(c).type for c in run_cols]
+            masks, made = _masks(batch, words), []
+            keys = [batch.column(batch.schema.get_field_index(c)) for c in run_cols]
+            starts, end = _new_runs(batch, run_cols, last)
+            if walker and (not starts or starts[0]):  # the run of the batch before goes on
+                upto = starts[0] if starts else batch.num_rows
+                walker.feed(masks[:upto])
+                rows += upto
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                if walker:
+                    made.append((last, walker.advances(), rows))
+                    first = False
+                walker, rows, last = Trajectories(bits, [0] if keyed and not first else None), b - a, tuple(c[a].as_py() for c in keys)
+                walker.feed(masks[a:b])
+            last = end
+            if made:
+                yield summaries(made, kinds)
+        if walker:
+            yield summaries([(last, walker.advances(), rows)], kinds)
+
+    return follow
+
+
+def _composer(k: int, run_cols: list[str], unique_cols: list[str]):
+    """Per task: finer run summaries (``adv`` of each, told apart by ``unique_cols``) composed per stretch of equal ``run_cols``.
+
+    Two adjacent summaries of the same finer run mean a chunk was split across tasks, which would break the order: that raises."""
 
     def summarize(batches):
         key, acc, rows, last_unique = None, None, 0, None
@@ -109,32 +209,22 @@ def _summarizer(k: int, run_cols: list[str], value_cols: list[str], packed: bool
         for pdf in batches:
             if pdf.empty:
                 continue
-            steps = matrix(pdf)
-            weights = np.ones(len(pdf), dtype=np.int64) if packed else pdf["rows"].to_numpy(dtype=np.int64)
-            if unique_cols:
-                finer = pdf[unique_cols]
-                repeated = ~(finer != finer.shift()).any(axis=1).to_numpy()
-                repeated[0] = last_unique is not None and tuple(finer.iloc[0]) == last_unique
-                if repeated.any():
-                    raise RuntimeError(SPLIT_CHUNK_ERROR)
-                last_unique = tuple(finer.iloc[-1])
-            keys = pdf[run_cols]
-            change = (keys != keys.shift()).any(axis=1).to_numpy()
-            change[0] = True
-            starts = np.flatnonzero(change).tolist() + [len(pdf)]
-            for a, b in zip(starts[:-1], starts[1:]):
-                seg_key = tuple(keys.iloc[a])
-                seg = tree_compose(steps[a:b], k)
-                n = int(weights[a:b].sum())
+            finer = pdf[unique_cols]
+            repeated = ~(finer != finer.shift()).any(axis=1).to_numpy()
+            repeated[0] = last_unique is not None and tuple(finer.iloc[0]) == last_unique
+            if repeated.any():
+                raise RuntimeError(SPLIT_CHUNK_ERROR)
+            last_unique = tuple(finer.iloc[-1])
+            for seg_key, adv, n in zip(pdf[run_cols].itertuples(index=False, name=None), pdf["adv"], pdf["rows"]):
+                adv = np.asarray(adv, dtype=np.int64)
                 if key is not None and seg_key == key:
-                    acc, rows = compose(acc, seg, k), rows + n
+                    acc, rows = compose(acc, adv, k), rows + n
                 else:
                     if key is not None:
                         out_keys.append(key), out_adv.append(acc.tolist()), out_rows.append(rows)
-                    key, acc, rows = seg_key, seg, n
+                    key, acc, rows = seg_key, adv, n
         if key is not None:
             out_keys.append(key), out_adv.append(acc.tolist()), out_rows.append(rows)
-        if out_keys:
             res = pd.DataFrame(out_keys, columns=run_cols)
             res["adv"] = out_adv
             res["rows"] = out_rows
@@ -152,13 +242,13 @@ def _summary_schema(arranged: DataFrame, run_cols: list[str]) -> T.StructType:
 
 def walk(
     masked: DataFrame,
-    k: int,
+    bits: Sequence[int],
     word_cols: Sequence[str],
     order_by: Sequence[str],
     chunk_by: Sequence[str] | None,
     scratch: Scratch,
 ) -> tuple[DataFrame, list[str], int]:
-    """(run summaries, their key columns, number of entries) of ``masked[*order, *words]``.
+    """(run summaries, their key columns, number of entries) of ``masked[*order, *words]``; ``bits`` gives each step's bit.
 
     The one pass over the input writes what the fold needs to shared storage and counts the
     entries on the way.  From a text source that is one summary per file split; from a
@@ -167,7 +257,7 @@ def walk(
     ``spark.sql.shuffle.partitions`` of them at least).  Summaries are folded in levels until
     ``FAN_IN`` are left, by their real number.
     """
-    order_by, words = list(order_by), list(word_cols)
+    order_by, words, k = list(order_by), list(word_cols), len(bits)
     total = Observation()
     any_match = F.lit(False)
     for w in words:
@@ -181,7 +271,7 @@ def walk(
     if chunk_by:
         run_cols = list(chunk_by)
         arranged = matching.sortWithinPartitions(*run_cols, *[c for c in order_by if c not in run_cols])
-        summaries = scratch.save(_summaries(arranged, k, run_cols, words), "runs")
+        summaries = scratch.save(_summaries(arranged, bits, run_cols, words), "runs")
         runs = summaries.count()
     else:
         run_cols = ["_run"]
@@ -189,16 +279,30 @@ def walk(
         runs = range_count(matching)
         cols = [F.col(c).asc_nulls_first() for c in order_by]
         arranged = matching.repartitionByRange(runs, *cols).sortWithinPartitions(*cols)
-        summaries = _summaries(arranged.withColumn("_run", F.spark_partition_id()), k, run_cols, words)
+        summaries = _summaries(arranged.withColumn("_run", F.spark_partition_id()), bits, run_cols, words)
     summaries, run_cols = fold_levels(summaries, run_cols, k, runs)
     return summaries, run_cols, total.get.get("n", 0)
 
 
-def _summaries(arranged: DataFrame, k: int, run_cols: list[str], words: list[str]) -> DataFrame:
+def _summaries(arranged: DataFrame, bits: Sequence[int], run_cols: list[str], words: list[str], keyed: bool = False) -> DataFrame:
     """``DataFrame[*run_cols, adv ARRAY<BIGINT>, rows BIGINT]``, one row per run."""
-    return arranged.select(*run_cols, *words).mapInPandas(
-        _summarizer(k, run_cols, words, packed=True), _summary_schema(arranged, run_cols)
-    )
+    return arranged.select(*run_cols, *words).mapInArrow(_follower(bits, run_cols, words, keyed), _summary_schema(arranged, run_cols))
+
+
+def walk_by(masked: DataFrame, bits: Sequence[int], word_cols: Sequence[str], keys: Sequence[str], order_by: Sequence[str], scratch: Scratch) -> DataFrame:
+    """``DataFrame[*keys, total_events_analyzed, matches]``: one automaton per key, over ``masked[*keys, *order, *words]``.
+
+    The one pass over the input writes keys, order and step bits of every entry; these narrow rows are ranged by (key, order),
+    so the entries of one key may lie in many ranges.  What meets per key is one summary for each range that has it."""
+    keys, words, k = list(keys), list(word_cols), len(bits)
+    order = [c for c in order_by if c not in keys]
+    rows = scratch.save(masked.select(*keys, *order, *words), "keyed")
+    cols = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
+    arranged = rows.repartitionByRange(range_count(rows), *cols).sortWithinPartitions(*cols).withColumn("_run", F.spark_partition_id())
+    runs = _summaries(arranged, bits, [*keys, "_run"], words, keyed=True)
+    held = F.array_sort(F.collect_list(F.struct("_run", "adv")))  # one per range
+    folded = F.aggregate(held, F.lit(0).cast("bigint"), lambda m, r: m + F.element_at(r["adv"], (m % F.lit(k)).cast("int") + 1))
+    return runs.groupBy(*keys).agg(F.sum("rows").alias("total_events_analyzed"), folded.alias("matches"))
 
 
 def range_count(matching: DataFrame) -> int:
@@ -230,7 +334,7 @@ def fold_levels(summaries: DataFrame, run_cols: list[str], k: int, runs: int) ->
             .select(*run_cols, F.spark_partition_id().alias(group_col), "adv", "rows")
         )
         summaries = arranged.mapInPandas(
-            _summarizer(k, [group_col], ["adv"], packed=False, unique_cols=list(run_cols)),
+            _composer(k, [group_col], list(run_cols)),
             _summary_schema(arranged, [group_col]),
         )
         run_cols = [group_col]

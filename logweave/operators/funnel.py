@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.match import match_subject, matches_step
 from ..specs import FunnelSpec
 from ..session import Scratch
-from .fold import fold_runs, mask_words, walk
+from .fold import fold_runs, mask_words, walk, walk_by
 
 __all__ = [
     "funnel_progress",
@@ -38,17 +38,22 @@ __all__ = [
 _LONG_MAX = (1 << 63) - 1
 
 
-def step_mask_columns(entries: DataFrame, spec: FunnelSpec, keep: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """``entries`` reduced to ``keep`` plus packed step-match bit masks ``_m0..``."""
+def step_mask_columns(entries: DataFrame, spec: FunnelSpec, keep: Sequence[str]) -> tuple[DataFrame, list[str], list[int]]:
+    """``entries`` reduced to ``keep`` plus packed match bits ``_m0..``; the names of these, and the bit of each step.
+
+    Steps with the same pattern and properties share a bit."""
     subject = entries.select(
         *[F.col(c) for c in keep],
         match_subject(F.col("message"), F.col("event_data")).alias("_subject"),
         F.col("event_data"),
     )
-    preds = [matches_step(F.col("_subject"), F.col("event_data"), s) for s in spec.steps]
+    asked = [(s.event_pattern, tuple(sorted(s.required_properties.items()))) for s in spec.steps]
+    distinct = {what: step for what, step in reversed(list(zip(asked, spec.steps)))}
+    bit = {what: i for i, what in enumerate(dict.fromkeys(asked))}
+    preds = [matches_step(F.col("_subject"), F.col("event_data"), distinct[what]) for what in bit]
     words = mask_words(preds)
     names = [f"_m{w}" for w in range(len(words))]
-    return subject.select(*[F.col(c) for c in keep], *[w.alias(n) for w, n in zip(words, names)]), names
+    return subject.select(*[F.col(c) for c in keep], *[w.alias(n) for w, n in zip(words, names)]), names, [bit[what] for what in asked]
 
 
 def funnel_progress(
@@ -57,6 +62,7 @@ def funnel_progress(
     *,
     order_by: Sequence[str],
     chunk_by: Sequence[str] | None = None,
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """One row ``(total_events_analyzed BIGINT, matches BIGINT)`` for an unlimited walk.
 
@@ -64,18 +70,26 @@ def funnel_progress(
     sources, e.g. ``LINE_ORDER``; a unique key for tables).  ``chunk_by`` may
     name columns that are monotone in that order and whose groups never span
     two input partitions (``SPLIT_CHUNK`` for text sources); then no shuffle
-    is needed.
+    is needed.  With ``partition_by`` every value of these columns (null is one) has an automaton of its own,
+    ``order_by`` need only order its entries, and there is one row per value.
 
     The pass over ``entries`` runs now (it writes narrow rows to shared storage and counts);
     the result is a lazy DataFrame over what it wrote.
     """
-    order_by = list(order_by)
+    order_by, keys = list(order_by), list(partition_by)
     if not order_by:
         raise ValueError("order_by is required: a DataFrame has no order of its own")
+    if keys and chunk_by:
+        raise ValueError("partition_by arranges the entries itself; leave out chunk_by")
+    taken = [c for c in keys if c in ("total_events_analyzed", "matches")]
+    if taken:
+        raise ValueError(f"partition_by columns {taken} clash with the result's")
     scratch = Scratch(entries.sparkSession, "funnel")
-    keep = list(dict.fromkeys(order_by + list(chunk_by or [])))
-    masked, words = step_mask_columns(entries, spec, keep)
-    summaries, run_cols, total = walk(masked, spec.k, words, order_by, chunk_by, scratch)
+    keep = list(dict.fromkeys(keys + order_by + list(chunk_by or [])))
+    masked, words, bits = step_mask_columns(entries, spec, keep)
+    if keys:
+        return walk_by(masked, bits, words, keys, order_by, scratch)
+    summaries, run_cols, total = walk(masked, bits, words, order_by, chunk_by, scratch)
     matches = fold_runs(summaries, run_cols, spec.k)
     return matches.select(
         F.lit(total).cast("bigint").alias("total_events_analyzed"),
@@ -86,13 +100,15 @@ def funnel_progress(
 class FunnelResult:
     """Step, drop-off, summary and report tables of one funnel walk.
 
-    All are lazy projections of the same one-row progress DataFrame.
+    All are lazy projections of the same one-row progress DataFrame.  With ``keys`` the progress has a row for each of their
+    values; every table then begins with these columns, and a limit holds for each walk.
     """
 
-    def __init__(self, progress: DataFrame, spec: FunnelSpec, limit: int = 0):
+    def __init__(self, progress: DataFrame, spec: FunnelSpec, limit: int = 0, keys: Sequence[str] = ()):
         self.progress = progress
         self.spec = spec
         self.limit = int(limit)
+        self.keys = [F.col(f"`{k}`") for k in keys]
 
     # -- closed form -------------------------------------------------------------
     def _m(self) -> Column:
@@ -105,10 +121,10 @@ class FunnelResult:
     def _counts(self) -> DataFrame:
         k = self.spec.k
         m = self._m()
-        base = self.progress.select("total_events_analyzed", m.alias("_m"))
+        base = self.progress.select(*self.keys, "total_events_analyzed", m.alias("_m"))
         conv = F.expr(f"_m div {k}")
         return base.select(
-            "total_events_analyzed",
+            *self.keys, "total_events_analyzed",
             F.col("_m").alias("matched_events"),
             conv.cast("bigint").alias("conversions"),
             (F.col("_m") % k).cast("bigint").alias("_rem"),
@@ -153,16 +169,18 @@ class FunnelResult:
 
         ``percentage`` is relative to step 1 (0 when step 1 has no events);
         no rows when there are no entries."""
-        return self._counts().select(F.inline(self.step_array()))
+        return self._counts().select(*self.keys, F.inline(self.step_array()))
 
     def drop_offs(self) -> DataFrame:
         """``DataFrame[step_index INT, from STRING, to STRING, events_lost BIGINT, drop_off_rate DOUBLE]``.
 
         One row per adjacent step pair whose first step has events."""
-        return self._counts().select(F.inline(self.drop_array())).drop("_a")
+        return self._counts().select(*self.keys, F.inline(self.drop_array())).drop("_a")
 
     def report(self) -> DataFrame:
         """One row ``report STRING``: the result as one JSON document."""
+        if self.keys:
+            raise ValueError("a report is of one walk; a keyed funnel has many")
         from ..plans.report import funnel_report  # the report sink builds on this class
 
         return funnel_report(self)
@@ -170,7 +188,7 @@ class FunnelResult:
     def summary(self) -> DataFrame:
         """One row: ``funnel_name, total_events_analyzed, funnel_completed, conversions, matched_events``."""
         return self._counts().select(
-            F.lit(self.spec.name).alias("funnel_name"),
+            *self.keys, F.lit(self.spec.name).alias("funnel_name"),
             F.coalesce(F.col("total_events_analyzed"), F.lit(0).cast("bigint")).alias("total_events_analyzed"),
             (F.col("conversions") > 0).alias("funnel_completed"),
             F.col("conversions"),
@@ -184,11 +202,14 @@ def analyze_funnel(
     *,
     order_by: Sequence[str],
     chunk_by: Sequence[str] | None = None,
+    partition_by: Sequence[str] = (),
     limit: int = 0,
 ) -> FunnelResult:
     """Walk ``entries`` in ``order_by`` order through ``spec``; ``limit`` stops after that
-    many completed conversions (0: no limit; negative: stop at once)."""
-    return FunnelResult(funnel_progress(entries, spec, order_by=order_by, chunk_by=chunk_by), spec, limit)
+    many completed conversions (0: no limit; negative: stop at once).  ``partition_by`` (off by default) gives
+    each value of these columns a walk of its own."""
+    progress = funnel_progress(entries, spec, order_by=order_by, chunk_by=chunk_by, partition_by=partition_by)
+    return FunnelResult(progress, spec, limit, partition_by)
 
 
 def funnel_steps(entries: DataFrame, spec: FunnelSpec, **kw) -> DataFrame:

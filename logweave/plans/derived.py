@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.clock import wall_clock_text
 
 __all__ = [
-    "EVENT_LINE_REGEX", "EVENT_LINE_FORMAT", "PAYLOAD_REGEX", "logcat_lines", "clock_lines", "syslog_lines", "write_lines",
+    "EVENT_LINE_REGEX", "EVENT_LINE_FORMAT", "PAYLOAD_REGEX", "logcat_lines", "repeated_key_payload", "clock_lines", "syslog_lines",
+    "write_lines",
 ]
 
 # The line layout above (RE2), its timestamp format and payload locator.
@@ -51,6 +52,18 @@ def logcat_lines(events: DataFrame) -> DataFrame:
     return events.select("ts", "event_id", line.alias("value"))
 
 
+def repeated_key_payload():
+    """A JSON text of an event's type and user that repeats a key, by ``event_id % 5``."""
+    kind, user, shape = _s("event_type"), _s("user_id"), F.col("event_id") % 5
+    return (
+        F.when(shape == 0, F.concat(F.lit('{"event":"old","user":"u'), user, F.lit('","event":"'), kind, F.lit('"}')))
+        .when(shape == 1, F.concat(F.lit('{"event":"'), kind, F.lit('","user":"u'), user, F.lit('","event":'), user, F.lit("}")))
+        .when(shape == 2, F.concat(F.lit('{"n":{"x":1,"x":[2]},"event" : "'), kind, F.lit('"}')))
+        .when(shape == 3, F.concat(F.lit('{"event":"lost","user":"u'), user, F.lit('","k":1e400}')))
+        .otherwise(F.concat(F.lit('{"event":"'), kind, F.lit('","event":"x"')))
+    )
+
+
 def clock_lines(events: DataFrame, *, broken_every: int = 0) -> DataFrame:
     """``DataFrame[ts, event_id, value]``: ``[HHhMMmSS] LEVEL text`` lines (three fields).
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from ..functions.text import WHITE_SPACE
 from .derived import EVENT_LINE_REGEX, PAYLOAD_REGEX
 from .workloads import (
+    AMBIGUOUS_PATTERNS,
     CLOCK_REGEX,
     CONVERSATION_FUNNEL,
     CONVERSATION_PATTERNS,
@@ -235,6 +236,38 @@ def _props_progress():
     return _progress(LOGCAT_ENTRIES, _mask("subject", conds), "event_ts, event_id", len(PROPS_FUNNEL))
 
 
+def _keyed_progress(patterns, limit: int = 0) -> str:
+    """``_progress`` per user."""
+    k = len(patterns)
+    mask = _mask("message", [rx("message", p) for p in patterns])
+    m = f"""coalesce(list_reduce(list(mask ORDER BY ts, event_id) FILTER (WHERE mask <> 0),
+                 lambda acc, x: acc + ((x >> (acc % {k})) & 1), 0), 0)"""
+    eff = "m" if limit == 0 else f"greatest(0, least(m, {max(0, limit * k)}))"
+    return f"""
+WITH masked AS (SELECT *, {mask} AS mask FROM (SELECT user_id, event_id, ts, coalesce(event_type, '') AS message FROM events)),
+prog AS (SELECT user_id, count(*) AS total, {m} AS m FROM masked GROUP BY user_id),
+c AS (SELECT user_id, total, {eff} AS m, {eff} // {k} AS conv, {eff} % {k} AS rem FROM prog)"""
+
+
+def funnel_by_user_sql(patterns) -> str:
+    values = ", ".join(f"({i}, {lit(n)})" for i, n in enumerate(_names(patterns)))
+    return f"""{_keyed_progress(patterns)},
+cnt AS (SELECT user_id, i, name, conv + CASE WHEN i < rem THEN 1 ELSE 0 END AS n, conv + CASE WHEN 0 < rem THEN 1 ELSE 0 END AS c0
+        FROM c, (VALUES {values}) v(i, name))
+SELECT user_id, CAST(i + 1 AS INTEGER) AS step_index, name, n AS event_count,
+       CASE WHEN c0 > 0 THEN CAST(n AS DOUBLE) / CAST(c0 AS DOUBLE) * 100.0 ELSE 0.0 END AS percentage FROM cnt"""
+
+
+# shapes 0 to 2 are objects, whose last "event" counts (a number in shape 1); 3 holds 1e400 and 4 is cut off, so there the message counts
+PAYLOAD_REPEATED = """
+WITH p AS (
+  SELECT event_id, event_type, 'u' || user_id AS u, event_id % 5 AS shape FROM events
+)
+SELECT event_id, shape < 3 AS has_payload, CASE WHEN shape < 2 THEN u END AS "user",
+       CASE WHEN shape = 1 THEN NULL WHEN shape < 3 THEN event_type ELSE coalesce(event_type, '') END AS subject FROM p
+"""
+
+
 # -- parsing ---------------------------------------------------------------------------------
 def _int(g: str) -> str:
     return f"coalesce(CASE WHEN regexp_matches({g}, '^[+-]?[0-9]+$') THEN TRY_CAST({g} AS BIGINT) END, 0)"
@@ -309,6 +342,11 @@ def _build() -> dict[str, str]:
     o["count_documents"] = count_sql(DOCUMENT_ENTRIES, "message", DOCUMENT_PATTERNS, rates=True)
     o["count_deep_patterns"] = count_sql(DOCUMENT_ENTRIES, "message", DEEP_PATTERNS)
     never = f"SELECT * FROM ({LOGCAT_LINES}) WHERE {rx(utrim('value'), '^NEVER (\\d+)$')}"
+    o["count_ambiguous_patterns"] = count_sql(DOCUMENT_ENTRIES, "message", AMBIGUOUS_PATTERNS, rates=True)
+    o["payload_repeated_keys"] = PAYLOAD_REPEATED
+    o["funnel_by_user"] = funnel_by_user_sql(MAIN_FUNNEL)
+    o["funnel_by_user_summary"] = f"""{_keyed_progress(TWENTY_FUNNEL, 3)}
+SELECT user_id, 'funnel' AS funnel_name, total AS total_events_analyzed, conv > 0 AS funnel_completed, conv AS conversions, m AS matched_events FROM c"""
     o["count_report"] = count_report_sql(EVENT_ENTRIES, "message", EVENT_PATTERNS)
     o["count_report_empty"] = count_report_sql(never, "value", EVENT_PATTERNS)
     o["parse_syslog_days"] = PARSE_SYSLOG

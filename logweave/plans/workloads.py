@@ -23,7 +23,7 @@ from ..sources.balance import spread
 from ..sources.table import entries_from_table, lines_from_text_column
 from ..sources.text import LINE_ORDER, SPLIT_CHUNK, read_log_lines
 from ..specs import FunnelSpec, ParserSpec, Step, go_layout
-from .derived import EVENT_LINE_FORMAT, EVENT_LINE_REGEX, PAYLOAD_REGEX, clock_lines, logcat_lines, syslog_lines, write_lines
+from .derived import EVENT_LINE_FORMAT, EVENT_LINE_REGEX, PAYLOAD_REGEX, clock_lines, logcat_lines, repeated_key_payload, syslog_lines, write_lines
 from .report import count_report
 
 # The pattern sets, funnels and parser specs of the workloads
@@ -33,7 +33,7 @@ OVERLAPPING_PATTERNS = ["i", "^c", "e$", "[aeiou]{2}", "."]
 DUPLICATE_PATTERNS = ["view", "view", "^v"]
 DOCUMENT_PATTERNS = [
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
+    r"\d{1,3}(?:[.]\d{1,3}){2,3}",
     r"\+?\d[\d ()-]{7,}\d",
     r"token\s*=\s*\"[0-9a-f]{16,}\"",
     r"(?i)licen[cs]e",
@@ -47,7 +47,7 @@ PAYLOAD_PATTERNS = ["view", "click", "purchase", "by user_", "^null$", "k"]
 MAIN_FUNNEL = ["view", "click", "purchase"]
 OVERLAP_FUNNEL = ["i", "c", "e"]
 TWENTY_FUNNEL = ["view", "click", "purchase", "signup", "error"] * 4
-DOCUMENT_FUNNEL = [r"(?i)licen[cs]e", r"@", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"]
+DOCUMENT_FUNNEL = [r"(?i)licen[cs]e", r"@", r"\d[.]\d+[.]\d"]
 PROPS_FUNNEL = [("view", {"user": "^u1"}), ("click", {}), ("purchase", {"user": "[02468]$"})]
 CONVERSATION_FUNNEL = ["^user$", "^assistant$", "^user$", "^assistant$"]
 CONVERSATION_PATTERNS = [r"\?$", r"(?i)\bdie\b", r"[ÀÉÈ]", r"^\p{Lu}", r"\.$", r"[^\x00-\x7F]{3}"]
@@ -67,6 +67,8 @@ SYSLOG_REGEX = r"^([A-Z][a-z]+ +\d+ \d+:\d+:\d+) (.*)$"
 SYSLOG_SPEC = ParserSpec(timestamp_format=go_layout("Jan _2 15:04:05"), log_line_regex=SYSLOG_REGEX)
 # repeats and alternatives inside repeated groups: beyond what java.util.regex can run on long lines
 DEEP_PATTERNS = [r"^(?:\w|-)*$", r"^(?:[^.]|\.[^.])*$", r"(?:\w+\s?)+[.]$", r"(?:[A-Z]+!!\s?){3,}", r"^(?:(?:\p{L}|\p{M})+[\s,.]*)*$"]
+# repeats that can trade characters: a backtracking search takes a power of the line's length
+AMBIGUOUS_PATTERNS = [r".*a.*e.*i.*o.*u$", r"\w+\s\w+,.*\w+\.$", r"(\S*)e(\S*)e(\S*)!!", r"\d+[a-z]", r"^(.*) (.*)###$"]
 DOC_LINE_REGEX = r"^(\p{Lu})(\S*)\s(.*)$"
 EVENT_ORDER = ["ts", "event_id"]
 DOC_ORDER = ["doc_id", "line_no"]
@@ -164,6 +166,10 @@ def q_count_deep_patterns(spark, d, partitions=None):
     return count_patterns(document_entries(spark, d, partitions), DEEP_PATTERNS)
 
 
+def q_count_ambiguous_patterns(spark, d):
+    return count_patterns(document_entries(spark, d), AMBIGUOUS_PATTERNS, with_rates=True)
+
+
 def q_count_conversation_lines(spark, d):
     return count_patterns(parse_entries(conversation_lines(spark, d)), CONVERSATION_PATTERNS, with_rates=True)
 
@@ -241,6 +247,20 @@ def q_funnel_empty(spark, d):
     return analyze_funnel(entries, funnel_of(MAIN_FUNNEL), order_by=["event_ts", "event_id"]).steps()
 
 
+def q_funnel_by_user(spark, d):
+    """One walk per user: each user's steps."""
+    entries = entries_from_table(table(spark, d, "events"), message="event_type", ts="ts", keep=["user_id", "event_id"])
+    r = analyze_funnel(entries, funnel_of(MAIN_FUNNEL), order_by=EVENT_ORDER, partition_by=["user_id"])
+    return r.steps()
+
+
+def q_funnel_by_user_summary(spark, d):
+    """The users' walks with a limit of three rounds each."""
+    entries = entries_from_table(table(spark, d, "events"), message="event_type", ts="ts", keep=["user_id", "event_id"])
+    r = analyze_funnel(entries, funnel_of(TWENTY_FUNNEL), order_by=EVENT_ORDER, partition_by=["user_id"], limit=3)
+    return r.summary()
+
+
 def q_funnel_required_props(spark, d):
     r = analyze_funnel(logcat_entries(spark, d), props_funnel(), order_by=["event_ts", "event_id"])
     return r.steps()
@@ -395,6 +415,16 @@ def q_numeric_property(spark, d):
     )
 
 
+def q_payload_repeated_keys(spark, d):
+    """Payloads that repeat a key, at the top (the last value stands) or further down, or hold a number beyond double."""
+    events = table(spark, d, "events").withColumn("props", repeated_key_payload())
+    e = entries_from_table(events, message="event_type", payload_json="props", keep=["event_id"])
+    return e.select(
+        "event_id", F.col("event_data").isNotNull().alias("has_payload"), string_prop(F.col("event_data"), "user").alias("user"),
+        match_subject(F.col("message"), F.col("event_data")).alias("subject"),
+    )
+
+
 def q_table_payload_count(spark, d):
     e = entries_from_table(table(spark, d, "events"), message="event_type", payload_json="props", keep=["event_id"])
     return count_patterns(e, EVENT_PATTERNS)
@@ -410,6 +440,7 @@ QUERIES = {
     "count_payload": q_count_payload,
     "count_documents": q_count_documents,
     "count_deep_patterns": q_count_deep_patterns,
+    "count_ambiguous_patterns": q_count_ambiguous_patterns,
     "count_report": q_count_report,
     "count_report_empty": q_count_report_empty,
     "table_payload_count": q_table_payload_count,
@@ -422,6 +453,8 @@ QUERIES = {
     "funnel_20_drop_offs": q_funnel_20_drop_offs,
     "funnel_empty": q_funnel_empty,
     "funnel_required_props": q_funnel_required_props,
+    "funnel_by_user": q_funnel_by_user,
+    "funnel_by_user_summary": q_funnel_by_user_summary,
     "funnel_documents": q_funnel_documents,
     "funnel_text_log": q_funnel_text_log,
     "funnel_conversations": q_funnel_conversations,
@@ -445,4 +478,5 @@ QUERIES = {
     "step_filter": q_step_filter,
     "required_properties": q_required_properties,
     "numeric_property": q_numeric_property,
+    "payload_repeated_keys": q_payload_repeated_keys,
 }

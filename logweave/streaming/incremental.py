@@ -79,8 +79,8 @@ class FunnelStream:
     def batch_summary(self, lines: DataFrame, scratch: Scratch) -> tuple[list[int], int, int]:
         """(adv, matching entries, entries) of a static batch of log lines."""
         entries = parse_entries(with_line_pos(lines), self.parser)
-        masked, words = step_mask_columns(entries, self.spec, list(LINE_ORDER))
-        summaries, run_cols, total = walk(masked, self.spec.k, words, LINE_ORDER, SPLIT_CHUNK, scratch)
+        masked, words, bits = step_mask_columns(entries, self.spec, list(LINE_ORDER))
+        summaries, run_cols, total = walk(masked, bits, words, LINE_ORDER, SPLIT_CHUNK, scratch)
         row = compose_runs(summaries, run_cols, self.spec.k).first()  # k numbers
         return row["adv"], row["rows"], total
 

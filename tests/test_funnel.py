@@ -1,11 +1,13 @@
 """Ordered funnels: the parallel fold and closed form against a literal sequential walk."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from logweave.operators.funnel import analyze_funnel
+from logweave.sources.table import entries_from_table
 from logweave.sources.text import LINE_ORDER, SPLIT_CHUNK, read_log_lines
 from logweave.operators.parse import parse_entries
 from logweave.specs import FunnelSpec, Step
@@ -256,3 +258,56 @@ def test_more_than_63_steps_use_two_mask_words(spark):
     counts, conv = walk(sets, k, 0)
     assert [s[2] for s in steps_of(r)] == counts
     assert summary_of(r)[3] == conv
+
+
+# -- one walk per key ------------------------------------------------------------------------
+def test_keyed_walks_match_a_walk_per_key(spark):
+    """One key holds most entries, so its walk spans many ranges; null is a key; entries of all keys are interleaved."""
+    rng = random.Random(31)
+    spec = FunnelSpec("k", tuple(Step(f"s{i}", p) for i, p in enumerate(["a", "b", "[ab]c", "a"])))
+    rows = [(rng.choice(["hot"] * 8 + [None, "x", "y", "é"]), rng.choice(["p", None]), i, rng.choice(["a", "b", "ac", "bc", "d", "ab"])) for i in range(6000)]
+    rows += [("quiet", "p", 9000, "d")]
+    df = spark.createDataFrame(rows, "who string, app string, seq bigint, m string").repartition(5)
+    entries = entries_from_table(df, message="m", keep=["who", "app", "seq"])
+    for limit in (0, 7, -1):
+        got = analyze_funnel(entries, spec, order_by=["seq"], partition_by=["who", "app"], limit=limit)
+        want = {}
+        for who, app, _, m in sorted(rows, key=lambda r: r[2]):
+            want.setdefault((who, app), []).append({i for i, p in enumerate(["a", "b", "[ab]c", "a"]) if re.search(p, m)})
+        steps = {}
+        for r in got.steps().collect():
+            steps.setdefault((r.who, r.app), {})[r.step_index] = r.event_count
+        assert {k: [v[i] for i in sorted(v)] for k, v in steps.items()} == {k: walk(v, 4, limit)[0] for k, v in want.items()}
+        totals = {(r.who, r.app): (r.total_events_analyzed, r.conversions) for r in got.summary().collect()}
+        assert totals == {k: (len(v), walk(v, 4, limit)[1]) for k, v in want.items()}
+
+
+def test_hot_key_lies_in_many_ranges(spark):
+    from logweave.operators.fold import _summaries, range_count
+    from logweave.operators.funnel import step_mask_columns
+
+    df = spark.range(4000).selectExpr("if(id % 10 < 9, 'hot', 'other') AS who", "id AS seq", "'a' AS m")
+    masked, words, bits = step_mask_columns(entries_from_table(df, message="m", keep=["who", "seq"]), funnel("a", "b"), ["who", "seq"])
+    cols = ["who", "seq"]
+    arranged = masked.repartitionByRange(range_count(masked), *cols).sortWithinPartitions(*cols).withColumn("_run", F.spark_partition_id())
+    runs = _summaries(arranged, bits, ["who", "_run"], words, keyed=True).collect()
+    assert sum(r.who == "hot" for r in runs) >= 3 and max(r.rows for r in runs) < 2500
+
+
+def test_keyed_walks_of_no_entries_and_refused_arguments(spark, entries_df):
+    e = entries_df(plain("x")).filter(F.lit(False)).withColumn("who", F.lit("u"))
+    r = analyze_funnel(e, funnel("a"), order_by=["seq"], partition_by=["who"])
+    assert r.steps().count() == r.drop_offs().count() == r.summary().count() == 0
+    for settings in ({"partition_by": ["who"], "chunk_by": ["seq"]}, {"partition_by": ["matches"]}):
+        with pytest.raises(ValueError):
+            analyze_funnel(e, funnel("a"), order_by=["seq"], **settings)
+    with pytest.raises(ValueError):
+        r.report()
+
+
+def test_equal_steps_are_searched_once(entries_df):
+    from logweave.operators.funnel import step_mask_columns
+
+    spec = FunnelSpec("f", tuple(Step(f"s{i}", p, props) for i, (p, props) in enumerate([("a", {}), ("b", {}), ("a", {}), ("a", {"k": "v"}), ("b", {})])))
+    masked, words, bits = step_mask_columns(entries_df(plain("a", "b", "ab")), spec, ["seq"])
+    assert bits == [0, 1, 0, 2, 1] and [r[0] for r in masked.orderBy("seq").select(*words).collect()] == [1, 2, 3]
