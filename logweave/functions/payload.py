@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["PAYLOAD_TYPE", "json_object", "decode_json", "string_prop", "null_payload"]
+__all__ = ["PAYLOAD_TYPE", "json_object", "parse_parts", "plain_json", "payload_of", "string_prop", "null_payload"]
 
 PAYLOAD_TYPE = "map<string,variant>"
 # Fixed value: the white space a JSON decoder skips around a value.
@@ -25,8 +25,9 @@ JSON_SPACE = " \t\n\r"
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _TOKEN = rf'(?s){_STRING}(?:[ \t\n\r]*+:)?|[^"]++'
 _DIGITS = 9  # of a key's number
-# Only texts that show this can hold a number beyond the range of a double.
-_LONG_NUMBER = r"[0-9][eE]\+?[0-9]{3}|[0-9]{309}"
+# Only texts that show an exponent of three digits, or so many digits, can hold a number beyond the range of a double.
+_EXPONENT = r"[eE]\+?[0-9]{3}"
+_DIGITS_OF_MAX = 309
 _NUMBER = r"[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 
 
@@ -39,21 +40,6 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _one_value(s: Column) -> Column:
-    """The variant of ``s`` if it is exactly one JSON value, else null.
-
-    Spark's variant parser stops after the first complete value, so trailing
-    text would be accepted.  Wrapping the text as an array element and as an
-    object value rejects any tail: after a complete value the array needs
-    ``]`` or ``,`` and the object needs ``}`` or ``,``; a ``,`` adds a second
-    array element, and no tail satisfies both closers.  Only text containing
-    ``]`` can close the array early, so only that text pays the second parse.
-    """
-    elements = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))).try_cast("array<variant>")
-    closed = (F.instr(s, "]") == 0) | F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}"))).isNotNull()
-    return _let(elements, lambda e: F.when((F.size(e) == 1) & closed, F.get(e, F.lit(0))))
-
-
 def _keyed(token: Column) -> Column:
     return token.startswith('"') & token.endswith(":")
 
@@ -99,37 +85,67 @@ def _last_of_each(m: Column) -> Column:
 def _in_range(s: Column) -> Column:
     """No number of ``s`` lies beyond the range of a double."""
     numbers = F.regexp_extract_all(F.regexp_replace(s, F.lit(f"(?s){_STRING}"), F.lit("")), F.lit(_NUMBER), F.lit(0))
-    return ~s.rlike(_LONG_NUMBER) | ~F.exists(numbers, lambda n: n.try_cast("double") == float("inf"))
+    return ~F.exists(numbers, lambda n: n.try_cast("double") == float("inf"))
+
+
+def parse_parts(s: Column) -> tuple[Column, Column]:
+    """``(elements, closed)``, the parses behind ``plain_json``; stored as columns they are made once, in generated code.
+
+    Spark's variant parser stops after the first complete value, so trailing
+    text would be accepted.  Wrapping the text as an array element and as an
+    object value rejects any tail: after a complete value the array needs
+    ``]`` or ``,`` and the object needs ``}`` or ``,``; a ``,`` adds a second
+    array element, and no tail satisfies both closers.  Only text containing
+    ``]`` can close the array early, so only that text pays the second parse.
+    """
+    elements = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))).try_cast("array<variant>")
+    return elements, (F.instr(s, "]") == 0) | F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}"))).isNotNull()
+
+
+def looks_like_object(s: Column) -> Column:
+    return F.coalesce(F.ltrim(s, F.lit(JSON_SPACE)).startswith("{"), F.lit(False))
+
 
+def plain_json(s: Column, elements: Column, closed: Column) -> Column:
+    """Whether ``s`` is exactly one JSON object with nothing special about it, or ``null``, from its ``parse_parts``.
 
-def decode_json(s: Column) -> Column:
-    """``STRUCT<ok BOOLEAN, payload MAP<STRING, VARIANT>>`` of ``s`` as exactly one JSON object or ``null``.
+    No lambda, so generated code evaluates it.  What looks like an object but is not plain (the parser refused it, or a number
+    may be too large) is for ``numbered_object`` to decide."""
+    single = F.coalesce((F.size(elements) == 1) & closed, F.lit(False))
+    usual = ~s.rlike(_EXPONENT) & ~((F.octet_length(s) > _DIGITS_OF_MAX) & s.rlike(f"[0-9]{{{_DIGITS_OF_MAX}}}"))
+    return single & F.when(looks_like_object(s), usual).otherwise(F.coalesce(F.is_variant_null(F.get(elements, F.lit(0))), F.lit(False)))
 
-    ``ok`` is true where a strict decoder of a JSON object would succeed (``null`` included, which
-    yields a null payload).  Of a repeated key the last value stands.  A number beyond the range of a double fails the
-    text.  The struct itself is null where ``s`` is.  Each text is parsed once, twice if it repeats a key."""
-    is_object = F.ltrim(s, F.lit(JSON_SPACE)).startswith("{")
 
-    def result(ok, payload):
-        return F.struct(ok.alias("ok"), payload.alias("payload"))
+def payload_of(s: Column, elements: Column, plain: Column) -> Column:
+    """The payload of ``s``, given ``plain_json``; a JSON ``null`` has none."""
+    value = F.get(elements, F.lit(0))
+    return F.when(plain, F.when(looks_like_object(s), value.try_cast(PAYLOAD_TYPE))).when(looks_like_object(s), numbered_object(s))
 
-    nothing = F.lit(None).cast(PAYLOAD_TYPE)
 
-    def again(v):
-        return result(v.isNotNull() & _in_range(s), F.when(v.isNotNull() & _in_range(s), _let(v.try_cast(PAYLOAD_TYPE), _last_of_each)))
+def numbered_object(s: Column) -> Column:
+    """The payload of an object that may repeat keys, the last value of each; null if ``s`` is no object or holds a number beyond double."""
 
-    def first(v):
-        fine = (is_object | F.is_variant_null(v)) & _in_range(s)
-        read = result(fine, F.when(fine & is_object, v.try_cast(PAYLOAD_TYPE)))
-        return F.when(v.isNotNull(), read).when(is_object, _let(_one_value(_numbered(s)), again)).otherwise(result(F.lit(False), nothing))
+    def of(elements, closed):
+        fine = (F.size(elements) == 1) & closed & _in_range(s)
+        return F.when(fine, _let(F.get(elements, F.lit(0)).try_cast(PAYLOAD_TYPE), _last_of_each))
 
-    return F.when(s.isNotNull(), _let(_one_value(s), first))
+    return _let(_numbered(s), lambda text: _let(parse_parts(text)[0], lambda e: of(e, parse_parts(text)[1])))
 
 
 def json_object(s: Column) -> tuple[Column, Column]:
-    """``(ok, payload)`` of ``decode_json``, for one use of either; ``parse_entries`` stages the struct instead."""
-    decoded = decode_json(s)
-    return F.coalesce(decoded["ok"], F.lit(False)), decoded["payload"]
+    """``(ok, payload)``: whether ``s`` is exactly one JSON object, or ``null``, and the object as a map.
+
+    ``ok`` is true where a strict decoder of a JSON object would succeed (``null`` included, which yields a null payload).  Of a
+    repeated key the last value stands.  A number beyond the range of a double fails the text.  For per-row use on large data
+    prefer the staged form in ``parse_entries``."""
+
+    def both(elements):
+        plain = plain_json(s, elements, parse_parts(s)[1])
+        payload = payload_of(s, elements, plain)
+        return F.struct((plain | payload.isNotNull()).alias("ok"), payload.alias("payload"))
+
+    found = _let(parse_parts(s)[0], both)
+    return found["ok"], found["payload"]
 
 
 def string_prop(payload: Column, key: str) -> Column:

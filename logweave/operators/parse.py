@@ -14,10 +14,12 @@ downstream query does not read.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import decode_json, null_payload
+from ..functions.payload import null_payload, parse_parts, payload_of, plain_json
 from ..functions.regex import JavaRegex, extract_group, extract_groups, first_match_groups_pattern, search
 from ..functions.text import unicode_trim
 from ..specs import ParserSpec, TimeLayout
@@ -170,11 +172,26 @@ def with_payload(df: DataFrame, base, raw: Column, spec: ParserSpec) -> DataFram
     else:
         cand = F.lit(None).cast("string")
     staged = barrier(df, base, _cand=cand)
-    found = barrier(staged, base, _c=decode_json(F.col("_cand")))
-    # the message is decoded only for lines whose candidate is not a JSON object
-    taken = F.coalesce(F.col("_c.ok"), F.lit(False))
-    payload = F.when(taken, F.col("_c.payload")).otherwise(decode_json(msg)["payload"])
-    return barrier(found, base, event_data=payload)
+    candidate, message, payload = _payload_stages()
+    parsed = barrier(staged, [*base, F.col("_cand")], **candidate)
+    # the message is parsed only for lines whose candidate is not a plain JSON object
+    parsed = barrier(parsed, [*base, F.col("_cand"), F.col("_c_el")], **message)
+    # a projection of its own: lambdas keep a generator from being compiled, but not a projection
+    return barrier(parsed.select(*base, payload.alias("_payload")), base, event_data=F.col("_payload"))
+
+
+@functools.cache  # the same expressions for every parse, some hundred calls to build
+def _payload_stages() -> tuple[dict[str, Column], dict[str, Column], Column]:
+    """The parses of the candidate and of the message, and the payload from both."""
+    cand, msg = F.col("_cand"), F.col("message")
+    elements, closed = parse_parts(cand)
+    c_plain = plain_json(cand, F.col("_c_el"), F.col("_c_closed"))
+    m_elements, m_closed = parse_parts(msg)
+    of_message = payload_of(msg, F.col("_m_el"), plain_json(msg, F.col("_m_el"), F.col("_m_closed")))
+    of_found = payload_of(cand, F.col("_c_el"), F.col("_c_plain"))
+    payload = F.when(F.col("_c_plain"), of_found).otherwise(F.coalesce(of_found, of_message))
+    message = {"_c_plain": c_plain, "_m_el": F.when(~c_plain, m_elements), "_m_closed": F.when(~c_plain, m_closed)}
+    return {"_c_el": elements, "_c_closed": closed}, message, payload
 
 
 def parse_stats(lines: DataFrame, spec: ParserSpec = ParserSpec(), *, line_col: str = "value") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.payload import decode_json, null_payload
+from ..functions.payload import null_payload, parse_parts, payload_of, plain_json
 from ..functions.text import strip_one_cr
 
 __all__ = ["entries_from_table", "lines_from_text_column", "ENTRY_COLUMNS"]
@@ -57,7 +58,17 @@ def entries_from_table(
 
     names = [c for c in keep] + ["ts", "level", "tag", "pid", "tid", "message"]
     text = df.select(*fields, _col(payload_json).cast("string").alias("_json"))
-    return barrier(text, [F.col(c) for c in names], event_data=decode_json(F.col("_json"))["payload"])
+    parts, payload_expr = _payload_stages()
+    parsed = barrier(text, [*[F.col(c) for c in names], F.col("_json")], **parts)
+    whole = parsed.select(*[F.col(c) for c in names], payload_expr.alias("_payload"))
+    return barrier(whole, [F.col(c) for c in names], event_data=F.col("_payload"))
+
+
+@functools.cache
+def _payload_stages() -> tuple[dict[str, Column], Column]:
+    json = F.col("_json")
+    elements, closed = parse_parts(json)
+    return {"_el": elements, "_closed": closed}, payload_of(json, F.col("_el"), plain_json(json, F.col("_el"), F.col("_closed")))
 
 
 def lines_from_text_column(df: DataFrame, text, keep: Sequence[str] = ()) -> DataFrame:
