@@ -13,7 +13,8 @@ score so far:
   each score (Cauchy-Schwarz on the residuals); only pairs that may reach the threshold get their exact integer product.
 
 The first round joins the queries with the stripe of the longest vectors alone; its k-th scores are the
-thresholds that the second round starts from.  Each task returns at most k candidates per query, ranked in
+thresholds that the second round starts from.  From them follows the smallest length that can still reach a
+query block's thresholds; a block of candidates is sent only to the query blocks that it can reach.  Each task returns at most k candidates per query, ranked in
 a last window.
 
 Every pair of query block and stripe is one bounded task (``query_rows`` and
@@ -21,8 +22,8 @@ Every pair of query block and stripe is one bounded task (``query_rows`` and
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without an id, take no part;
 shorter vectors count as padded with zeros; rows that repeat an id and vector are one, of different vectors under one id the smallest
-stands; ties go to the smaller id; a vector with a component beyond 2^24 after scaling is refused with an error, for its scores could
-leave the exact range; an empty table gives no rows; extra columns are left out.
+stands; ties go to the smaller id; components of any finite size are exact (products that could pass 2^53 are made in
+whole numbers), and only a result score that does not fit a BIGINT is an error; an empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 __all__ = ["integer_vectors", "top_k"]
 
-LIMIT = 1 << 24
+NARROW = float(1 << 31)  # components below it are held as 32-bit integers, larger ones as doubles, which hold them exactly
+TOO_LOW, NO_FIT = -(1 << 63), "a score does not fit a BIGINT"
+EXACT = float(1 << 52)  # doubles count whole numbers up to here
 
 
 def _integer_task(scale):
@@ -61,9 +64,8 @@ def _integer_task(scale):
                 if bad[a] != bad[b]:
                     continue
                 x = np.trim_zeros(whole[a:b], "b")
-                if len(x) and np.abs(x).max() >= LIMIT:
-                    raise ValueError(f"vector {i}: a component is beyond {LIMIT} after scaling")
-                out_ids.append(i), out.append(x.astype("<i4").tobytes()), sizes.append(len(x))
+                narrow = not len(x) or np.abs(x).max() < NARROW
+                out_ids.append(i), out.append(x.astype("<i4" if narrow else "<f8").tobytes()), sizes.append(len(x))
                 norms.append(float(np.sqrt(x @ x)))
             yield pa.RecordBatch.from_pydict({
                 "vec_id": pa.array(out_ids, pa.int64()), "v": pa.array(out, pa.binary()),
@@ -74,17 +76,16 @@ def _integer_task(scale):
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """``vec_id BIGINT, v BINARY (32-bit integers, no trailing zeros), norm DOUBLE, size INT``, one row per id."""
+    """``vec_id BIGINT, v BINARY (32-bit integers or doubles, no trailing zeros), norm DOUBLE, size INT``, one row per id."""
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector"))
     made = rows.mapInArrow(_integer_task(scale), "vec_id bigint, v binary, norm double, size int")
     return made.groupBy("vec_id").agg(F.min(F.struct("v", "norm", "size")).alias("_v")).select("vec_id", "_v.*")
 
 
-def _matrix(raws, d: int) -> np.ndarray:
+def _matrix(raws, sizes, d: int) -> np.ndarray:
     out = np.zeros((len(raws), d))
-    for row, raw in zip(out, raws):
-        x = np.frombuffer(raw, "<i4")
-        row[: len(x)] = x
+    for row, raw, n in zip(out, raws, sizes):
+        row[:n] = np.frombuffer(raw, "<i4" if len(raw) == 4 * n else "<f8")
     return out
 
 
@@ -92,7 +93,7 @@ def _moment_task(d):
     def run(batches):
         total = np.zeros((d, d))
         for pdf in batches:
-            m = _matrix(pdf["v"], d)
+            m = _matrix(pdf["v"], pdf["size"], d)
             total += m.T @ m
         yield pd.DataFrame({"row": np.arange(d, dtype=np.int32), "sums": list(total)})
 
@@ -101,7 +102,7 @@ def _moment_task(d):
 
 def _rotation(vectors: DataFrame, d: int) -> np.ndarray:
     """The eigenvectors of the second moments, strongest first; d x d numbers reach the driver."""
-    parts = vectors.select("v").mapInPandas(_moment_task(d), "row int, sums array<double>")
+    parts = vectors.select("v", "size").mapInPandas(_moment_task(d), "row int, sums array<double>")
     cells = parts.select("row", F.posexplode("sums").alias("col", "x")).groupBy("row", "col").agg(F.sum("x").alias("x")).collect()
     moments = np.zeros((d, d))
     for c in cells:
@@ -118,7 +119,10 @@ def _block_task(rows_per_block: int):
 
         def pack(pdf):
             width = int(pdf["size"].max())
-            raw = b"".join(v.ljust(4 * width, b"\0") for v in pdf["v"])
+            if all(len(v) == 4 * n for v, n in zip(pdf["v"], pdf["size"])):
+                raw = b"".join(v.ljust(4 * width, b"\0") for v in pdf["v"])
+            else:
+                raw = _matrix(pdf["v"], pdf["size"], width).tobytes()
             return {"part": part, "number": number, "norm": float(pdf["norm"].max()), "width": width,
                     "ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "m": raw}
 
@@ -153,7 +157,8 @@ def _numbered(blocks: DataFrame) -> DataFrame:
 def _unpack(row, d):
     ids = np.frombuffer(row.ids, np.int64)
     m = np.zeros((len(ids), d))
-    m[:, : row.width] = np.frombuffer(row.m, "<i4").reshape(len(ids), row.width)
+    kind = "<i4" if len(row.m) == 4 * len(ids) * row.width else "<f8"
+    m[:, : row.width] = np.frombuffer(row.m, kind).reshape(len(ids), row.width)
     return ids, m
 
 
@@ -166,6 +171,16 @@ def _best(rows, ids, scores, k):
     return rows[top], ids[top], scores[top]
 
 
+def _whole_products(a, b) -> np.ndarray:
+    """Inner products of two lists of rows of whole numbers of any size.
+
+    One above the range of a BIGINT is a result, or others above it are, so it is an error; one below stands as ``TOO_LOW``, the last of all."""
+    found = [sum(int(x) * int(y) for x, y in zip(p, q) if x and y) for p, q in zip(a, b)]
+    if any(x >= 1 << 63 for x in found):
+        raise OverflowError(NO_FIT)
+    return np.array([max(x, TOO_LOW) for x in found], dtype=np.int64)
+
+
 def _search(queries, blocks, floor, rotation, head, k, d):
     """The k best candidates of one query block among candidate blocks given in descending length."""
     q_ids, q = queries
@@ -184,7 +199,10 @@ def _search(queries, blocks, floor, rotation, head, k, d):
         c_rest = np.sqrt((there[:, head:] ** 2).sum(axis=1))
         bound = turned[live, :head] @ there[:, :head].T + np.outer(q_rest[live], c_rest) + slack[live, None]
         may = (bound >= bar[live, None]) & (q_ids[live, None] != c_ids[None, :])
-        if may.mean() > 0.05:  # many survivors: one exact product of integers held as doubles
+        if q_norm[live].max() * block.norm >= EXACT:  # doubles may round; each survivor is multiplied out in whole numbers
+            i, j = np.nonzero(may)
+            found = _whole_products(q[live[i]], c[j])
+        elif may.mean() > 0.05:  # many survivors: one exact product of integers held as doubles
             exact = q[live] @ c.T
             exact[~may] = -np.inf
             if exact.shape[1] > k:
@@ -221,18 +239,41 @@ def _search_task(rotation, head, k, d):
 _FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
-def _floors(k):
-    """Adds to each query block its queries' k-th scores from the first round."""
+def _need(block, floor: np.ndarray, d: int) -> float:
+    """The smallest length of a candidate that can reach a threshold of the query block (Cauchy-Schwarz, with a slack)."""
+    norms = np.sqrt((_unpack(block, d)[1] ** 2).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        least = np.where(floor <= 0, 0.0, floor / norms)  # a threshold of 0 or less is in reach of any length
+    return float(least.min()) * (1 - 1e-6) - 1e-6
+
+
+def _floors(k, d):
+    """Adds to each query block its queries' k-th scores from the first round, and the length it needs."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = left.copy()
         known = dict(zip(right["query_id"], right["floor"]))
-        out["floor"] = [np.array([known.get(i, -np.inf) for i in np.frombuffer(ids, np.int64).tolist()]).tobytes() for ids in left["ids"]]
+        floors = [np.array([known.get(i, -np.inf) for i in np.frombuffer(ids, np.int64).tolist()]) for ids in left["ids"]]
+        out["floor"] = [f.tobytes() for f in floors]
+        out["need"] = [_need(row, f, d) for row, f in zip(left.itertuples(), floors)]
         return out
 
     return run
 
 
+def _in_reach(blocks: DataFrame, needs: list[tuple[int, float]]) -> DataFrame:
+    """``blocks`` once for each query block ``q`` whose need they meet; ``needs`` holds two numbers per query block."""
+    ordered = sorted(needs, key=lambda x: (x[1], x[0]))
+    least = np.array([need for _, need in ordered])
+    names = [q for q, _ in ordered]
+
+    @F.pandas_udf("array<int>")
+    def reach(norm: pd.Series) -> pd.Series:
+        return pd.Series([names[:n] for n in np.searchsorted(least, norm.to_numpy(), "right").tolist()])
+
+    return blocks.withColumn("q", F.explode(reach("norm")))
+
+
 def top_k(
     df: DataFrame,
     is_query,
@@ -258,7 +299,7 @@ def top_k(
     striped = _numbered(blocks).withColumn("stripe", F.pmod("place", F.lit(stripes)).cast("int"))
     asked = scratch.save(_blocks(vectors.filter(is_query), query_rows), "asked")
     queries = scratch.save(
-        _numbered(asked).withColumnRenamed("place", "q").withColumn("floor", F.lit(None).cast("binary")), "queries"
+        _numbered(asked).withColumnRenamed("place", "q").withColumn("floor", F.lit(None).cast("binary")).withColumn("need", F.lit(0.0)), "queries"
     )
     each = F.explode(F.sequence(F.lit(0), F.lit(max(1, asked.count()) - 1)))  # the query blocks' numbers
 
@@ -273,15 +314,17 @@ def top_k(
     owner = queries.select(F.col("q").alias("_q"), F.explode(_id_array("ids")).alias("query_id"))
     floors = floors.join(owner, "query_id").select((F.col("_q") + 0).alias("q"), "query_id", F.col("floor").cast("double").alias("floor"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
-    armed = scratch.save(queries.groupBy("q").cogroup(floors.groupBy("q")).applyInPandas(_floors(k), fields), "armed")
+    armed = scratch.save(queries.groupBy("q").cogroup(floors.groupBy("q")).applyInPandas(_floors(k, d), fields), "armed")
     scratch.drop("vectors", "asked", "queries")
     # round two: every stripe, with the thresholds; the first block is done
     copies = armed.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
-    rest = striped.filter(F.col("place") > 0).withColumn("q", each)
+    needs = [(r["q"], r["need"]) for r in armed.select("q", "need").collect()]  # one row per query block
+    rest = _in_reach(striped.filter(F.col("place") > 0), needs)
     second = search(copies, rest)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     found = first.unionByName(second).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    fits = F.when(F.col("score") == TOO_LOW, F.raise_error(F.lit(NO_FIT)).cast("bigint")).otherwise(F.col("score"))
+    return found.select("query_id", "rank", "vec_id", fits.alias("score"))
 
 
 def _id_array(column: str):

@@ -97,7 +97,7 @@ def brute_top(rows, k, scale=64.0):
         x = tuple(int(np.floor(scale * float(np.float32(y)))) for y in v)
         while x and x[-1] == 0:
             x = x[:-1]
-        raw = np.array(x, "<i4").tobytes()
+        raw = np.array(x, "<i4" if all(abs(y) < 1 << 31 for y in x) else "<f8").tobytes()
         vectors[i] = min(vectors.get(i, (raw, x)), (raw, x))
     vectors = {i: x for i, (_, x) in vectors.items()}
     out = []
@@ -138,8 +138,30 @@ def test_top_k_of_awkward_rows(spark):
     assert search(spark, rows, k=20) == brute_top(rows, 20)
     assert search(spark, rows[:3], k=20) == brute_top(rows[:3], 20)  # fewer candidates than k
     assert search(spark, [], k=3) == [] and search(spark, rows[1:4], k=3) == []
-    with pytest.raises(Exception, match="beyond"):
-        search(spark, [(0, [1e9]), (1, [1.0])])
+
+
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=12).astype(np.float32) * np.float32(10.0 ** (i % 8))]) for i in range(120)]
+    rows += [(200, [3e5, 1.0]), (201, [1e9, -1.0, 1e-3]), (220, [1e5] * 12), (221, [-1e9, 1e8]), (240, [1e12, 1.0]), (241, [1.0, 1e12])]
+    assert search(spark, [r for r in rows if r[0] < 230], k=20, block_rows=16, stripe_blocks=2, query_rows=4) == brute_top([r for r in rows if r[0] < 230], 20)
+    few = [r for r in rows if r[0] in (240, 241, 1, 2)]
+    assert search(spark, few, k=20) == brute_top(few, 20)
+    for far in (1e12, -1e12):
+        with pytest.raises(Exception, match="does not fit a BIGINT"):
+            search(spark, [(0, [1e12]), (1, [far])])
+
+
+def test_block_pairs_follow_the_lengths(spark):
+    """Vectors of falling lengths: a candidate block goes to the query blocks that it can reach, not to all."""
+    blocks = spark.createDataFrame([(i, 1000.0 / (i + 1)) for i in range(64)], "place int, norm double")
+    needs = [(q, 2.0 ** q) for q in range(10)]
+    got = tk._in_reach(blocks, needs).groupBy("place").agg({"q": "count"}).collect()
+    want = {i: sum(need <= 1000.0 / (i + 1) for _, need in needs) for i in range(64)}
+    assert {r[0]: r[1] for r in got} == want and sum(want.values()) < 0.7 * 640
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=8) * 1.03 ** -i]) for i in range(400)]
+    assert search(spark, rows, k=5, block_rows=16, stripe_blocks=2, query_rows=4) == brute_top(rows, 5)
 
 
 def test_bounds_prune(monkeypatch):
