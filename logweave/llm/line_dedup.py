@@ -8,8 +8,9 @@ window's repeat covers part of it.
 
 Shuffles: one row of numbers per window, pre-aggregated per hash before it
 moves, and the texts once, to meet the positions to remove.  A hot window has
-one pre-aggregated row per task in the first and is an ordinary equi-join key
-(which AQE splits) in the second; nothing is gathered per window, and the
+one pre-aggregated row per task in the first; the first occurrences are then
+written, so that the second is a join of two plain shuffles, which adaptive execution splits where one
+window has too many rows.  Nothing is gathered per window, and the
 positions of a document are bounded by its own lines.
 
 Defined results: a null text stays null, with 0 lines; texts of fewer than
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_hash
+from .common import Scratch, text_hash
 
 __all__ = ["window_rows", "later_windows", "dedup_lines"]
 
@@ -59,6 +60,7 @@ def later_windows(docs: DataFrame, window: int = 3) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"), F.col("pos"))
     firsts = rows.groupBy("h1", "h2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
     firsts = firsts.filter("_n > 1").select(F.col("h1").alias("_a"), F.col("h2").alias("_b"), "_first")
+    firsts = Scratch(docs.sparkSession, "lines").save(firsts, "firsts")
     later = rows.join(firsts, (F.col("h1") == F.col("_a")) & (F.col("h2") == F.col("_b")))
     later = later.filter(~place.eqNullSafe(F.col("_first")))
     return later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
