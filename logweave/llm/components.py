@@ -5,7 +5,9 @@ star hangs a node's larger neighbours on the smallest of its neighbourhood, the
 small star does the same with its smaller ones.  The rounds, logarithmic in
 practice, end when the edge table no longer changes; it is then one star per
 component.  Every round is a few equi-joins and pre-aggregated group-bys on the edges,
-written to the shared folder; the driver sees two numbers a round.
+written to the shared folder; the driver sees two numbers a round.  The centre of a large star is
+a hot key: the minima are pre-aggregated before they move, and are written before they meet the edges again, so that
+the join stands on two plain shuffles and adaptive execution may split the centre's edges.
 """
 
 from __future__ import annotations
@@ -23,16 +25,16 @@ def _state(edges: DataFrame):
     return row["n"], row["x"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("_a", "_m").alias("_m"))
-    met = both.join(least, F.col("a") == F.col("_a")).filter(F.col("b") > F.col("a"))
+    least = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("a", "_m").alias("_m"))
+    met = both.join(scratch.save(least, name), F.col("a") == F.col("_a")).filter(F.col("b") > F.col("a"))
     return met.select(F.col("b").alias("a"), F.col("_m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("_m")).withColumnRenamed("a", "_a")
+    least = scratch.save(down.groupBy("a").agg(F.min("b").alias("_m")).withColumnRenamed("a", "_a"), name)
     met = down.join(least, F.col("a") == F.col("_a"))
     hung = met.select(F.col("b").alias("a"), F.col("_m").alias("b")).filter("a <> b")
     return hung.unionByName(least.select(F.col("_a").alias("a"), F.col("_m").alias("b"))).distinct()
@@ -44,8 +46,9 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     state, turn = _state(current), 0
     while state[0]:
         turn += 1
-        following = scratch.save(_small_star(_large_star(current)), f"{label}-{turn}")
-        scratch.drop(f"{label}-{turn - 1}")
+        large = scratch.save(_large_star(current, scratch, f"{label}-{turn}-above"), f"{label}-{turn}-large")
+        following = scratch.save(_small_star(large, scratch, f"{label}-{turn}-below"), f"{label}-{turn}")
+        scratch.drop(f"{label}-{turn - 1}", *[f"{label}-{turn}-{step}" for step in ("above", "large", "below")])
         current, before, state = following, state, _state(following)
         if state == before:
             break

@@ -271,14 +271,18 @@ def _row_key():
     return F.xxhash64("doc_id", "text_hash")
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, top: int, whole: int) -> DataFrame:
-    """The pairs ``a, b`` that reach the threshold: partial overlaps per fragment, summed per pair."""
+def _linked(pairs: DataFrame, segments: DataFrame, top: int, whole: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs ``a, b`` that reach the threshold: partial overlaps per fragment, summed per pair.
+
+    The leader of a large group is a hot key of these joins.  The partial overlaps are written before they are summed, so
+    that no aggregate relies on how the join is dealt out and adaptive execution may split the leader's pairs."""
     left = segments.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "frag", F.col("seg").alias("seg_a"))
     right = segments.select(F.col("node").alias("_b"), F.col("n").alias("n_b"), F.col("frag").alias("_f"), F.col("seg").alias("seg_b"))
     # the same joins at every size: a few pairs more would turn a broadcast into a shuffle anyway
     met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), (F.col("b") == F.col("_b")) & (F.col("frag") == F.col("_f")))
     met = met.filter(whole * F.least("n_a", "n_b") >= top * F.greatest("n_a", "n_b"))
     parts = met.select("a", "b", "n_a", "n_b", "frag", F.size(F.array_intersect("seg_a", "seg_b")).cast("bigint").alias("part"))
+    parts = scratch.save(parts, name)
     parts = parts.groupBy("a", "b", "n_a", "n_b", "frag").agg(F.max("part").alias("part"))  # a segment may be there twice
     sums = parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("shared"))
     return sums.filter(whole * F.col("shared") >= top * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
@@ -301,7 +305,7 @@ def _verified(docs, k, order, classes, pairs, top, whole, scratch, label) -> Dat
     nodes = close.select(F.col("a").alias("_n")).unionByName(close.select(F.col("b").alias("_n"))).distinct()
     keys = known.select("node", "key").join(nodes, F.col("node") == F.col("_n")).select(F.col("key").alias("node"))
     segments = scratch.save(_segments(docs, k, order, keys), f"segments-{label}")
-    return _linked(close, segments, top, whole)
+    return _linked(close, segments, top, whole, scratch, f"parts-{label}")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 4, threshold: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -358,7 +362,7 @@ def _near(docs: DataFrame, k: int = 4, threshold: tuple[int, int] = (85, 100)) -
     chosen = chosen.select("place", F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("l")).select("place", "l.*")
     pairs = scratch.save(may_link(renamed(meeting, "x"), renamed(chosen, "y", key="_p")), "pairs")
     links = scratch.save(_verified(docs, k, order, classes, pairs, top, whole, scratch, "first"), "links")
-    scratch.drop("known-first", "close-first", "segments-first")
+    scratch.drop("known-first", "close-first", "segments-first", "parts-first")
     roots = components(links, scratch, "first")
 
     # what leaders left apart: documents that share a place in different components
@@ -369,7 +373,7 @@ def _near(docs: DataFrame, k: int = 4, threshold: tuple[int, int] = (85, 100)) -
     across = may_link(renamed(apart, "x", names), renamed(apart, "y", names, "_p"), F.col("root_x") < F.col("root_y"))
     rest = scratch.save(across.join(pairs, ["a", "b"], "left_anti"), "rest")
     late = scratch.save(_verified(docs, k, order, classes, rest, top, whole, scratch, "second"), "late")
-    scratch.drop("classes", "meeting", "marked", "pairs", "rest", "known-second", "close-second", "segments-second")
+    scratch.drop("classes", "meeting", "marked", "pairs", "rest", "known-second", "close-second", "segments-second", "parts-second")
     final = components(links.unionByName(late), scratch, "final")
 
     # the smallest doc_id per class, then per component
