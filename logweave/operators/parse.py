@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.payload import null_payload, parse_parts, payload_of, plain_json
 from ..functions.regex import JavaRegex, extract_group, extract_groups, first_match_groups_pattern, search
 from ..functions.text import unicode_trim
-from ..specs import ParserSpec, TimeLayout
+from ..specs import ParserSpec, TimeLayout, pattern_guard
 
 __all__ = ["parse_entries", "parse_stats", "ENTRY_COLUMNS"]
 
@@ -89,6 +89,8 @@ def _timestamp_parts(g1: Column, spec: ParserSpec) -> tuple[Column, Column]:
     fmt, value, shaped = str(spec.timestamp_format), g1, F.lit(True)
     if isinstance(spec.timestamp_format, TimeLayout):
         shaped, value = spec.timestamp_format.text(g1)
+    elif guard := pattern_guard(fmt):
+        shaped = F.coalesce(g1.rlike(guard), F.lit(False))
     if not _has_year(fmt):
         # year-less formats: parse inside a leap year so Feb 29 is valid
         value = F.concat(F.lit(f"{spec.default_year:04d} "), value)
@@ -109,18 +111,32 @@ def _lines(lines: DataFrame, spec: ParserSpec, line_col: str, keep):
     return staged, rx, nonblank & search(F.col("_line"), rx)
 
 
-def parse_entries(lines: DataFrame, spec: ParserSpec = ParserSpec(), *, line_col: str = "value", keep=None) -> DataFrame:
+def _observed(staged: DataFrame, parsed: Column, stats: Observation, keep) -> DataFrame:
+    """The parsed lines of ``staged``; ``stats`` counts on the way."""
+    nonblank = F.col("_line") != ""
+    tested = barrier(staged, [*[F.col(c) for c in keep], F.col("_raw"), F.col("_line")], _parsed=F.coalesce(parsed, F.lit(False)))
+    tested = tested.observe(
+        stats,
+        F.count(F.lit(1)).alias("total_lines"), F.count_if("_parsed").alias("parsed_entries"), F.count_if(nonblank & ~F.col("_parsed")).alias("skipped_lines"),
+    )
+    return tested.filter("_parsed").drop("_parsed")
+
+
+def parse_entries(
+    lines: DataFrame, spec: ParserSpec = ParserSpec(), *, line_col: str = "value", keep=None, stats: Observation | None = None
+) -> DataFrame:
     """Parse text lines into ``DataFrame[*keep, ts, level, tag, pid, tid, message, event_data]``.
 
     Blank lines and lines the line regex does not match are dropped.  ``keep``
     (default: every column except ``line_col``) is carried along, e.g. the
-    order columns of a text source.
+    order columns of a text source.  ``stats`` receives the counters of ``parse_stats`` from the pass that first
+    reads the entries (a count, a funnel), without a scan of its own; read them with ``stats.get``.
     """
     if keep is None:
         keep = [c for c in lines.columns if c != line_col]
     keep = list(keep)
     staged, rx, parsed = _lines(lines, spec, line_col, keep)
-    staged = staged.filter(parsed)
+    staged = staged.filter(parsed) if stats is None else _observed(staged, parsed, stats, keep)
     carry = [F.col(c) for c in keep] + [F.col("_raw")]
     groups, g = _groups_stage(staged, "_line", rx, "_g", carry)
     n = len(g)

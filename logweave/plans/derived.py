@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import wall_clock_text
 
 __all__ = [
-    "EVENT_LINE_REGEX", "EVENT_LINE_FORMAT", "PAYLOAD_REGEX", "logcat_lines", "repeated_key_payload", "clock_lines", "syslog_lines",
+    "EVENT_LINE_REGEX", "EVENT_LINE_FORMAT", "PAYLOAD_REGEX", "logcat_lines", "repeated_key_payload", "clock_lines", "fraction_lines", "syslog_lines",
     "write_lines",
 ]
 
@@ -76,6 +76,13 @@ def clock_lines(events: DataFrame, *, broken_every: int = 0) -> DataFrame:
     return events.select("ts", "event_id", line.alias("value"))
 
 
+def fraction_lines(events: DataFrame) -> DataFrame:
+    """``DataFrame[ts, event_id, value]``: ``{ISO clock} text`` lines; every third clock lacks the last digit of its fraction."""
+    clock = F.concat(wall_clock_text("ts", "yyyy-MM-dd"), F.lit("T"), wall_clock_text("ts", "HH:mm:ss.SSS"))
+    clock = F.when(F.col("event_id") % 3 == 0, F.substring(clock, 1, 22)).otherwise(clock)
+    return events.select("ts", "event_id", F.concat(F.lit("{"), clock, F.lit("} "), _s("event_type")).alias("value"))
+
+
 def syslog_lines(events: DataFrame) -> DataFrame:
     """``DataFrame[ts, event_id, value]``: ``Mon _d H:mm:ss text`` lines, days 1-9 padded with a space, hours not padded."""
     months = F.array(*[F.lit(m) for m in "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()])

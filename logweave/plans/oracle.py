@@ -23,6 +23,7 @@ from .workloads import (
     EVENT_PATTERNS,
     LIMITS,
     LOOSE_CLOCK_REGEX,
+    MANY_PATTERNS,
     MAIN_FUNNEL,
     OVERLAP_FUNNEL,
     OVERLAPPING_PATTERNS,
@@ -343,6 +344,12 @@ def _build() -> dict[str, str]:
     o["count_deep_patterns"] = count_sql(DOCUMENT_ENTRIES, "message", DEEP_PATTERNS)
     never = f"SELECT * FROM ({LOGCAT_LINES}) WHERE {rx(utrim('value'), '^NEVER (\\d+)$')}"
     o["count_ambiguous_patterns"] = count_sql(DOCUMENT_ENTRIES, "message", AMBIGUOUS_PATTERNS, rates=True)
+    each = ", ".join(f"count(*) FILTER (WHERE regexp_matches(message, {lit(p)}))" for p in MANY_PATTERNS)
+    names = ", ".join(lit(p) for p in MANY_PATTERNS)
+    o["count_1000_patterns"] = f"""WITH src AS ({DOCUMENT_ENTRIES}), c AS (SELECT [{each}] AS n FROM src)
+SELECT CAST(i AS INTEGER) AS pattern_index, [{names}][i] AS pattern, n[i] AS count FROM c, (SELECT unnest(range(1, {len(MANY_PATTERNS) + 1})) AS i)"""
+    o["parse_short_fractions"] = """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%g') END AS ts,
+  CASE WHEN event_id % 3 = 0 THEN left(strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), 22) ELSE event_type END AS message FROM events"""
     o["payload_repeated_keys"] = PAYLOAD_REPEATED
     o["funnel_by_user"] = funnel_by_user_sql(MAIN_FUNNEL)
     o["funnel_by_user_summary"] = f"""{_keyed_progress(TWENTY_FUNNEL, 3)}
@@ -397,6 +404,8 @@ SELECT count(*) AS total_lines,
   count(*) FILTER (WHERE line <> '' AND {rx('line', EVENT_LINE_REGEX)}) AS parsed_entries,
   count(*) FILTER (WHERE line <> '' AND NOT {rx('line', EVENT_LINE_REGEX)}) AS skipped_lines
 FROM t"""
+    o["funnel_with_parse_stats"] = f"""WITH h AS ({funnel_summary_sql(_progress(LOGCAT_ENTRIES, text_mask, "event_ts, event_id", 3), "funnel")})
+SELECT * FROM h, ({o["text_log_parse_stats"]})"""
     o["parse_logcat"] = f"""WITH x AS ({LOGCAT_ENTRIES})
 SELECT event_id, {_ts_text('ts')} AS ts, g4 AS level, g5 AS tag, {_int('g2')} AS pid, {_int('g3')} AS tid, message,
   payload IS NOT NULL AS has_payload, {_prop('event')} AS event, {_prop('user')} AS "user" FROM x"""

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.count import pattern_totals
+from ..operators.count import pattern_rows, pattern_totals
 from ..operators.funnel import FunnelResult
 
 __all__ = ["count_report", "funnel_report"]
@@ -23,8 +23,7 @@ def count_report(entries: DataFrame, patterns: Sequence[str]) -> DataFrame:
     patterns = list(patterns)
     totals = pattern_totals(entries, patterns)
     kind = "array<struct<pattern:string,count:bigint>>"
-    rows = F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"c{i}").alias("count")) for i, p in enumerate(patterns)])
-    listed = F.when(F.col("total_events_analyzed") > 0, rows.cast(kind)).otherwise(F.array().cast(kind))
+    listed = F.when(F.col("total_events_analyzed") > 0, pattern_rows(patterns).cast(kind)).otherwise(F.array().cast(kind))
     return totals.select(F.to_json(F.struct("total_events_analyzed", listed.alias("pattern_counts"))).alias("report"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import wall_clock_text
@@ -23,7 +23,7 @@ from ..sources.balance import spread
 from ..sources.table import entries_from_table, lines_from_text_column
 from ..sources.text import LINE_ORDER, SPLIT_CHUNK, read_log_lines
 from ..specs import FunnelSpec, ParserSpec, Step, go_layout
-from .derived import EVENT_LINE_FORMAT, EVENT_LINE_REGEX, PAYLOAD_REGEX, clock_lines, logcat_lines, repeated_key_payload, syslog_lines, write_lines
+from .derived import EVENT_LINE_FORMAT, EVENT_LINE_REGEX, PAYLOAD_REGEX, clock_lines, fraction_lines, logcat_lines, repeated_key_payload, syslog_lines, write_lines
 from .report import count_report
 
 # The pattern sets, funnels and parser specs of the workloads
@@ -63,12 +63,19 @@ CLOCK_FORMAT = "HH'h'mm'm'ss"
 CLOCK_SPEC = ParserSpec(timestamp_format=CLOCK_FORMAT, log_line_regex=CLOCK_REGEX)
 LOOSE_CLOCK_REGEX = r"^\[(\S+)\] (.*)$"
 LOOSE_CLOCK_SPEC = ParserSpec(timestamp_format=CLOCK_FORMAT, log_line_regex=LOOSE_CLOCK_REGEX)
+FRACTION_REGEX = r"^\{(\S+)\} (.*)$"
+FRACTION_SPEC = ParserSpec(timestamp_format="yyyy-MM-dd'T'HH:mm:ss.SSS", log_line_regex=FRACTION_REGEX)
 SYSLOG_REGEX = r"^([A-Z][a-z]+ +\d+ \d+:\d+:\d+) (.*)$"
 SYSLOG_SPEC = ParserSpec(timestamp_format=go_layout("Jan _2 15:04:05"), log_line_regex=SYSLOG_REGEX)
 # repeats and alternatives inside repeated groups: beyond what java.util.regex can run on long lines
 DEEP_PATTERNS = [r"^(?:\w|-)*$", r"^(?:[^.]|\.[^.])*$", r"(?:\w+\s?)+[.]$", r"(?:[A-Z]+!!\s?){3,}", r"^(?:(?:\p{L}|\p{M})+[\s,.]*)*$"]
 # repeats that can trade characters: a backtracking search takes a power of the line's length
 AMBIGUOUS_PATTERNS = [r".*a.*e.*i.*o.*u$", r"\w+\s\w+,.*\w+\.$", r"(\S*)e(\S*)e(\S*)!!", r"\d+[a-z]", r"^(.*) (.*)###$"]
+# a thousand patterns: words of two syllables, some with a repeat, an alternative or a case flag around them
+_SYLLABLES = "re tion ment an the ver ung der ich la que en est con pro ar er in al os".split()
+MANY_PATTERNS = [
+    [a + b, rf"\b{a}{b}", rf"{a}{b}\w*\.$", rf"{a}(?:{b})+", rf"{a}{b}[aeiou]"][(i + j) % 5] for i, a in enumerate(_SYLLABLES) for j, b in enumerate(_SYLLABLES)
+] + [rf"{a}{b}{c}" for a in _SYLLABLES[:10] for b in _SYLLABLES[:10] for c in _SYLLABLES[:6]]
 DOC_LINE_REGEX = r"^(\p{Lu})(\S*)\s(.*)$"
 EVENT_ORDER = ["ts", "event_id"]
 DOC_ORDER = ["doc_id", "line_no"]
@@ -170,6 +177,10 @@ def q_count_ambiguous_patterns(spark, d):
     return count_patterns(document_entries(spark, d), AMBIGUOUS_PATTERNS, with_rates=True)
 
 
+def q_count_1000_patterns(spark, d, partitions=None):
+    return count_patterns(document_entries(spark, d, partitions), MANY_PATTERNS)
+
+
 def q_count_conversation_lines(spark, d):
     return count_patterns(parse_entries(conversation_lines(spark, d)), CONVERSATION_PATTERNS, with_rates=True)
 
@@ -359,6 +370,22 @@ def q_parse_syslog_days(spark, d):
     return e.select("event_id", _ts_text().alias("ts"), "message")
 
 
+def q_parse_short_fractions(spark, d):
+    """Every third clock shows one digit of its fraction less than the format's three: it is no timestamp, so it is the message."""
+    events = table(spark, d, "events").select("ts", "event_id", "user_id", "event_type")
+    e = parse_entries(fraction_lines(events).withColumnRenamed("ts", "event_ts"), FRACTION_SPEC)
+    return e.select("event_id", _ts_text().alias("ts"), "message")
+
+
+def q_funnel_with_parse_stats(spark, d):
+    """A funnel over a text log and the parse counters, from one scan of the log."""
+    stats = Observation("lines")
+    entries = parse_entries(read_log_lines(spark, _written_log(spark, d)), LOGCAT_SPEC, stats=stats)
+    progress = analyze_funnel(entries, funnel_of(MAIN_FUNNEL), order_by=LINE_ORDER, chunk_by=SPLIT_CHUNK).summary()
+    seen = stats.get  # three numbers
+    return progress.select("*", *[F.lit(seen[c]).cast("bigint").alias(c) for c in ("total_lines", "parsed_entries", "skipped_lines")])
+
+
 def q_parse_whole_line(spark, d):
     return document_entries(spark, d).select("doc_id", "line_no", "message", "level", "pid")
 
@@ -441,6 +468,7 @@ QUERIES = {
     "count_documents": q_count_documents,
     "count_deep_patterns": q_count_deep_patterns,
     "count_ambiguous_patterns": q_count_ambiguous_patterns,
+    "count_1000_patterns": q_count_1000_patterns,
     "count_report": q_count_report,
     "count_report_empty": q_count_report_empty,
     "table_payload_count": q_table_payload_count,
@@ -465,10 +493,12 @@ QUERIES = {
     "funnel_report_empty": q_funnel_report_empty,
     "text_log_scan": q_text_log_scan,
     "text_log_parse_stats": q_text_log_parse_stats,
+    "funnel_with_parse_stats": q_funnel_with_parse_stats,
     "parse_logcat": q_parse_logcat,
     "parse_three_group": q_parse_three_group,
     "parse_bad_timestamp": q_parse_bad_timestamp,
     "parse_syslog_days": q_parse_syslog_days,
+    "parse_short_fractions": q_parse_short_fractions,
     "parse_whole_line": q_parse_whole_line,
     "parse_document_fields": q_parse_document_fields,
     "parse_stats": q_parse_stats,

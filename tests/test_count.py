@@ -62,3 +62,24 @@ def test_patterns_with_classes_and_repeats(entries_df):
     ])
     got = counts(count_patterns(e, [r"\bv\d+\.\d+\.\d+", r"(?:/[a-z.]+){2,}", r"\b\d+(?:\.\d+)?m?s\b", r"#\d{4,}"]))
     assert [n for _, _, n in got] == [2, 2, 3, 1]
+
+
+def test_many_patterns_equal_the_patterns_one_by_one(spark, entries_df):
+    """Beyond FEW patterns an automaton names what is searched; the counts do not change."""
+    import random
+
+    from logweave.functions.match import match_subject, matches_pattern
+    from logweave.operators.count import FEW, pattern_totals
+
+    rng = random.Random(4)
+    pieces = ["ab", "ba", "é", "😀", "a.b", "a", "B", "\n", " ", "abab", "x1", "ſ", "K"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    e = entries_df([(t, rng.choice([None, '{"event": "ab"}', '{"event": 1}'])) for t in texts], partitions=3)
+    patterns = [rng.choice(["", "^", "(?i)", r"\b"]) + p + rng.choice(["", "$", "+", r"\w*b", "|a1"]) for p in ["ab", "é", "😀", r"a\.b", "a.b", "abab", "k", "x[0-9]", "[^z]", "zz"] for _ in range(9)]
+    assert len(patterns) > FEW
+    subject = e.select(match_subject(F.col("message"), F.col("event_data")).alias("s"))
+    want = subject.agg(*[F.count_if(matches_pattern(F.col("s"), p)).alias(f"c{i}") for i, p in enumerate(patterns)]).first()
+    row = pattern_totals(e, patterns).first()
+    assert row["counts"] == list(want) and row["total_events_analyzed"] == 300
+    assert counts(count_patterns(e.filter("false"), patterns)) == []
+    assert tuple(count_summary(e, patterns).first()) == (300, sum(want))

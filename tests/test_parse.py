@@ -1,11 +1,14 @@
 """Line parsing: positional groups, message rule, timestamps, payloads, blank lines."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from logweave.functions.payload import string_prop
 from logweave.operators.parse import parse_entries, parse_stats
 from logweave.sources.text import LINE_ORDER, read_log_lines
-from logweave.specs import ParserSpec
+from logweave.specs import ParserSpec, pattern_guard
 
 SIX_FIELDS = r"^(\d\d/\d\d \d\d:\d\d:\d\d\.\d{3}) \[(\d+):(\d+)\] ([A-Z]) ([\w ]+) - (.*)$"
 SIX_SPEC = ParserSpec(timestamp_format="MM/dd HH:mm:ss.SSS", event_regex=r"metrics - (.*)", json_extraction=True,
@@ -187,3 +190,44 @@ def test_deep_regexes_parse_like_any_other(lines_df):
     assert rows(df, F.length("message"), "pid", "tid", string_prop(F.col("event_data"), "event")) == [
         (4, 7, 0, None), (15, 8, 0, "e"), (0, 5, 0, None)]
     assert tuple(parse_stats(lines_df([long + " 1", "zzz", ""]), spec).first()) == (3, 1, 1)
+
+
+def test_counters_come_with_the_pass_that_reads_the_entries(spark, lines_df):
+    from pyspark.sql import Observation
+
+    from logweave.operators.count import count_patterns
+    from logweave.operators.funnel import analyze_funnel
+    from logweave.specs import FunnelSpec
+
+    lines = lines_df(["a 1", "", "  ", "b 2", "no", "a 3", "\u00a0"])
+    spec = ParserSpec(log_line_regex=r"^([ab]) (\d)$")
+    want = parse_stats(lines, spec).first().asDict()
+    assert want == {"total_lines": 7, "parsed_entries": 3, "skipped_lines": 1}
+    for run in (
+        lambda e: count_patterns(e, ["1", "3"]).collect(),
+        lambda e: analyze_funnel(e, FunnelSpec.of("f", "1", "3"), order_by=["line_no"]).steps(),  # the pass runs when the funnel is built
+    ):
+        stats = Observation()
+        run(parse_entries(lines, spec, stats=stats))
+        assert stats.get == want
+    assert [r.message for r in parse_entries(lines, spec, stats=Observation()).collect()] == ["1", "2", "3"]
+
+
+@pytest.mark.parametrize(
+    "pattern,good,bad",
+    [
+        ("HH:mm:ss.SSS", ["08:01:02.500"], ["08:01:02.5", "08:01:02.50", "08:01:02.5000", "8:01:02.500", "08:01:02"]),
+        ("H:mm[:ss]", ["8:01", "18:01:05"], ["8:1", "118:01", "8:01:5"]),
+        ("yyyyMMdd'T'HHmmss", ["20240304T080102"], ["2024034T080102", "20240304 080102"]),
+        ("dd/MMM/yyyy", ["04/Mar/2024"], ["4/Mar/2024", "04/Mar/24"]),
+        ("HH'h'mm'm' ''''", ["08h01m ''"], ["08h01m '"]),
+    ],
+)
+def test_spark_patterns_take_the_widths_they_show(pattern, good, bad):
+    guard = _python(pattern_guard(pattern))
+    assert all(guard.match(t) for t in good) and not any(guard.match(t) for t in bad)
+
+
+def _python(guard):
+    """A guard for Python's engine, which spells code points and the end of a text its own way."""
+    return re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), guard).replace("\\z", "\\Z"))
