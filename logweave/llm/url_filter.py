@@ -5,8 +5,10 @@ The pages that a rule judged are the labelled URLs.  Trees are boosted on lexica
 features of those URLs - lengths, depth, digit ratio, character entropy, parameter
 counts, and block rates of the host's suffixes - and judge every other page.
 
-Suffix statistics are counted over all labelled pages, one row per suffix string
-however many there are, and joined back to the pages by the string; a counted table
+These statistics are counted over all labelled pages, one row per string and fold
+however many there are, and joined back to the pages by the string.  A URL that the trees are fitted on
+sees the rates of the other folds only (folds by a hash of the URL): rates that counted its own label would
+be copied by the trees in place of learning anything.  A counted table
 of at most ``BROADCAST_BYTES`` is broadcast, a larger one meets the pages in a
 sort-merge join, whose hot suffixes adaptive execution splits.  The trees are fitted
 on at most ``max_train_rows`` distinct labelled URLs, weighted by their pages: of each
@@ -39,6 +41,7 @@ _FEATURES = [
     "f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_host_digits", "f_entropy",
     "f_host_entropy", "f_params", "f_equals", "f_hyphens", "f_fragment", "f_secure", "f_suffix1", "f_suffix2", "f_suffix2_n",
 ]
+FOLDS = 5
 RESULTS = ("host", "path", "rule", "score", "verdict")
 
 
@@ -116,28 +119,45 @@ def _suffix(host: Column, n: int) -> Column:
     return F.substring_index(host, ".", -n)
 
 
-def suffix_tables(labelled: DataFrame, scratch: Scratch) -> dict[str, tuple[DataFrame, bool]]:
-    """``_k, _rate, _log`` (smoothed block rate, log count) per suffix of one and two labels, each
-    with whether it is small enough to broadcast.  ``labelled`` has ``host`` and ``label``."""
-    # the last label is a function of the last two, so the pages are counted once
-    counts = labelled.groupBy(_suffix(F.col("host"), 2).alias("_k")).agg(F.sum("label").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    two = scratch.save(counts, "suffix2")
-    one = scratch.save(two.groupBy(_suffix(F.col("_k"), 1).alias("_k")).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n")), "suffix1")
+def _fold(seed: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed + 1), "url"), F.lit(FOLDS)).cast("int")
+
+
+def statistics(labelled: DataFrame, scratch: Scratch, seed: int) -> dict[str, tuple[DataFrame, bool]]:
+    """``_k, _fold, _s, _n`` (block labels and pages per string and fold) for host suffixes of one and two labels,
+    each with whether it is small enough to broadcast.  ``labelled`` has ``url, host, label``."""
+    sums = F.sum("_s").alias("_s"), F.sum("_n").alias("_n")
+    pages = labelled.withColumns({"_fold": _fold(seed), "_s": F.col("label"), "_n": F.lit(1).cast("bigint")})
+    two = scratch.save(pages.groupBy(_suffix(F.col("host"), 2).alias("_k"), "_fold").agg(*sums), "suffix2")
+    # the last label is a function of the last two, so the pages are counted once for both
+    one = scratch.save(two.groupBy(_suffix(F.col("_k"), 1).alias("_k"), "_fold").agg(*sums), "suffix1")
     out = {}
     for name, table in (("1", one), ("2", two)):
-        size = table.agg(F.sum(F.octet_length("_k") + 16)).first()[0]
-        rates = table.select("_k", ((F.col("_s") + 1.0) / (F.col("_n") + 2.0)).alias("_rate"), F.log1p("_n").alias("_log"))
-        out[name] = rates, (size or 0) <= BROADCAST_BYTES
+        size = table.agg(F.sum(F.octet_length("_k") + 20)).first()[0]
+        out[name] = table, (size or 0) <= BROADCAST_BYTES
     return out
 
 
-def with_suffixes(df: DataFrame, tables: Mapping[str, tuple[DataFrame, bool]]) -> DataFrame:
-    """``df[_s1, _s2, ...]`` plus the suffix features; a suffix without labelled pages has rate 0.5 and count 0."""
+def with_statistics(df: DataFrame, tables: Mapping[str, tuple[DataFrame, bool]], fold: str | None = None) -> DataFrame:
+    """``df[_s1, _s2, _st, ...]`` plus the smoothed rates and log counts; a string without labelled pages has rate 0.5 and count 0.
+
+    ``fold`` names a column whose fold of the counts a row does not see."""
     for k, (table, small) in tables.items():
-        side = table.select(F.col("_k").alias(f"_k{k}"), F.col("_rate").alias(f"_r{k}"), F.col("_log").alias(f"_n{k}"))
-        df = df.join(F.broadcast(side) if small else side.hint("merge"), F.col(f"_s{k}") == F.col(f"_k{k}"), "left")
+        whole = table.groupBy(F.col("_k").alias(f"_k{k}")).agg(F.sum("_s").alias(f"_a{k}"), F.sum("_n").alias(f"_b{k}"))
+        df = df.join(F.broadcast(whole) if small else whole.hint("merge"), F.col(f"_s{k}") == F.col(f"_k{k}"), "left")
+        if fold:
+            own = table.select(F.col("_k").alias(f"_o{k}"), F.col("_fold").alias(f"_f{k}"), F.col("_s").alias(f"_c{k}"), F.col("_n").alias(f"_d{k}"))
+            df = df.join(F.broadcast(own) if small else own.hint("merge"), (F.col(f"_s{k}") == F.col(f"_o{k}")) & (F.col(fold) == F.col(f"_f{k}")), "left")
+
+    def seen(k, total, part):
+        out = F.coalesce(F.col(f"{total}{k}"), F.lit(0))
+        return out - F.coalesce(F.col(f"{part}{k}"), F.lit(0)) if fold else out
+
+    def rate(k):
+        return (seen(k, "_a", "_c") + 1.0) / (seen(k, "_b", "_d") + 2.0)
+
     return df.withColumns({
-        "f_suffix1": F.coalesce("_r1", F.lit(0.5)), "f_suffix2": F.coalesce("_r2", F.lit(0.5)), "f_suffix2_n": F.coalesce("_n2", F.lit(0.0)),
+        "f_suffix1": rate("1"), "f_suffix2": rate("2"), "f_suffix2_n": F.log1p(seen("2", "_b", "_d")),
     })
 
 
@@ -159,6 +179,28 @@ def training_urls(labelled: DataFrame, distinct: Mapping[float, int], max_rows:
     return out
 
 
+_ASSEMBLER = {"inputCols": _FEATURES, "outputCol": "_vector"}
+
+
+def fit(labelled: DataFrame, distinct: Mapping[float, int], scratch: Scratch, max_rows: int, trees: int, depth: int, seed: int):
+    """(model, statistics) from ``labelled[url, host, path, label]``, which has both labels."""
+    tables = statistics(labelled, scratch, seed)
+    picked = training_urls(labelled, distinct, max_rows, seed).withColumn("_own", _fold(seed))
+    picked = url_features(_once(picked, {"host": host_of(F.col("url")), "path": path_of(F.col("url"))}))
+    train = VectorAssembler(**_ASSEMBLER).transform(with_statistics(picked, tables, "_own"))
+    train = scratch.save(train.select("label", "weight", F.col("_vector").alias("features")), "train")  # the fit reads it many times
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0, weightCol="weight").fit(train)
+    scratch.drop("train")
+    model.setFeaturesCol("_vector").setProbabilityCol("_probability").setPredictionCol("_prediction").setRawPredictionCol("_raw")
+    return model, tables
+
+
+def apply(model, tables: Mapping[str, tuple[DataFrame, bool]], urls: DataFrame) -> DataFrame:
+    """``urls[url, host, path, ...]`` plus the features and ``score``, the block probability."""
+    scored = model.transform(VectorAssembler(**_ASSEMBLER).transform(with_statistics(url_features(urls), tables)))
+    return scored.withColumn("score", vector_to_array("_probability")[1])
+
+
 def judge_urls(
     pages: DataFrame,
     rules: Mapping[str, str],
@@ -194,17 +236,7 @@ def judge_urls(
         return located.withColumn("score", score).withColumn("verdict", verdict).select("_page.*", *RESULTS)
 
     scratch = Scratch(pages.sparkSession, "urls")
-    tables = suffix_tables(labelled, scratch)
-
-    picked = training_urls(labelled, {0.0: known["d0"], 1.0: known["d1"]}, max_train_rows, seed)
-    picked = url_features(_once(picked, {"host": host_of(F.col("url")), "path": path_of(F.col("url"))}))
-    assembler = VectorAssembler(inputCols=_FEATURES, outputCol="_vector")
-    train = assembler.transform(with_suffixes(picked, tables)).select("label", "weight", F.col("_vector").alias("features"))
-    train = scratch.save(train, "train")  # the fit reads it many times
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0, weightCol="weight").fit(train)
-    scratch.drop("train")
-    model.setFeaturesCol("_vector").setProbabilityCol("_probability").setPredictionCol("_prediction").setRawPredictionCol("_raw")
-    scored = model.transform(assembler.transform(with_suffixes(url_features(located), tables)))
-    scored = scored.withColumn("score", vector_to_array("_probability")[1])
+    model, tables = fit(labelled, {0.0: known["d0"], 1.0: known["d1"]}, scratch, max_train_rows, trees, depth, seed)
+    scored = apply(model, tables, located)
     verdict = F.coalesce(said, F.when(F.col("score") >= cut, "block").otherwise("allow"))
     return scored.withColumn("verdict", verdict).select("_page.*", *RESULTS)

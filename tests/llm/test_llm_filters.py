@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from brute import rules_counts, words
 
 from logweave.llm import quality_classifier as qc
@@ -87,6 +88,53 @@ def test_each_suffix_has_its_own_statistics(spark, monkeypatch, limit):
     assert got == {-1 - i: "block" if b else "allow" for i, b in enumerate(bad)}
 
 
+def test_training_rows_do_not_see_their_own_labels(spark):
+    """Rates of the other folds, held against a count in Python; scored pages see all counts."""
+    from collections import Counter
+
+    from logweave.llm import url_filter
+    from logweave.llm.common import Scratch
+
+    rng = random.Random(12)
+    rows = [(f"http://h{rng.randint(0, 9)}.s{rng.randint(0, 30)}.{rng.choice(['io', 'de'])}/{i}", float(rng.random() < 0.4)) for i in range(600)]
+    rows += rows[:50]
+    df = spark.createDataFrame(rows, "url string, label double").withColumn("host", url_filter.host_of(F.col("url"))).withColumn("path", url_filter.path_of(F.col("url")))
+    tables = url_filter.statistics(df, Scratch(spark, "test"), 2)
+    folded = url_filter.url_features(df.withColumn("_own", url_filter._fold(2)))
+    for fold in ("_own", None):
+        got = url_filter.with_statistics(folded, tables, fold).collect()
+        assert len(got) == len(rows)
+        for name, n in (("f_suffix1", 1), ("f_suffix2", 2)):
+            count, blocked = Counter(), Counter()
+            for r in got:
+                key = ".".join(r.host.split(".")[-n:]), r["_own"]
+                count[key] += 1
+                blocked[key] += r.label
+            for r in got:
+                keys = [(".".join(r.host.split(".")[-n:]), f) for f in range(url_filter.FOLDS) if not fold or f != r["_own"]]
+                want = (sum(blocked[k] for k in keys) + 1) / (sum(count[k] for k in keys) + 2)
+                assert abs(r[name] - want) < 1e-9
+
+
+def test_held_out_urls_are_told_apart_by_their_lexical_features(spark):
+    """Two labels under the same suffixes: only digits and length tell them apart, so the rates cannot."""
+    from logweave.llm import url_filter
+    from logweave.llm.common import Scratch
+
+    rng = random.Random(13)
+
+    def url(bad):
+        host = f"{rng.choice('abcdef')}.site{rng.randint(0, 20)}.com"
+        return f"http://{host}/" + ("".join(rng.choice("0123456789") for _ in range(rng.randint(9, 30))) if bad else "/".join(rng.choice(["news", "about", "team", "a-page"]) for _ in range(rng.randint(1, 4))))
+
+    rows = [(url(i % 3 == 0), float(i % 3 == 0)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "url string, label double").withColumn("host", url_filter.host_of(F.col("url"))).withColumn("path", url_filter.path_of(F.col("url")))
+    train, rest = df.filter("xxhash64(url) % 2 = 0"), df.filter("xxhash64(url) % 2 <> 0")
+    model, tables = url_filter.fit(train, {0.0: 400, 1.0: 200}, Scratch(spark, "test"), 20_000, 5, 3, 2)
+    got = url_filter.apply(model, tables, rest).select("label", "score").collect()
+    assert len(got) > 400 and sum((r.score >= 0.5) == (r.label > 0) for r in got) >= 0.95 * len(got)
+
+
 def test_the_training_sample_is_bounded_and_has_both_labels(spark):
     from logweave.llm import url_filter
 
@@ -344,3 +392,68 @@ def test_scores_do_not_depend_on_how_texts_are_grouped():
         logit = float(w[slots] @ qc._value(counts)) + float(w[qc.SLOTS])
         assert scores[i] == qc.score_texts([t], w)[0] and abs(scores[i] - 1 / (1 + math.exp(-logit))) < 1e-6
     assert [c.sum() for _, c in qc.features(texts)] == [14, 0, 0, 14, 1198]
+
+
+def plain_slots(text):
+    """The slots of a text's n-grams with their counts, one word at a time."""
+    from collections import Counter
+    from itertools import groupby
+
+    from logweave.llm import hashing as h
+
+    full, many = 1 << 64, int(h.MULTIPLY)
+
+    def mixed(x):
+        x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 % full
+        return x ^ (x >> 32)
+
+    def hashed(data):
+        return mixed(sum(int(h._NUMBERS[b]) * pow(h._BASE, i, full) for i, b in enumerate(data)) % full)
+
+    def shape(data):
+        kind = lambda b: "A" if 65 <= b <= 90 else "a" if 97 <= b <= 122 or b >= 128 else "9" if 48 <= b <= 57 else chr(b)
+        return mixed((hashed(bytes(ord(k) for k, _ in groupby(map(kind, data)))) + 1) % full)
+
+    said = [w.encode() for w in words(text)]
+    w, s = [hashed(x) for x in said], [shape(x) for x in said]
+    pairs = [(a * many + b) % full for a, b in zip(w, w[1:])]
+    forms = [((a * many + b) * many + (x == y)) % full for a, b, x, y in zip(s, s[1:], w, w[1:])]
+    return Counter(mixed(x) % qc.SLOTS for x in w + s + pairs + forms)
+
+
+def test_classifier_features_match_a_plain_count():
+    texts = ["", "one", "Two two  TWO!! x1y22 é😀 Wasser,,", "a a a b\tb\n\x0bc", "word " * 300 + "END", " lead and trail "]
+    for text, (slots, counts) in zip(texts, qc.features([t.encode() for t in texts])):
+        assert dict(zip(slots.tolist(), counts.tolist())) == dict(plain_slots(text))
+
+
+def test_ftrl_matches_updates_one_coordinate_at_a_time():
+    rng = np.random.default_rng(6)
+    rows = [(np.unique(rng.integers(0, 60, 12)), None, int(rng.random() < 0.5)) for _ in range(40)]
+    rows = [(slots, rng.integers(1, 5, len(slots)), label) for slots, _, label in rows]
+    alpha, beta, l1, l2 = 0.5, 1.0, 1e-4, 1e-3
+    z, n, w = {}, {}, {}
+    for _ in range(3):
+        for slots, counts, label in rows:
+            x = {int(s): c * qc.SCALE / counts.sum() for s, c in zip(slots, counts)} | {qc.SLOTS: 1.0}
+            p = 1 / (1 + math.exp(-sum(w.get(s, 0.0) * v for s, v in x.items())))
+            for s, v in x.items():
+                g = (p - label) * v
+                before = n.get(s, 0.0)
+                n[s] = before + g * g
+                z[s] = z.get(s, 0.0) + g - (math.sqrt(n[s]) - math.sqrt(before)) / alpha * w.get(s, 0.0)
+                w[s] = 0.0 if abs(z[s]) <= l1 else -(z[s] - math.copysign(l1, z[s])) / ((beta + math.sqrt(n[s])) / alpha + l2)
+    got = qc.ftrl(rows, epochs=3)
+    assert all(abs(got[s] - v) < 1e-9 for s, v in w.items()) and np.count_nonzero(got) == sum(v != 0 for v in w.values())
+
+
+def test_an_id_of_many_rows_is_one_training_row(spark):
+    from logweave.llm.common import training_texts
+
+    docs = spark.range(3000).selectExpr("if(id < 2900, 7, id) AS doc_id", "concat('text ', id) AS text")
+    known = spark.createDataFrame([(7, 1), *((i, i % 2) for i in range(2900, 3000)), (99999, 0)], "doc_id bigint, label int")
+    got = training_texts(docs, known, 1000, 1).collect()
+    assert sorted(r["_id"] for r in got) == [7, *range(2900, 3000)]
+    for most in (1, 40):
+        few = training_texts(docs, known, most, 1).collect()
+        assert len(few) <= most and len({r["_id"] for r in few}) == len(few)
