@@ -5,8 +5,8 @@ digits and signs, runs collapsed) and shape pairs, hashed into ``2^18`` slots; a
 its share of the text's n-grams.  Weights are learnt by follow-the-regularised-leader
 (proximal) updates; a score is the logistic of a sparse dot product.
 
-Training uses at most ``max_train_rows`` labelled rows, the first in hash order of
-their ids (a bounded, documented sample); features are made in parallel and one task
+Training uses at most ``max_train_rows`` labelled ids, the first in hash order, with one text each
+(a bounded, documented sample, however many rows share an id); features are made in parallel and one task
 runs the sequential updates over them.  Scoring reads every whole text once and
 shuffles nothing; the weights, 1 MB, are broadcast.
 
@@ -28,6 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import training_texts
 from .hashing import MULTIPLY, groups, mix, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -118,9 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train_rows: int = 10_000, e
     """Weights from ``labels[doc_id, quality]`` outside the held-out fold and the texts of ``docs[doc_id, text]``."""
     known = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"))
-    turn = F.xxhash64(F.lit(seed), "doc_id")
-    sample = known.select(F.col("doc_id").alias("_id"), "label", turn.alias("turn")).orderBy("turn").limit(max_train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))  # max_train_rows rows
+    rows = training_texts(docs, known, max_train_rows, seed)
     made = rows.select("text", "label", "turn").mapInArrow(_feature_task, "label int, turn bigint, slots array<int>, counts array<int>")
     ordered = made.repartition(1).sortWithinPartitions("turn", "label", F.xxhash64("slots", "counts"))
     got = ordered.mapInPandas(_train_task(epochs), "weights binary").collect()

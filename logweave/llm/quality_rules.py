@@ -8,7 +8,7 @@ inside repeated eight-word windows - have failed it before.
 
 The CRF is trained on weak line labels: the lines of documents whose quality label
 is 1 count as content, those of label 0 as boilerplate.  It sees at most
-``max_train_docs`` labelled documents, the first in hash order of their ids (a bounded,
+``max_train_docs`` labelled ids, the first in hash order, with one text each and of it the first ``max_train_lines`` lines (a bounded,
 documented sample): features are made in parallel, one task runs the gradient
 steps (forward-backward, Adam).  Judging reads every whole text once and shuffles nothing.
 
@@ -29,6 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import training_texts
 from .hashing import MULTIPLY, groups, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -187,13 +188,16 @@ def fit_crf(sequences, steps: int = 120, rate: float = 0.3, l2: float = 1e-4, mo
     return theta[:-4], theta[-4:].reshape(2, 2)
 
 
-def _feature_task(batches):
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        yield pa.RecordBatch.from_pydict({
-            "label": batch.column("label").cast(pa.int32()), "turn": batch.column("turn"),
-            "rows": pa.array([line_features(t)[0].ravel() for t in texts], pa.list_(pa.float64())),
-        })
+def _feature_task(max_lines):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_pydict({
+                "label": batch.column("label").cast(pa.int32()), "turn": batch.column("turn"),
+                "rows": pa.array([line_features(t)[0][:max_lines].ravel() for t in texts], pa.list_(pa.float64())),
+            })
+
+    return run
 
 
 def _train_task(batches):
@@ -208,13 +212,12 @@ def _train_task(batches):
     yield pd.DataFrame({"weights": [weights.tolist()], "move": [move.ravel().tolist()]})
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = 4000, seed: int = 3):
+def train(docs: DataFrame, labels: DataFrame, *, max_train_docs: int = 4000, max_train_lines: int = 1000, seed: int = 3):
     """(weights, move) of the CRF from ``labels[doc_id, quality]`` and ``docs[doc_id, text]``."""
     known = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"))
-    sample = known.select(F.col("doc_id").alias("_id"), "label", F.xxhash64(F.lit(seed), "doc_id").alias("turn")).orderBy("turn").limit(max_train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))  # max_train_docs rows
-    made = rows.select("text", "label", "turn").mapInArrow(_feature_task, "label int, turn bigint, rows array<double>")
+    rows = training_texts(docs, known, max_train_docs, seed)
+    made = rows.select("text", "label", "turn").mapInArrow(_feature_task(max_train_lines), "label int, turn bigint, rows array<double>")
     one = made.repartition(1).sortWithinPartitions("turn", "label", F.xxhash64("rows"))
     got = one.mapInPandas(_train_task, "weights array<double>, move array<double>").collect()
     if not got:
