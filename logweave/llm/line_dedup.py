@@ -69,8 +69,8 @@ def later_windows(docs: DataFrame, window: int = 3) -> DataFrame:
 def _kept(lines: Column, positions: Column, window: int) -> Column:
     """``lines`` without the runs that ``positions`` (sorted window starts) cover.
 
-    Linear work if ``lines`` is a column that is there already: inside a lambda an expression is evaluated for
-    every element, and ``slice`` copies its whole input, so the lines left are fetched one by one by their index."""
+    Linear work if ``lines`` is a value that is there already (a column or a lambda variable): inside a lambda an expression is evaluated
+    for every element, and ``slice`` copies its whole input, so the lines left are fetched one by one by their index."""
     starts = F.filter(positions, lambda p, i: (i == 0) | (p > positions[F.greatest(i - 1, F.lit(0))] + window))
     ends = F.transform(
         F.filter(positions, lambda p, i: (i == F.size(positions) - 1) | (positions[F.least(i + 1, F.size(positions) - 1)] > p + window)),
@@ -92,12 +92,12 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
     rows = rows.withColumn("_key", F.col("_doc.doc_id")).withColumn("_hash", text_hash(F.col("_doc.text")))
     met = rows.join(later.hint("merge"), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left")
-    # one-element generators, so that a text is split once, and its lines are cut once for both columns
-    split = met.select("_doc", "_pos", F.explode(F.array(F.split(F.col("_doc.text"), "\n", -1))).alias("_lines"))
-    n = F.when(F.col("_lines").isNotNull(), F.size("_lines")).otherwise(0)
-    cut = split.select(
-        "_doc", n.alias("_n"), F.explode(F.array(F.when(F.col("_pos").isNotNull(), _kept(F.col("_lines"), F.col("_pos"), window)))).alias("_left")
-    )
+    lines = F.split(F.col("_doc.text"), "\n", -1)
+    n = F.when(F.col("_doc.text").isNotNull(), F.size(lines)).otherwise(0)
+    # the lines are bound to a lambda variable, so a text that is cut is split once, not once per line; a one-element generator
+    # (of two in a row Spark loses columns when it prunes the fields of _doc) cuts them once for both columns
+    left = F.get(F.transform(F.array(lines), lambda x: _kept(x, F.col("_pos"), window)), F.lit(0))
+    cut = met.select("_doc", n.alias("_n"), F.explode(F.array(F.when(F.col("_pos").isNotNull(), left))).alias("_left"))
     new = {"text": F.coalesce(F.array_join("_left", "\n"), F.col("_doc.text"))}
     return cut.select(
         *[new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in names if c not in ("n_lines", "n_removed")],
