@@ -21,11 +21,13 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import sys
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -53,8 +55,6 @@ DATES = re.compile(
     r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d"
 )
 
-_RANK = {w: math.log10(i + 2) for i, w in reversed(list(enumerate(WORDS)))}
-_LENGTHS = sorted({len(w) for w in WORDS})
 _KEY = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
 _CREDENTIAL = re.compile(CONTEXT, re.I | re.A)
 _ASSIGN, _ACCESS, _HEX = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX)
@@ -66,84 +66,115 @@ def _brute(c: str) -> float:
     return math.log10(10 if "0" <= c <= "9" else 26 if c.isalpha() and c.isascii() else 33)
 
 
-def _walks(low: str) -> list[int]:
-    """For each position the end of the longest walk from it: neighbouring keys, or letters or digits in a row, in one direction."""
-    n = len(low)
-
-    def step(a, b):
-        if a.isalnum() and b.isalnum() and abs(ord(a) - ord(b)) == 1:
-            return "order", ord(b) - ord(a)
-        p, q = _KEY.get(a), _KEY.get(b)
-        if p and q and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1:
-            return "keys", 0
-        return None
-
-    ends = [n] * n
-    moves = [step(low[i], low[i + 1]) for i in range(n - 1)]
-    for i in range(n - 1, -1, -1):
-        if i == n - 1 or moves[i] is None:
-            ends[i] = i + 1
-        elif i + 1 < n - 1 and moves[i + 1] == moves[i]:
-            ends[i] = ends[i + 1]
-        else:
-            ends[i] = i + 2
-    return ends
-
-
-def _repeats(value: str, unit: int) -> list[int]:
-    """For each position the end of the run with period ``unit`` that starts there."""
-    n = len(value)
-    ends = list(range(n + 1))
-    for i in range(n - unit - 1, -1, -1):
-        if value[i] == value[i + unit]:
-            ends[i] = max(ends[i + 1], i + unit + 1)
-    return ends
+RUN = math.log10(16)  # the guesses for the length of a walk or of a repeat
+
+
+class Words:
+    """The log10 guesses of each known word, most common first."""
+
+    def __init__(self, more=()):
+        words = list(dict.fromkeys([*WORDS, *more]))
+        self.rank = {w: math.log10(i + 2) for i, w in enumerate(words)}
+        self.lengths = sorted({len(w) for w in words})
+
+    def cost(self, value: str, low: str, plain: str, i: int, j: int) -> float | None:
+        """Of ``value[i:j]`` as a word, perhaps spelt with look-alikes or capitals."""
+        word = low[i:j]
+        found, extra = self.rank.get(word), 0.0
+        if found is None:
+            found, extra = self.rank.get(plain[i:j]), math.log10(4)
+        if found is None:
+            return None
+        return found + extra + (math.log10(2) if value[i:j] != word else 0.0)
+
+
+def _step(a: str, b: str):
+    """How a walk goes from one character to the next: letters or digits in a row, or neighbouring keys; None if it does not."""
+    if a.isalnum() and b.isalnum() and abs(ord(a) - ord(b)) == 1:
+        return "order", ord(b) - ord(a)
+    p, q = _KEY.get(a), _KEY.get(b)
+    if p and q and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1:
+        return "keys", 0
+    return None
+
 
+class _Runs:
+    """The cheapest start of a walk, or of a repeat, that ends at the position reached.
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of ``value`` takes."""
+    Starts lie in the stretch that has lasted so far; each joins it once, when the segment from it is long enough."""
+
+    def __init__(self, least: int):
+        self.least, self.first, self.best = least, None, math.inf
+
+    def reach(self, end: int, first: int | None, starts: list[float]) -> float:
+        """``first``: where the stretch that holds the last characters begins, None if there is none; ``starts``: cost of a segment's start."""
+        if first != self.first:
+            self.first, self.best = first, math.inf
+        if first is not None and end - self.least >= first:
+            self.best = min(self.best, starts[end - self.least])
+        return self.best
+
+
+def guess_cost(value: str, words: Words = Words(), limit: float = 10.0) -> float:  # noqa: B008 - read only
+    """log10 of the guesses that the cheapest segmentation of ``value`` takes; exact below ``limit``.
+
+    Every stretch is a candidate: words; dates; walks of three characters or more in one direction, wherever they begin and
+    end; repeats of any unit, three characters and two rounds or more (a unit of ``limit`` characters costs ``limit`` by itself, so longer
+    ones are left out); brute force for the rest.  Linear in the length of the value."""
     n = len(value)
     low = value.lower()
     if len(low) != n:  # a few letters change length when lowered
         low = value
     plain = low.translate(LOOK_ALIKES)
-    walks, runs = _walks(low), {u: _repeats(value, u) for u in (1, 2, 3, 4)}
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if low[i] in "0123456789" and (m := DATES.match(low, i)):
-            dates.setdefault(i, []).append(m.end())
-    cost = [0.0] + [math.inf] * n
-
-    def offer(i, j, c):
-        total = cost[i] + c + (SEGMENT if i else 0.0)
-        if total < cost[j]:
-            cost[j] = total
-
-    for i in range(n):
+    cost, starts = [0.0] + [math.inf] * n, [0.0] + [math.inf] * n
+    brute = [_brute(c) for c in value]
+    walk, walk_first, move = _Runs(3), None, None
+    units = range(1, min(n // 2, math.ceil(limit)) + 1)
+    repeats = {u: _Runs(max(3, 2 * u)) for u in units}
+    firsts: dict[int, int | None] = dict.fromkeys(units)
+    spent: dict[int, float] = {}
+    for j in range(1, n + 1):
         # brute force goes on character by character without a new segment
-        cost[i + 1] = min(cost[i + 1], cost[i] + _brute(value[i]))
-        for size in _LENGTHS:
-            if i + size > n:
+        best = cost[j - 1] + brute[j - 1]
+        for size in words.lengths:
+            if size > j:
                 break
-            word, spelt = low[i : i + size], plain[i : i + size]
-            rank = _RANK.get(word)
-            extra = 0.0
-            if rank is None:
-                rank, extra = _RANK.get(spelt), math.log10(4)
-            if rank is not None:
-                offer(i, i + size, rank + extra + (math.log10(2) if value[i : i + size] != word else 0.0))
-        for end in dates.get(i, ()):
-            offer(i, end, math.log10(365 * 120) if end - i > 4 else math.log10(120))
-        if walks[i] - i >= 3:
-            offer(i, walks[i], math.log10(94) + math.log10(walks[i] - i))
-        for unit, ends in runs.items():
-            size = ends[i] - i
-            if size >= max(3, 2 * unit):
-                offer(i, ends[i], sum(_brute(c) for c in value[i : i + unit]) + math.log10(size))
+            found = words.cost(value, low, plain, j - size, j)
+            if found is not None:
+                best = min(best, starts[j - size] + found)
+        if "0" <= low[j - 1] <= "9":
+            for i in (j - 4, j - 8, j - 9, j - 10):
+                if i >= 0 and DATES.fullmatch(low, i, j):
+                    best = min(best, starts[i] + math.log10(120 if j - i == 4 else 365 * 120))
+        if j > 1:
+            step = _step(low[j - 2], low[j - 1])
+            if step is None:
+                walk_first = None
+            elif step != move or walk_first is None:
+                walk_first = j - 2
+            move = step
+            best = min(best, walk.reach(j, walk_first, starts) + math.log10(94) + RUN)
+        for u in units:
+            if j <= u or value[j - 1] != value[j - 1 - u]:
+                firsts[u] = None
+                continue
+            if firsts[u] is None:
+                firsts[u] = j - 1 - u
+                spent[u] = sum(brute[j - 1 - u : j - 1])
+            best = min(best, repeats[u].reach(j, firsts[u], starts) + spent[u] + RUN)
+        cost[j], starts[j] = best, best + SEGMENT
     return cost[n]
 
 
-def find_secrets(raw: bytes | None, min_cost: float = 10.0) -> list[tuple[str, int, int]]:
+def corpus_words(docs: DataFrame, most: int) -> list[str]:
+    """At most ``most`` words of three to twenty letters a-z (either case) by the number of documents they occur in, two at least."""
+    low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?<![a-z])[a-z]{3,20}(?![a-z])"), F.lit(0)))).alias("w"))
+    counted = found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return [r["w"] for r in counted.orderBy(F.col("n").desc(), "w").limit(most).collect()]
+
+
+def find_secrets(raw: bytes | None, min_cost: float = 10.0, words: Words = Words()) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a whole UTF-8 text, by start, then kind."""
     if not raw:
         return []
@@ -166,17 +197,18 @@ def find_secrets(raw: bytes | None, min_cost: float = 10.0) -> list[tuple[str, i
         for m in _CREDENTIAL.finditer(text):
             value = m[1].rstrip(".,;:)]}")
             a, b = m.start(1), m.start(1) + len(value)
-            if len(value) >= 6 and not any(s <= a and b <= e for _, s, e in base) and guess_cost(value) >= min_cost:
+            if len(value) >= 6 and not any(s <= a and b <= e for _, s, e in base) and guess_cost(value, words, min_cost) >= min_cost:
                 spans.append(("guess", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _scan_task(min_cost):
+def _scan_task(min_cost, words):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            found = [find_secrets(t, min_cost) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            known = words.value
+            found = [find_secrets(t, min_cost, known) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
                 "spans": pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in found], kind),
@@ -185,9 +217,12 @@ def _scan_task(min_cost):
     return run
 
 
-def scan_documents(docs: DataFrame, *, min_cost: float = 10.0) -> DataFrame:
-    """``doc_id, spans ARRAY<STRUCT<kind, start, end>>`` per row of ``docs[doc_id, text]``."""
+def scan_documents(docs: DataFrame, *, min_cost: float = 10.0, max_words: int = 20_000) -> DataFrame:
+    """``doc_id, spans ARRAY<STRUCT<kind, start, end>>`` per row of ``docs[doc_id, text]``.
+
+    The words of guess costs are the fixed ones and the corpus's own ``max_words`` commonest, some 300 KB to broadcast."""
+    known = docs.sparkSession.sparkContext.broadcast(Words(corpus_words(docs, max_words)))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        _scan_task(min_cost), f"doc_id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>"
+        _scan_task(min_cost, known), f"doc_id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint>>"
     )

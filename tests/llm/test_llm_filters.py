@@ -285,49 +285,71 @@ def test_guess_spans_are_hard_values_only():
         assert added[t] == []
 
 
-def slow_cost(value):
-    """The same segments, tried in every combination."""
-    import functools
-
-    n, low = len(value), value.lower()
-    walks, runs = ss._walks(low), {u: ss._repeats(value, u) for u in (1, 2, 3, 4)}
-
-    @functools.lru_cache(None)
-    def best(i, brute_before):
-        if i == n:
-            return 0.0
-        sep = ss.SEGMENT if i else 0.0
-        options = [ss._brute(value[i]) + best(i + 1, True)]
-        for j in range(i + 1, n + 1):
-            word, spelt = low[i:j], low[i:j].translate(ss.LOOK_ALIKES)
-            rank = ss._RANK.get(word)
-            extra = 0.0
-            if rank is None:
-                rank, extra = ss._RANK.get(spelt), math.log10(4)
-            if rank is not None:
-                options.append(sep + rank + extra + (math.log10(2) if value[i:j] != word else 0) + best(j, False))
-        if low[i] in "0123456789" and (m := ss.DATES.match(low, i)):
-            options.append(sep + (math.log10(365 * 120) if m.end() - i > 4 else math.log10(120)) + best(m.end(), False))
-        if walks[i] - i >= 3:
-            options.append(sep + math.log10(94) + math.log10(walks[i] - i) + best(walks[i], False))
-        for u, ends in runs.items():
-            if ends[i] - i >= max(3, 2 * u):
-                options.append(sep + sum(map(ss._brute, value[i : i + u])) + math.log10(ends[i] - i) + best(ends[i], False))
-        return min(options)
-
-    return best(0, False)
+def segment_costs(part, words):
+    """What each way to guess a whole stretch costs, without the operator's own finders."""
+    low = part.lower() if len(part.lower()) == len(part) else part
+    alike = "".join({"@": "a", "4": "a", "3": "e", "1": "i", "0": "o", "$": "s", "5": "s", "7": "t", "!": "l"}.get(c, c) for c in low)
+    capital = math.log10(2) if part != low else 0.0
+    if low in words:
+        yield math.log10(words.index(low) + 2) + capital
+    elif alike in words:
+        yield math.log10(words.index(alike) + 2) + math.log10(4) + capital
+    day, month, year = "(0[1-9]|[12][0-9]|3[01])", "(0[1-9]|1[0-2])", "(19|20)[0-9]{2}"
+    if re.fullmatch(year, low):
+        yield math.log10(120)
+    if re.fullmatch(f"{year}[-/._]?{month}[-/._]?{day}|{day}[-/._]?{month}[-/._]?{year}", low):
+        yield math.log10(365 * 120)
+    keys = {c: (r, k) for r, row in enumerate(ss.ROWS) for k, c in enumerate(row)}
+
+    def go(a, b):
+        if a.isalnum() and b.isalnum() and ord(b) - ord(a) in (1, -1):
+            return ord(b) - ord(a)
+        near = a in keys and b in keys and a != b and max(abs(x - y) for x, y in zip(keys[a], keys[b])) <= 1
+        return "key" if near else None
+
+    if len(part) >= 3 and len(moves := {go(a, b) for a, b in zip(low, low[1:])}) == 1 and None not in moves:
+        yield math.log10(94) + math.log10(16)
+    for unit in range(1, len(part) // 2 + 1):
+        if len(part) >= 3 and all(part[i] == part[i + unit] for i in range(len(part) - unit)):
+            yield sum(map(single, part[:unit])) + math.log10(16)
+
+
+def single(c):
+    return math.log10(10) if c in "0123456789" else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33)
+
+
+def slow_cost(value, words):
+    """The cheapest of all segmentations, every stretch tried."""
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        options = [best[j - 1] + single(value[j - 1])]
+        options += [best[i] + c + (math.log10(2) if i else 0.0) for i in range(j) for c in segment_costs(value[i:j], words)]
+        best.append(min(options))
+    return best[-1]
 
 
 def test_guess_cost_is_the_cheapest_segmentation():
     rng = random.Random(4)
-    values = ["Passw0rd1999", "qwerty12345!", "abcabcabc", "zxcvbnM2024-01-31", "xK9#", "aaaa", "", "ÉİÉ"]
-    values += ["".join(rng.choice(["pass", "word", "1", "9", "a", "q", "w", "e", "2001", "x", "Z", "$"]) for _ in range(rng.randint(1, 7))) for _ in range(150)]
-    for v in values:
-        assert abs(ss.guess_cost(v) - (slow_cost(v) if v else 0.0)) < 1e-9
+    values = ["Passw0rd1999", "qwerty12345!", "abcabcabc", "zxcvbnM2024-01-31", "xK9#", "aaaa", "", "ÉİÉ", "ddddddddddragon12", "1231231231234567890", "abcdefedcba", "31.12.19992000"]
+    values += ["".join(rng.choice(["pass", "word", "1", "9", "a", "q", "w", "e", "2001", "x", "Z", "$", "aa", "abab", "0131"]) for _ in range(rng.randint(1, 7))) for _ in range(200)]
+    more = ["wonderful", "berry", "straw", "dra"]
+    for known, words in ((ss.Words(), list(ss.WORDS)), (ss.Words(more), [*ss.WORDS, *more])):
+        for v in values:
+            got, want = ss.guess_cost(v, known, 10.0), slow_cost(v, words)
+            assert abs(got - want) < 1e-9 or got > want >= 10
     assert ss.guess_cost("password") < 1 < 10 < ss.guess_cost("kX9$vR2!mQ8z")
+    assert ss.guess_cost("ddddddddddragon12") < 10 and ss.guess_cost("wonderful", ss.Words(more)) < 10 > ss.guess_cost("Strawberry", ss.Words(more))
     assert ss.guess_cost("a" * 200_000) < 10  # long values, linear time
 
 
+def test_corpus_words_are_known_words(spark):
+    rows = [(i, f"A Wonderful day {i}; strawberry-jam, wonderful ab x9y") for i in range(5)] + [(9, None), (10, ""), (11, "pin: wonderful pin: kX9$vR2!mQ8z token: strawberry")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert ss.corpus_words(docs, 3) == ["strawberry", "wonderful", "day"]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in ss.scan_documents(docs).collect()}
+    assert got == {**{i: [] for i in range(5)}, 9: [], 10: [], 11: [("guess", 20, 32)]}
+
+
 def test_scan_of_a_table(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], "x"), (None, TEXTS[3], "x"), (77, "text " * 50_000 + "password=abcdefghijkl", "x")]
     got = ss.scan_documents(spark.createDataFrame(rows, "doc_id bigint, text string, spans string")).collect()
