@@ -227,3 +227,20 @@ def test_long_runs_of_white_space_are_tokenised_whole(spark):
 def test_packing_an_empty_table(spark):
     pieces = packing.token_pieces(table(spark, []), *vocabulary())
     assert packing.pack_pieces(pieces).count() == 0
+
+
+def test_long_texts_take_linear_work(spark):
+    """Tens of thousands of removed runs, or of mixed blocks, in one text: minutes to hours when each of them scans the text anew."""
+    import time
+
+    runs = 24_000
+    cut = ["\n".join(f"same {k} {j}" if j < 3 else f"own {i} {k}" for k in range(runs) for j in range(4)) for i in range(2)]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in dedup_lines(table(spark, [(i, t, "a") for i, t in enumerate(cut)])).collect()}
+    assert (got[0].n_removed, got[1].n_removed) == (0, 3 * runs) and got[1].text == "\n".join(f"own 1 {k}" for k in range(runs))
+    long = [(i, " ".join(f"w{i}x{k}" for k in range(300_000)), s) for i, s in enumerate("ab")]
+    mixed = mixing.mixed_documents(table(spark, long)).select("doc_id", "text").collect()
+    plan = {r.doc_id: r.taken for r in mixing.mix_plan(table(spark, long)).select("doc_id", "taken").collect()}
+    for d, _, _ in long:
+        assert sum(len(r.text.split()) for r in mixed if r.doc_id == d) == plan[d]
+    assert time.monotonic() - began < 120
