@@ -104,19 +104,27 @@ def _many_totals(subject: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return one.select("total_events_analyzed", each.alias("counts"))
 
 
+@functools.cache
+def _subject() -> Column:
+    return match_subject(F.col("message"), F.col("event_data")).alias("_subject")
+
+
 def pattern_totals(entries: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """One row: ``total_events_analyzed BIGINT`` and ``counts ARRAY<BIGINT>`` (matches per pattern)."""
     compile_patterns(patterns)  # an invalid pattern fails the whole count up front
-    subject = entries.select(match_subject(F.col("message"), F.col("event_data")).alias("_subject"))
+    subject = entries.select(_subject())
     # RE2 as pyarrow has it tests \B inside characters too, so such a pattern keeps a count to the one-by-one form
     if len(patterns) > FEW and not any("\\B" in p for p in patterns):
         return _many_totals(subject, patterns)
-    totals = subject.agg(
-        F.count(F.lit(1)).alias("total_events_analyzed"),
-        *[F.count_if(matches_pattern(F.col("_subject"), p)).alias(f"c{i}") for i, p in enumerate(patterns)],
-    )
-    counts = F.array(*[F.col(f"c{i}") for i in range(len(patterns))]).cast("array<bigint>")
-    return totals.select("total_events_analyzed", counts.alias("counts"))
+    totals, counts = _few_totals(tuple(patterns))
+    return subject.agg(*totals).select("total_events_analyzed", counts)
+
+
+@functools.lru_cache(maxsize=64)  # the same expressions for the same patterns, some hundred calls to build
+def _few_totals(patterns: tuple[str, ...]) -> tuple[list[Column], Column]:
+    totals = [F.count(F.lit(1)).alias("total_events_analyzed")]
+    totals += [F.count_if(matches_pattern(F.col("_subject"), p)).alias(f"c{i}") for i, p in enumerate(patterns)]
+    return totals, F.array(*[F.col(f"c{i}") for i in range(len(patterns))]).cast("array<bigint>").alias("counts")
 
 
 @functools.lru_cache(maxsize=64)

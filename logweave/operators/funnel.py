@@ -15,13 +15,14 @@ one-row progress ``(total_events_analyzed, matches)``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.match import match_subject, matches_step
-from ..specs import FunnelSpec
+from ..specs import FunnelSpec, Step
 from ..session import Scratch
 from .fold import fold_runs, mask_words, walk, walk_by
 
@@ -42,18 +43,18 @@ def step_mask_columns(entries: DataFrame, spec: FunnelSpec, keep: Sequence[str])
     """``entries`` reduced to ``keep`` plus packed match bits ``_m0..``; the names of these, and the bit of each step.
 
     Steps with the same pattern and properties share a bit."""
-    subject = entries.select(
-        *[F.col(c) for c in keep],
-        match_subject(F.col("message"), F.col("event_data")).alias("_subject"),
-        F.col("event_data"),
-    )
-    asked = [(s.event_pattern, tuple(sorted(s.required_properties.items()))) for s in spec.steps]
-    distinct = {what: step for what, step in reversed(list(zip(asked, spec.steps)))}
+    asked = tuple((s.event_pattern, tuple(sorted(s.required_properties.items()))) for s in spec.steps)
     bit = {what: i for i, what in enumerate(dict.fromkeys(asked))}
-    preds = [matches_step(F.col("_subject"), F.col("event_data"), distinct[what]) for what in bit]
-    words = mask_words(preds)
-    names = [f"_m{w}" for w in range(len(words))]
-    return subject.select(*[F.col(c) for c in keep], *[w.alias(n) for w, n in zip(words, names)]), names, [bit[what] for what in asked]
+    subject, words = _mask_exprs(tuple(bit))
+    masked = entries.select(*[F.col(c) for c in keep], subject, F.col("event_data")).select(*[F.col(c) for c in keep], *words)
+    return masked, [f"_m{w}" for w in range(len(words))], [bit[what] for what in asked]
+
+
+@functools.lru_cache(maxsize=64)  # the same expressions for the same steps, some hundred calls to build
+def _mask_exprs(asked: tuple) -> tuple[Column, list[Column]]:
+    subject = match_subject(F.col("message"), F.col("event_data")).alias("_subject")
+    preds = [matches_step(F.col("_subject"), F.col("event_data"), Step("step", pattern, dict(props))) for pattern, props in asked]
+    return subject, [w.alias(f"_m{i}") for i, w in enumerate(mask_words(preds))]
 
 
 def funnel_progress(

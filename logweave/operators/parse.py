@@ -60,18 +60,20 @@ def _groups_stage(df: DataFrame, text: str, rx: JavaRegex, prefix: str, carry) -
         return staged.select(*carry, *[F.get(F.col("_parts"), i).alias(name) for i, name in enumerate(names)]), names
     if n == 1:
         return barrier(df, carry, **{names[0]: F.regexp_extract(F.col(text), rx.pattern, 1)}), names
+    joined, groups = _all_groups(text, rx, tuple(names))
+    return barrier(df, [*carry, F.col(text)], _parts=joined).select(*carry, *groups), names
+
+
+# Expressions over columns of fixed names are the same for every call and take hundreds of calls to build, so they are kept.
+@functools.lru_cache(maxsize=256)
+def _all_groups(text: str, rx: JavaRegex, names: tuple[str, ...]) -> tuple[Column, list[Column]]:
+    n = len(names)
     repl = "".join(_SEP + f"${i}" for i in range(1, n + 1))
     joined = F.split(F.regexp_replace(F.col(text), first_match_groups_pattern(rx), repl), _SEP)
-    staged = barrier(df, [*carry, F.col(text)], _parts=joined)
     ok = F.size("_parts") == n + 1
-    out = staged.select(
-        *carry,
-        *[
-            F.when(ok, F.get(F.col("_parts"), i)).otherwise(F.regexp_extract(F.col(text), rx.pattern, i)).alias(name)
-            for i, name in zip(range(1, n + 1), names)
-        ],
-    )
-    return out, names
+    return joined, [
+        F.when(ok, F.get(F.col("_parts"), i)).otherwise(F.regexp_extract(F.col(text), rx.pattern, i)).alias(name) for i, name in enumerate(names, 1)
+    ]
 
 
 def _has_year(fmt: str) -> bool:
@@ -106,9 +108,14 @@ def _safe_int(g: Column) -> Column:
 def _lines(lines: DataFrame, spec: ParserSpec, line_col: str, keep):
     rx = spec.line_regex
     carry = [F.col(c) for c in keep]
-    staged = lines.select(*carry, F.col(line_col).alias("_raw"), unicode_trim(F.col(line_col)).alias("_line"))
-    nonblank = F.col("_line") != ""
-    return staged, rx, nonblank & search(F.col("_line"), rx)
+    raw, trimmed, parsed = _line_exprs(line_col, rx)
+    return lines.select(*carry, raw, trimmed), rx, parsed
+
+
+@functools.lru_cache(maxsize=256)
+def _line_exprs(line_col: str, rx: JavaRegex) -> tuple[Column, Column, Column]:
+    line = F.col(line_col)
+    return line.alias("_raw"), unicode_trim(line).alias("_line"), (F.col("_line") != "") & search(F.col("_line"), rx)
 
 
 def _observed(staged: DataFrame, parsed: Column, stats: Observation, keep) -> DataFrame:
@@ -139,15 +146,28 @@ def parse_entries(
     staged = staged.filter(parsed) if stats is None else _observed(staged, parsed, stats, keep)
     carry = [F.col(c) for c in keep] + [F.col("_raw")]
     groups, g = _groups_stage(staged, "_line", rx, "_g", carry)
-    n = len(g)
-    col = {i + 1: F.col(name) for i, name in enumerate(g)}
-    empty = F.lit("")
+    message, fields = _field_exprs(spec, getattr(spec.timestamp_format, "guard", None), tuple(g))
+    # message feeds the payload fallback and every match, so it is materialized once
+    with_msg = barrier(groups, [*carry, *[F.col(x) for x in g]], message=message)
+    fields = with_msg.select(*carry, *fields, F.col("message"))
+    base = [F.col(c) for c in keep] + [F.col(c) for c in ENTRY_COLUMNS[:-1]]
+    if not spec.json_extraction:
+        out = fields.select(*base, null_payload().alias("event_data"))
+    else:
+        out = with_payload(fields, base, F.col("_raw"), spec)
+    return out
 
+
+@functools.lru_cache(maxsize=256)
+def _field_exprs(spec: ParserSpec, guard: str | None, names: tuple[str, ...]) -> tuple[Column, list[Column]]:
+    """The message, and ts, level, tag, pid and tid, from the group columns ``names`` (``guard`` tells layouts of equal text apart)."""
+    n = len(names)
+    col = {i: F.col(name) for i, name in enumerate(names, 1)}
+    empty = F.lit("")
     ts = F.lit(None).cast("timestamp_ntz")
     ts_failed = F.lit(False)
     if spec.timestamp_format and n >= 1:
-        ok, parsed_ts = _timestamp_parts(col[1], spec)
-        ts = parsed_ts
+        ok, ts = _timestamp_parts(col[1], spec)
         ts_failed = (col[1] != "") & ~ok
     if n == 0:
         message = empty
@@ -155,23 +175,13 @@ def parse_entries(
         message = F.when(ts_failed, col[1]).otherwise(col[n])
         if n >= 6:
             message = F.when(col[6] != "", col[6]).otherwise(message)
-    # message feeds the payload fallback and every match, so it is materialized once
-    with_msg = barrier(groups, [*carry, *[F.col(x) for x in g]], message=message)
-    fields = with_msg.select(
-        *carry,
+    return message, [
         ts.alias("ts"),
         (col[4] if n >= 4 else empty).alias("level"),
         (col[5] if n >= 5 else empty).alias("tag"),
         (_safe_int(col[2]) if n >= 2 else F.lit(0).cast("bigint")).alias("pid"),
         (_safe_int(col[3]) if n >= 3 else F.lit(0).cast("bigint")).alias("tid"),
-        F.col("message"),
-    )
-    base = [F.col(c) for c in keep] + [F.col(c) for c in ENTRY_COLUMNS[:-1]]
-    if not spec.json_extraction:
-        out = fields.select(*base, null_payload().alias("event_data"))
-    else:
-        out = with_payload(fields, base, F.col("_raw"), spec)
-    return out
+    ]
 
 
 def with_payload(df: DataFrame, base, raw: Column, spec: ParserSpec) -> DataFrame:

@@ -13,6 +13,8 @@ row's ``props`` object (no ``event`` key), plain text, and the JSON literal
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def _s(c) -> F.Column:
 
 def logcat_lines(events: DataFrame) -> DataFrame:
     """``DataFrame[ts, event_id, value]``: one line per event."""
+    return events.select("ts", "event_id", _logcat_line())
+
+
+@functools.cache
+def _logcat_line():
     shape = F.col("event_id") % 6
     payload = (
         F.when(shape == 0, F.concat(F.lit('{"event": "'), _s("event_type"), F.lit('", "user": "u'), _s("user_id"), F.lit('"}')))
@@ -49,7 +56,7 @@ def logcat_lines(events: DataFrame) -> DataFrame:
         wall_clock_text("ts", EVENT_LINE_FORMAT), F.lit(" ["), _s("user_id"), F.lit(":"), _s("event_id"),
         F.lit("] "), level, F.lit(" metrics - "), payload,
     )
-    return events.select("ts", "event_id", line.alias("value"))
+    return line.alias("value")
 
 
 def repeated_key_payload():
