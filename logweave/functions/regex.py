@@ -214,6 +214,18 @@ def _power(src: str) -> int:
         return MOST
 
 
+def _fits_re2(source: str) -> bool:
+    """Whether the RE2 of pyarrow takes the pattern; it refuses programs beyond a few megabytes, which Java runs."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    try:
+        pc.match_substring_regex(pa.array([""]), source)
+    except pa.ArrowInvalid:
+        return False
+    return True
+
+
 class _Translator:
     def __init__(self, src: str):
         self.src = src
@@ -681,7 +693,11 @@ class _Translator:
         for g, (start, end) in enumerate(self.openers, 1):
             named += [src[at:start], f"(?P<g{g}>"]
             at = end
-        return JavaRegex(self.src, "(?d)" + "".join(self.out), self.groups, required, self.flat, "".join(named) + src[at:], _power(self.src))
+        source = "".join(named) + src[at:]
+        flat, power = self.flat, _power(self.src)
+        if not (flat and power == 1) and not _fits_re2(source):
+            flat, power = True, 1  # only Java can run it
+        return JavaRegex(self.src, "(?d)" + "".join(self.out), self.groups, required, flat, source, power)
 
     def next_kind(self) -> str | None:
         """What the next character of every match is, if the pattern fixes it."""

@@ -179,6 +179,12 @@ def test_growth_of_a_backtracking_search(pattern, power):
     assert growth(pattern) == power
 
 
+def test_patterns_too_large_for_re2_are_run_by_java(spark):
+    pattern = r"\pL*x\pL*y|\pL{900}\pN{900}\pS{900}"
+    assert growth(pattern) > 1 and translate(pattern).java
+    assert matches(spark, "aaxbby", pattern) is True and matches(spark, "aab", pattern) is False
+
+
 def test_groups_of_long_lines(spark):
     from logweave.operators.parse import parse_entries
     from logweave.specs import ParserSpec
