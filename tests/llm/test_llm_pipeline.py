@@ -16,7 +16,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def test_one_query_per_operator():
     qs = entry.queries()
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
     assert set(QUERIES) <= set(qs) and qs["pipeline"] is pipeline.run and set(ORACLES) <= set(entry.oracle_sql())
     assert [n for n, _ in pipeline.STAGES] == ["quality_classifier", "line_dedup", "ngram_join", "mixing", "packing"]
 
