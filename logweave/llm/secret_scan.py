@@ -26,9 +26,11 @@ import sys
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 __all__ = ["guess_cost", "find_secrets", "scan_documents", "KINDS"]
@@ -167,11 +169,20 @@ def guess_cost(value: str, words: Words = Words(), limit: float = 10.0) -> float
 
 
 def corpus_words(docs: DataFrame, most: int) -> list[str]:
-    """At most ``most`` words of three to twenty letters a-z (either case) by the number of documents they occur in, two at least."""
+    """Words of three to twenty letters a-z (either case) by the number of documents they occur in, two at least, most common first.
+
+    All words down to the lowest count at which there are no more than ``most`` of them; the driver sees these alone."""
     low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?<![a-z])[a-z]{3,20}(?![a-z])"), F.lit(0)))).alias("w"))
     counted = found.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return [r["w"] for r in counted.orderBy(F.col("n").desc(), "w").limit(most).collect()]
+    scratch = Scratch(docs.sparkSession, "words")
+    counted = scratch.save(counted, "counted")
+    levels = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words"))  # a row per count that occurs
+    levels = levels.withColumn("upto", F.sum("words").over(Window.orderBy(F.col("n").desc())))
+    cut = levels.filter(F.col("upto") <= most).agg(F.min("n")).first()[0]
+    kept = [] if cut is None else counted.filter(F.col("n") >= cut).collect()
+    scratch.close()
+    return [r["w"] for r in sorted(kept, key=lambda r: (-r["n"], r["w"]))]
 
 
 def find_secrets(raw: bytes | None, min_cost: float = 10.0, words: Words = Words()) -> list[tuple[str, int, int]]:

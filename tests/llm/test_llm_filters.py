@@ -345,7 +345,8 @@ def test_guess_cost_is_the_cheapest_segmentation():
 def test_corpus_words_are_known_words(spark):
     rows = [(i, f"A Wonderful day {i}; strawberry-jam, wonderful ab x9y") for i in range(5)] + [(9, None), (10, ""), (11, "pin: wonderful pin: kX9$vR2!mQ8z token: strawberry")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert ss.corpus_words(docs, 3) == ["strawberry", "wonderful", "day"]
+    for most, want in ((1, []), (2, ["strawberry", "wonderful"]), (3, ["strawberry", "wonderful"]), (4, ["strawberry", "wonderful", "day", "jam"])):
+        assert ss.corpus_words(docs, most) == want  # words of equal count come or go together
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in ss.scan_documents(docs).collect()}
     assert got == {**{i: [] for i in range(5)}, 9: [], 10: [], 11: [("guess", 20, 32)]}
 
